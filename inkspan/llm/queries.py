@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from inkspan.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from inkspan.llm.mixing import OP3_SQL, op3_mix_sources
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_mix_sources": op3_mix_sources,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
+    "op3_mix_sources": OP3_SQL,
 }
