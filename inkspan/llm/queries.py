@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from inkspan.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from inkspan.llm.mixing import OP3_SQL, op3_mix_sources
+from inkspan.llm.packing import op5_pack_sequences
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op5_pack_sequences": op5_pack_sequences,
 }
 
 ORACLES = {
