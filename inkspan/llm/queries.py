@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from inkspan.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from inkspan.llm.langid import op9_language_id
 from inkspan.llm.mixing import OP3_SQL, op3_mix_sources
 from inkspan.llm.packing import op5_pack_sequences
+from inkspan.llm.quality_rules import OP6_SQL, op6_quality_rules
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_pack_sequences": op5_pack_sequences,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op3_mix_sources": OP3_SQL,
+    "op6_quality_rules": OP6_SQL,
 }
