@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, since one row may be a very long text."""
+    """Small Arrow batches, since one row may be a very long text; workers find this package where the driver did."""
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in (paths := environment.get("PYTHONPATH", "")).split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, root)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 

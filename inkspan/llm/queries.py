@@ -7,10 +7,12 @@ from inkspan.llm.langid import op9_language_id
 from inkspan.llm.mixing import OP3_SQL, op3_mix_sources
 from inkspan.llm.packing import op5_pack_sequences
 from inkspan.llm.quality_rules import OP6_SQL, op6_quality_rules
+from inkspan.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_toxicity": op4_toxicity,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_quality_rules": op6_quality_rules,
     "op9_language_id": op9_language_id,
