@@ -6,6 +6,7 @@ from inkspan.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from inkspan.llm.langid import op9_language_id
 from inkspan.llm.mixing import OP3_SQL, op3_mix_sources
 from inkspan.llm.packing import op5_pack_sequences
+from inkspan.llm.pii import op8_personal_data
 from inkspan.llm.quality_rules import OP6_SQL, op6_quality_rules
 from inkspan.llm.toxicity import op4_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_quality_rules": op6_quality_rules,
+    "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
 }
 
