@@ -27,83 +27,112 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, read, tune
+from inkspan.llm.common import WHITE, cut, lower_ascii, passes, read, span_hash, tune
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_UNITS = 1_000_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-_ENDINGS = b".,!*$%&;:?"
 
 
-class WordIds:
-    """Token ids of white-space separated words as little-endian bytes, with bounded caches.
+class UnitIds:
+    """Token ids of units of text, with a bounded cache.
 
-    The tokenizer never joins characters across white space, nor a run of
-    letters with the punctuation after it (apostrophes apart), so a word's ids
-    are those of its letters followed by those of its ending.
+    The tokenizer lower-cases, and never joins characters across white space or
+    a run of letters with the punctuation after it (apostrophes and the signs of
+    special tokens apart).  So a text's ids are those of its units, one after
+    the other, and each different unit is encoded once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        split = {}
-        for w in words:
-            text = w.decode()
-            core = w.rstrip(_ENDINGS).decode()
-            if core.isalpha() and max(core) < "ɐ":
-                split[w] = (core.lower(), text[len(core) :])
-            else:
-                split[w] = (text, "")
-        new = list({p for pair in split.values() for p in pair if p and p not in self.parts})
-        for lo in range(0, len(new), 5000):
-            part = new[lo : lo + 5000]
-            for p, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        for w, (core, ending) in split.items():
-            self.words[w] = self.parts[core] + (self.parts[ending] if ending else b"")
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            self.learn(set(words) - self.words.keys())
-            return b"".join([self.words[w] for w in words])
+        self._empty()
+
+    def _empty(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids = np.empty(1 << 16, "<u4")
+        self.start = np.zeros(1 << 16, np.int64)
+
+    def find(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
+        """(start in self.ids, length) of each unit of distinct hashes; text_of(k) is the k-th unit's text."""
+        if len(self.place) > CACHE_UNITS:
+            self._empty()
+        known = self.place
+        at = np.fromiter(map(known.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
+        missing = np.flatnonzero(at < 0)
+        for lo in range(0, len(missing), 5000):
+            part = missing[lo : lo + 5000]
+            found = [e.ids for e in self.encode([text_of(k) for k in part.tolist()], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            n, base = len(known), self.start[len(known)]
+            while n + len(part) + 1 > len(self.start):
+                self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+            while base + lengths.sum() > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+            self.ids[base : base + lengths.sum()] = np.fromiter(chain.from_iterable(found), "<u4", int(lengths.sum()))
+            self.start[n + 1 : n + 1 + len(part)] = base + np.cumsum(lengths)
+            at[part] = np.arange(n, n + len(part))
+            known.update(zip(hashes[part].tolist(), range(n, n + len(part)), strict=True))
+        return self.start[at], self.start[at + 1] - self.start[at]
+
+
+_ENDING = np.zeros(256, dtype=bool)
+_ENDING[[ord(c) for c in ".,!*$%&;:?"]] = True
+_known: dict[str, UnitIds] = {}  # one for each tokenizer file and worker process
+
+
+def units(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends) of the units of a pass."""
+    low = buf if b"<|" in buf.tobytes() else lower_ascii(buf)
+    letter = ((low >= 0x61) & (low <= 0x7A)) | ((low >= 0x41) & (low <= 0x5A))
+    letter[1:] |= (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] != 0x97) & (low[1:] != 0xB7)
+    solid = ~WHITE[low]
+    before = np.concatenate(([False], solid[:-1]))
+    start = solid & ~before
+    start[1:] |= _ENDING[low[1:]] & letter[:-1]
+    bounds = np.flatnonzero(start | (before & ~solid))
+    first = start[bounds]
+    return low, bounds[first], bounds[1:][first[:-1]]
 
 
 def _tokenise(path: str, capacity: int, end_id: int):
     def run(batches):
-        ids_of = WordIds(path)
-        end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
+        if path not in _known:
+            _known[path] = UnitIds(path)
+        table = _known[path]
         for b in batches:
-            texts = b.column("text").cast(pa.large_binary()).to_pylist()
-            if len(ids_of.words) <= CACHE_WORDS:  # a batch at once; what is then still missing is learnt by document
-                ids_of.learn(set().union(*(t.split() for t in texts if t)) - ids_of.words.keys())
-            out = [[], [], [], [], []]
-            for i, t in zip(b.column("doc_id").to_pylist(), texts, strict=True):
-                ids = ids_of.ids(t or b"") + end
-                for k in range(0, len(ids), step):
-                    part = ids[k : k + step]
-                    for col, v in zip(out, (i, k // step, k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        col.append(v)
+            doc_ids, out = b.column("doc_id").to_pylist(), [[], [], [], [], []]
+            for lo, n, buf, offsets in passes(b.column("text")):
+                low, starts, ends = units(buf)
+                h, first, inverse = np.unique(span_hash(low, starts, ends), return_index=True, return_inverse=True)
+                raw, s, e = low.tobytes(), starts[first].tolist(), ends[first].tolist()
+                at, many = table.find(h, lambda k, raw=raw, s=s, e=e: raw[s[k] : e[k]].decode())
+                source = np.append(table.ids[: table.start[len(table.place)]], np.uint32(end_id))
+                at, many = np.append(at, len(source) - 1), np.append(many, 1)
+                text_ends = np.searchsorted(starts, offsets[1:])
+                seq = np.insert(inverse, text_ends, len(h))
+                length = many[seq]
+                total = np.concatenate(([0], np.cumsum(length)))
+                ids = source[np.repeat(at[seq] - total[:-1], length) + np.arange(total[-1])].astype("<u4")
+                stops = total[text_ends + np.arange(1, n + 1)].tolist()
+                begin = 0
+                for k, stop in enumerate(stops):
+                    for place, p in enumerate(range(begin, stop, capacity)):
+                        part = ids[p : min(p + capacity, stop)]
+                        for col, v in zip(out, (doc_ids[lo + k], place, p - begin, len(part), zlib.crc32(part)), strict=True):
+                            col.append(v)
+                    begin = stop
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
