@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkspan.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from inkspan.llm.langid import op9_language_id
+from inkspan.llm.line_dedup import op10_line_dedup
 from inkspan.llm.mixing import OP3_SQL, op3_mix_sources
 from inkspan.llm.packing import op5_pack_sequences
 from inkspan.llm.pii import op8_personal_data
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
