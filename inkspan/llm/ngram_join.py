@@ -72,7 +72,7 @@ def prefix_length(n: int) -> int:
 
 
 def _sketch(batches):
-    """Counters of one task, in chunks."""
+    """Counters of one task, in chunks; one byte each, since 255 in one task is frequent enough."""
     counts = None
     for b in batches:
         for _, n, buf, off in passes(b.column("text")):
@@ -81,7 +81,7 @@ def _sketch(batches):
                 found = np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 counts = found if counts is None else counts + found
     if counts is not None:
-        chunks = np.minimum(counts, 65535).astype("<u2").reshape(-1, 1 << CHUNK_BITS)
+        chunks = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chunks), dtype=np.int32)), pa.array([c.tobytes() for c in chunks], pa.binary())], names=["chunk", "counts"])
 
 
@@ -90,7 +90,7 @@ def _levels(batches):
     totals: dict[int, np.ndarray] = {}
     for b in batches:
         for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            totals[chunk] = totals.get(chunk, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
+            totals[chunk] = totals.get(chunk, 0) + np.frombuffer(counts, np.uint8).astype(np.int64)
     levels = [np.minimum(2 * np.log2(t + 1), 63).astype(np.uint8).tobytes() for t in totals.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "levels"])
 
@@ -231,47 +231,48 @@ def _second_round(batches):
         yield from pairs([np.concatenate(c) for c in zip(*kept, strict=True)])
 
 
-def _sets(wanted: Broadcast):
+def _wanted_texts(wanted: Broadcast):
+    """(node, text) of the documents that the filter may hold."""
+
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False) if not b.column("doc_id").null_count else np.array([x or 0 for x in b.column("doc_id").to_pylist()], np.int64)
-            node, found = [], []
-            hit = may_hold(wanted.value, ids.astype(np.int64))
-            few = b.column("text").filter(pa.array(hit))
-            for _, n, buf, off in passes(few):
-                for s in shingle_sets(buf, off, n):
-                    if len(s):
-                        node.append(_node(s)), found.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(found, pa.binary())], names=["node", "shingles"])
+            ids = np.array([x or 0 for x in b.column("doc_id").to_pylist()], np.int64)
+            hit = pa.array(may_hold(wanted.value, ids))
+            texts = b.column("text").filter(hit)
+            node = [_node(s) if len(s) else None for _, n, buf, off in passes(texts) for s in shingle_sets(buf, off, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), texts], names=["node", "text"])
 
     return run
 
 
 def _verify(batches):
     for b in batches:
+        x, y = ([s for _, n, buf, off in passes(b.column(c)) for s in shingle_sets(buf, off, n)] for c in ("x", "y"))
         ok = []
-        for x, y in zip(b.column("x"), b.column("y"), strict=True):
-            x = np.frombuffer(x.as_buffer(), np.uint64)
-            y = np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            ok.append(NEED * both >= OF * (len(x) + len(y)))
+        for p, q in zip(x, y, strict=True):
+            if len(p) > len(q):
+                p, q = q, p
+            both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+            ok.append(NEED * both >= OF * (len(p) + len(q)))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
 
 def verified(d: DataFrame, nodes: DataFrame, group_pairs: DataFrame) -> DataFrame:
-    """The links (a, b) between nodes of the paired groups."""
+    """The links (a, b) between nodes of the paired groups.
+
+    One text for each node of a pair is shuffled, once for both sides of the
+    join; its shingles are made again where the pair is compared.
+    """
     member = nodes.select("group", "node")
     pairs = group_pairs.join(member.select(F.col("group").alias("b"), F.col("node").alias("node_b")), "b").join(member.select(F.col("group").alias("a"), F.col("node").alias("node_a")), "a")
     pairs = cut(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).filter("a <> b").distinct())
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
     keep = id_filter(wanted.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "doc_id")
-    sets = d.mapInArrow(_sets(keep), "node long, shingles binary").join(wanted.select("node"), "node", "left_semi")
-    sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    texts = d.mapInArrow(_wanted_texts(keep), "node long, text string").filter("node IS NOT NULL").groupBy("node").agg(F.first("text").alias("text"))
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     return cut(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean").filter("ok").select("a", "b"))
 
 
