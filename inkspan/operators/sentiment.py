@@ -38,10 +38,20 @@ def model_scores(scorer: Scorer, partitions: int | None = None) -> Callable[[Dat
     The iterator form lets the model load once in each worker.
     """
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.Series] = []
+
+        def texts() -> Iterator[pd.Series]:
+            for f in frames:
+                waiting.append(f["text"])
+                yield f["text"]
+
+        for out in scorer(texts()):
+            yield pd.DataFrame({"text": waiting.pop(0).values, **{p: out[p].values for p in ("p_neg", "p_neu", "p_pos")}})
+
     def score(distinct: DataFrame) -> DataFrame:
         dealt = distinct.repartition(partitions) if partitions else distinct
-        udf = F.pandas_udf(scorer, "p_neg double, p_neu double, p_pos double")
-        return dealt.withColumn("_p", udf("text")).select("text", "_p.*")
+        return dealt.select("text").mapInPandas(run, "text string, p_neg double, p_neu double, p_pos double")
 
     return score
 
