@@ -159,7 +159,7 @@ def reduce_instance(left: Counter, capacity: int) -> list[tuple[tuple, int]]:
         while left[s]:
             room = capacity - s
             fits = bisect_left(sizes, room + 1)
-            if not fits or (sizes[0] == s and left[s] == 1):
+            if not fits or (fits == 1 and sizes[0] == s and left[s] == 1):
                 fixed.append((((s, 1),), n := left[s]))
                 take(s, n)
                 continue
