@@ -9,6 +9,7 @@ from inkspan.llm.mixing import OP3_SQL, op3_mix_sources
 from inkspan.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from inkspan.llm.packing import op5_pack_sequences
 from inkspan.llm.pii import op8_personal_data
+from inkspan.llm.quality_model import op7_quality_model
 from inkspan.llm.quality_rules import OP6_SQL, op6_quality_rules
 from inkspan.llm.toxicity import op4_toxicity
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_model": op7_quality_model,
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
