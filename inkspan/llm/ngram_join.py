@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, lower_ascii, mix, owners, passes, read, shuffle_partitions, span_hash, tune, words
+from inkspan.llm.common import cut, lower_ascii, mix, passes, read, shuffle_partitions, span_hash, tune, words
 from inkspan.llm.linking import connected, id_filter, may_hold
 
 #: The link rule as whole numbers: NEED * |intersection| >= OF * (|a| + |b|) is 100 * |i| >= 90 * |union|.
