@@ -11,8 +11,7 @@ components of verified links keep one line: the first by (doc_id, line number).
 Equal lines are collapsed before anything is compared.  Lines that share a band
 key are compared in pairs if they are at most `ALL_PAIRS`; longer runs are cut in
 blocks, every pair of blocks is one piece of work, and a block returns a spanning
-set of its links.  Where a task already holds `LOCAL_GROUP` or more lines of one
-key, those that match the first of them are linked to it before the shuffle.
+set of its links.
 
 Defined results: null text stays null; a null identifier is a document that
 comes first; rows alike in identifier and text are treated alike; lines that
@@ -24,7 +23,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +33,6 @@ SHINGLE = 8
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
 ALL_PAIRS = 16
-LOCAL_GROUP = 64
 #: Lines of a long run that are compared in one task with as many others.
 BLOCK = 512
 #: Shingles held by more lines of a block are columns of 0/1 matrices of so many columns.
@@ -104,7 +101,7 @@ def _line_rows(batches):
 
 
 def _postings(batches):
-    """(key, h) of every distinct line; rows with linked = true are verified links (key = the other line)."""
+    """(key, h) of every distinct line of a batch under each of its band keys."""
     for b in batches:
         keys, hashes = [], []
         for _, _, buf, off in passes(b.column("text")):
@@ -118,37 +115,7 @@ def _postings(batches):
         h, first = np.unique(np.concatenate(hashes), return_index=True)
         key = np.concatenate(keys)[first].ravel()
         order = np.argsort(key, kind="stable")
-        key, line = key[order], np.repeat(h, BANDS)[order]
-        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.concatenate((heads, [len(key)])))
-        gone, links = np.zeros(len(key), dtype=bool), set()
-        large = sizes >= LOCAL_GROUP
-        if large.any():
-            text = _texts_of(b, np.unique(np.concatenate([line[at : at + n] for at, n in zip(heads[large], sizes[large], strict=True)])))
-            for at, n in zip(heads[large].tolist(), sizes[large].tolist(), strict=True):
-                lead = int(line[at])
-                for k in range(at + 1, at + n):
-                    if similar(text[lead], text[int(line[k])]):
-                        gone[k] = True
-                        links.add((lead, int(line[k])))
-        links = np.array(sorted(links), dtype=np.int64).reshape(-1, 2)
-        kept = ~gone
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((key[kept], links[:, 0]))), pa.array(np.concatenate((line[kept], links[:, 1]))), pa.array(np.concatenate((np.zeros(kept.sum(), bool), np.ones(len(links), bool))))],
-            names=["key", "h", "linked"],
-        )
-
-
-def _texts_of(batch: pa.RecordBatch, wanted: np.ndarray) -> dict[int, bytes]:
-    """The wanted lines of a batch by hash."""
-    found = {}
-    for _, _, buf, off in passes(batch.column("text")):
-        low, s, e, _, _ = line_spans(buf, off)
-        h, first = np.unique(span_hash(low, s, e).view(np.int64), return_index=True)
-        hit = np.isin(h, wanted)
-        raw = low.tobytes()
-        found.update((k, raw[i:j]) for k, i, j in zip(h[hit].tolist(), s[first[hit]].tolist(), e[first[hit]].tolist(), strict=True))
-    return found
+        yield pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(np.repeat(h, BANDS)[order])], names=["key", "h"])
 
 
 def _propose(batches):
@@ -294,12 +261,11 @@ def near_links(d: DataFrame, per_line: DataFrame) -> DataFrame:
     per_line: h and first, the place where a line stands first.
     """
     parts = shuffle_partitions(d.sparkSession)
-    rows = d.select("text").mapInArrow(_postings, "key long, h long, linked boolean")
+    rows = d.select("text").mapInArrow(_postings, "key long, h long")
     # One shuffle brings the lines of a key together and sorts them; what it proposes is far smaller and is written.
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "h")
-    proposed = cut(dealt.mapInArrow(_split_links, "a long, b long, key long, linked boolean"))
-    links = proposed.filter("linked").select("a", "b")
-    pairs = cut(proposed.filter("b IS NOT NULL AND NOT linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    proposed = cut(dealt.mapInArrow(_propose, "a long, b long, key long"))
+    pairs = cut(proposed.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     hot = proposed.filter("b IS NULL").select("key", F.col("a").alias("h"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(hot.select("h")).distinct()
     wanted = cut(wanted)
@@ -315,31 +281,7 @@ def near_links(d: DataFrame, per_line: DataFrame) -> DataFrame:
     placed = hot.join(sizes, "key").withColumn("block", F.pmod(F.hash("h"), F.col("blocks"))).join(lines, "h")
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "line")
     inside = met.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block").mapInArrow(_block_links, "a long, b long")
-    return links.unionByName(cut(judged.unionByName(inside).distinct()))
-
-
-def _split_links(batches):
-    """Pass on the links made before the shuffle; propose pairs from the other rows."""
-    links: list = []
-
-    def others():
-        for b in batches:
-            linked = b.column("linked")
-            if pc.any(linked).as_py():
-                links.append(b.filter(linked))
-                b = b.filter(pc.invert(linked))
-            yield b
-
-    for p in _propose(others()):
-        yield pa.RecordBatch.from_arrays([*p.columns, pa.array(np.zeros(p.num_rows, bool))], names=["a", "b", "key", "linked"])
-        while links:
-            yield _as_links(links.pop())
-    while links:
-        yield _as_links(links.pop())
-
-
-def _as_links(b: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([b.column("key"), b.column("h"), pa.nulls(b.num_rows, pa.int64()), pa.array(np.ones(b.num_rows, bool))], names=["a", "b", "key", "linked"])
+    return cut(judged.unionByName(inside).distinct())
 
 
 def dropped_lines(d: DataFrame) -> DataFrame:

@@ -175,6 +175,26 @@ def test_line_dedup(spark, documents, monkeypatch, all_pairs, block):
         assert all(r["text"] == "\n".join(x for i, x in enumerate(rows[r["doc_id"]][1].split("\n")) if i not in lost[r["doc_id"]]) for r in got)
 
 
+def test_line_dedup_keeps_links_through_a_large_group(documents):
+    """z is similar to one member of a large group of near copies only, and to none that could stand for the group."""
+    rng = random.Random(6)
+
+    def edited(line, by, *places):
+        return "".join(by if k in places else c for k, c in enumerate(line))
+
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=240))
+    copies = [edited(base, "0", p) for p in range(10, 230)]
+    rows = []
+    for k in range(0, 110, 10):
+        z = edited(copies[k], "1", *[(k + 10 + d) % 240 for d in (60, 90, 120)])
+        assert line_dedup.similar(z.encode(), copies[k].encode()) and not any(line_dedup.similar(z.encode(), c.encode()) for i, c in enumerate(copies) if i != k)
+        rows.append((1000 + k, z, "en", "s", 1))
+    rows = [(1, "\n".join(copies), "en", "s", 1), *rows]
+    lost = brute_lines(rows)
+    got = {r["doc_id"]: r["_n_lost"] for r in line_dedup.without_repeats(documents(rows)).collect()}
+    assert len(lost[1]) == 219 and got == {r[0]: len(lost[r[0]]) for r in rows}
+
+
 def test_line_dedup_odd_rows(odd):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns
