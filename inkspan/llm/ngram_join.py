@@ -1,7 +1,8 @@
 """Near duplicates by an n-gram Jaccard join: a grouped prefix join.
 
-A document is its set of distinct 3-word shingles (a shorter text is one
-shingle), and two documents link when 100 * |intersection| >= 90 * |union|.
+A document is its set of distinct shingles of some words (a shorter text is one
+shingle), and two documents link when 100 * |intersection| >= percent * |union|.
+The query takes 3 words and 90 percent; both are parameters.
 
 1. A sketch of fixed size counts how often shingles occur over the whole corpus;
    it gives the global order, rare shingles first.
@@ -36,25 +37,28 @@ from pyspark.sql import functions as F
 from inkspan.llm.common import cut, lower_ascii, mix, passes, read, shuffle_partitions, span_hash, tune, words
 from inkspan.llm.linking import connected, id_filter, may_hold
 
-#: The link rule as whole numbers: NEED * |intersection| >= OF * (|a| + |b|) is 100 * |i| >= 90 * |union|.
-NEED, OF = 19, 9
+#: Of the query: words of a shingle, and the link rule 100 * |intersection| >= PERCENT * |union|.
 SHINGLE = 3
+PERCENT = 90
 ALL_PAIRS = 16
 #: Counters of the sketch, in chunks; 4 MB of levels are broadcast whatever the corpus.
 SKETCH_BITS, CHUNK_BITS = 22, 16
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, rows: int) -> list[np.ndarray]:
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, rows: int, shingle: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a pass."""
     low = lower_ascii(buf)
     starts, ends = words(low)
     h = span_hash(low, starts, ends)
     at = np.searchsorted(starts, offsets)
-    three = mix(mix(mix(h[:-2]) + h[1:-1]) + h[2:]) if len(h) > 2 else h[:0]
+    last = max(0, len(h) - shingle + 1)
+    several = mix(h[:last])
+    for d in range(1, shingle):
+        several = mix(several + h[d : last + d])
     out = []
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if hi - lo >= SHINGLE:
-            s = np.sort(three[lo : hi - 2])
+        if hi - lo >= shingle:
+            s = np.sort(several[lo : hi - shingle + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif hi > lo:
             few = np.uint64(hi - lo)
@@ -66,17 +70,22 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, rows: int) -> list[np.nda
     return out
 
 
-def prefix_length(n: int) -> int:
-    """A linked set of at least 0.9 * n elements holds one of the first n - ceil(0.9 * n) + 1."""
-    return n - (9 * n + 9) // 10 + 1 if n else 0
+def enough(both, sizes, percent: int):
+    """The link rule over an intersection and the sum of two sizes, in whole numbers."""
+    return (100 + percent) * both >= percent * sizes
 
 
-def _sketch(batches):
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """A linked set shares at least ceil(percent * n / 100) elements, so one of the first n - that + 1."""
+    return n - (percent * n + 99) // 100 + 1 if n else 0
+
+
+def _sketch(batches, shingle: int = SHINGLE):
     """Counters of one task, in chunks; one byte each, since 255 in one task is frequent enough."""
     counts = None
     for b in batches:
         for _, n, buf, off in passes(b.column("text")):
-            sets = [s for s in shingle_sets(buf, off, n) if len(s)]
+            sets = [s for s in shingle_sets(buf, off, n, shingle) if len(s)]
             if sets:
                 found = np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 counts = found if counts is None else counts + found
@@ -95,9 +104,9 @@ def _levels(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "levels"])
 
 
-def rarity(d: DataFrame) -> Broadcast:
+def rarity(d: DataFrame, shingle: int = SHINGLE) -> Broadcast:
     """The level of each counter, over all documents."""
-    sketch = d.select("text").mapInArrow(_sketch, "chunk int, counts binary")
+    sketch = d.select("text").mapInArrow(lambda batches: _sketch(batches, shingle), "chunk int, counts binary")
     found = sketch.repartition(shuffle_partitions(d.sparkSession), "chunk").mapInArrow(_levels, "chunk int, levels binary").toArrow()
     levels = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), dtype=np.uint8)
     for chunk, row in zip(found["chunk"].to_pylist(), found["levels"].to_pylist(), strict=True):
@@ -112,20 +121,20 @@ def _node(s: np.ndarray) -> np.int64:
     return mix(one ^ two * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0]
 
 
-def _nodes(levels: Broadcast):
+def _nodes(levels: Broadcast, shingle: int = SHINGLE, percent: int = PERCENT):
     def run(batches):
         level = levels.value
         for b in batches:
             n_, node, group, prefix = [], [], [], []
             for _, n, buf, off in passes(b.column("text")):
-                for s in shingle_sets(buf, off, n):
+                for s in shingle_sets(buf, off, n, shingle):
                     size = len(s)
                     n_.append(size)
                     if not size:
                         node.append(0), group.append(0), prefix.append(None)
                         continue
                     ranked = (level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-                    p = prefix_length(size)
+                    p = prefix_length(size, percent)
                     ranked = np.sort(np.partition(ranked, p - 1)[:p])
                     node.append(_node(s)), prefix.append(ranked.tobytes())
                     group.append(_node(np.append(ranked, np.uint64(size))))
@@ -146,10 +155,10 @@ def _postings(batches):
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(place.astype(np.int32)), pa.array(np.repeat(size, lengths).astype(np.int32)), pa.array(np.repeat(b.column("group").to_numpy(), lengths))], names=["token", "place", "n", "id"])
 
 
-def allowed(n: np.ndarray, place: np.ndarray, n2: np.ndarray, place2: np.ndarray) -> np.ndarray:
+def allowed(n: np.ndarray, place: np.ndarray, n2: np.ndarray, place2: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sets of these sizes, sharing a shingle at these places and none before, can still link."""
-    most = np.minimum(n - place, n2 - place2)
-    return NEED * most >= OF * (n.astype(np.int64) + n2)
+    most = np.minimum(n - place, n2 - place2).astype(np.int64)
+    return enough(most, n.astype(np.int64) + n2, percent)
 
 
 _PROPOSED = "a long, b long, token long, place int, n int"
@@ -164,7 +173,7 @@ def _proposed(a, b, token=None, place=None, n=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), b, *rest], names=["a", "b", "token", "place", "n"])
 
 
-def _first_round(batches):
+def _first_round(batches, percent: int = PERCENT):
     """Pairs (a, b) from rows sorted by (token, place, n, id), and the rows (a, token, place, n) of long runs."""
     names = ("token", "place", "n", "id")
     held = [np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int64)]  # the first rows of the run that may go on
@@ -190,7 +199,7 @@ def _first_round(batches):
         i = np.flatnonzero(fresh & (at >= ALL_PAIRS))
         a.append(start[i]), b.append(i)
         a, b = np.concatenate(a), np.concatenate(b)
-        ok = allowed(n[a], place[a], n[b], place[b]) & (ids[a] != ids[b])
+        ok = allowed(n[a], place[a], n[b], place[b], percent) & (ids[a] != ids[b])
         yield _proposed(ids[a[ok]], ids[b[ok]])
         # Rows of long runs: the first ones are told when the run turns out to be long.
         turn = np.flatnonzero(fresh & (at == ALL_PAIRS))
@@ -202,7 +211,7 @@ def _first_round(batches):
         held = [c[tail : tail + ALL_PAIRS] for c in cols]
 
 
-def _second_round(batches):
+def _second_round(batches, percent: int = PERCENT):
     """Pairs of different components from rows (token, place, n, id, label) sorted by (token, label)."""
     names = ("token", "place", "n", "id", "label")
     kept: list[list[np.ndarray]] = []
@@ -212,7 +221,7 @@ def _second_round(batches):
         for i in range(1, len(ids)):
             j = np.searchsorted(label[: i + 1], label[i])  # rows before it of smaller labels
             if j:
-                ok = np.flatnonzero(allowed(n[i], place[i], n[:j], place[:j]))
+                ok = np.flatnonzero(allowed(n[i], place[i], n[:j], place[:j], percent))
                 if len(ok):
                     yield _proposed(ids[ok], np.full(len(ok), ids[i]))
 
@@ -231,7 +240,7 @@ def _second_round(batches):
         yield from pairs([np.concatenate(c) for c in zip(*kept, strict=True)])
 
 
-def _wanted_texts(wanted: Broadcast):
+def _wanted_texts(wanted: Broadcast, shingle: int = SHINGLE):
     """(node, text) of the documents that the filter may hold."""
 
     def run(batches):
@@ -239,25 +248,25 @@ def _wanted_texts(wanted: Broadcast):
             ids = np.array([x or 0 for x in b.column("doc_id").to_pylist()], np.int64)
             hit = pa.array(may_hold(wanted.value, ids))
             texts = b.column("text").filter(hit)
-            node = [_node(s) if len(s) else None for _, n, buf, off in passes(texts) for s in shingle_sets(buf, off, n)]
+            node = [_node(s) if len(s) else None for _, n, buf, off in passes(texts) for s in shingle_sets(buf, off, n, shingle)]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), texts], names=["node", "text"])
 
     return run
 
 
-def _verify(batches):
+def _verify(batches, shingle: int = SHINGLE, percent: int = PERCENT):
     for b in batches:
-        x, y = ([s for _, n, buf, off in passes(b.column(c)) for s in shingle_sets(buf, off, n)] for c in ("x", "y"))
+        x, y = ([s for _, n, buf, off in passes(b.column(c)) for s in shingle_sets(buf, off, n, shingle)] for c in ("x", "y"))
         ok = []
         for p, q in zip(x, y, strict=True):
             if len(p) > len(q):
                 p, q = q, p
             both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-            ok.append(NEED * both >= OF * (len(p) + len(q)))
+            ok.append(enough(both, len(p) + len(q), percent))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
 
-def verified(d: DataFrame, nodes: DataFrame, group_pairs: DataFrame) -> DataFrame:
+def verified(d: DataFrame, nodes: DataFrame, group_pairs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The links (a, b) between nodes of the paired groups.
 
     One text for each node of a pair is shuffled, once for both sides of the
@@ -270,33 +279,33 @@ def verified(d: DataFrame, nodes: DataFrame, group_pairs: DataFrame) -> DataFram
         return pairs
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
     keep = id_filter(wanted.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "doc_id")
-    texts = d.mapInArrow(_wanted_texts(keep), "node long, text string").filter("node IS NOT NULL").groupBy("node").agg(F.first("text").alias("text"))
+    texts = d.mapInArrow(_wanted_texts(keep, shingle), "node long, text string").filter("node IS NOT NULL").groupBy("node").agg(F.first("text").alias("text"))
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean").filter("ok").select("a", "b"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(lambda batches: _verify(batches, shingle, percent), "a long, b long, ok boolean").filter("ok").select("a", "b"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     tune(spark)
     parts = shuffle_partitions(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(d.mapInArrow(_nodes(rarity(d)), "doc_id long, n long, node long, `group` long, prefix binary"))
+    rows = cut(d.mapInArrow(_nodes(rarity(d, shingle), shingle, percent), "doc_id long, n long, node long, `group` long, prefix binary"))
     full = rows.filter("n > 0")
     nodes = cut(full.groupBy("node", "group", "n").agg(F.min("doc_id").alias("doc_id")))
     groups = full.select("group", "n", "prefix").groupBy("group", "n").agg(F.first("prefix").alias("prefix"))
     shared = groups.select("group", "n", "prefix").mapInArrow(_postings, "token long, place int, n int, id long")
     order = ["token", "place", "n", "id"]
-    proposed = cut(shared.repartition(parts, "token").sortWithinPartitions(*order).mapInArrow(_first_round, _PROPOSED))
+    proposed = cut(shared.repartition(parts, "token").sortWithinPartitions(*order).mapInArrow(lambda batches: _first_round(batches, percent), _PROPOSED))
     # Nodes of one group share a prefix, so the group itself is a shingle that they share at its head.
     many = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("group")
     inside = nodes.join(many, "group").select(F.col("group").alias("token"), F.lit(0).alias("place"), F.col("n").cast("int").alias("n"), F.col("node").alias("id"))
-    inside = cut(inside.repartition(parts, "token").sortWithinPartitions(*order).mapInArrow(_first_round, _PROPOSED))
+    inside = cut(inside.repartition(parts, "token").sortWithinPartitions(*order).mapInArrow(lambda batches: _first_round(batches, percent), _PROPOSED))
 
     by_node = nodes.select(F.col("node").alias("group"), "node", "doc_id")
-    links = verified(d, nodes, proposed.filter("b IS NOT NULL").select("a", "b").distinct())
-    links = links.unionByName(verified(d, by_node, inside.filter("b IS NOT NULL").select("a", "b").distinct()))
+    links = verified(d, nodes, proposed.filter("b IS NOT NULL").select("a", "b").distinct(), shingle, percent)
+    links = links.unionByName(verified(d, by_node, inside.filter("b IS NOT NULL").select("a", "b").distinct(), shingle, percent))
     label = connected(links)
     more = []
     for found, members in ((proposed, nodes), (inside, by_node)):
@@ -306,8 +315,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         long_ = cut(long_.join(named, "id"))
         split = long_.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
         open_ = long_.join(split, "token").select("token", "place", "n", "id", "label")
-        pairs = open_.repartition(parts, "token").sortWithinPartitions("token", "label", "id").mapInArrow(_second_round, _PROPOSED)
-        more.append(verified(d, members, pairs.select("a", "b").distinct()))
+        pairs = open_.repartition(parts, "token").sortWithinPartitions("token", "label", "id").mapInArrow(lambda batches: _second_round(batches, percent), _PROPOSED)
+        more.append(verified(d, members, pairs.select("a", "b").distinct(), shingle, percent))
     label = connected(links.unionByName(more[0]).unionByName(more[1]))
 
     named = nodes.join(label, nodes["node"] == label["id"], "left").select("node", "doc_id", F.coalesce("component", "node").alias("label"))
@@ -317,9 +326,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with the document of the smallest identifier left of each component."""
-    found = cut(components(docs, id_col, text_col))
+    found = cut(components(docs, id_col, text_col, shingle, percent))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("doc_id", "_kept")
     out = docs.join(kept.select("_kept"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
     return out if kept.filter("_n > 1").isEmpty() else out.dropDuplicates([id_col, text_col])

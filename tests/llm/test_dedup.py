@@ -65,6 +65,21 @@ def test_ngram_join_is_exact(spark, documents, near_copies, monkeypatch, all_pai
     assert got == sorted(brute_components(near_copies))
 
 
+def test_ngram_join_of_five_words(documents, near_copies):
+    """Other shingles and another threshold, against brute force; the pipeline's stage uses them."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [f"p{rng.randrange(500)}" for _ in range(200)]
+    rows = [*near_copies, (900, " ".join(base), "en", "s", 1), (901, " ".join([*base[:90], *[f"q{k}" for k in range(15)], *base[105:]]), "en", "s", 1)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set() for w in (words(r[1]) for r in rows)]
+    group = union(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(documents(rows), shingle=5, percent=80).collect())
+    assert got == sorted((rows[k][0], len(sets[k]), rows[c][0]) for k, c in enumerate(group)) and got[-1][2] == 900
+    kept = corpus_pipeline.drop_near_duplicates(None, documents(rows[-2:]), "")
+    assert [r["doc_id"] for r in kept.collect()] == [900]
+
+
 def test_long_runs_are_compared_in_full():
     """Both rounds together propose every allowed pair of different components."""
     import pyarrow as pa
