@@ -5,8 +5,8 @@ word shapes, trained from a small labelled table, adds spans that the patterns
 do not describe: secrets, and numbers or addresses in other spellings.  It reads
 windows of words around every word that has a digit or an at sign or is very
 long; in its table no other word is ever part of a span, so words outside the
-windows are ordinary without being decoded.  Windows are padded to one length
-and decoded together by Viterbi.
+windows are ordinary without being decoded.  Windows of about one length are
+padded and decoded together by Viterbi, each from its first word to its last.
 
 Defined results: null text is empty; an empty text has no spans; repeated rows
 are treated each; an empty table gives an empty result; other columns of the
@@ -16,6 +16,7 @@ input are not read.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import numpy as np
@@ -34,6 +35,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 
 WINDOW = 4
 LONG = 24
+#: Words, with padding, of the windows that are decoded together; a longer window is decoded alone.
+TOGETHER = 1 << 16
 
 #: The labelled table.  Words between {kind and } belong to a span of that kind.
 LABELLED = """
@@ -242,6 +245,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _is_ip(text: str) -> bool:
+    try:
+        return ipaddress.ip_address(text) is not None
+    except ValueError:
+        return False
+
+
 def _plausible(kind: str, text: str) -> bool:
     digits = sum("0" <= c <= "9" for c in text)
     if kind == "email":
@@ -250,6 +260,8 @@ def _plausible(kind: str, text: str) -> bool:
         return 14 <= digits <= 19 and _luhn(_NOT_DIGIT.sub("", text))
     if kind == "phone":
         return 10 <= digits <= 15 and set(text) <= set("+0123456789 ()-.")
+    if kind == "ip":
+        return _is_ip(text)
     return kind == "secret" and len(text) > 15 and digits > 3 and any(c.isalpha() for c in text)
 
 
@@ -287,12 +299,15 @@ def find_spans(texts: list[str], model: Crf) -> list[tuple[list, list]]:
         hot = np.array([any("0" <= c <= "9" or c == "@" for c in t[s:e]) or e - s >= LONG for s, e in at], dtype=bool)
         near = np.convolve(hot, np.ones(2 * WINDOW + 1), "same")[: len(at)] > 0 if len(at) > 2 * WINDOW else np.full(len(at), hot.any())
         for lo, hi in zip(*runs(near), strict=True):
-            for cut_ in range(lo, hi, 256):
-                windows.append((k, at[cut_ : min(hi, cut_ + 256)]))
+            windows.append((k, at[lo:hi]))
     added: list[list] = [[] for _ in texts]
     windows.sort(key=lambda w: len(w[1]))
-    for lo in range(0, len(windows), 256):
-        part = windows[lo : lo + 256]
+    hi = 0
+    while hi < len(windows):
+        lo, hi = hi, hi + 1
+        while hi < len(windows) and hi - lo < 256 and (hi - lo + 1) * len(windows[hi][1]) <= TOGETHER:
+            hi += 1
+        part = windows[lo:hi]
         scores = [model.emissions([texts[k][s:e] for s, e in at]) for k, at in part]
         lengths = np.array([len(s) for s in scores])
         padded = np.zeros((len(part), lengths.max(), len(LABELS)))

@@ -116,6 +116,24 @@ def test_field_finds_secrets_and_leaves_prose():
     assert found == [[("secret", secret)], [], [("phone", "(809) 555-0142")]]
 
 
+@pytest.mark.parametrize("together", [1 << 16, 300])
+def test_spans_inside_long_stretches(monkeypatch, together):
+    """Numbers without a gap: spans at every place of the stretch are found as in short texts."""
+    monkeypatch.setattr(pii, "TOGETHER", together)
+    model = pii.train(pii.labelled_rows())
+    row, want = "fila 12 de 40 call (809) 555-0142 now ", "(809) 555-0142"
+    assert [row[s:e] for s, e, _ in pii.find_spans([row], model)[0][1]] == [want]
+    texts = ["9 " * pad + row * 120 for pad in range(12)]
+    for t, (_, added) in zip(texts, pii.find_spans(texts, model), strict=True):
+        assert [t[s:e] for s, e, _ in added] == [want] * 120
+
+
+def test_addresses_can_be_added():
+    at = [(0, 11)]
+    assert pii.added_spans("2001:db8::7", [], np.array([pii.LABELS.index("ip")]), at) == [(0, 11, "ip")]
+    assert pii.added_spans("300.1.2.333", [], np.array([pii.LABELS.index("ip")]), at) == []
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     k = len(pii.LABELS)
