@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -76,13 +77,43 @@ def dedupe_requests_stream(requests: DataFrame, minutes: int = REUSE_MINUTES, de
     return r.groupBy("url").applyInPandasWithState(_reuse(minutes), "url string, id long, at_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _fold(span: int):
+    """Requests that start an analysis, from rows sorted by (url, session, at, id); the state is the last of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            kept = []
+            for k, (url, session, at) in enumerate(zip(*[b.column(c).to_pylist() for c in ("url", "session", "at_us")], strict=True)):
+                if now != (url, session):
+                    now, last = (url, session), None
+                elif at is None or at - last < span:
+                    continue
+                last = at
+                kept.append(k)
+            yield b.select(["url", "id", "at_us"]).take(pa.array(kept, pa.int64()))
+
+    return run
+
+
 def dedupe_requests_batch(requests: DataFrame, minutes: int = REUSE_MINUTES) -> DataFrame:
-    """The same over a table: a fold over each URL's requests in time order, without Python."""
+    """The same over a table, where one URL may hold most rows.
+
+    A request at least the window after its predecessor always starts an
+    analysis.  Time is cut in slots of one window; a slot after an empty one
+    starts a session, and each session of a URL is folded alone, row by row.
+    A URL's requests without a time are a session of their own.
+    """
     span = minutes * 60_000_000
-    ordered = requests.groupBy("url").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("at").alias("at"), "id"))).alias("r"))
-    zero = F.array().cast("array<struct<at:bigint,id:bigint>>")
-    kept = F.aggregate("r", zero, lambda acc, x: F.when((F.size(acc) == 0) | (x["at"] - F.element_at(acc, -1)["at"] >= span), F.concat(acc, F.array(x))).otherwise(acc))
-    return ordered.select("url", F.explode(kept).alias("k")).select("url", "k.id", F.col("k.at").alias("at_us"))
+    r = requests.select("url", "id", F.unix_micros("at").alias("at_us")).withColumn("slot", F.expr(f"(at_us - pmod(at_us, {span}L)) div {span}L"))
+    slots = r.select("url", "slot").distinct()
+    of_url = Window.partitionBy("url").orderBy("slot")
+    slots = slots.withColumn("head", F.when(F.coalesce(F.lag("slot").over(of_url) == F.col("slot") - 1, F.lit(False)), None).otherwise(F.col("slot")))
+    slots = slots.select(F.col("url").alias("slot_url"), F.col("slot").alias("slot_"), F.last("head", ignorenulls=True).over(of_url).alias("session"))
+    r = r.join(slots, F.col("url").eqNullSafe(F.col("slot_url")) & F.col("slot").eqNullSafe(F.col("slot_"))).select("url", "session", "at_us", "id")
+    dealt = r.repartition("url", "session").sortWithinPartitions("url", "session", "at_us", "id")
+    kinds = dict(r.dtypes)
+    return dealt.mapInArrow(_fold(span), f"url {kinds['url']}, id {kinds['id']}, at_us long")
 
 
 def stage_counts_stream(events: DataFrame, width: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:

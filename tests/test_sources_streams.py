@@ -1,5 +1,7 @@
 """Sources, stored tables and streams."""
 
+import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -74,3 +76,28 @@ def test_reuse_window_stream_equals_batch(spark, tmp_path):
     batch = sorted((r["url"], r["id"]) for r in jobs.dedupe_requests_batch(df).collect())
     assert batch == [("u", 0), ("u", 2), ("u", 4), ("u", 5), ("v", 9)]
     assert sorted((r["url"], r["id"]) for r in spark.sql("SELECT * FROM reuse").collect()) == batch
+
+
+def test_reuse_of_one_busy_url(spark):
+    """No row holds all requests of a URL, and sessions over several Arrow batches equal a fold."""
+    rng = random.Random(3)
+    at = 1_700_000_000
+    rows = []
+    for k in range(3000):
+        at += rng.choice([0, 60, 600, 3599, 3600, 7200]) if rng.random() < 0.3 else rng.randrange(200)
+        rows.append(("u" if k % 3 else None if k % 2 else f"v{k % 7}", k, at))
+    want, last = [], {}
+    for u, k, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        if u not in last or t - last[u] >= 3600:
+            last[u] = t
+            want.append((u, k))
+    df = spark.createDataFrame(rows, "url string, id long, s long").select("url", "id", F.timestamp_seconds("s").alias("at"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = jobs.dedupe_requests_batch(df)
+        got = [(r["url"], r["id"]) for r in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert Counter(got) == Counter(want) and len(want) > 50
+    assert "collect_list" not in out._jdf.queryExecution().toString()
