@@ -1,6 +1,7 @@
 """Every query of the library against its SQL, on the smallest tables."""
 
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -48,3 +49,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_dimension_ids_without_one_sorted_task(spark, tmp_path):
+    from inkspan.plans import views
+
+    text = "Ana Ruiz y Ana Ruis con Anabel, Ñoño Paz, Éric Sol, Casa Rosada y ONU en Lima; Limo, Li Po"
+    spark.createDataFrame([(k, text[k:], "es", "s", 1) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = views.canonical(spark, str(tmp_path))
+    rows = sorted((r["type"].encode(), r["name"].encode(), r["id"]) for r in out.collect())
+    assert len(rows) > 5 and [r[2] for r in rows] == list(range(1, len(rows) + 1))
+    assert not re.search(r"windowspecdefinition\(type#\d+ ASC NULLS FIRST, name#", out._jdf.queryExecution().optimizedPlan().toString())
