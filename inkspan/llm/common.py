@@ -7,7 +7,9 @@ instead of loops over words.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -25,9 +27,10 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 UPPER_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOWER = np.frombuffer(UPPER_TO_LOWER, dtype=np.uint8)
 
-_MULT = 0x9E3779B97F4A7C15
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 512
+_ROUND = np.uint64(0x9E3779B97F4A7C15)
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,25 +43,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier and of its inverse modulo 2**64."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, PASS_BYTES + 4096)
-        inverse = pow(_MULT, -1, 1 << 64)
-        for key, base in (("up", _MULT), ("down", inverse)):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            _powers[key] = np.multiply.accumulate(a)
-    return _powers["up"][:n], _powers["down"][:n]
+def eights(buf: np.ndarray) -> np.ndarray:
+    """For each place of a buffer, and the one after it, the eight bytes from there; zeros follow the end."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, from one running sum over the buffer."""
-    up, down = _power_tables(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[buf] * up[: len(buf)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h ^ (ends - starts).astype(np.uint64))
+    """64-bit hash of each byte span.
+
+    Spans are read in steps of eight bytes, all together, and each step is
+    multiplied and shifted into the state, so no algebra over the bytes holds
+    (a polynomial modulo 2**64 takes some different texts for equal).  Long
+    spans go through blake2b.
+    """
+    at, n = starts.astype(np.int64), (ends - starts).astype(np.int64)
+    h = mix(n.astype(np.uint64) + _ROUND)
+    chunk = eights(buf)
+    live = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    at_, n_, state = at[live], n[live], h[live]
+    while len(live):
+        state = (state ^ (chunk[at_] & _TAILS[np.minimum(n_, 8)])) * _ROUND
+        state ^= state >> np.uint64(32)
+        h[live] = state
+        on = np.flatnonzero(n_ > 8)
+        live, at_, n_, state = live[on], at_[on] + 8, n_[on] - 8, state[on]
+    h = mix(h)
+    for k in np.flatnonzero(n > LONG_SPAN).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(buf[at[k] : at[k] + n[k]], digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(buf: np.ndarray, one: np.ndarray, other: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from each place of one are those from the same place of other."""
+    chunk = eights(buf)
+    out = np.ones(len(n), dtype=bool)
+    live = np.flatnonzero((one != other) & (n > 0))
+    a, b, left = one[live], other[live], n[live]
+    while len(live):
+        bad = (chunk[a] ^ chunk[b]) & _TAILS[np.minimum(left, 8)] != 0
+        out[live[bad]] = False
+        on = np.flatnonzero(~bad & (left > 8))
+        live, a, b, left = live[on], a[on] + 8, b[on] + 8, left[on] - 8
+    return out
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
@@ -123,17 +150,23 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; on one machine, as in tests, a fresh one if none is named."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder, so that it is computed once.
 
-    Lost executors then cost a read of that folder, not a new computation.  The
-    folder is the one that the cluster names; a fresh one is made only where
-    none is set, as in tests.
+    Lost executors then cost a read of that folder, not a new computation.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -3,20 +3,26 @@
 A line's normal form is its text lower-cased (A-Z) without white space at the
 ends; lines without a word are left alone.  Lines of one normal form are equal.
 Different lines are near duplicates when the Jaccard similarity of their sets of
-8-byte shingles is at least 0.8.  Signatures of 40 minima in 10 bands of 4 propose
-pairs (a pair at the threshold is proposed with probability 0.995, one at 0.9
-with 0.99997), every proposed pair is verified on the texts, and the
+8-byte shingles is at least 0.8.  Signatures of 24 minima in 8 bands of 3 propose
+pairs (a pair at the threshold is proposed with probability 0.997, one at 0.9
+with 0.99996), every proposed pair is verified on the texts, and the
 components of verified links keep one line: the first by (doc_id, line number).
 
-Equal lines are collapsed before anything is compared.  Lines that share a band
-key are compared in pairs if they are at most `ALL_PAIRS`; longer runs are cut in
-blocks, every pair of blocks is one piece of work, and a block returns a spanning
-set of its links.
+Equal lines are collapsed before anything is compared, and pairs are compared in
+two rounds.  In the first every line meets the first line of each run of lines
+that share a band key.  Most runs are then one component; what is left open is
+compared in full: lines of different components in pairs if the run holds at
+most `ALL_PAIRS`, in blocks if it is longer.  Every pair of blocks is one piece
+of work and returns a spanning set of its links.
 
 Defined results: null text stays null; a null identifier is a document that
-comes first; rows alike in identifier and text are treated alike; lines that
-lose leave the text, a document that loses every line is dropped by
-`dedup_lines`; an empty table gives an empty result; other columns stay.
+comes first; rows alike in identifier and text are treated alike, and rows of one
+identifier with different texts apart; of lines that stand at one place of such
+rows the one of the smaller text hash comes first; lines that lose leave the
+text, a document that loses every line is dropped by `dedup_lines`; a text of one
+very long line is hashed and compared whole, in memory that grows with that line
+alone; an empty table gives an empty result; other columns stay, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -26,20 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, lower_ascii, mix, owners, passes, read, shuffle_partitions, span_hash, tune, words
+from inkspan.llm.common import cut, eights, lower_ascii, mix, owners, passes, read, shuffle_partitions, span_hash, tune, words
 from inkspan.llm.linking import connected, id_filter, may_hold
 
 SHINGLE = 8
 THRESHOLD = 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 8, 3
 ALL_PAIRS = 16
-#: Lines of a long run that are compared in one task with as many others.
-BLOCK = 512
+#: Lines of an open run that are compared in one task with as many others.
+BLOCK = 1024
 #: Shingles held by more lines of a block are columns of 0/1 matrices of so many columns.
 LIGHT = 16
 WIDTH = 8192
+#: Bytes of lines whose shingles are sorted together.
+TOGETHER = 1 << 20
 _rng = np.random.default_rng(1204)
-_MULTIPLY = _rng.integers(1, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MULTIPLY = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -55,102 +63,122 @@ def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return low, ws[lo[full]], we[hi[full] - 1], row[full], number[full]
 
 
-def shingles(line: bytes) -> frozenset:
-    return frozenset(line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1)))
+def shingle_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, ends): the sorted distinct shingles of each line, one line after the other.
+
+    A shingle is its eight bytes as a number; a line too short for one has one
+    code of its own, its bytes with its length in the free byte.
+    """
+    size = np.array([len(x) for x in lines], np.int64)
+    n = np.maximum(size - SHINGLE + 1, 1)
+    ends = np.cumsum(n)
+    grams = eights(np.frombuffer(b"".join(lines), np.uint8))
+    first = np.cumsum(size) - size
+    codes = grams[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    short = np.flatnonzero(size < SHINGLE)
+    codes[ends[short] - 1] = (codes[ends[short] - 1] & ((np.uint64(1) << (8 * size[short]).astype(np.uint64)) - np.uint64(1))) | (size[short].astype(np.uint64) << np.uint64(56))
+    for hi, many in zip(ends.tolist(), n.tolist(), strict=True):
+        codes[hi - many : hi].sort()
+    fresh = np.ones(len(codes), dtype=bool)
+    fresh[1:] = codes[1:] != codes[:-1]
+    fresh[(ends - n)[n > 0]] = True
+    return codes[fresh], np.cumsum(fresh)[ends - 1] if len(ends) else ends
+
+
+def similar_pairs(x: list[bytes], y: list[bytes], threshold: float = THRESHOLD) -> np.ndarray:
+    """Whether each line of x is a near duplicate of that of y, by exact intersections."""
+    (a, a_ends), (b, b_ends) = shingle_codes(x), shingle_codes(y)
+    n_a, n_b = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+    ends = np.cumsum(n_a + n_b)
+    both = np.empty(len(a) + len(b), np.uint64)
+    for k, hi in enumerate(ends.tolist()):
+        lo = hi - n_a[k] - n_b[k]
+        both[lo : lo + n_a[k]] = a[a_ends[k] - n_a[k] : a_ends[k]]
+        both[lo + n_a[k] : hi] = b[b_ends[k] - n_b[k] : b_ends[k]]
+        both[lo:hi].sort()
+    twice = np.zeros(len(both) + 1, np.int64)
+    equal = both[1:] == both[:-1]
+    equal[ends[:-1] - 1] = False
+    np.cumsum(equal, out=twice[2:])
+    shared = np.diff(twice[ends], prepend=0)
+    return shared >= threshold * (n_a + n_b - shared) - 1e-9
 
 
 def similar(a: bytes, b: bytes, threshold: float = THRESHOLD) -> bool:
-    x, y = shingles(a), shingles(b)
-    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-        return False
-    both = len(x & y)
-    return both >= threshold * (len(x) + len(y) - both) - 1e-9
+    return bool(similar_pairs([a], [b], threshold)[0])
 
 
 def band_keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
     """BANDS keys of each line; a line without a whole shingle has keys of its own."""
-    b = np.concatenate((low, np.full(8, 0x0A, np.uint8)))
-    grams = np.ndarray((len(low),), "<u8", b, strides=(1,))
-    x = (mix(grams.copy()) >> np.uint64(32)).astype(np.uint32)
-    least = np.zeros((len(starts), BANDS * ROWS), dtype=np.uint32)
-    for k, (s, e) in enumerate(zip(starts.tolist(), (ends - SHINGLE + 1).tolist(), strict=True)):
-        if e > s:
-            np.minimum.reduce(x[s:e] * _MULTIPLY, axis=1, out=least[k])
     keys = np.empty((len(starts), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(starts), band + 1, dtype=np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            key = mix(key + least[:, k])
-        keys[:, band] = key
     short = ends - starts < SHINGLE
     keys[short] = mix(h[short, None] + np.arange(BANDS, dtype=np.uint64))
+    full = np.flatnonzero(~short)
+    if len(full):
+        x = (mix(eights(low).copy()) >> np.uint64(32)).astype(np.uint32)
+        # Every other stretch is a line's shingles; the ones between are not looked at.
+        bounds = np.stack((starts[full], ends[full] - SHINGLE + 1), axis=1).ravel()
+        for band in range(BANDS):
+            key = np.full(len(full), band + 1, dtype=np.uint64)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                key = mix(key + np.minimum.reduceat(x * _MULTIPLY[k], bounds)[::2])
+            keys[full, band] = key
     return keys.view(np.int64)
 
 
+_LINES = "doc long, doc_id long, number int, h long, keys array<long>"
+
+
 def _line_rows(batches):
+    """Every line with a word; the first of equal lines in a batch has the band keys too."""
     for b in batches:
-        ids, out = b.column("doc_id"), [[], [], []]
-        rows = []
+        docs, rows, numbers, hashes, at, keys = [b.column(c) for c in ("doc", "doc_id")], [], [], [], [], []
+        seen = 0
         for lo, _, buf, off in passes(b.column("text")):
             low, s, e, row, number = line_spans(buf, off)
-            rows.append(row + lo)
-            out[1].append(number)
-            out[2].append(span_hash(low, s, e).view(np.int64))
-        if rows:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(out[1]).astype(np.int32)), pa.array(np.concatenate(out[2]))], names=["doc_id", "number", "h"])
-
-
-def _postings(batches):
-    """(key, h) of every distinct line of a batch under each of its band keys."""
-    for b in batches:
-        keys, hashes = [], []
-        for _, _, buf, off in passes(b.column("text")):
-            low, s, e, _, _ = line_spans(buf, off)
-            h, first = np.unique(span_hash(low, s, e), return_index=True)
-            if len(h):
-                keys.append(band_keys(low, s[first], e[first], h))
-                hashes.append(h.view(np.int64))
-        if not keys:
+            h = span_hash(low, s, e)
+            _, first = np.unique(h, return_index=True)
+            first.sort()
+            keys.append(band_keys(low, s[first], e[first], h[first]))
+            at.append(seen + first)
+            seen += len(h)
+            rows.append(row + lo), numbers.append(number), hashes.append(h.view(np.int64))
+        if not rows:
             continue
-        h, first = np.unique(np.concatenate(hashes), return_index=True)
-        key = np.concatenate(keys)[first].ravel()
-        order = np.argsort(key, kind="stable")
-        yield pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(np.repeat(h, BANDS)[order])], names=["key", "h"])
+        take, h = pa.array(np.concatenate(rows)), np.concatenate(hashes)
+        at, keys = np.concatenate(at), np.concatenate(keys)
+        _, once = np.unique(h[at], return_index=True)
+        once.sort()
+        have = np.zeros(seen, dtype=bool)
+        have[at[once]] = True
+        ends = np.concatenate(([0], np.cumsum(have * BANDS))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[once].ravel()))
+        yield pa.RecordBatch.from_arrays([*[c.take(take) for c in docs], pa.array(np.concatenate(numbers).astype(np.int32)), pa.array(h), lists], names=["doc", "doc_id", "number", "h", "keys"])
 
 
 def _propose(batches):
-    """Pairs (a, b) of short runs, and the rows (a, key) of long ones, from rows sorted by (key, h)."""
-    held_key, first, count, last = None, np.empty(0, np.int64), 0, None
+    """(a, h, key) from rows sorted by (key, h): a is the first line of h's run; key is told for runs of three lines and more."""
+    now, count, leader, second, last = None, 0, 0, 0, 0  # of the run that may go on
     for batch in batches:
         key, h = batch.column("key").to_numpy(), batch.column("h").to_numpy()
-        if len(key) and held_key == key[0] and h[0] == last:  # the same line from another task
-            key, h = key[1:], h[1:]
         if not len(key):
             continue
-        extra = len(first) if held_key == key[0] else 0
-        if extra:
-            key, h = np.concatenate((np.full(extra, held_key), key)), np.concatenate((first, h))
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
+        fresh = np.concatenate(([not count or now != key[0] or last != h[0]], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
         key, h = key[fresh], h[fresh]
-        head = np.concatenate(([True], key[1:] != key[:-1]))
-        start = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-        place = np.arange(len(key)) - start
-        if extra and count > extra:
-            place[extra:][start[extra:] == 0] += count - extra
-        new = np.arange(len(key)) >= extra
-        a, b = [], []
-        for d in range(1, ALL_PAIRS):
-            i = np.flatnonzero(new & (place >= d) & (place < ALL_PAIRS))
-            a.append(h[i - d]), b.append(h[i])
-        turn = np.flatnonzero(new & (place == ALL_PAIRS))
-        long_ = np.concatenate(((start[turn][:, None] + np.arange(ALL_PAIRS)).ravel(), np.flatnonzero(new & (place >= ALL_PAIRS))))
-        held_key, last, count = key[-1], h[-1], int(place[-1]) + 1
-        first = h[start[-1] : start[-1] + ALL_PAIRS]
-        a, b = np.concatenate((*a, h[long_])), np.concatenate(b)
-        hot = len(long_)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a), pa.concat_arrays([pa.array(b), pa.nulls(hot, pa.int64())]), pa.concat_arrays([pa.nulls(len(b), pa.int64()), pa.array(key[long_])])], names=["a", "b", "key"]
-        )
+        if not len(key):
+            continue
+        goes_on = bool(count) and now == key[0]
+        at = np.arange(len(key))
+        start = np.maximum.accumulate(np.where(np.concatenate(([not goes_on], key[1:] != key[:-1])), at, -1))
+        place = np.where(start < 0, at + count, at - start)
+        first = np.where(start < 0, leader, h[start])
+        follow, third = np.flatnonzero(place > 0), np.flatnonzero(place == 2)
+        # The third line of a run also names the first two.
+        two = np.where(third > 0, h[third - 1], second)
+        keys = pa.concat_arrays([pa.array(key[follow], mask=place[follow] == 1), pa.array(key[third]), pa.array(key[third])])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((first[follow], first[third], first[third]))), pa.array(np.concatenate((h[follow], first[third], two))), keys], names=["a", "h", "key"])
+        now, last, leader, count = key[-1], h[-1], first[-1], int(place[-1]) + 1
+        second = h[-1] if count == 2 else h[-2] if count == 3 and len(h) > 1 else second
 
 
 def _texts(shared, owners_of):
@@ -159,8 +187,7 @@ def _texts(shared, owners_of):
     def run(batches):
         for b in batches:
             found = {}
-            ids = np.array([x or 0 for x in b.column("doc_id").to_pylist()], np.int64)
-            for _, _, buf, off in passes(b.column("text").filter(pa.array(may_hold(owners_of.value, ids)))):
+            for _, _, buf, off in passes(b.column("text").filter(pa.array(may_hold(owners_of.value, b.column("doc").to_numpy())))):
                 low, s, e, _, _ = line_spans(buf, off)
                 h, first = np.unique(span_hash(low, s, e).view(np.int64), return_index=True)
                 hit = may_hold(shared.value, h)
@@ -174,8 +201,13 @@ def _texts(shared, owners_of):
 
 def _verify(batches):
     for b in batches:
-        ok = [similar(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+        size = np.cumsum(np.array([len(x) + len(y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)], np.int64))
+        ok, lo = [np.empty(0, bool)], 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TOGETHER, side="right")))
+            ok.append(similar_pairs(b.column("x")[lo:hi].to_pylist(), b.column("y")[lo:hi].to_pylist()))
+            lo = hi
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(np.concatenate(ok))], names=["a", "b", "ok"])
 
 
 def _spanning(close: np.ndarray) -> list[tuple[int, int]]:
@@ -193,15 +225,12 @@ def _spanning(close: np.ndarray) -> list[tuple[int, int]]:
 
 def similar_in_block(lines: list[bytes], threshold: float = THRESHOLD) -> np.ndarray:
     """Which lines of a block are similar, by exact intersections of all pairs."""
-    sets = [np.ndarray((len(x) - SHINGLE + 1,), "<u8", x, strides=(1,)) if len(x) >= SHINGLE else np.array([int.from_bytes(x, "little") + (len(x) << 56)], "<u8") for x in lines]
-    size = len(sets)
-    row = np.repeat(np.arange(size), [len(x) for x in sets])
-    token = np.concatenate(sets)
+    token, ends = shingle_codes(lines)
+    size, n = len(lines), np.diff(ends, prepend=0)
+    row = np.repeat(np.arange(size), n)
+    n = n.astype(np.float32)
     order = np.argsort(token, kind="stable")
     row, token = row[order], token[order]
-    once = np.concatenate(([True], (token[1:] != token[:-1]) | (row[1:] != row[:-1])))
-    row, token = row[once], token[once]
-    n = np.bincount(row, minlength=size).astype(np.float32)
     heads = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     held = np.diff(np.concatenate((heads, [len(token)])))
     # Shingles of few lines add one to each pair of them; those of many are columns of a matrix.
@@ -226,10 +255,13 @@ def similar_in_block(lines: list[bytes], threshold: float = THRESHOLD) -> np.nda
 
 
 def _block_links(batches):
-    """Links inside each (key, block, other) of rows sorted by it: between the blocks, or inside one."""
+    """Links inside each (key, lo, hi) of rows sorted by it: between the two blocks, or inside one; between components only."""
 
-    def links(h, block, lines):
-        close = similar_in_block(lines)
+    def links(h, block, label, line):
+        label = np.array(label)
+        if label.min() == label.max():
+            return []
+        close = similar_in_block(list(line)) & (label[:, None] != label[None])
         if block[0] != block[-1]:
             b = np.array(block)
             close &= b[:, None] != b[None]
@@ -237,13 +269,13 @@ def _block_links(batches):
 
     now, rows, out = None, [], []
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("key", "lo", "hi", "block", "h", "line")]
-        for key, lo, hi, block, h, line in zip(*cols, strict=True):
+        cols = [b.column(c).to_pylist() for c in ("key", "lo", "hi", "block", "label", "h", "line")]
+        for key, lo, hi, block, label, h, line in zip(*cols, strict=True):
             if (key, lo, hi) != now:
                 if rows:
                     out += links(*zip(*rows, strict=True))
                 now, rows = (key, lo, hi), []
-            rows.append((h, block, line))
+            rows.append((h, block, label, line))
         yield _pairs(out)
         out = []
     if rows:
@@ -255,53 +287,72 @@ def _pairs(links: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_links(d: DataFrame, per_line: DataFrame) -> DataFrame:
-    """Verified links (a, b) between the hashes of different lines of d (doc_id, text).
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of line hashes that are near duplicates."""
+    both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean").filter("ok").select("a", "b")
+
+
+def _ordered(a: str, b: str):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def open_links(runs: DataFrame, label: DataFrame, lines: DataFrame) -> DataFrame:
+    """Links between lines of one run (key, h) that are of different components after the first round."""
+    parts = shuffle_partitions(runs.sparkSession)
+    named = cut(runs.join(label, runs["h"] == label["id"], "left").select("key", "h", F.coalesce("component", "h").alias("label")))
+    # Runs of the same lines under several keys are compared once.
+    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).filter("lo <> hi")
+    sizes = cut(sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.when(F.col("n") > ALL_PAIRS, F.ceil(F.col("n") / BLOCK)).otherwise(0).cast("int").alias("blocks")))
+    left = named.join(sizes, "key")
+    few = left.filter("blocks = 0").groupBy("key").agg(F.collect_list(F.struct("h", "label")).alias("all"))  # at most ALL_PAIRS of them
+    few = few.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q")).filter("p.h < q.h AND p.label <> q.label")
+    judged = _verified(few.select(F.col("p.h").alias("a"), F.col("q.h").alias("b")).distinct(), lines)
+    placed = left.filter("blocks > 0").withColumn("block", F.pmod(F.hash("h"), F.col("blocks"))).join(lines, "h")
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label", "h", "line")
+    inside = met.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block").mapInArrow(_block_links, "a long, b long")
+    return cut(judged.unionByName(inside).distinct())
+
+
+def line_groups(d: DataFrame, lines: DataFrame, per_line: DataFrame) -> DataFrame:
+    """(id, component) of the line hashes that have near duplicates among other lines of d (doc, doc_id, text).
 
     per_line: h and first, the place where a line stands first.
     """
     parts = shuffle_partitions(d.sparkSession)
-    rows = d.select("text").mapInArrow(_postings, "key long, h long")
+    postings = lines.select(F.explode("keys").alias("key"), "h")
     # One shuffle brings the lines of a key together and sorts them; what it proposes is far smaller and is written.
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "h")
-    proposed = cut(dealt.mapInArrow(_propose, "a long, b long, key long"))
-    pairs = cut(proposed.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    hot = proposed.filter("b IS NULL").select("key", F.col("a").alias("h"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(hot.select("h")).distinct()
-    wanted = cut(wanted)
-    holders = per_line.join(wanted, "h", "left_semi").select(F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("doc_id")).distinct()
-    texts = d.mapInArrow(_texts(id_filter(wanted, "h"), id_filter(holders, "doc_id")), "h long, line binary")
-    lines = cut(texts.groupBy("h").agg(F.first("line").alias("line")))
-    both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    judged = both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean").filter("ok").select("a", "b")
-    # A long run is cut in blocks, and each pair of blocks is compared in a task of its own.
-    # Runs of the same lines under several keys are compared once.
-    sizes = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
-    sizes = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = hot.join(sizes, "key").withColumn("block", F.pmod(F.hash("h"), F.col("blocks"))).join(lines, "h")
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "line")
-    inside = met.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block").mapInArrow(_block_links, "a long, b long")
-    return cut(judged.unionByName(inside).distinct())
+    dealt = postings.repartition(parts, "key").sortWithinPartitions("key", "h")
+    proposed = cut(dealt.mapInArrow(_propose, "a long, h long, key long"))
+    wanted = cut(proposed.select(F.explode(F.array("a", "h")).alias("h")).distinct())
+    holders = per_line.join(wanted, "h", "left_semi").select(F.col("first.doc").alias("doc")).distinct()
+    texts = d.select("doc", "text").mapInArrow(_texts(id_filter(wanted, "h"), id_filter(holders, "doc")), "h long, line binary")
+    found = cut(texts.groupBy("h").agg(F.first("line").alias("line")))
+    links = cut(_verified(proposed.filter("a <> h").select(*_ordered("a", "h")).distinct(), found))
+    label = cut(connected(links))
+    more = open_links(proposed.filter("key IS NOT NULL").select("key", "h"), label, found)
+    return connected(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def dropped_lines(d: DataFrame) -> DataFrame:
-    """(doc_id, lost): for each document that loses lines, their numbers and hashes."""
-    lines = cut(d.mapInArrow(_line_rows, "doc_id long, number int, h long"))
-    per_line = cut(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "number")).alias("first")))
-    groups = connected(near_links(d, per_line))
+    """(doc, lost): for each document that loses lines, their numbers and hashes."""
+    lines = cut(d.mapInArrow(_line_rows, _LINES))
+    place = F.struct("doc_id", "number", "doc")
+    per_line = cut(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
+    groups = line_groups(d, lines, per_line)
     per_line = per_line.join(groups, per_line["h"] == groups["id"], "left").filter("n > 1 OR component IS NOT NULL")
     per_line = cut(per_line.select("h", "first", F.coalesce("component", "h").alias("group")))
     winners = per_line.groupBy("group").agg(F.min("first").alias("winner"))
-    losing = lines.join(per_line.join(winners, "group").select("h", "winner"), "h")
-    losing = losing.filter(~(F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("number") == F.col("winner.number"))))
-    return losing.groupBy("doc_id").agg(F.collect_set(F.struct("number", "h")).alias("lost"))
+    losing = lines.select("doc", "doc_id", "number", "h").join(per_line.join(winners, "group").select("h", "winner"), "h").filter(~place.eqNullSafe(F.col("winner")))
+    # A document's lost lines are no more than its text has.
+    return losing.groupBy("doc").agg(F.collect_set(F.struct("number", "h")).alias("lost"))
 
 
-def _rebuild(names: list[str], text_col: str):
+def _rebuild(names: list[str], text: str):
     def run(batches):
         for b in batches:
-            texts = b.column(text_col)
-            lost = b.column("_lost").to_pylist()
+            texts = b.column(text)
+            lost = b.column("lost").to_pylist()
             new, n_lines, n_lost = texts.to_pylist(), [], []
             for lo, n, buf, off in passes(texts):
                 low, s, e, row, number = line_spans(buf, off)
@@ -318,28 +369,32 @@ def _rebuild(names: list[str], text_col: str):
                     out = {i for i, x in zip(number[mine].tolist(), h[mine].tolist(), strict=True) if (i, x) in gone}
                     n_lost.append(len(out))
                     new[lo + k] = "\n".join(x for i, x in enumerate(new[lo + k].split("\n")) if i not in out)
-            cols = [pa.array(new, pa.string()) if c == text_col else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_lost, pa.int64())], names=[*names, "_n_lines", "_n_lost"])
+            cols = [pa.array(new, pa.string()) if c == text else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_lost, pa.int64())], names=[*names, "n_lines", "n_lost"])
 
     return run
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with repeated lines taken out, and the columns _n_lines and _n_lost."""
+    """(row, n_lines, n_lost): the rows of docs with repeated lines taken out of the text, as structs."""
     tune(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lost = dropped_lines(d).select(F.col("doc_id").alias("_lost_id"), F.col("lost").alias("_lost"))
-    joined = docs.withColumn(text_col, F.col(text_col).cast("string")).join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_lost_id")), "left").drop("_lost_id")
-    out = [f"`{f.name}` {f.dataType.simpleString()}" if f.name != text_col else f"`{text_col}` string" for f in docs.schema]
-    return joined.mapInArrow(_rebuild(docs.columns, text_col), ", ".join([*out, "_n_lines long", "_n_lost long"]))
+    names, at = docs.columns, docs.columns.index(text_col)
+    inside = [f"c{k}" for k in range(len(names))]  # whatever the columns are called
+    plain = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    key = F.xxhash64(F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), F.coalesce(F.col(text_col), F.lit("")))
+    plain = plain.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inside, strict=True)], key.alias("doc"))
+    d = plain.select("doc", F.col(f"c{names.index(id_col)}").cast("long").alias("doc_id"), F.col(f"c{at}").alias("text"))
+    joined = plain.join(dropped_lines(d), "doc", "left")
+    kinds = [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(plain.schema.fields[:-1])]
+    out = joined.mapInArrow(_rebuild(inside, f"c{at}"), ", ".join([*kinds, "n_lines long", "n_lost long"]))
+    return out.select(F.struct(*[F.col(i).alias(c) for c, i in zip(names, inside, strict=True)]).alias("row"), "n_lines", "n_lost")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one line left of each group; a document that loses every line goes."""
-    out = without_repeats(docs, id_col, text_col)
-    return out.filter("_n_lost = 0 OR _n_lost < _n_lines").drop("_n_lines", "_n_lost")
+    return without_repeats(docs, id_col, text_col).filter("n_lost = 0 OR n_lost < n_lines").select("row.*")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_lost").alias("n_lost"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_lost", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.llm import line_dedup, linking, ngram_join
+from inkspan.llm import common, line_dedup, linking, ngram_join
 from inkspan.llm.exact_dedup import exact_groups
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -166,7 +166,7 @@ def brute_lines(rows):
     return lost
 
 
-@pytest.mark.parametrize("all_pairs, block", [(16, 512), (3, 8)])
+@pytest.mark.parametrize("all_pairs, block", [(16, 512), (3, 8), (2, 1)])
 def test_line_dedup(spark, documents, monkeypatch, all_pairs, block):
     monkeypatch.setattr(line_dedup, "ALL_PAIRS", all_pairs)
     monkeypatch.setattr(line_dedup, "BLOCK", block)
@@ -184,10 +184,10 @@ def test_line_dedup(spark, documents, monkeypatch, all_pairs, block):
         rows.append((k, "\n".join([*lines, "  ", "corta"]), "en", "s", 1))
     got = line_dedup.without_repeats(documents(rows)).collect()
     lost = brute_lines(rows)
-    wrong = sum(r["_n_lost"] != len(lost[r["doc_id"]]) for r in got)
-    assert wrong <= 2 and sum(r["_n_lost"] for r in got) > 100
+    wrong = sum(r["n_lost"] != len(lost[r["row"]["doc_id"]]) for r in got)
+    assert wrong <= 2 and sum(r["n_lost"] for r in got) > 100
     if not wrong:
-        assert all(r["text"] == "\n".join(x for i, x in enumerate(rows[r["doc_id"]][1].split("\n")) if i not in lost[r["doc_id"]]) for r in got)
+        assert all(r["row"]["text"] == "\n".join(x for i, x in enumerate(rows[r["row"]["doc_id"]][1].split("\n")) if i not in lost[r["row"]["doc_id"]]) for r in got)
 
 
 def test_line_dedup_keeps_links_through_a_large_group(documents):
@@ -206,10 +206,65 @@ def test_line_dedup_keeps_links_through_a_large_group(documents):
         rows.append((1000 + k, z, "en", "s", 1))
     rows = [(1, "\n".join(copies), "en", "s", 1), *rows]
     lost = brute_lines(rows)
-    got = {r["doc_id"]: r["_n_lost"] for r in line_dedup.without_repeats(documents(rows)).collect()}
+    got = {r["row"]["doc_id"]: r["n_lost"] for r in line_dedup.without_repeats(documents(rows)).collect()}
     assert len(lost[1]) == 219 and got == {r[0]: len(lost[r[0]]) for r in rows}
 
 
+def test_runs_are_proposed_whole():
+    """Whatever the batches, each run's lines meet its first, and runs of three and more are told in full."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = sorted((k, h) for k in range(40) for h in rng.choices(range(900), k=rng.choice([1, 2, 2, 3, 4, 30])) for _ in range(rng.choice([1, 1, 2])))
+    runs = defaultdict(list)
+    for k, h in rows:
+        runs[k] += [] if h in runs[k] else [h]
+    table = pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["key", "h"])
+    for size in (1, 2, 3, 7, 1000):
+        got = pa.Table.from_batches(line_dedup._propose(table.to_batches(max_chunksize=size))).to_pylist()
+        assert Counter((r["a"], r["h"]) for r in got if r["a"] != r["h"] and r["key"] is None) == Counter((v[0], v[1]) for v in runs.values() if len(v) > 1)
+        assert Counter((r["key"], r["a"], r["h"]) for r in got if r["key"] is not None) == Counter((k, v[0], h) for k, v in runs.items() if len(v) > 2 for h in v)
+
+
+def test_similar_pairs_against_sets():
+    rng = random.Random(7)
+    make = lambda: bytes(rng.choices(b"ab", k=rng.randrange(1, 60)))
+    x = [make() for _ in range(300)]
+    y = [rng.choice([a, a + b"b", a[:-1] or b"a", make()]) for a in x]
+    sets = lambda t: {t[k : k + 8] for k in range(max(1, len(t) - 7))}
+    want = [len(sets(a) & sets(b)) >= 0.8 * len(sets(a) | sets(b)) for a, b in zip(x, y, strict=True)]
+    assert line_dedup.similar_pairs(x, y).tolist() == want and 0 < sum(want) < 300
+
+
+def test_line_dedup_of_clashing_columns_and_repeated_ids(spark):
+    """Columns called as the operator's own, one identifier for different texts, nulls for a third of the identifiers."""
+    one, two = "la primera linea de este texto es esta", "otra linea que no se parece en nada"
+    rows = [(None, f"{one}\n{k} sola {k * 7919}", k, 1, 2, 3, 4) for k in range(20)] + [(7, one, 1, 1, 1, 1, 1), (7, two, 2, 2, 2, 2, 2), (7, two + "\n" + two, 3, 3, 3, 3, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, `Lost` int, n_lost int, N_Lines int, `row` int")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns
+    got = Counter(line for r in out.collect() for line in r["text"].split("\n"))
+    assert got[one] == 1 and got[two] == 1 and len(got) == 22
+
+
+def test_texts_that_once_hashed_alike(documents):
+    """Thue-Morse strings and their complements, which a polynomial modulo 2**64 cannot tell apart, and one long line."""
+    t = "a"
+    while len(t) < 1024:
+        t += t.translate(str.maketrans("ab", "ba"))
+    other = t.translate(str.maketrans("ab", "ba"))
+    buf = np.frombuffer((t + other).encode(), np.uint8)
+    for long_ in (16, 1 << 20):
+        common.LONG_SPAN, held = long_, common.LONG_SPAN
+        h = common.span_hash(buf, np.array([0, 1024]), np.array([1024, 2048]))
+        common.LONG_SPAN = held
+        assert h[0] != h[1]
+    assert common.same_spans(buf, np.array([0, 0]), np.array([0, 1024]), np.array([1024, 1024])).tolist() == [True, False]
+    rows = [(1, t, "en", "s", 1), (2, other, "en", "s", 1), (3, "x" * (4 << 20), "en", "s", 1)]
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.components(documents(rows)).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r["row"]["doc_id"]: r["n_lines"] for r in line_dedup.without_repeats(documents(rows)).collect()} == {1: 1, 2: 1, 3: 1}
+
+
 def test_line_dedup_odd_rows(odd):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns
