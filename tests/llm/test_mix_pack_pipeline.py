@@ -46,6 +46,61 @@ def test_mix_reaches_targets(documents):
     assert all(abs(sum(v) - k[1]) <= max(1, 0.01 * k[1]) for k, v in by.items())
 
 
+def test_mix_passes_over_what_does_not_fit(documents):
+    """A very long document never keeps the rest from being taken."""
+    small = [(k, "w " * 16, "en", "a", 1) for k in range(100)] + [(1000 + k, "x", "en", "b", 1) for k in range(1000)] + [(5000, "y " * 1000, "en", "b", 1)]
+    long_ = [(k, "w " * 500, "en", "a", 1) for k in range(1200)] + [(5000, "y " * 400_000, "en", "a", 1)] + [(6000 + k, "x " * 300, "en", "b", 1) for k in range(1000)]
+    for rows, least in ((small, 1), (long_, 500)):
+        by = defaultdict(list)
+        for r in mixing.mixed_words(documents(rows)).collect():
+            by[(r["source_size"], r["target"])].append(r["taken"])
+        assert all(abs(sum(v) - target) < least for (_, target), v in by.items())
+
+
+@pytest.mark.parametrize("closing, slices", [(4096, 4096), (8, 4)])
+def test_mix_by_brute_force(documents, monkeypatch, closing, slices):
+    """The greedy pass down the Pareto order, source by source; inclusion near its probability."""
+    monkeypatch.setattr(mixing, "CLOSING", closing)
+    monkeypatch.setattr(mixing, "LEAST_SLICES", slices)
+    rng = random.Random(4)
+    rows = [(k, "w " * rng.choice([1, 2, 3, 7, 20, 60, 61]), "en", rng.choice("aaaabbc"), 1) for k in range(900)]
+    chance = hit = spread = 0.0
+    by = defaultdict(list)
+    for r in mixing.mixed_words(documents(rows)).collect():
+        by[(r["source_size"], r["target"])].append(r)
+    for (size, target), mine in by.items():
+        if target == 2 * size:
+            assert all(r["copies"] == 2 for r in mine)
+            continue
+
+        def words(rate, of):
+            return sum(of(min(2.0, rate * r["size"].bit_length())) * r["size"] for r in mine)
+
+        lo, hi = 0.0, 2.0
+        for _ in range(100):
+            lo, hi = ((lo + hi) / 2, hi) if words((lo + hi) / 2, float) < target else (lo, (lo + hi) / 2)
+        expected = {r["id"]: min(2.0, hi * r["size"].bit_length()) for r in mine}
+        assert all(r["p"] == pytest.approx(expected[r["id"]] % 1, abs=1e-6) for r in mine)
+        gap = int(target - words(hi, int) + 1e-6)
+        copies = {r["id"]: int(expected[r["id"]]) for r in mine}
+        pool = sorted((r for r in mine if r["pareto"] is not None), key=lambda r: (r["pareto"], r["id"], r["size"]))
+        left = []
+        for r in pool:
+            if r["size"] <= gap:
+                copies[r["id"]] += 1
+                gap -= r["size"]
+            else:
+                left.append(r)
+        beyond = [r for r in left if r["size"] < 2 * gap]
+        if beyond:
+            copies[min(beyond, key=lambda r: (r["size"], r["pareto"], r["id"]))["id"]] += 1
+        assert {r["id"]: r["copies"] for r in mine} == copies
+        chance += sum(r["p"] for r in pool)
+        spread += sum(r["p"] * (1 - r["p"]) for r in pool)
+        hit += sum(r["copies"] > int(expected[r["id"]]) for r in pool)
+    assert chance > 50 and abs(hit - chance) < 4 * spread**0.5 + 3
+
+
 def test_mix_odd_rows(odd, documents):
     assert mixing.mixed_words(odd).count() == 9 and mixing.mix(odd).columns == odd.columns
     assert mixing.mixed_words(documents([])).count() == 0 and mixing.mix(documents([])).count() == 0
