@@ -10,7 +10,9 @@ the softmax and the score under which a prediction is rejected (`accepted`).
 
 Defined results: null text or text without a letter is `und` with score 0; with
 no labelled row to learn from everything is `und`; an empty table gives an empty
-result; repeated rows are scored alike; other columns are not read.
+result; repeated rows are scored alike, and learnt from once; ties of the sample's
+hash go by a hash of the row; a very long text is read whole, in passes; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -75,10 +77,12 @@ def _features(batches):
 
 
 def bounded_sample(rows: DataFrame, by: Column, most: int) -> DataFrame:
-    """The rows with the `most` smallest values of a hash; ties at the border stay together."""
-    keyed = rows.withColumn("_by", by)
-    border = keyed.select("_by").orderBy("_by").limit(most).agg(F.max("_by")).first()[0]
-    return keyed.filter(F.col("_by") <= border).drop("_by") if border is not None else keyed.limit(0).drop("_by")
+    """The rows with the `most` smallest values of a hash, at most so many: ties go by a hash of the row, and of equal rows one is taken."""
+    keyed = rows.withColumn("_by", F.struct(by.alias("a"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("b")))
+    border = keyed.select("_by").distinct().orderBy("_by").limit(most).agg(F.max("_by")).first()[0]
+    if border is None:
+        return rows.limit(0)
+    return keyed.filter(F.col("_by") <= F.struct(F.lit(border["a"]).cast("long"), F.lit(border["b"]).cast("long"))).dropDuplicates(["_by"]).drop("_by")
 
 
 class Model:

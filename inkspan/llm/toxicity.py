@@ -1,18 +1,33 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two bigram models, of toxic and of ordinary text, count contexts instead of
-occurrences: in how many documents of the class a word, or a word after another,
-stands.  Both back off to the counts of the two classes together, and the
-discount grows with the root of the count that those expect: a class departs
-from the shared model only where it departs beyond chance, so rare expressions
-weigh the same in both and tell nothing.  A text's evidence is the difference of its two log-likelihoods, over its length
-and over the root of its length.  A logistic curve, fitted on labelled rows that
-the models have not seen, turns it into a score.
+Two bigram models, of toxic and of ordinary text.  Each takes a discount off its
+counts and hands the freed mass to the level below:
+
+    P_c(w | h) = max(n_c(h w) - D(h w), 0) / n_c(h) + l_c(h) * P_c(w)
+    P_c(w)     = max(n_c(w) - D(w), 0) / n_c       + l_c    * P(w)
+    P(w)       = N(. w) / N(. .)
+
+n_c counts contexts, not occurrences: in how many labelled documents of the class
+a word, or a word after another, stands.  l is the discounted share, so each
+distribution sums to 1.  P, shared by both classes, is the continuation
+distribution over the whole corpus: N(. w) is how many different words stand
+before w anywhere in the documents.  The discount D is the count that both classes
+together lead one to expect, and `DISCOUNT` roots of one more.  So a class keeps
+mass of its own only for what it holds beyond chance, and rare expressions fall
+through to the shared level and weigh alike in both.  A text's evidence is the
+difference of its two log-likelihoods over its length, and a logistic curve,
+fitted on labelled rows that the models have not seen, turns it into a score.
+
+The vocabulary is every word with more than `DISCOUNT` documents in some class;
+all other words are one unknown word, which counts as a history but is itself
+passed over.  Bigrams that no class has in more documents have no mass of their
+own, so leaving them out of the table changes nothing.
 
 Defined results: null and empty texts have no evidence and get the score of the
 curve's base rate; without labelled rows of both classes every score is 0;
-several labels of one document count as toxic if one is; an empty table gives an
-empty result; other columns are not read.
+several labels of one document count as toxic if one is; rows alike in text are
+scored alike; a very long text is read whole, in passes of its words; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +42,12 @@ from inkspan.llm.langid import bounded_sample, letters
 
 #: Bound of the training sample, for each class: labelled rows with the smallest hash.
 SAMPLE_ROWS = 5000
-#: Bounds of the model: words of the vocabulary, bigrams kept.
-VOCABULARY = 1 << 17
-BIGRAMS = 1 << 18
-LEAST_DOCS = 3
-#: In roots of the expected count.
+#: In roots of the expected count and one.
 DISCOUNT = 3.0
 THRESHOLD = 0.7
 OTHER = 0  # the word id of all words outside the vocabulary
+#: Bigrams that a task gathers before it hands them on.
+GATHER = 1 << 20
 
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,51 +116,78 @@ def _bigram_rows(shared):
     return run
 
 
-class Model:
-    """Log-likelihood ratios by word over a sorted vocabulary, and by bigram where that departs."""
+def _pair_rows(shared):
+    """The different bigrams (history, word) of all documents, once a task as far as GATHER goes."""
 
-    def __init__(self, vocabulary, by_word, pairs, by_pair):
-        self.vocabulary, self.by_word, self.pairs, self.by_pair = vocabulary, by_word, pairs, by_pair
+    def run(batches):
+        vocabulary = shared.value
+        held = np.empty(0, np.int64)
+        for b in batches:
+            for _, _, buf, off in passes(b.column("text")):
+                h, row = word_hashes(buf, off)
+                ids = word_ids(h, vocabulary)
+                held = np.union1d(held, (histories(ids, row, len(vocabulary) + 1) << 30) | ids)
+                if len(held) > GATHER:
+                    yield pa.RecordBatch.from_arrays([pa.array(held)], names=["pair"])
+                    held = held[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held)], names=["pair"])
 
-    def evidence(self, buf: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
-        """Per text: log-likelihood ratio over its words, and over their root."""
-        h, row = word_hashes(buf, offsets)
-        ids = word_ids(h, self.vocabulary)
-        ratio = self.by_word[ids]
-        if len(self.pairs) and len(ids):
-            key = (histories(ids, row, len(self.vocabulary) + 1) << 30) | ids
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            ratio = np.where(self.pairs[at] == key, self.by_pair[at], ratio)
-        many = np.maximum(np.bincount(row, minlength=n), 1)
-        total = np.bincount(row, weights=ratio, minlength=n)
-        return np.stack((total / many, total / np.sqrt(many)), axis=1)
+    return run
 
 
-def departure(count: np.ndarray, expected: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """How many times as often as the shared counts expect, after the discount; 1 within it."""
-    away = count - expected
-    kept = np.sign(away) * np.maximum(np.abs(away) - discount * np.sqrt(expected + 1), 0)
-    return (expected + kept + 0.5) / (expected + 0.5)
+def excess(n: np.ndarray, expected: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
+    """What the discount leaves of a count: the part that neither the level below nor chance explains."""
+    return np.maximum(n - expected - discount * np.sqrt(1 + expected), 0)
 
 
-def kneser_ney(words: np.ndarray, hist: np.ndarray, word: np.ndarray, pairs: np.ndarray, by_hist: np.ndarray, vocabulary: np.ndarray) -> Model:
-    """Fit both models.
+class Model:
+    """Both models over a sorted vocabulary.
 
-    words: by class and word id, the documents that hold the word; pairs: by
-    class, those that hold each of the bigrams (hist, word); by_hist: by class
-    and word id, the sum of all bigrams after it.
+    words: by class and word id, the documents that hold the word; before: by
+    word id, how many different words stand before it in the corpus; pairs, by_pair:
+    the kept bigrams as history << 30 | word and, by class, the documents that
+    hold each; by_hist: by class and word id, the sum of the counts of all bigrams
+    after it.
     """
-    shared = (words.sum(axis=0) + 0.5) / (words.sum(axis=0) + 0.5).sum()
-    rate = departure(words, words.sum(axis=1, keepdims=True) * shared)
-    rate[:, OTHER] = 1.0
-    by_word = np.log(rate[1] / rate[0])
-    expected = by_hist[:, hist] * (pairs.sum(axis=0) / np.maximum(by_hist.sum(axis=0)[hist], 1)) * rate[:, word]
-    ratio = departure(pairs, expected) * rate[:, word]
-    by_pair = np.log(ratio[1] / ratio[0])
-    told = np.abs(by_pair - by_word[word]) > 1e-3
-    key = (hist[told] << 30) | word[told]
-    order = np.argsort(key)
-    return Model(vocabulary, by_word, key[order], by_pair[told][order])
+
+    def __init__(self, vocabulary, words, before, pairs, by_pair, by_hist, discount: float = DISCOUNT):
+        self.vocabulary, self.pairs = vocabulary, pairs
+        shared = before / max(before.sum(), 1)
+        total = np.maximum(words.sum(axis=1, keepdims=True), 1)
+        together = words.sum(axis=0) / total.sum()
+        left = excess(words, total * together, discount)
+        self.by_word = left / total + (1 - left.sum(axis=1, keepdims=True) / total) * shared
+        hist, word = pairs >> 30, pairs & ((1 << 30) - 1)
+        total = np.maximum(by_hist[:, hist], 1)
+        together = by_pair.sum(axis=0) / np.maximum(by_hist.sum(axis=0)[hist], 1)
+        left = excess(by_pair, total * together, discount)
+        # After a history, what the discounts free is dealt out by the level below.
+        taken = np.stack([np.bincount(hist, weights=x, minlength=by_hist.shape[1]) for x in left])
+        self.share = 1 - taken / np.maximum(by_hist, 1)
+        self.by_pair = left / total + self.share[:, hist] * self.by_word[:, word]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.word_ratio = np.nan_to_num(np.log(self.by_word[1] / self.by_word[0]))
+            self.pair_ratio = np.log(self.by_pair[1] / self.by_pair[0])
+            self.share_ratio = np.log(self.share[1] / self.share[0])
+
+    def probability(self, c: int, hist: int, word: int) -> float:
+        at = np.searchsorted(self.pairs, (hist << 30) | word)
+        if at < len(self.pairs) and self.pairs[at] == (hist << 30) | word:
+            return float(self.by_pair[c, at])
+        return float(self.share[c, hist] * self.by_word[c, word])
+
+    def evidence(self, buf: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+        """Per text: the log-likelihood of toxic text less that of ordinary text, over its words."""
+        h, row = word_hashes(buf, offsets)
+        ids = word_ids(h, self.vocabulary)
+        hist = histories(ids, row, len(self.vocabulary) + 1)
+        ratio = self.word_ratio[ids] + self.share_ratio[hist]
+        if len(self.pairs) and len(ids):
+            key = (hist << 30) | ids
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            ratio = np.where(self.pairs[at] == key, self.pair_ratio[at], ratio)
+        ratio[ids == OTHER] = 0
+        return np.bincount(row, weights=ratio, minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -170,14 +210,12 @@ def _score(shared, curve):
         model = shared.value
         for b in batches:
             x = [model.evidence(buf, off, n) for _, n, buf, off in passes(b.column("text"))]
-            x = np.concatenate(x) if x else np.empty((0, 2))
-            if curve is None:
-                out = [pa.array(x[:, 0]), pa.array(x[:, 1])]
-                yield pa.RecordBatch.from_arrays([b.column("toxic"), *out], names=["toxic", "a", "b"])
-            else:
+            x = np.concatenate(x) if x else np.empty(0)
+            if curve is not None:
                 w, scale = curve
-                z = np.column_stack((x / scale, np.ones(len(x)))) @ w
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names if c != "text"], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*[c for c in b.schema.names if c != "text"], "score"])
+                x = 1 / (1 + np.exp(-np.clip(x / scale[0] * w[0] + w[1], -30, 30)))
+            rest = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(x)], names=[*rest, "score"])
 
     return run
 
@@ -208,32 +246,39 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     # Which rows fit the models and which the curve.
     sample = cut(d.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3))))
-    for_model, for_curve = sample.filter("part <> 0"), sample.filter("part = 0")
     sizes = {(bool(r["m"]), r["toxic"]): r["n"] for r in sample.groupBy((F.col("part") != 0).alias("m"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not all(sizes.get((m, c)) for m in (True, False) for c in (0, 1)):
         return Scorer(None, None)
+    for_model = sample.filter("part <> 0")
+    for_curve = sample.filter("part = 0")
     by_class = [F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)]
     seen = for_model.select("toxic", "text").mapInArrow(_word_rows, "toxic long, word long, n long").groupBy("word").agg(*by_class)
-    top = seen.withColumn("n", F.col("n0") + F.col("n1")).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+    # What the sample's bound bounds comes to the driver: its words of several documents, and below their bigrams.
+    top = seen.filter((F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)).toArrow()
     vocabulary = top["word"].to_numpy().view(np.uint64)
-    order = np.argsort(vocabulary)
-    vocabulary = vocabulary[order]
-    words = np.zeros((2, len(vocabulary) + 2))
-    for c in (0, 1):
-        words[c, 1:-1] = top[f"n{c}"].to_numpy()[order]
+    by_word = np.argsort(vocabulary)
+    vocabulary = vocabulary[by_word]
     known_words = spark.sparkContext.broadcast(vocabulary)
-    counts = cut(for_model.select("toxic", "text").mapInArrow(_bigram_rows(known_words), "toxic long, hist long, word long, n long").groupBy("hist", "word").agg(*by_class))
-    sums = counts.groupBy("hist").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    by_hist = np.zeros_like(words)
+    counts = cut(for_model.select("toxic", "text").mapInArrow(_bigram_rows(known_words), "toxic long, hist long, word long, n long").groupBy("hist", "word").agg(*by_class).filter(F.col("word") != OTHER))
+    sums = counts.groupBy("hist").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)]).toArrow()
+    words, by_hist = np.zeros((2, 2, len(vocabulary) + 2))
     for c in (0, 1):
         by_hist[c, sums["hist"].to_numpy()] = sums[f"n{c}"].to_numpy()
-    pairs = counts.withColumn("n", F.col("n0") + F.col("n1")).filter(F.col("n") > DISCOUNT).orderBy(F.desc("n"), "hist", "word").limit(BIGRAMS).toArrow()
-    by_pair = np.stack([pairs[f"n{c}"].to_numpy().astype(float) for c in (0, 1)])
-    shared = spark.sparkContext.broadcast(kneser_ney(words, pairs["hist"].to_numpy(), pairs["word"].to_numpy(), by_pair, by_hist, vocabulary))
-    found = for_curve.select("toxic", "text").mapInArrow(_score(shared, None), "toxic int, a double, b double").toArrow()
-    x = np.column_stack((found["a"].to_numpy(), found["b"].to_numpy()))
-    order = np.lexsort((x[:, 1], x[:, 0]))
-    return Scorer(shared, fit_logistic(x[order], found["toxic"].to_numpy()[order].astype(float)))
+        words[c, 1:-1] = top[f"n{c}"].to_numpy()[by_word]
+    kept = counts.filter((F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)).select((F.shiftleft("hist", 30) + F.col("word")).alias("pair"), "n0", "n1").toArrow()
+    pairs = kept["pair"].to_numpy()
+    order = np.argsort(pairs)
+    by_pair = np.stack([kept[f"n{c}"].to_numpy().astype(float)[order] for c in (0, 1)])
+    # The shared level is counted over all documents; a number for each word of the vocabulary comes back.
+    after = d.select("text").mapInArrow(_pair_rows(known_words), "pair long").distinct().withColumn("word", F.col("pair").bitwiseAND(F.lit((1 << 30) - 1)))
+    after = after.filter(F.col("word") != OTHER).groupBy("word").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    before = np.zeros(words.shape[1])
+    before[after["word"].to_numpy()] = after["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(Model(vocabulary, words, before, pairs[order], by_pair, by_hist))
+    found = for_curve.select("toxic", "text").mapInArrow(_score(shared, None), "toxic int, score double").toArrow()
+    x, y = found["score"].to_numpy(), found["toxic"].to_numpy().astype(float)
+    order = np.lexsort((y, x))
+    return Scorer(shared, fit_logistic(x[order, None], y[order]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
