@@ -11,6 +11,8 @@ import hashlib
 import os
 import re
 import tempfile
+import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -170,6 +172,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def stored(df: DataFrame):
+    """df as a Parquet table in the shared folder, for as long as the block lasts."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote, through Spark's file systems."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of two or three numbers that may be broadcast: some 20 MB in memory.
+MOST_BROADCAST = 250_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a stored table of numbers is proven small enough to be broadcast."""
+    return df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

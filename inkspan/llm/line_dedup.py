@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, eights, lower_ascii, mix, owners, passes, read, shuffle_partitions, span_hash, tune, words
+from inkspan.llm.common import cut, eights, is_small, lower_ascii, mix, owners, passes, read, shuffle_partitions, span_hash, stored, tune, words
 from inkspan.llm.linking import connected, id_filter, may_hold
 
 SHINGLE = 8
@@ -199,15 +199,19 @@ def _texts(shared, owners_of):
     return run
 
 
-def _verify(batches):
-    for b in batches:
-        size = np.cumsum(np.array([len(x) + len(y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)], np.int64))
-        ok, lo = [np.empty(0, bool)], 0
-        while lo < len(size):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TOGETHER, side="right")))
-            ok.append(similar_pairs(b.column("x")[lo:hi].to_pylist(), b.column("y")[lo:hi].to_pylist()))
-            lo = hi
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(np.concatenate(ok))], names=["a", "b", "ok"])
+def _verify(rest: list[str]):
+    def run(batches):
+        for b in batches:
+            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+            size = np.cumsum([len(p) + len(q) for p, q in zip(x, y, strict=True)])
+            ok, lo = [np.empty(0, bool)], 0
+            while lo < len(x):
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TOGETHER, side="right")))
+                ok.append(similar_pairs(x[lo:hi], y[lo:hi]))
+                lo = hi
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(np.concatenate(ok))], names=[*rest, "ok"])
+
+    return run
 
 
 def _spanning(close: np.ndarray) -> list[tuple[int, int]]:
@@ -255,9 +259,9 @@ def similar_in_block(lines: list[bytes], threshold: float = THRESHOLD) -> np.nda
 
 
 def _block_links(batches):
-    """Links inside each (key, lo, hi) of rows sorted by it: between the two blocks, or inside one; between components only."""
+    """Links of components inside each (key, lo, hi) of rows sorted by it: by lines of the two blocks, or of the one."""
 
-    def links(h, block, label, line):
+    def links(block, label, line):
         label = np.array(label)
         if label.min() == label.max():
             return []
@@ -265,17 +269,17 @@ def _block_links(batches):
         if block[0] != block[-1]:
             b = np.array(block)
             close &= b[:, None] != b[None]
-        return [(h[x], h[y]) for x, y in _spanning(close)]
+        return [(int(label[x]), int(label[y])) for x, y in _spanning(close)]
 
     now, rows, out = None, [], []
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("key", "lo", "hi", "block", "label", "h", "line")]
-        for key, lo, hi, block, label, h, line in zip(*cols, strict=True):
+        cols = [b.column(c).to_pylist() for c in ("key", "lo", "hi", "block", "label", "line")]
+        for key, lo, hi, block, label, line in zip(*cols, strict=True):
             if (key, lo, hi) != now:
                 if rows:
                     out += links(*zip(*rows, strict=True))
                 now, rows = (key, lo, hi), []
-            rows.append((h, block, label, line))
+            rows.append((block, label, line))
         yield _pairs(out)
         out = []
     if rows:
@@ -288,64 +292,62 @@ def _pairs(links: list) -> pa.RecordBatch:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of line hashes that are near duplicates."""
+    """Those of the pairs (a, b) of line hashes that are near duplicates, with what else the pairs carry."""
     both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean").filter("ok").select("a", "b")
-
-
-def _ordered(a: str, b: str):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+    rest = [c for c in pairs.columns if c not in ("a", "b")] or ["a", "b"]
+    return both.select(*rest, "x", "y").mapInArrow(_verify(rest), ", ".join(f"{c} long" for c in rest) + ", ok boolean").filter("ok").drop("ok")
 
 
 def open_links(runs: DataFrame, label: DataFrame, lines: DataFrame) -> DataFrame:
-    """Links between lines of one run (key, h) that are of different components after the first round."""
+    """Links (a, b) between components of the first round, by lines of one run (key, h) that are of different ones."""
     parts = shuffle_partitions(runs.sparkSession)
-    named = cut(runs.join(label, runs["h"] == label["id"], "left").select("key", "h", F.coalesce("component", "h").alias("label")))
+    named = cut(runs.join(F.broadcast(label) if is_small(label) else label, runs["h"] == label["id"], "left").select("key", "h", F.coalesce("component", "h").alias("label")))
     # Runs of the same lines under several keys are compared once.
     sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).filter("lo <> hi")
     sizes = cut(sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.when(F.col("n") > ALL_PAIRS, F.ceil(F.col("n") / BLOCK)).otherwise(0).cast("int").alias("blocks")))
-    left = named.join(sizes, "key")
+    left = named.join(F.broadcast(sizes) if is_small(sizes) else sizes, "key")
     few = left.filter("blocks = 0").groupBy("key").agg(F.collect_list(F.struct("h", "label")).alias("all"))  # at most ALL_PAIRS of them
     few = few.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q")).filter("p.h < q.h AND p.label <> q.label")
-    judged = _verified(few.select(F.col("p.h").alias("a"), F.col("q.h").alias("b")).distinct(), lines)
+    few = few.select(F.col("p.h").alias("a"), F.col("q.h").alias("b"), F.col("p.label").alias("la"), F.col("q.label").alias("lb")).distinct()
+    judged = _verified(few, lines).select(F.col("la").alias("a"), F.col("lb").alias("b"))
     placed = left.filter("blocks > 0").withColumn("block", F.pmod(F.hash("h"), F.col("blocks"))).join(lines, "h")
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label", "h", "line")
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label", "line")
     inside = met.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block").mapInArrow(_block_links, "a long, b long")
-    return cut(judged.unionByName(inside).distinct())
+    return judged.unionByName(inside)
 
 
-def line_groups(d: DataFrame, lines: DataFrame, per_line: DataFrame) -> DataFrame:
-    """(id, component) of the line hashes that have near duplicates among other lines of d (doc, doc_id, text).
+def line_groups(d: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which lines of d (doc, doc_id, text) belong together, as two tables (id, component).
 
-    per_line: h and first, the place where a line stands first.
+    The first holds lines by their hash; the second says which components of the
+    first, or lines that are not in it, are one.
     """
     parts = shuffle_partitions(d.sparkSession)
-    postings = lines.select(F.explode("keys").alias("key"), "h")
     # One shuffle brings the lines of a key together and sorts them; what it proposes is far smaller and is written.
-    dealt = postings.repartition(parts, "key").sortWithinPartitions("key", "h")
+    dealt = lines.select(F.explode("keys").alias("key"), "h").repartition(parts, "key").sortWithinPartitions("key", "h")
     proposed = cut(dealt.mapInArrow(_propose, "a long, h long, key long"))
     wanted = cut(proposed.select(F.explode(F.array("a", "h")).alias("h")).distinct())
-    holders = per_line.join(wanted, "h", "left_semi").select(F.col("first.doc").alias("doc")).distinct()
+    holders = lines.select("h", "doc").join(F.broadcast(wanted) if is_small(wanted) else wanted, "h", "left_semi").groupBy("h").agg(F.min("doc").alias("doc"))
     texts = d.select("doc", "text").mapInArrow(_texts(id_filter(wanted, "h"), id_filter(holders, "doc")), "h long, line binary")
     found = cut(texts.groupBy("h").agg(F.first("line").alias("line")))
-    links = cut(_verified(proposed.filter("a <> h").select(*_ordered("a", "h")).distinct(), found))
+    links = _verified(proposed.filter("a <> h").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct(), found)
     label = cut(connected(links))
-    more = open_links(proposed.filter("key IS NOT NULL").select("key", "h"), label, found)
-    return connected(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return label, cut(connected(open_links(proposed.filter("key IS NOT NULL").select("key", "h"), label, found)))
 
 
 def dropped_lines(d: DataFrame) -> DataFrame:
     """(doc, lost): for each document that loses lines, their numbers and hashes."""
-    lines = cut(d.mapInArrow(_line_rows, _LINES))
-    place = F.struct("doc_id", "number", "doc")
-    per_line = cut(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
-    groups = line_groups(d, lines, per_line)
-    per_line = per_line.join(groups, per_line["h"] == groups["id"], "left").filter("n > 1 OR component IS NOT NULL")
-    per_line = cut(per_line.select("h", "first", F.coalesce("component", "h").alias("group")))
-    winners = per_line.groupBy("group").agg(F.min("first").alias("winner"))
-    losing = lines.select("doc", "doc_id", "number", "h").join(per_line.join(winners, "group").select("h", "winner"), "h").filter(~place.eqNullSafe(F.col("winner")))
-    # A document's lost lines are no more than its text has.
-    return losing.groupBy("doc").agg(F.collect_set(F.struct("number", "h")).alias("lost"))
+    with stored(d.mapInArrow(_line_rows, _LINES)) as lines:
+        label, more = line_groups(d, lines)
+        place = F.struct("doc_id", "number", "doc")
+        first = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+        first = first.join(F.broadcast(label) if is_small(label) else label, first["h"] == label["id"], "left").select("h", "n", "first", F.coalesce("component", "h").alias("own"), F.col("component").isNotNull().alias("near"))
+        first = first.join(F.broadcast(more) if is_small(more) else more, first["own"] == more["id"], "left").filter("n > 1 OR near OR component IS NOT NULL")
+        first = cut(first.select("h", "first", F.coalesce("component", "own").alias("group")))
+        winners = first.groupBy("group").agg(F.min("first").alias("winner"))
+        losing = lines.select("doc", "doc_id", "number", "h").join(first.join(winners, "group").select("h", "winner"), "h").filter(~place.eqNullSafe(F.col("winner")))
+        # A document's lost lines are no more than its text has.
+        return cut(losing.groupBy("doc").agg(F.collect_set(F.struct("number", "h")).alias("lost")))
 
 
 def _rebuild(names: list[str], text: str):

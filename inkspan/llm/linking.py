@@ -7,9 +7,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut
+from inkspan.llm.common import cut, is_small
 
-#: Bits of an identifier filter: 8 MB, whatever the number of identifiers.
+#: Bits of an identifier filter: 8 MB, whatever the number of identifiers.  Beyond some tens of millions of them it
+#: lets most rows through: what follows it compares identifiers, so results stay right and more texts are read.
 FILTER_BITS = 26
 
 
@@ -19,9 +20,10 @@ def connected(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: every node hands its larger
     neighbours, then its smaller ones, to the smallest.  The graph shrinks to
     stars in a number of rounds that grows with the logarithm of its size.
-    Minima are combined before the shuffle and written, so that the links meet
-    them in a join of two plain shuffles, in which adaptive execution splits the
-    links of a node that has very many.
+    Minima are combined before the shuffle and written.  If they are few they
+    are broadcast, and no link moves; if not, links and minima meet in a join of
+    two plain shuffles, in which adaptive execution splits the links of a node
+    that has very many.
     """
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
@@ -29,11 +31,14 @@ def connected(links: DataFrame) -> DataFrame:
         tangled = nodes.groupBy("n").agg(F.sum("child").alias("c"), F.max("root").alias("r")).filter("c > 1 OR (c = 1 AND r = 1)")
         if tangled.isEmpty():
             break
-        both = cut(e.select(F.col("u").alias("n"), F.col("v").alias("x")).unionByName(e.select(F.col("v").alias("n"), F.col("u").alias("x"))))
+        both = e.select(F.col("u").alias("n"), F.col("v").alias("x")).unionByName(e.select(F.col("v").alias("n"), F.col("u").alias("x")))
         least = cut(both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m")))
-        e = cut(both.join(least, "n").filter("x > n").select(F.col("x").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        small = is_small(least)
+        e = both.join(F.broadcast(least) if small else least, "n").filter("x > n").select(F.col("x").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        e = e if small else cut(e)
         least = cut(e.groupBy("u").agg(F.min("v").alias("m")))
-        e = cut(e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        moved = e.join(F.broadcast(least) if small else least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")  # no more nodes than before
+        e = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     roots = e.select(F.col("v").alias("id")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 

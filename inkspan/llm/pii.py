@@ -1,16 +1,21 @@
 """Personal data: fixed patterns, and a conditional random field for what they miss.
 
-The patterns give the base spans.  A linear-chain conditional random field over
-word shapes, trained from a small labelled table, adds spans that the patterns
-do not describe: secrets, and numbers or addresses in other spellings.  It reads
-windows of words around every word that has a digit or an at sign or is very
-long; in its table no other word is ever part of a span, so words outside the
-windows are ordinary without being decoded.  Windows of about one length are
-padded and decoded together by Viterbi, each from its first word to its last.
-
-Defined results: null text is empty; an empty text has no spans; repeated rows
-are treated each; an empty table gives an empty result; other columns of the
-input are not read.
+The patterns give the base spans, each in time that grows with the text alone.  A
+linear-chain conditional random field over word shapes, trained from a small
+labelled table, adds spans that the patterns do not describe: secrets, and numbers
+or addresses in other spellings.  It decodes every word of every text, each text
+as one chain from its first word to its last.  A word's emission is a sum of four
+table rows, by its own shape and by the shapes and cue words beside it, so shapes
+are looked at once each and texts of about one length are decoded together by
+Viterbi.  What the field marks is trimmed of punctuation and added unless it lies
+over a base span or cannot be what it is marked as: a card number must pass Luhn,
+an address must parse, a phone number has 10 to 15 digits, an e-mail address an at
+sign and a dot.
+
+Defined results: null text is empty; an empty text has no spans; a text of one
+very long word or without white space is read whole; repeated rows are treated
+each; an empty table gives an empty result; other columns of the input are not
+read.
 """
 
 from __future__ import annotations
@@ -24,19 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import passes, read, runs, tune, words
+from inkspan.llm.common import lower_ascii, owners, passes, read, span_hash, tune, words
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_LOCAL = "".join(chr(c) for c in range(128) if re.match(r"[A-Za-z0-9._%+-]", chr(c)))
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-WINDOW = 4
-LONG = 24
-#: Words, with padding, of the windows that are decoded together; a longer window is decoded alone.
+#: Words, with padding, of the texts that are decoded together; a longer text is decoded alone.
 TOGETHER = 1 << 16
+#: Shapes that a task remembers.
+SHAPES = 200_000
 
 #: The labelled table.  Words between {kind and } belong to a span of that kind.
 LABELLED = """
@@ -89,6 +95,7 @@ la calle 12 con 14 en 1998
 """.strip().split("\n")
 
 LABELS = ("O", *KINDS)
+_EDGES = "\"'<>()[]{},;:.!?"
 _CUES = {"token", "key", "api_key", "secret", "password", "bearer", "card", "visa", "call", "phone", "tel", "fax", "ring", "whatsapp", "mail", "email", "ip", "host", "=", "isbn", "id", "at", "to", "http"}
 
 
@@ -119,7 +126,7 @@ def shape_features(word: str) -> list[str]:
 def features(words_: list[str]) -> list[list[str]]:
     """Features of each word: its shape, and the shapes and cue words beside it."""
     own = [shape_features(w) for w in words_]
-    low = [w.lower().strip("\"'<>()[]{},;:.!?") or w for w in words_]
+    low = [w.lower().strip(_EDGES) or w for w in words_]
     out = []
     for i in range(len(words_)):
         f = ["bias", *own[i]]
@@ -148,15 +155,68 @@ def labelled_rows(lines: list[str] = LABELLED) -> list[tuple[list[str], list[int
     return rows
 
 
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[0x41:0x5B], _SHAPE[0x61:0x7B], _SHAPE[0x30:0x3A] = ord("A"), ord("a"), ord("9")
+_EDGE = np.zeros(256, dtype=bool)
+_EDGE[[ord(c) for c in _EDGES]] = True
+_BESIDE = (-2, -1, 1)
+
+
 class Crf:
     """index: feature to row of weights; moves: label to label."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.index, self.weights, self.moves = index, weights, moves
-
-    def emissions(self, words_: list[str]) -> np.ndarray:
-        known = self.index
-        return np.array([self.weights[[known[f] for f in fs if f in known]].sum(axis=0) for fs in features(words_)])
+        self.cues = sorted(_CUES)
+        raw = np.frombuffer(" ".join(self.cues).encode(), np.uint8)
+        h = span_hash(raw, *words(raw))
+        self.cue_order = np.argsort(h)
+        self.cue_hashes = h[self.cue_order]
+        self.by_cue = np.array([[self._sum(f"{d}c={c}") for d in _BESIDE] for c in self.cues] + [np.zeros((len(_BESIDE), len(LABELS)))])
+        self._forget()
+
+    def _sum(self, *features_: str) -> np.ndarray:
+        return self.weights[[self.index[f] for f in features_ if f in self.index]].sum(axis=0)
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.rows = np.zeros((1024, 1 + len(_BESIDE), len(LABELS)))
+
+    def _shape(self, word: str) -> np.ndarray:
+        own = shape_features(word)
+        return np.array([self._sum("bias", *own), *(self._sum(*[f"{d}{x}" for x in own[:2]]) for d in _BESIDE)])
+
+    def emissions(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """A row of label scores for each word of a pass; row tells the words' texts."""
+        if len(self.known) > SHAPES:
+            self._forget()
+        shape = _SHAPE[buf]
+        h, first, inverse = np.unique(span_hash(shape, starts, ends), return_index=True, return_inverse=True)
+        raw = shape.tobytes()
+        for k, x in enumerate(h.tolist()):
+            if x not in self.known:
+                if len(self.known) == len(self.rows):
+                    self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+                self.rows[len(self.known)] = self._shape(raw[starts[first[k]] : ends[first[k]]].decode())
+                self.known[x] = len(self.known)
+        of = np.array([self.known[x] for x in h.tolist()], np.int64)[inverse]
+        # Cue words, without the punctuation about them.
+        inner = np.flatnonzero(~_EDGE[buf])
+        lo = np.minimum(np.append(inner, len(buf))[np.searchsorted(inner, starts)], ends)
+        hi = np.maximum(np.concatenate(([-1], inner))[np.searchsorted(inner, ends)] + 1, lo)
+        lo, hi = np.where(hi > lo, lo, starts), np.where(hi > lo, hi, ends)
+        cue = np.full(len(starts), len(self.cues))
+        short = np.flatnonzero(hi - lo <= max(map(len, self.cues)))
+        c = span_hash(lower_ascii(buf), lo[short], hi[short])
+        at = np.minimum(np.searchsorted(self.cue_hashes, c), len(self.cues) - 1)
+        cue[short] = np.where(self.cue_hashes[at] == c, self.cue_order[at], len(self.cues))
+        out = self.rows[of, 0]
+        for k, d in enumerate(_BESIDE):
+            beside = self.rows[of, 1 + k] + self.by_cue[cue, k]
+            n = abs(d)
+            here, there = (slice(n, None), slice(None, -n)) if d < 0 else (slice(None, -n), slice(n, None))
+            out[here] += np.where((row[here] == row[there])[:, None], beside[there], 0)
+        return out
 
     def viterbi(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best labels of a batch of windows; emissions is windows x words x labels."""
@@ -227,13 +287,29 @@ def _luhn(digits: str) -> bool:
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what the patterns match, in order."""
-    found = []
-    if "@" in text:
-        found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            found.append((*m.span(), "ip"))
+    """(start, end, kind) of what the patterns match, in order.
+
+    An address can only stand about an at sign, and dotted numbers are cut in
+    fours, so nothing is looked at once for each place it might start.
+    """
+    found, end, at = [], 0, text.find("@")
+    while at >= 0:
+        before = text[end:at]
+        start = at - len(before) + len(before.rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            found.append((start, m.end(), "email"))
+        end = m.end() if m else at + 1
+        at = text.find("@", end)
+    for m in _DOTTED.finditer(text):
+        parts = m.group().split(".") if m.group().count(".") > 2 else []
+        start = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            stop = start + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                found.append((start, stop, "ip"))
+            start = stop + 1
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
         if 14 <= len(digits) <= 19 and _luhn(digits):
@@ -252,28 +328,31 @@ def _is_ip(text: str) -> bool:
         return False
 
 
-def _plausible(kind: str, text: str) -> bool:
+def _valid(kind: str, text: str) -> bool:
+    """Whether text can be what it is marked as."""
     digits = sum("0" <= c <= "9" for c in text)
     if kind == "email":
         return "@" in text[1:-1] and "." in text.rpartition("@")[2].strip(".")
     if kind == "card":
         return 14 <= digits <= 19 and _luhn(_NOT_DIGIT.sub("", text))
     if kind == "phone":
-        return 10 <= digits <= 15 and set(text) <= set("+0123456789 ()-.")
-    if kind == "ip":
-        return _is_ip(text)
-    return kind == "secret" and len(text) > 15 and digits > 3 and any(c.isalpha() for c in text)
+        return 10 <= digits <= 15
+    return _is_ip(text) if kind == "ip" else bool(text)
 
 
 _TRIM = "\"'<>[]{},;:!?`#$%&*|"
 
 
 def added_spans(text: str, base: list, labels: np.ndarray, at: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """Spans of equal labels that are plausible and lie over no base span."""
+    """Spans of words of equal labels that can be what they are marked as and lie over no base span.
+
+    labels and at are of the words that have a label, in order; words beside each
+    other in the text are beside each other here.
+    """
     out, i = [], 0
     while i < len(at):
         j = i + 1
-        while j < len(at) and labels[j] == labels[i]:
+        while j < len(at) and labels[j] == labels[i] and not text[at[j - 1][1] : at[j][0]].strip(" \t\n\v\f\r"):
             j += 1
         if labels[i]:
             s, e = at[i][0], at[j - 1][1]
@@ -284,38 +363,36 @@ def added_spans(text: str, base: list, labels: np.ndarray, at: list[tuple[int, i
             kind = LABELS[labels[i]]
             over = [b for b in base if b[0] < e and s < b[1]]
             free = not over or (kind == "secret" and all(s <= b[0] and b[1] <= e and (s, e) != b[:2] for b in over))
-            if free and _plausible(kind, text[s:e]):
+            if free and _valid(kind, text[s:e]):
                 out.append((s, e, kind))
         i = j
     return out
 
 
-def find_spans(texts: list[str], model: Crf) -> list[tuple[list, list]]:
-    """(base spans, added spans) of each text; windows of all texts are decoded together."""
-    base = [base_spans(t) for t in texts]
-    windows = []
-    for k, t in enumerate(texts):
-        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
-        hot = np.array([any("0" <= c <= "9" or c == "@" for c in t[s:e]) or e - s >= LONG for s, e in at], dtype=bool)
-        near = np.convolve(hot, np.ones(2 * WINDOW + 1), "same")[: len(at)] > 0 if len(at) > 2 * WINDOW else np.full(len(at), hot.any())
-        for lo, hi in zip(*runs(near), strict=True):
-            windows.append((k, at[lo:hi]))
-    added: list[list] = [[] for _ in texts]
-    windows.sort(key=lambda w: len(w[1]))
-    hi = 0
-    while hi < len(windows):
+def decoded(buf: np.ndarray, offsets: np.ndarray, n: int, model: Crf) -> tuple[np.ndarray, ...]:
+    """(text, start, end, label) of the words of a pass that the field marks; places are in bytes of the pass."""
+    starts, ends = words(buf)
+    if not len(starts):
+        return (np.empty(0, np.int64),) * 4
+    row = owners(starts, offsets)
+    scores = model.emissions(buf, starts, ends, row)
+    first = np.searchsorted(row, np.arange(n + 1))
+    size = np.diff(first)
+    labels = np.zeros(len(starts), np.int8)
+    order = np.argsort(size, kind="stable")
+    hi = int(np.searchsorted(size[order], 1))
+    while hi < n:
         lo, hi = hi, hi + 1
-        while hi < len(windows) and hi - lo < 256 and (hi - lo + 1) * len(windows[hi][1]) <= TOGETHER:
+        while hi < n and (hi - lo + 1) * size[order[hi]] <= TOGETHER:
             hi += 1
-        part = windows[lo:hi]
-        scores = [model.emissions([texts[k][s:e] for s, e in at]) for k, at in part]
-        lengths = np.array([len(s) for s in scores])
-        padded = np.zeros((len(part), lengths.max(), len(LABELS)))
-        for row, s in zip(padded, scores, strict=True):
-            row[: len(s)] = s
-        for (k, at), tags in zip(part, model.viterbi(padded, lengths), strict=True):
-            added[k] += added_spans(texts[k], base[k], tags, at)
-    return list(zip(base, added, strict=True))
+        part = order[lo:hi]
+        inside = np.arange(size[part].max()) < size[part][:, None]
+        place = (first[part][:, None] + np.arange(inside.shape[1]))[inside]
+        padded = np.zeros((*inside.shape, len(LABELS)))
+        padded[inside] = scores[place]
+        labels[place] = model.viterbi(padded, size[part])[inside]
+    marked = np.flatnonzero(labels)
+    return row[marked], starts[marked], ends[marked], labels[marked]
 
 
 _HOT = np.zeros(256, dtype=bool)
@@ -323,6 +400,28 @@ _HOT[0x30:0x3A] = True
 _HOT[0x40] = True
 
 
+def find_spans(texts: pa.Array, model: Crf):
+    """(base spans, added spans) of each text, in order; places are code points."""
+    for _, n, buf, offsets in passes(texts):
+        row, starts, ends, labels = decoded(buf, offsets, n, model)
+        first = np.searchsorted(row, np.arange(n + 1))
+        # The patterns need a digit or an at sign.
+        hot = np.zeros(n, dtype=bool)
+        hot[owners(np.flatnonzero(_HOT[buf]), offsets)] = True
+        for k in range(n):
+            base, added = [], []
+            mine = slice(first[k], first[k + 1])
+            if hot[k] or first[k] < first[k + 1]:
+                raw = buf[offsets[k] : offsets[k + 1] - 1]
+                text = raw.tobytes().decode()
+                base = base_spans(text) if hot[k] else []
+                if first[k] < first[k + 1]:
+                    heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+                    at = list(zip(heads[starts[mine] - offsets[k]].tolist(), heads[ends[mine] - offsets[k]].tolist(), strict=True))
+                    added = added_spans(text, base, labels[mine], at)
+            yield base, added
+
+
 def _told(spans) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind in spans)
 
@@ -333,17 +432,13 @@ def _scan(shared):
     def run(batches):
         for b in batches:
             rows = []
-            for lo, n, buf, offsets in passes(b.column("text")):
-                starts, ends = words(buf)
-                bad = np.concatenate((np.flatnonzero(_HOT[buf]), starts[ends - starts >= LONG]))
-                some = np.unique(np.searchsorted(offsets, bad, side="right") - 1)
-                found = [nothing] * n
-                texts = [buf[offsets[k] : offsets[k + 1] - 1].tobytes().decode() for k in some]
-                for k, (base, added) in zip(some, find_spans(texts, shared.value), strict=True):
-                    each = [sum(s[2] == kind for s in base) for kind in KINDS[:4]]
-                    every = sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
-                    found[k] = (*each, hashlib.sha256(_told(base).encode()).hexdigest(), _told(every))
-                rows += found
+            for base, added in find_spans(b.column("text"), shared.value):
+                if not base and not added:
+                    rows.append(nothing)
+                    continue
+                each = [sum(s[2] == kind for s in base) for kind in KINDS[:4]]
+                every = sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
+                rows.append((*each, hashlib.sha256(_told(base).encode()).hexdigest(), _told(every)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])

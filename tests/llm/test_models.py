@@ -2,14 +2,18 @@
 
 import hashlib
 import os
+import random
 import re
+import time
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.llm import langid, pii, quality_rules, toxicity
+from inkspan.llm import common, langid, pii, quality_rules, toxicity
 from inkspan.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -44,9 +48,66 @@ def test_toxicity_odd_rows(spark, odd, documents):
     assert toxicity.toxicity(documents([]), labels.limit(0)).count() == 0
 
 
-def test_departure_is_nothing_within_the_discount():
-    one = toxicity.departure(np.array([10.0, 100.0]), np.array([12.0, 10.0]), 3.0)
-    assert one[0] == 1 and one[1] > 5
+def brute_kneser_ney(texts, corpus, discount):
+    """Both models straight from their formulas: P(c, h, w) over words, "<s>" the head of a text and None any unknown word."""
+    split = lambda t: re.findall("[a-z]+", t)
+    held = [Counter(w for y, t in texts if y == c for w in set(split(t))) for c in (0, 1)]
+    known = sorted({w for n in held for w in n if n[w] > discount})
+    same = lambda w: w if w in known else None
+    grams = lambda t: list(zip(["<s>", *map(same, split(t))], map(same, split(t)), strict=False))
+    left = {(h, w) for t in corpus for h, w in grams(t) if w}
+    before = Counter(w for _, w in left)
+    pairs = [Counter(g for y, t in texts if y == c for g in set(grams(t)) if g[1]) for c in (0, 1)]
+    word, pair = [], []
+    for c in (0, 1):
+        total = sum(held[c][w] for w in known)
+        both = sum(n[w] for n in held for w in known)
+        own = {w: max(held[c][w] - (e := total * (held[0][w] + held[1][w]) / both) - discount * (1 + e) ** 0.5, 0) for w in known}
+        word.append({w: own[w] / total + (1 - sum(own.values()) / total) * before[w] / sum(before.values()) for w in known})
+
+    def p(c, h, w):
+        n = [Counter({v: k for (g, v), k in pairs[d].items() if g == h}) for d in (0, 1)]
+        total, both = sum(n[c].values()), sum(n[0].values()) + sum(n[1].values())
+        own = {v: max(n[c][v] - (e := total * (n[0][v] + n[1][v]) / both) - discount * (1 + e) ** 0.5, 0) for v in known} if total else dict.fromkeys(known, 0)
+        return own[w] / max(total, 1) + (1 - sum(own.values()) / max(total, 1)) * word[c][w]
+
+    return known, p, split, same
+
+
+def test_kneser_ney_against_brute_force(spark, documents, monkeypatch):
+    """Probabilities sum to 1 after every history, and evidence is the difference of log-likelihoods over the length."""
+    monkeypatch.setattr(toxicity, "DISCOUNT", 0.5)
+    monkeypatch.setattr(toxicity.Model.__init__, "__defaults__", (0.5,))
+    monkeypatch.setattr(toxicity.excess, "__defaults__", (0.5,))
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choices("abcdefgh" if k % 2 else "abcdxyzw", k=rng.randrange(3, 14)) + rng.choice([["p", "q"], []]))) for k in range(120)]
+    docs = documents([(k, t, None, None, None) for k, t in rows])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k, _ in rows if k < 90], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True)).shared.value
+    for_model = {r["doc_id"] for r in labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) != 0).collect()}
+    known, p, split, same = brute_kneser_ney([(k % 2, t) for k, t in rows if k in for_model], [t for _, t in rows], 0.5)
+    assert len(known) == len(model.vocabulary) >= 10
+
+    def hashed(w):
+        b = np.frombuffer(f"{w} ".encode(), np.uint8)
+        return int(toxicity.word_ids(toxicity.word_hashes(b, np.array([0, len(b)]))[0], model.vocabulary)[0])
+
+    at = {w: hashed(w) for w in known} | {None: toxicity.OTHER, "<s>": len(known) + 1}
+    for h in at:
+        for c in (0, 1):
+            assert sum(model.probability(c, at[h], at[w]) for w in known) == pytest.approx(1)
+            assert all(model.probability(c, at[h], at[w]) == pytest.approx(p(c, h, w)) for w in known)
+    for _, t in rows[:20]:
+        ws = [same(w) for w in split(t)]
+        want = sum(np.log(p(1, h, w) / p(0, h, w)) for h, w in zip(["<s>", *ws], ws, strict=False) if w) / len(ws)
+        b = np.frombuffer(f"{t}\n".encode(), np.uint8)
+        assert model.evidence(b, np.array([0, len(b)]), 1)[0] == pytest.approx(want)
+
+
+def test_samples_are_bounded_whatever_the_ties(documents):
+    rows = documents([(None, f"t{k % 50}", "es", None, None) for k in range(400)] + [(7, "t", "es", None, None)] * 30).select("doc_id", "text", "lang")
+    got = langid.bounded_sample(rows, F.xxhash64("doc_id"), 20).collect()
+    assert len(got) == 20 == len(set(got)) and got == langid.bounded_sample(rows, F.xxhash64("doc_id"), 20).collect()
 
 
 def test_counts_against_brute_force(spark, documents):
@@ -112,7 +173,7 @@ def test_field_finds_secrets_and_leaves_prose():
     model = pii.train(pii.labelled_rows())
     secret = "3f786850e387550fdab836ed7e6dc881de23001b"
     texts = [f'dice token = "{secret}" y sigue', "en 1998 hubo 12 casos y 3,500 votos", "call (809) 555-0142 now"]
-    found = [[(k, t[s:e]) for s, e, k in added] for t, (_, added) in zip(texts, pii.find_spans(texts, model), strict=True)]
+    found = [[(k, t[s:e]) for s, e, k in added] for t, (_, added) in zip(texts, pii.find_spans(pa.array(texts), model), strict=True)]
     assert found == [[("secret", secret)], [], [("phone", "(809) 555-0142")]]
 
 
@@ -122,9 +183,9 @@ def test_spans_inside_long_stretches(monkeypatch, together):
     monkeypatch.setattr(pii, "TOGETHER", together)
     model = pii.train(pii.labelled_rows())
     row, want = "fila 12 de 40 call (809) 555-0142 now ", "(809) 555-0142"
-    assert [row[s:e] for s, e, _ in pii.find_spans([row], model)[0][1]] == [want]
+    assert [row[s:e] for s, e, _ in list(pii.find_spans(pa.array([row]), model))[0][1]] == [want]
     texts = ["9 " * pad + row * 120 for pad in range(12)]
-    for t, (_, added) in zip(texts, pii.find_spans(texts, model), strict=True):
+    for t, (_, added) in zip(texts, pii.find_spans(pa.array(texts), model), strict=True):
         assert [t[s:e] for s, e, _ in added] == [want] * 120
 
 
@@ -134,6 +195,54 @@ def test_addresses_can_be_added():
     assert pii.added_spans("300.1.2.333", [], np.array([pii.LABELS.index("ip")]), at) == []
 
 
+def test_base_patterns_on_random_texts():
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choices("aZ0129@..+-- ()%é", k=rng.randrange(1, 40)))
+        assert pii.base_spans(text) == brute_spans(text)
+
+
+@pytest.mark.parametrize("text", ["7" * (1 << 20), "1." * (1 << 19), "a" * (1 << 20) + "@", "a@" * (1 << 19), "+1" * (1 << 19), "1 " * (1 << 19), "@a." * (1 << 18)])
+def test_patterns_take_time_by_length(text):
+    began = time.process_time()
+    pii.base_spans(text)
+    assert time.process_time() - began < 20
+
+
+def test_emissions_are_sums_of_features():
+    """The tables by shape and cue give what the features of each word give."""
+    model = pii.train(pii.labelled_rows(), epochs=3)
+    texts = [" ".join(w) for w, _ in pii.labelled_rows()] + ['dice (Token) = "K3y-9x"... ünï, ñandú; TOKEN', "a", "?? to"]
+    for text in texts:
+        buf = np.frombuffer(f"{text}\n".encode(), np.uint8)
+        starts, ends = common.words(buf)
+        got = model.emissions(buf, starts, ends, np.zeros(len(starts), np.int64))
+        want = np.array([model._sum(*f) for f in pii.features(text.split())])
+        assert np.allclose(got, want)
+
+
+def test_added_spans_on_held_out_rows():
+    """Recall and precision of spans that the patterns miss, on rows unlike the labelled ones in words and numbers."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    opaque = lambda n: "".join(rng.choices("abcdef0123456789", k=n))
+    prose = "la casa verde tiene puertas y el consejo aprobo medidas para mejorar los caminos rurales in the valley near old town".split()
+    model, rows, found, right, marked = pii.train(pii.labelled_rows()), [], 0, 0, 0
+    for k in range(300):
+        span = [f"({digits(3)}) {digits(3)}-{digits(4)}", opaque(40), f"{digits(3)}-{digits(3)}-{digits(4)}"][k % 3]
+        cue = ["call", "token =", "tel"][k % 3]
+        rows.append((" ".join(rng.choices(prose, k=rng.randrange(3, 30))), cue, span, " ".join(rng.choices(prose, k=rng.randrange(1, 30)))))
+    clean = [" ".join(rng.choices([*prose, "1998", "12", "3,500", "45%", "no.", "2nd", "page", "key", "token"], k=60)) for _ in range(200)]
+    texts = [" ".join(r) for r in rows] + clean
+    for k, (base, added) in enumerate(pii.find_spans(pa.array(texts), model)):
+        said = {texts[k][s:e] for s, e, _ in base + added}
+        marked += len(said)
+        if k < len(rows):
+            found += rows[k][2] in said
+            right += rows[k][2] in said
+    assert found >= 0.9 * len(rows) and right >= 0.9 * marked, (found, right, marked)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     k = len(pii.LABELS)
