@@ -121,16 +121,21 @@ def _pair_rows(shared):
 
     def run(batches):
         vocabulary = shared.value
-        held = np.empty(0, np.int64)
+        found, many = [np.empty(0, np.int64)], 0
         for b in batches:
             for _, _, buf, off in passes(b.column("text")):
                 h, row = word_hashes(buf, off)
                 ids = word_ids(h, vocabulary)
-                held = np.union1d(held, (histories(ids, row, len(vocabulary) + 1) << 30) | ids)
-                if len(held) > GATHER:
-                    yield pa.RecordBatch.from_arrays([pa.array(held)], names=["pair"])
-                    held = held[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(held)], names=["pair"])
+                known = ids != OTHER
+                found.append(np.unique((histories(ids, row, len(vocabulary) + 1)[known] << 30) | ids[known]))
+                many += len(found[-1])
+                if many > 2 * GATHER:
+                    found = [np.unique(np.concatenate(found))]
+                    many = len(found[0])
+                    if many > GATHER:
+                        yield pa.RecordBatch.from_arrays(found, names=["pair"])
+                        found, many = [found[0][:0]], 0
+        yield pa.RecordBatch.from_arrays([np.unique(np.concatenate(found))], names=["pair"])
 
     return run
 
@@ -271,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     by_pair = np.stack([kept[f"n{c}"].to_numpy().astype(float)[order] for c in (0, 1)])
     # The shared level is counted over all documents; a number for each word of the vocabulary comes back.
     after = d.select("text").mapInArrow(_pair_rows(known_words), "pair long").distinct().withColumn("word", F.col("pair").bitwiseAND(F.lit((1 << 30) - 1)))
-    after = after.filter(F.col("word") != OTHER).groupBy("word").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    after = after.groupBy("word").agg(F.count(F.lit(1)).alias("n")).toArrow()
     before = np.zeros(words.shape[1])
     before[after["word"].to_numpy()] = after["n"].to_numpy()
     shared = spark.sparkContext.broadcast(Model(vocabulary, words, before, pairs[order], by_pair, by_hist))

@@ -109,7 +109,7 @@ def clean_mentions(raw: DataFrame, org_keys: DataFrame | None = None, provinces:
     stays, as ORG, only if its key is in org_keys (column alias_key).
     """
     m = raw.withColumn("_key", norm_key(F.col("name")))
-    m = m.withColumn("_known", F.lit(False)) if org_keys is None else m.join(F.broadcast(org_keys.select(F.col("alias_key").alias("_key"), F.lit(True).alias("_known")).distinct()), "_key", "left")
+    m = m.withColumn("_known", F.lit(False)) if org_keys is None else m.join(org_keys.select(F.col("alias_key").alias("_key"), F.lit(True).alias("_known")).distinct(), "_key", "left")
     kind = F.when(F.col("type").isin("PER", "PERSON"), "PERSON").when(F.col("type") == "ORG", "ORG").when(F.coalesce("_known", F.lit(False)), "ORG")
     brand = F.col("_key").isin(*brands)
     last = F.element_at(F.split("_key", " "), -1)

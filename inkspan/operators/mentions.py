@@ -19,7 +19,7 @@ def group_mentions(raw: DataFrame, aliases: DataFrame | None = None) -> DataFram
     m = raw.withColumn("key", norm_key(F.col("name")))
     if aliases is not None:
         a = aliases.filter("is_active").groupBy("alias_key", F.col("type").alias("_t")).agg(F.max_by("canonical_name", "id").alias("canonical_name"))
-        m = m.join(F.broadcast(a), (F.col("key") == F.col("alias_key")) & (F.col("type") == F.col("_t")), "left")
+        m = m.join(a, (F.col("key") == F.col("alias_key")) & (F.col("type") == F.col("_t")), "left")
         m = m.withColumn("name", F.coalesce("canonical_name", "name")).withColumn("key", norm_key(F.col("name"))).drop("alias_key", "_t", "canonical_name")
     each = m.groupBy("article_id", "key", "type", "name").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
     return each.groupBy("article_id", "key", "type").agg(F.sum("n").alias("count"), F.array_sort(F.collect_list(F.struct("first_pos", "name", "n"))).alias("variants"))
@@ -73,4 +73,4 @@ def dictionary_mentions(sentences: DataFrame, catalogue: DataFrame, most_words:
     s = sentences.select("article_id", "idx", words.alias("w"))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.struct(i.alias("word_pos"), F.when(i + n - 1 <= F.size("w"), F.array_join(F.slice("w", i, n), " ")).alias("alias_key")))))
     spans = s.select("article_id", "idx", F.explode(runs).alias("r")).select("article_id", "idx", "r.*").filter("alias_key IS NOT NULL AND alias_key <> ''")
-    return spans.join(F.broadcast(catalogue.select("alias_key", F.col("canonical_name").alias("name"), "type")), "alias_key").select("article_id", "idx", "word_pos", "name", "type")
+    return spans.join(catalogue.select("alias_key", F.col("canonical_name").alias("name"), "type"), "alias_key").select("article_id", "idx", "word_pos", "name", "type")

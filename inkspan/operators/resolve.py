@@ -13,13 +13,6 @@ from pyspark.sql import types as T
 from inkspan.functions.text import PARTICLES, initials, key_words, norm_key, significant_words, squeeze, strip_title
 
 _FIELDS = ["article_id", "name", "type", "mentions_count", "sentiment_toward", "sentiment_score", "context", "extraction_confidence"]
-#: Lookup tables of more rows are joined by shuffle.
-MOST_BROADCAST_ROWS = 1_000_000
-
-
-def lookup(df: DataFrame) -> DataFrame:
-    """Mark a lookup table for broadcast if it has at most MOST_BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS else df
 
 
 def _alias_rows(aliases: DataFrame) -> DataFrame:
@@ -30,7 +23,7 @@ def _alias_rows(aliases: DataFrame) -> DataFrame:
 
 def resolve_aliases(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """Replace name and type of mentions whose key is an active alias."""
-    j = mentions.withColumn("_key", norm_key(F.col("name"))).join(lookup(_alias_rows(aliases)), F.col("_key") == F.col("alias_key"), "left")
+    j = mentions.withColumn("_key", norm_key(F.col("name"))).join(_alias_rows(aliases), F.col("_key") == F.col("alias_key"), "left")
     return j.withColumn("name", F.coalesce("canonical_name", "name")).withColumn("type", F.coalesce("alias_type", "type")).drop("_key", "alias_key", "canonical_name", "alias_type")
 
 
@@ -47,7 +40,7 @@ def resolve_surnames(mentions: DataFrame, surnames: DataFrame) -> DataFrame:
     """Give a person known by one significant word the only full name that ends in it."""
     words = significant_words(F.col("name"))
     word = F.when((F.col("type") == "PERSON") & (F.size(words) == 1), words[0])
-    j = mentions.withColumn("_word", word).join(lookup(surnames), F.col("_word") == F.col("surname"), "left")
+    j = mentions.withColumn("_word", word).join(surnames, F.col("_word") == F.col("surname"), "left")
     changes = F.col("full_name").isNotNull() & (norm_key(F.col("full_name")) != norm_key(F.col("name")))
     return j.withColumn("name", F.when(changes, F.col("full_name")).otherwise(F.col("name"))).drop("_word", "surname", "full_name")
 
@@ -135,25 +128,29 @@ def merge_stored_mentions(mentions: DataFrame, aliases: DataFrame, surnames: Dat
     Columns as the input's plus old_name and merged, how many rows were merged
     into it.  The keeper is the row already named like the target, else the one
     with most mentions, else the first; the target's name is the last row's.
+    What the keeper lacks is filled from the first other row that has it.
     """
     old = mentions.withColumn("old_name", F.col("name")).withColumn("old_type", F.col("type"))
     r = resolve_surnames(resolve_aliases(old, aliases), surnames).withColumn("_key", norm_key(F.col("name")))
     group = Window.partitionBy("article_id", "_key", "type")
     r = r.withColumn("_target", F.max_by("name", "id").over(group))
-    exact = ((F.col("old_name") == F.col("_target")) & (F.col("old_type") == F.col("type"))).cast("int")
-    rank = F.struct(exact.alias("e"), "mentions_count", (-F.col("id")).alias("i"))
-    first_told = lambda c, given: F.min_by(c, F.when(F.col(given).isNotNull(), F.struct((-exact).alias("e"), (-F.col("mentions_count")).alias("m"), "id")))
+    exact = (F.col("old_name") == F.col("_target")) & (F.col("old_type") == F.col("type"))
+    rank = F.struct(exact.cast("int").alias("e"), F.when(exact, 0).otherwise(F.col("mentions_count")).alias("n"), (-F.col("id")).alias("i"))
+    other = (F.col("id") != F.max_by("id", rank).over(group)).cast("int")
+    r = r.withColumn("_place", F.struct(other.alias("other"), "id"))
+    told = lambda c, given: F.min_by(c, F.when(F.col(given).isNotNull(), F.col("_place")))
+    score = F.when(F.count("sentiment_toward") > 0, told("sentiment_score", "sentiment_toward")).otherwise(F.max_by("sentiment_score", "_place"))
     out = r.groupBy("article_id", "_key", "type").agg(
-        F.max_by("id", rank).alias("id"), F.first("_target").alias("name"), F.max_by("old_name", rank).alias("old_name"), F.sum("mentions_count").alias("mentions_count"),
-        first_told("sentiment_toward", "sentiment_toward").alias("sentiment_toward"), first_told("sentiment_score", "sentiment_toward").alias("sentiment_score"),
-        first_told("context", "context").alias("context"), F.count(F.lit(1)).alias("n"),
+        F.min_by("id", "_place").alias("id"), F.first("_target").alias("name"), F.min_by("old_name", "_place").alias("old_name"), F.sum("mentions_count").alias("mentions_count"),
+        told("sentiment_toward", "sentiment_toward").alias("sentiment_toward"), score.alias("sentiment_score"), told("context", "context").alias("context"), F.count(F.lit(1)).alias("n"),
     )
     return out.select("id", "article_id", "name", "type", "old_name", "mentions_count", "sentiment_toward", "sentiment_score", "context", (F.col("n") - 1).alias("merged"))
 
 
 def canonicalize(mentions: DataFrame, aliases: DataFrame, surnames: DataFrame) -> DataFrame:
-    """Titles, aliases, merge, surnames, merge: the full order of an analysis."""
-    m = mentions.filter(F.trim("name") != "").withColumn("name", strip_title(squeeze(F.col("name"))))
+    """Titles of persons, aliases, merge, surnames, merge: the full order of an analysis."""
+    name = squeeze(F.col("name"))
+    m = mentions.filter(F.trim("name") != "").withColumn("name", F.when(F.col("type") == "PERSON", strip_title(name)).otherwise(name))
     return merge_duplicates(resolve_surnames(merge_duplicates(resolve_aliases(m, aliases)), surnames))
 
 
@@ -164,7 +161,7 @@ def match_actors(actors: DataFrame, mentions: DataFrame, aliases: DataFrame) ->
     is or holds the actor's; without one the name stays, and blank is NULL.
     """
     a = actors.withColumn("_name", F.nullif(squeeze(F.col("actor")), F.lit("")))
-    a = a.withColumn("_ak", norm_key(F.col("_name"))).join(lookup(_alias_rows(aliases)), F.col("_ak") == F.col("alias_key"), "left")
+    a = a.withColumn("_ak", norm_key(F.col("_name"))).join(_alias_rows(aliases), F.col("_ak") == F.col("alias_key"), "left")
     a = a.withColumn("_name", F.coalesce("canonical_name", "_name")).select("article_id", "actor", "_name").withColumn("_key", norm_key(F.col("_name")))
     m = mentions.select(F.col("article_id").alias("_article"), F.col("name").alias("_mention"), norm_key(F.col("name")).alias("_mkey"), "mentions_count")
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
@@ -211,7 +208,7 @@ def merge_canonical(linked: DataFrame, canonical: DataFrame, pairs: DataFrame) -
     p = pairs.join(kinds.select(F.col("id").alias("source_id"), F.col("type").alias("st")), "source_id", "left").join(kinds.select(F.col("id").alias("target_id"), F.col("type").alias("tt")), "target_id", "left")
     reason = F.when(F.col("source_id") == F.col("target_id"), "self").when(F.col("st").isNull() | F.col("tt").isNull(), "missing").when(F.col("st") != F.col("tt"), "type")
     p = p.select("source_id", "target_id", reason.alias("reason"))
-    good = lookup(p.filter("reason IS NULL").select("source_id", "target_id"))
+    good = p.filter("reason IS NULL").select("source_id", "target_id")
     moved = linked.join(good, linked["canonical_entity_id"] == good["source_id"], "left").withColumn("canonical_entity_id", F.coalesce("target_id", "canonical_entity_id")).drop("source_id", "target_id")
     return moved, canonical.join(good, canonical["id"] == good["source_id"], "left_anti"), p.filter("reason IS NOT NULL")
 

@@ -89,7 +89,8 @@ def hybrid_result(topics: DataFrame, rest: DataFrame) -> DataFrame:
 
 
 def fallback_reasons(errors: DataFrame, column: str = "error") -> DataFrame:
-    """(reason, n) of error texts: truncated, rate_limit, timeout or other."""
+    """(reason, n) of error texts: truncated, rate_limit (a full or spent quota), timeout or other."""
     e = F.lower(F.col(column))
-    reason = F.when(F.contains(e, F.lit("truncat")) | F.contains(e, F.lit("max_tokens")), "truncated").when(F.contains(e, F.lit("429")) | F.contains(e, F.lit("rate")), "rate_limit").when(F.contains(e, F.lit("timeout")) | F.contains(e, F.lit("timed out")), "timeout").otherwise("other")
+    has = lambda *parts: reduce(lambda a, b: a | b, [F.contains(e, F.lit(x)) for x in parts])
+    reason = F.when(has("truncat"), "truncated").when(has("saturado", "límite diario", "rate"), "rate_limit").when(has("timeout", "timed out"), "timeout").otherwise("other")
     return errors.filter(F.col(column).isNotNull()).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))

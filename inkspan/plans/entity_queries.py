@@ -92,9 +92,11 @@ def resolved_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views(ALL, f"""{_PERSONS}, {_RESOLVED}, k AS (SELECT *, {key_sql('name')} AS key FROM res),
 t AS (SELECT *, arg_max(name, id) OVER (PARTITION BY article_id, key, type) AS target FROM k),
-r AS (SELECT *, row_number() OVER (PARTITION BY article_id, key, type ORDER BY (old_name = target AND old_type = type) DESC, mentions_count DESC, id) AS rk FROM t)
-SELECT arg_min(id, rk) AS id, article_id, min(target) AS name, type, arg_min(old_name, rk) AS old_name, sum(mentions_count)::BIGINT AS mentions_count,
-  arg_min(sentiment_toward, rk) FILTER (WHERE sentiment_toward IS NOT NULL) AS sentiment_toward, arg_min(sentiment_score, rk) FILTER (WHERE sentiment_toward IS NOT NULL) AS sentiment_score,
+k2 AS (SELECT *, first_value(id) OVER (PARTITION BY article_id, key, type ORDER BY (old_name = target AND old_type = type) DESC, CASE WHEN old_name = target AND old_type = type THEN 0 ELSE mentions_count END DESC, id) AS keeper FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY article_id, key, type ORDER BY id <> keeper, id) AS rk FROM k2)
+SELECT min(keeper) AS id, article_id, min(target) AS name, type, min(CASE WHEN rk = 1 THEN old_name END) AS old_name, sum(mentions_count)::BIGINT AS mentions_count,
+  arg_min(sentiment_toward, rk) FILTER (WHERE sentiment_toward IS NOT NULL) AS sentiment_toward,
+  CASE WHEN count(sentiment_toward) > 0 THEN arg_min(sentiment_score, rk) FILTER (WHERE sentiment_toward IS NOT NULL) ELSE arg_max(sentiment_score, rk) END AS sentiment_score,
   arg_min(context, rk) FILTER (WHERE context IS NOT NULL) AS context, count(*) - 1 AS merged FROM r GROUP BY article_id, key, type"""))
 def merged_stored_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The retroactive merge of stored mentions."""

@@ -126,11 +126,16 @@ def duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.duration_histogram(views.jobs(spark, sf_dir))
 
 
-@query("""WITH e AS (SELECT ['output truncated', 'HTTP 429', 'read timed out', 'boom'][(event_id % 4 + 1)::INT] AS error FROM events)
-SELECT CASE WHEN contains(error, 'truncat') THEN 'truncated' WHEN contains(error, '429') THEN 'rate_limit' WHEN contains(error, 'timed out') THEN 'timeout' ELSE 'other' END AS reason, count(*) AS n FROM e GROUP BY 1""")
+_ERRORS = ["output truncated", "Servicio SATURADO", "read timed out", "boom", "límite diario alcanzado", "Rate exceeded", "HTTP 429", "Timeout"]
+
+
+@query(f"""WITH e AS (SELECT {_ERRORS}[(event_id % 8 + 1)::INT] || ' in ' || event_type AS error FROM events WHERE event_id % 9 > 0),
+r AS (SELECT CASE WHEN regexp_matches(error, '(?i)truncat') THEN 'truncated' WHEN regexp_matches(error, '(?i)saturado|límite diario|rate') THEN 'rate_limit' WHEN regexp_matches(error, '(?i)timeout|timed out') THEN 'timeout' ELSE 'other' END AS reason FROM e)
+SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def fallback_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(t) for t in ("output truncated", "HTTP 429", "read timed out", "boom")])
-    return verify.fallback_reasons(table(spark, sf_dir, "events").select(F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("error")))
+    """Errors of events; every ninth has none."""
+    text = F.concat(F.element_at(F.array(*[F.lit(t) for t in _ERRORS]), (F.col("event_id") % 8 + 1).cast("int")), F.lit(" in "), "event_type")
+    return verify.fallback_reasons(table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 9 > 0, text).alias("error")))
 
 
 @query(with_views(["jobs"], "SELECT id, status FROM jobs ORDER BY created_at DESC, id DESC LIMIT 20"))

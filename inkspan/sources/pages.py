@@ -57,9 +57,12 @@ def decode_page(data: Column, content_type: Column) -> Column:
     as_utf8 = F.try_validate_utf8(data.cast("string"))
     latin = F.decode(data, FALLBACK_CHARSET)
     utf16 = F.when(declared == "utf-16", F.decode(data, "UTF-16")).when(declared == "utf-16le", F.decode(data, "UTF-16LE")).when(declared == "utf-16be", F.decode(data, "UTF-16BE"))
-    return F.when(declared.isin("iso-8859-1", "latin-1", "latin1", "windows-1252", "us-ascii"), latin).otherwise(F.coalesce(utf16, as_utf8, latin))
+    return F.when(declared.isin("windows-1252", "cp1252"), F.translate(latin, *_WINDOWS)).when(declared.isin("iso-8859-1", "latin-1", "latin1", "us-ascii"), latin).otherwise(F.coalesce(utf16, as_utf8, latin))
 
 
+#: What windows-1252 has where Latin-1 has control characters: those, and the characters in their places.
+_WINDOWS = tuple("".join(x) for x in zip(*[(chr(k), bytes([k]).decode("cp1252")) for k in range(0x80, 0xA0) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)], strict=True))
+
 _DROP = re.compile(r"(?is)<(script|style|nav|aside|footer|form|noscript)\b.*?</\1\s*>|<!--.*?-->")
 _TAG = re.compile(r"(?s)<[^>]+>")
 _P = re.compile(r"(?is)<p\b[^>]*>(.*?)</p\s*>")

@@ -44,6 +44,31 @@ def test_canonicalize_and_surnames(spark):
     assert resolve.resolve_surnames(rows(spark, ("Abinader", "P")), surnames).first()["name"] == "Luis Abinader"
 
 
+def test_titles_leave_organisations_alone(spark):
+    none, nobody = spark.createDataFrame([], ALIAS), spark.createDataFrame([], "surname string, full_name string")
+    out = resolve.canonicalize(rows(spark, ("General Motors", "O", 2), ("General Pérez", "P", 1)), none, nobody).collect()
+    assert {(r["name"], r["type"]) for r in out} == {("General Motors", "ORG"), ("Pérez", "PERSON")}
+
+
+def test_stored_rows_fill_from_the_first_in_order(spark):
+    none, nobody = spark.createDataFrame([], ALIAS), spark.createDataFrame([], "surname string, full_name string")
+    schema = "id long, article_id long, name string, type string, mentions_count long, sentiment_toward string, sentiment_score double, context string"
+    stored = [(1, 9, "ACME corp", "ORG", 1, "POS", 0.5, None), (2, 9, "Acme Corp", "ORG", 5, None, None, None), (3, 9, "acme corp", "ORG", 3, "NEG", 0.9, "last"), (4, 8, "Solo", "ORG", 1, None, 0.4, None)]
+    out = {r["article_id"]: r for r in resolve.merge_stored_mentions(spark.createDataFrame(stored, schema), none, nobody).collect()}
+    # The target's name is the last row's, which is there already, so that row stays; the first row in order fills.
+    assert (out[9]["id"], out[9]["sentiment_toward"], out[9]["context"], out[9]["mentions_count"], out[9]["merged"]) == (3, "NEG", "last", 9, 2)
+    renamed = [(k, 9, n, "ORG", c, s, x, None) for k, n, c, s, x in ((1, "ACME corp", 1, "POS", 0.5), (2, "Acme Corp", 5, None, None), (3, "acme corp", 3, "NEG", 0.9))]
+    alias = spark.createDataFrame([(1, "acme corp", "acme corp", "Acme Corporation", "ORG", True)], ALIAS)
+    r = resolve.merge_stored_mentions(spark.createDataFrame(renamed, schema), alias, nobody).first()
+    assert (r["id"], r["name"], r["sentiment_toward"], r["sentiment_score"], r["mentions_count"]) == (2, "Acme Corporation", "POS", 0.5, 9)
+    assert out[8]["sentiment_score"] == 0.4
+
+
+@pytest.mark.parametrize("text, reason", [("Servicio saturado", "rate_limit"), ("LÍMITE DIARIO", "rate_limit"), ("rate exceeded", "rate_limit"), ("HTTP 429", "other"), ("Timed out", "timeout"), ("boom", "other")])
+def test_fallback_reasons(spark, text, reason):
+    assert [tuple(r) for r in verify.fallback_reasons(spark.createDataFrame([(text,), (None,)], "error string")).collect()] == [(reason, 1)]
+
+
 def test_aliases_replace_name_and_type(spark):
     a = spark.createDataFrame([(1, "PLD", "pld", "Partido", "ORG", True), (2, "x", "x", "Y", "ORG", False)], ALIAS)
     out = resolve.resolve_aliases(rows(spark, ("P.L.D.", "P"), ("X", "P")), a).collect()
