@@ -6,8 +6,9 @@ labelled table, adds spans that the patterns do not describe: secrets, and numbe
 or addresses in other spellings.  It decodes every word of every text, each text
 as one chain from its first word to its last.  A word's emission is a sum of four
 table rows, by its own shape and by the shapes and cue words beside it, so shapes
-are looked at once each and texts of about one length are decoded together by
-Viterbi.  What the field marks is trimmed of punctuation and added unless it lies
+are looked at once each.  Where a word's lead for the ordinary label is more than its
+neighbours could ever outweigh, the chain is cut, which changes no label, and
+pieces of about one length are decoded together by Viterbi.  What the field marks is trimmed of punctuation and added unless it lies
 over a base span or cannot be what it is marked as: a card number must pass Luhn,
 an address must parse, a phone number has 10 to 15 digits, an e-mail address an at
 sign and a dot.
@@ -39,7 +40,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-#: Words, with padding, of the texts that are decoded together; a longer text is decoded alone.
+#: Words, with padding, of the pieces that are decoded together; a longer piece is decoded alone.
 TOGETHER = 1 << 16
 #: Shapes that a task remembers.
 SHAPES = 200_000
@@ -218,6 +219,11 @@ class Crf:
             out[here] += np.where((row[here] == row[there])[:, None], beside[there], 0)
         return out
 
+    def margins(self) -> np.ndarray:
+        """For each label but O, how much the moves beside a word can speak for it against O at most."""
+        m = self.moves
+        return np.maximum((m[:, 1:] - m[:, :1]).max(axis=0), 0) + np.maximum((m[1:] - m[:1]).max(axis=1), 0)
+
     def viterbi(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best labels of a batch of windows; emissions is windows x words x labels."""
         n, steps, _ = emissions.shape
@@ -376,14 +382,25 @@ def decoded(buf: np.ndarray, offsets: np.ndarray, n: int, model: Crf) -> tuple[n
         return (np.empty(0, np.int64),) * 4
     row = owners(starts, offsets)
     scores = model.emissions(buf, starts, ends, row)
-    first = np.searchsorted(row, np.arange(n + 1))
-    size = np.diff(first)
+    # Where no neighbours can make another label better than O, the chain falls apart without a loss.
+    lead = scores[:, :1] - scores[:, 1:]
+    free = np.flatnonzero((lead <= model.margins()).any(axis=1))
     labels = np.zeros(len(starts), np.int8)
+    if not len(free):
+        return (np.empty(0, np.int64),) * 4
+    head = np.concatenate(([True], (np.diff(free) > 1) | (row[free[1:]] != row[free[:-1]])))
+    first = free[head]
+    size = np.diff(np.append(np.flatnonzero(head), len(free)))
+    last = first + size - 1
+    inner = np.flatnonzero((first > 0) & (row[first - 1] == row[first]))
+    scores[first[inner]] += model.moves[0]
+    inner = last[(last + 1 < len(row)) & (row[np.minimum(last + 1, len(row) - 1)] == row[last])]
+    scores[inner] += model.moves[:, 0]
     order = np.argsort(size, kind="stable")
-    hi = int(np.searchsorted(size[order], 1))
-    while hi < n:
+    hi, n_parts = 0, len(order)
+    while hi < n_parts:
         lo, hi = hi, hi + 1
-        while hi < n and (hi - lo + 1) * size[order[hi]] <= TOGETHER:
+        while hi < n_parts and (hi - lo + 1) * size[order[hi]] <= TOGETHER:
             hi += 1
         part = order[lo:hi]
         inside = np.arange(size[part].max()) < size[part][:, None]

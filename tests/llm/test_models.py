@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.llm import common, langid, pii, quality_rules, toxicity
+from inkspan.llm.common import passes
 from inkspan.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -221,6 +222,28 @@ def test_emissions_are_sums_of_features():
         assert np.allclose(got, want)
 
 
+def test_pieces_have_the_labels_of_the_whole_chain():
+    model = pii.train(pii.labelled_rows(), epochs=4)  # few rounds, so that labels are not clear
+    rng = random.Random(6)
+    pool = [w for ws, _ in pii.labelled_rows() for w in ws]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(1, 60))) for _ in range(150)]
+    whole = 0
+    for _, n, buf, off in passes(pa.array(texts)):
+        row, start, _, label = pii.decoded(buf, off, n, model)
+        got = {(int(s), int(x)) for s, x in zip(start, label, strict=True)}
+        starts, ends = common.words(buf)
+        of = common.owners(starts, off)
+        e = model.emissions(buf, starts, ends, of)
+        want = set()
+        for k in range(n):
+            mine = np.flatnonzero(of == k)
+            path = model.viterbi(e[mine][None], np.array([len(mine)]))[0]
+            want |= {(int(starts[i]), int(x)) for i, x in zip(mine, path, strict=True) if x}
+        assert got == want
+        whole += len(got)
+    assert whole > 100
+
+
 def test_added_spans_on_held_out_rows():
     """Recall and precision of spans that the patterns miss, on rows unlike the labelled ones in words and numbers."""
     rng = random.Random(12)
