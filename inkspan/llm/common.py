@@ -96,9 +96,9 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
 
 def runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the stretches where flag holds."""
-    padded = np.zeros(len(flag) + 2, dtype=np.int8)
+    padded = np.zeros(len(flag) + 2, dtype=bool)
     padded[1:-1] = flag
-    edges = np.flatnonzero(np.diff(padded))
+    edges = np.flatnonzero(padded[1:] != padded[:-1])
     return edges[::2], edges[1::2]
 
 
@@ -177,7 +177,7 @@ def stored(df: DataFrame):
     """df as a Parquet table in the shared folder, for as long as the block lasts."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # hashes do not repeat
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:

@@ -115,7 +115,11 @@ def band_keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarr
     keys[short] = mix(h[short, None] + np.arange(BANDS, dtype=np.uint64))
     full = np.flatnonzero(~short)
     if len(full):
-        x = (mix(eights(low).copy()) >> np.uint64(32)).astype(np.uint32)
+        x = eights(low) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x >>= np.uint64(32)
+        x = x.astype(np.uint32)
         # Every other stretch is a line's shingles; the ones between are not looked at.
         bounds = np.stack((starts[full], ends[full] - SHINGLE + 1), axis=1).ravel()
         for band in range(BANDS):
@@ -126,7 +130,8 @@ def band_keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarr
     return keys.view(np.int64)
 
 
-_LINES = "doc long, doc_id long, number int, h long, keys array<long>"
+_KEYS = [f"key{k}" for k in range(BANDS)]
+_LINES = "doc long, doc_id long, number int, h long, " + ", ".join(f"{k} long" for k in _KEYS)
 
 
 def _line_rows(batches):
@@ -149,11 +154,12 @@ def _line_rows(batches):
         at, keys = np.concatenate(at), np.concatenate(keys)
         _, once = np.unique(h[at], return_index=True)
         once.sort()
-        have = np.zeros(seen, dtype=bool)
-        have[at[once]] = True
-        ends = np.concatenate(([0], np.cumsum(have * BANDS))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[once].ravel()))
-        yield pa.RecordBatch.from_arrays([*[c.take(take) for c in docs], pa.array(np.concatenate(numbers).astype(np.int32)), pa.array(h), lists], names=["doc", "doc_id", "number", "h", "keys"])
+        bare = np.ones(seen, dtype=bool)
+        bare[at[once]] = False
+        full = np.zeros((BANDS, seen), np.int64)
+        full[:, at[once]] = keys[once].T
+        columns = [pa.array(k, mask=bare) for k in full]
+        yield pa.RecordBatch.from_arrays([*[c.take(take) for c in docs], pa.array(np.concatenate(numbers).astype(np.int32)), pa.array(h), *columns], names=["doc", "doc_id", "number", "h", *_KEYS])
 
 
 def _propose(batches):
@@ -324,7 +330,7 @@ def line_groups(d: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     parts = shuffle_partitions(d.sparkSession)
     # One shuffle brings the lines of a key together and sorts them; what it proposes is far smaller and is written.
-    dealt = lines.select(F.explode("keys").alias("key"), "h").repartition(parts, "key").sortWithinPartitions("key", "h")
+    dealt = lines.filter("key0 IS NOT NULL").select(F.explode(F.array(*_KEYS)).alias("key"), "h").repartition(parts, "key").sortWithinPartitions("key", "h")
     proposed = cut(dealt.mapInArrow(_propose, "a long, h long, key long"))
     wanted = cut(proposed.select(F.explode(F.array("a", "h")).alias("h")).distinct())
     holders = lines.select("h", "doc").join(F.broadcast(wanted) if is_small(wanted) else wanted, "h", "left_semi").groupBy("h").agg(F.min("doc").alias("doc"))
@@ -339,13 +345,18 @@ def dropped_lines(d: DataFrame) -> DataFrame:
     """(doc, lost): for each document that loses lines, their numbers and hashes."""
     with stored(d.mapInArrow(_line_rows, _LINES)) as lines:
         label, more = line_groups(d, lines)
+        # Only lines that stand twice or have near duplicates are looked at further.
+        again = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+        near = label.select(F.col("id").alias("h")).unionByName(more.select(F.col("id").alias("h")))
+        some = again.unionByName(near).distinct()
+        some = some.join(F.broadcast(label) if is_small(label) else label, some["h"] == label["id"], "left").select("h", F.coalesce("component", "h").alias("own"))
+        some = some.join(F.broadcast(more) if is_small(more) else more, some["own"] == more["id"], "left")
+        # Written, so that a line or a group that holds very many rows meets them in a join that can be split.
+        some = cut(some.select("h", F.coalesce("component", "own").alias("group")))
         place = F.struct("doc_id", "number", "doc")
-        first = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-        first = first.join(F.broadcast(label) if is_small(label) else label, first["h"] == label["id"], "left").select("h", "n", "first", F.coalesce("component", "h").alias("own"), F.col("component").isNotNull().alias("near"))
-        first = first.join(F.broadcast(more) if is_small(more) else more, first["own"] == more["id"], "left").filter("n > 1 OR near OR component IS NOT NULL")
-        first = cut(first.select("h", "first", F.coalesce("component", "own").alias("group")))
-        winners = first.groupBy("group").agg(F.min("first").alias("winner"))
-        losing = lines.select("doc", "doc_id", "number", "h").join(first.join(winners, "group").select("h", "winner"), "h").filter(~place.eqNullSafe(F.col("winner")))
+        met = cut(lines.select("doc", "doc_id", "number", "h").join(F.broadcast(some) if is_small(some) else some, "h"))
+        winners = cut(met.groupBy("group").agg(F.min(place).alias("winner")))
+        losing = met.join(F.broadcast(winners) if is_small(winners) else winners, "group").filter(~place.eqNullSafe(F.col("winner")))
         # A document's lost lines are no more than its text has.
         return cut(losing.groupBy("doc").agg(F.collect_set(F.struct("number", "h")).alias("lost")))
 
