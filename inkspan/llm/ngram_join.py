@@ -22,8 +22,11 @@ costs about one comparison for each member.
 
 Defined results: null and empty texts, and texts without a word, have no
 shingles and are components of their own; a null identifier takes part, but a
-component's smallest identifier is null only if all are; repeated rows link; an
-empty table gives an empty result; other columns of the input are not read.
+component's smallest identifier is null only if all are; repeated rows link, and
+rows of one identifier with different texts are documents of their own; a very long
+text is one set, held by one task; an empty table gives an empty result; other
+columns of the input, whatever their names, are carried by `keep_one` and else not
+read.
 """
 
 from __future__ import annotations
@@ -138,7 +141,7 @@ def _nodes(levels: Broadcast, shingle: int = SHINGLE, percent: int = PERCENT):
                     ranked = np.sort(np.partition(ranked, p - 1)[:p])
                     node.append(_node(s)), prefix.append(ranked.tobytes())
                     group.append(_node(np.append(ranked, np.uint64(size))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip((n_, node, group, prefix), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], names=["doc_id", "n", "node", "group", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("doc_id"), *[pa.array(c, t) for c, t in zip((n_, node, group, prefix), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], names=["doc", "doc_id", "n", "node", "group", "prefix"])
 
     return run
 
@@ -285,13 +288,18 @@ def verified(d: DataFrame, nodes: DataFrame, group_pairs: DataFrame, shingle: in
     return cut(both.select("a", "b", "x", "y").mapInArrow(lambda batches: _verify(batches, shingle, percent), "a long, b long, ok boolean").filter("ok").select("a", "b"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str):
+    """A hash of identifier and text: rows alike in both have one."""
+    return F.xxhash64(F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, doc_id, n, node), one per document, and their nodes (node, doc_id, label); documents of one component share a label."""
     spark = docs.sparkSession
     tune(spark)
     parts = shuffle_partitions(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(d.mapInArrow(_nodes(rarity(d, shingle), shingle, percent), "doc_id long, n long, node long, `group` long, prefix binary"))
+    d = docs.select(_keyed(docs, id_col, text_col).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = cut(d.mapInArrow(_nodes(rarity(d, shingle), shingle, percent), "doc long, doc_id long, n long, node long, `group` long, prefix binary"))
     full = rows.filter("n > 0")
     nodes = cut(full.groupBy("node", "group", "n").agg(F.min("doc_id").alias("doc_id")))
     groups = full.select("group", "n", "prefix").groupBy("group", "n").agg(F.first("prefix").alias("prefix"))
@@ -320,18 +328,31 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = connected(links.unionByName(more[0]).unionByName(more[1]))
 
     named = nodes.join(label, nodes["node"] == label["id"], "left").select("node", "doc_id", F.coalesce("component", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.select("node", "label").join(least, "label").select(F.col("node").alias("of"), "component_id")
-    out = rows.select("doc_id", "n", "node").join(by_node, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
+    return rows.select("doc", "doc_id", "n", "node"), cut(named)
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    rows, named = labelled(docs, id_col, text_col, shingle, percent)
+    least = cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    by_node = cut(named.select("node", "label").join(least, "label").select(F.col("node").alias("of"), "component_id"))
+    out = rows.join(by_node, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with the document of the smallest identifier left of each component."""
-    found = cut(components(docs, id_col, text_col, shingle, percent))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("doc_id", "_kept")
-    out = docs.join(kept.select("_kept"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return out if kept.filter("_n > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
+    """docs with one document left of each component: that of the smallest identifier, nulls last, then of the smallest text hash.
+
+    Documents without a word stay; of rows alike in identifier and text one stays.
+    """
+    rows, named = labelled(docs, id_col, text_col, shingle, percent)
+    of = rows.filter("n > 0").select("doc", "doc_id", "node").join(named.select("node", "label"), "node")
+    first = of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "doc")).alias("x")).select("x.doc")
+    kept = cut(first.unionByName(rows.filter("n = 0").select("doc")).distinct())
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _keyed(docs, id_col, text_col).alias("doc"))
+    out = tagged.join(kept, "doc", "left_semi")
+    again = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").join(kept, "doc", "left_semi")
+    return (out if again.isEmpty() else out.dropDuplicates(["doc"])).select("row.*")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

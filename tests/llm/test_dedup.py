@@ -111,6 +111,17 @@ def test_ngram_join_odd_rows(odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 5, 7]
 
 
+def test_keep_one_of_repeated_identifiers_and_clashing_columns(spark):
+    """Near copies under one identifier count as two documents; an unrelated text under a kept identifier goes by itself."""
+    rng = random.Random(3)
+    a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+    rows = [(5, " ".join(a)), (5, " ".join([*a[:-1], "other"])), (3, " ".join(b)), (5, " ".join(b)), (None, " ".join(c)), (None, " ".join(c)), (None, None), (9, "")]
+    docs = spark.createDataFrame([(*r, k, k, k, k) for k, r in enumerate(rows)], "doc_id long, text string, doc long, node long, _Kept long, `row` long")
+    out = ngram_join.keep_one(docs, shingle=3, percent=80)
+    got = [(r["doc_id"], (r["text"] or "").split(" ")[0]) for r in out.collect()]
+    assert out.columns == docs.columns and Counter(got) == Counter([(5, a[0]), (3, b[0]), (None, c[0]), (None, ""), (9, "")])
+
+
 def test_empty_tables(spark, documents):
     none = documents([])
     assert ngram_join.components(none).count() == 0 and exact_groups(none).count() == 0
