@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import WHITE, cut, lower_ascii, passes, read, span_hash, tune
+from inkspan.llm.common import WHITE, cut, lower_ascii, passes, read, same_spans, span_hash, tune
 
 CAPACITY = 4096
 END_ID = 1
@@ -60,20 +60,20 @@ class UnitIds:
         self._empty()
 
     def _empty(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, "<u4")
         self.start = np.zeros(1 << 16, np.int64)
 
-    def find(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
-        """(start in self.ids, length) of each unit of distinct hashes; text_of(k) is the k-th unit's text."""
+    def find(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(start in self.ids, length) of each unit; units are known by their bytes."""
         if len(self.place) > CACHE_UNITS:
             self._empty()
         known = self.place
-        at = np.fromiter(map(known.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
+        at = np.fromiter(map(known.get, texts, repeat(-1)), np.int64, len(texts))
         missing = np.flatnonzero(at < 0)
         for lo in range(0, len(missing), 5000):
             part = missing[lo : lo + 5000]
-            found = [e.ids for e in self.encode([text_of(k) for k in part.tolist()], add_special_tokens=False)]
+            found = [e.ids for e in self.encode([texts[k].decode() for k in part.tolist()], add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             n, base = len(known), self.start[len(known)]
             while n + len(part) + 1 > len(self.start):
@@ -83,7 +83,7 @@ class UnitIds:
             self.ids[base : base + lengths.sum()] = np.fromiter(chain.from_iterable(found), "<u4", int(lengths.sum()))
             self.start[n + 1 : n + 1 + len(part)] = base + np.cumsum(lengths)
             at[part] = np.arange(n, n + len(part))
-            known.update(zip(hashes[part].tolist(), range(n, n + len(part)), strict=True))
+            known.update(zip([texts[k] for k in part.tolist()], range(n, n + len(part)), strict=True))
         return self.start[at], self.start[at + 1] - self.start[at]
 
 
@@ -106,6 +106,16 @@ def units(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, bounds[first], bounds[1:][first[:-1]]
 
 
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, inverse) of the different spans, found by hash and held to their bytes: one that is not its first's is a span of its own."""
+    h, first, inverse = np.unique(span_hash(buf, starts, ends), return_index=True, return_inverse=True)
+    n = ends - starts
+    one = first[inverse]
+    apart = np.flatnonzero((n != n[one]) | ~same_spans(buf, starts, starts[one], np.minimum(n, n[one])))
+    inverse[apart] = len(first) + np.arange(len(apart))
+    return np.concatenate((first, apart)), inverse
+
+
 def _tokenise(path: str, capacity: int, end_id: int):
     def run(batches):
         if path not in _known:
@@ -115,13 +125,13 @@ def _tokenise(path: str, capacity: int, end_id: int):
             doc_ids, out = b.column("doc_id").to_pylist(), [[], [], [], [], []]
             for lo, n, buf, offsets in passes(b.column("text")):
                 low, starts, ends = units(buf)
-                h, first, inverse = np.unique(span_hash(low, starts, ends), return_index=True, return_inverse=True)
-                raw, s, e = low.tobytes(), starts[first].tolist(), ends[first].tolist()
-                at, many = table.find(h, lambda k, raw=raw, s=s, e=e: raw[s[k] : e[k]].decode())
+                first, inverse = distinct(low, starts, ends)
+                raw = low.tobytes()
+                at, many = table.find([raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
                 source = np.append(table.ids[: table.start[len(table.place)]], np.uint32(end_id))
                 at, many = np.append(at, len(source) - 1), np.append(many, 1)
                 text_ends = np.searchsorted(starts, offsets[1:])
-                seq = np.insert(inverse, text_ends, len(h))
+                seq = np.insert(inverse, text_ends, len(first))
                 length = many[seq]
                 total = np.concatenate(([0], np.cumsum(length)))
                 ids = source[np.repeat(at[seq] - total[:-1], length) + np.arange(total[-1])].astype("<u4")

@@ -177,6 +177,17 @@ def test_packing_odd_rows(odd, documents):
     assert packing.pack_documents(documents([])).count() == 0
 
 
+def test_units_of_one_hash_stay_apart(documents, monkeypatch):
+    """Even if all spans of a length hash alike, units are told apart by their bytes."""
+    monkeypatch.setattr(packing, "span_hash", lambda buf, starts, ends: (ends - starts).astype("uint64"))
+    import numpy as np
+
+    buf = np.frombuffer(b"uno dos uno abc abcdefghij abcdefghik abcdefghij", np.uint8)
+    starts, ends = np.array([0, 4, 8, 12, 16, 27, 38]), np.array([3, 7, 11, 15, 26, 37, 48])
+    first, inverse = packing.distinct(buf, starts, ends)
+    assert [buf[starts[k] : ends[k]].tobytes() for k in first[inverse]] == [buf[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]
+
+
 def test_units_equal_whole_texts(documents):
     rng = random.Random(5)
     parts = ["Hello", "don't", "WORLD!!", "<|endoftext|>", "<|EndOfText|>.", "Ünï", "áb", "x y", "—.", "×.", "٣٤", "naïve,", "'s", "I'LL", "...", "é.É,", "ǅ.", "İstanbul.", "ΣΑΣ.", "日本語。", "a.b.c", "​", "&amp;", "3.14%", "ß.", "<|startoftext|>x"]
