@@ -6,20 +6,21 @@ All but the last return the columns of `documents`.
 
 Rows that the stages meet outside the ordinary: a null or empty text passes
 toxicity and line dedup, is no near duplicate of anything, has no words to mix
-and so leaves with zero copies or as many as its source gets whole; repeated
-rows count as near duplicates, and one stays; empty tables pass through.
+and so leaves with the copies that are certain in its source, often none; repeated
+rows count as near duplicates, and one stays; rows of one identifier with different
+texts are judged by their texts; very long texts are read whole; extra columns are
+carried, whatever their names; empty tables pass through.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from inkspan.llm.common import fold, read
+from inkspan.llm.common import fold, read, remove, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,16 +59,22 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: Models, MinHash and tokenizers have no SQL; tests hold the stages against brute force.
+#: Models, MinHash and tokenizers have no SQL; tests hold the stages against brute force where they have one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared folder and reread."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    docs = read(spark, sf_dir, "documents")
+    """Apply the stages to documents; each result is written to the shared folder and reread.
+
+    A stage's table is removed when the next one is written; the last stays.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
