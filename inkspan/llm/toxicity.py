@@ -25,8 +25,8 @@ own, so leaving them out of the table changes nothing.
 
 Defined results: null and empty texts have no evidence and get the score of the
 curve's base rate; without labelled rows of both classes every score is 0;
-several labels of one document count as toxic if one is; rows alike in text are
-scored alike; a very long text is read whole, in passes of its words; an empty
+several labels of one document count as toxic if one is; labelled rows alike in
+text and label are learnt from once; rows alike in text are scored alike; a very long text is read whole, in passes of its words; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -250,7 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     chosen = cut(bounded_sample(known.filter("toxic = 1"), mark, sample_rows).unionByName(bounded_sample(known.filter("toxic <> 1"), mark, sample_rows)))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     # Which rows fit the models and which the curve.
-    sample = cut(d.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3))))
+    # Copies of a text count once, and all go to the same part.
+    copies = d.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("text"))
+    sample = cut(copies.dropDuplicates(["toxic", "h"]).withColumn("part", F.pmod(F.xxhash64("h", F.lit(9)), F.lit(3))))
     sizes = {(bool(r["m"]), r["toxic"]): r["n"] for r in sample.groupBy((F.col("part") != 0).alias("m"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not all(sizes.get((m, c)) for m in (True, False) for c in (0, 1)):
         return Scorer(None, None)
