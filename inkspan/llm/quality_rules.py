@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import cut, mix, owners, passes, read, span_hash, tune, words
@@ -94,16 +94,17 @@ def host_rates(stats: DataFrame, rules: dict[str, str] = HOST_RULES) -> DataFram
     """One row per host: host, n, and for each rule its shrunk failure rate."""
     fails = [F.sum(F.expr(c).cast("long")).alias(f"f_{r}") for r, c in rules.items()]
     hosts = stats.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *fails)
-    every = Window.partitionBy()
+    # What holds for all hosts is one row, by sums that are combined before they meet.
+    means = hosts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), *[(F.sum(f"f_{r}") / F.sum("n")).alias(f"m_{r}") for r in rules])
+    hosts = hosts.crossJoin(F.broadcast(means))
+    spreads = hosts.agg(*[(F.sum(F.col("n") * F.pow(F.col(f"f_{r}") / F.col("n") - F.col(f"m_{r}"), 2)) / F.max("total")).alias(f"v_{r}") for r in rules])
+    hosts = hosts.crossJoin(F.broadcast(spreads))
     for r in rules:
-        f = F.col(f"f_{r}")
-        mean = F.sum(f).over(every) / F.sum("n").over(every)
-        spread = F.sum(F.col("n") * F.pow(f / F.col("n") - mean, 2)).over(every) / F.sum("n").over(every)
-        by_chance = mean * (1 - mean) * F.count(F.lit(1)).over(every) / F.sum("n").over(every)
-        between = F.greatest(spread - by_chance, F.lit(1e-6))
+        mean = F.col(f"m_{r}")
+        between = F.greatest(F.col(f"v_{r}") - mean * (1 - mean) * F.col("k") / F.col("total"), F.lit(1e-6))
         weight = F.least(F.greatest(mean * (1 - mean) / between - 1, F.lit(1.0)), F.lit(1000.0))
-        hosts = hosts.withColumn(f"rate_{r}", (f + mean * weight) / (F.col("n") + weight))
-    return hosts.drop(*[f"f_{r}" for r in rules])
+        hosts = hosts.withColumn(f"rate_{r}", (F.col(f"f_{r}") + mean * weight) / (F.col("n") + weight))
+    return hosts.select("host", "n", *[f"rate_{r}" for r in rules])
 
 
 def judged(docs: DataFrame, host_limit: float = HOST_LIMIT, **columns) -> DataFrame:
