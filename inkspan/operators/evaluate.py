@@ -3,36 +3,56 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkspan.functions.text import norm_key
 
-PAIRS = "article_id long, type string, pred_name string, gold_name string, pred_sentiment string, gold_sentiment string"
+# The categories of each labelled field, and the one that any other prediction counts as.
+SENTIMENTS = ["POS", "NEG", "NEU"]
+CATEGORIES = {
+    "framing": (["crisis_conflicto", "logro_institucional", "negligencia", "crecimiento", "denuncia", "neutro_informativo"], "neutro_informativo"),
+    "sentiment_basis": (["hechos_reportados", "discurso_citado", "mixto"], "mixto"),
+    "facts_sentiment": (SENTIMENTS, "NEU"),
+    "quoted_sentiment": (SENTIMENTS, "NEU"),
+    "media_stance": (["neutra_transmisiva", "critica", "favorable", "editorializante"], "neutra_transmisiva"),
+}
+_SIDE = "array<struct<ord:bigint,name:string,type:string,sentiment_toward:string,key:string>>"
 
 
-def _pair(pred: pd.DataFrame, gold: pd.DataFrame) -> pd.DataFrame:
-    """Each gold entity, in order, takes the first free prediction that matches it."""
-    gold = gold.rename(columns=lambda c: c.removeprefix("gold_"))
-    rows = []
-    free = list(pred.sort_values("ord", kind="stable").itertuples(index=False))
-    article = (pred if len(pred) else gold)["article_id"].iloc[0]
-    for g in gold.sort_values("ord", kind="stable").itertuples(index=False):
-        fits = [k for k, p in enumerate(free) if p.type == g.type and p.key and g.key and (f" {g.key} " in f" {p.key} " or f" {p.key} " in f" {g.key} ")]
-        p = free.pop(fits[0]) if fits else None
-        rows.append((article, g.type, p.name if p else None, g.name, p.sentiment_toward if p else None, g.sentiment_toward))
-    rows += [(article, p.type, p.name, None, p.sentiment_toward, None) for p in free]
-    return pd.DataFrame(rows, columns=["article_id", "type", "pred_name", "gold_name", "pred_sentiment", "gold_sentiment"])
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _partners(pred_keys: pd.Series, pred_types: pd.Series, gold_keys: pd.Series, gold_types: pd.Series) -> pd.Series:
+    """For the gold entities of each article, in order, the place of the first free prediction that matches."""
+
+    def pair(pk, pt, gk, gt) -> list[int | None]:
+        free = [(k, f" {key} ", kind) for k, (key, kind) in enumerate(zip(pk, pt, strict=True)) if key]
+        out = []
+        for key, kind in zip(gk, gt, strict=True):
+            fits = [f for f in free if key and f[2] == kind and (f" {key} " in f[1] or f[1] in f" {key} ")]
+            out.append(fits[0][0] if fits else None)
+            if fits:
+                free.remove(fits[0])
+        return out
+
+    return pd.Series([pair(*row) for row in zip(pred_keys, pred_types, gold_keys, gold_types, strict=True)])
 
 
 def match_predictions(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Pairs of predicted and gold entities of each article; a side without a partner is NULL.
 
-    Both sides have article_id, ord, name, type, sentiment_toward.
+    Both sides have article_id, ord, name, type, sentiment_toward.  An article
+    is one row with both sides as arrays, so Python decides on many at a time.
     """
-    sides = [df.select("article_id", "ord", "name", "type", "sentiment_toward", norm_key(F.col("name")).alias("key")) for df in (pred, gold)]
-    labelled = sides[1].toDF(*[f"gold_{c}" for c in sides[1].columns])
-    return sides[0].groupBy("article_id").cogroup(labelled.groupBy("gold_article_id")).applyInPandas(_pair, PAIRS)
+    fields = [F.col("ord").cast("long").alias("ord"), "name", "type", "sentiment_toward", norm_key(F.col("name")).alias("key")]
+    p, g = (df.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(side)) for df, side in ((pred, "p"), (gold, "g")))
+    j = p.join(g, "article_id", "full").withColumns({c: F.coalesce(c, F.array().cast(_SIDE)) for c in ("p", "g")})
+    j = j.withColumn("to", _partners("p.key", "p.type", "g.key", "g.type"))
+    row = lambda kind, x, y: F.struct(kind.alias("type"), x["name"].alias("pred_name"), y["name"].alias("gold_name"), x["sentiment_toward"].alias("pred_sentiment"), y["sentiment_toward"].alias("gold_sentiment"))
+    none = F.lit(None).cast(T.StructType.fromDDL("ord long, name string, type string, sentiment_toward string, key string"))
+    of_gold = F.transform(F.arrays_zip("g", "to"), lambda z: row(z["g"]["type"], F.get("p", z["to"]), z["g"]))
+    free = F.filter(F.transform("p", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: ~F.coalesce(F.array_contains("to", z["i"]), F.lit(False)))
+    return j.select("article_id", F.explode(F.concat(of_gold, F.transform(free, lambda z: row(z["x"]["type"], z["x"], none)))).alias("r")).select("article_id", "r.*")
 
 
 def _ratio(a: str, b: str):
@@ -84,6 +104,39 @@ def flag_metrics(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return rates(d.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]))
 
 
+def _field(gold: Column, pred: Column, categories: list[str], fallback: str) -> Column:
+    """Accuracy, labelled rows and confusion counts of one field, as one aggregate."""
+    shown = F.when(pred.isin(*categories), pred).otherwise(fallback)
+    n = lambda c: F.count(F.when(c, 1))
+    labelled = n(gold.isin(*categories))
+    cells = [x for g in categories for p in categories for x in (F.lit(f"{g}->{p}"), n((gold == g) & (shown == p)))]
+    accuracy = F.when(labelled > 0, F.round(n(gold.isin(*categories) & (gold == shown)) / labelled, 4))
+    return F.struct(accuracy.alias("accuracy"), labelled.alias("n_labeled"), F.create_map(*cells).alias("confusion_matrix"))
+
+
+def evaluate(pred: DataFrame, gold: DataFrame, pred_entities: DataFrame, gold_entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(report, by article): everything that a labelled set says of an analyzer, in one row and for each article.
+
+    pred and gold have article_id, overall_sentiment, the fields of CATEGORIES
+    and content_flags; gold also entities_exhaustive.  An article without a
+    prediction counts as predicted with the fallbacks.
+    """
+    fields = ["overall_sentiment", *CATEGORIES, "content_flags"]
+    j = gold.join(pred.select("article_id", *[F.col(f).alias(f"_{f}") for f in fields]), "article_id", "left")
+    matrices = [_field(F.col(f), F.col(f"_{f}"), *rule).alias(f) for f, rule in CATEGORIES.items()]
+    head = j.agg(F.count(F.lit(1)).alias("n_articles"), _field(F.col("overall_sentiment"), F.col("_overall_sentiment"), SENTIMENTS, "NEU").alias("overall_sentiment"), F.struct(*matrices).alias("category_matrices"))
+    pairs = match_predictions(pred_entities, gold_entities)
+    metrics = entity_metrics(pairs, gold.select("article_id", "entities_exhaustive"))
+    rest = F.struct(*[c for c in metrics.columns if c not in ("type", "overall")])
+    by_type = F.map_from_entries(F.filter(F.collect_list(F.when(~F.col("overall"), F.struct("type", rest.alias("m")))), lambda e: e["type"].isNotNull()))
+    entities = metrics.agg(F.struct(F.first(F.when(F.col("overall"), rest), ignorenulls=True).alias("overall"), by_type.alias("by_type")).alias("entities"))
+    flags = flag_metrics(j, "content_flags", "_content_flags")
+    report = head.crossJoin(F.broadcast(entities)).crossJoin(F.broadcast(flags.select(F.struct(*flags.columns).alias("content_flags"))))  # one row each
+    n = pairs.groupBy("article_id").agg(F.count(F.lit(1)).alias("entity_pairs"))
+    each = j.join(n, "article_id", "left").select("article_id", F.col("overall_sentiment").alias("gold"), F.col("_overall_sentiment").alias("predicted"), "entities_exhaustive", F.coalesce("entity_pairs", F.lit(0)).alias("entity_pairs"))
+    return report, each
+
+
 def report_json(metrics: DataFrame) -> DataFrame:
     """Each row as one JSON text."""
     return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("report"))

@@ -11,12 +11,51 @@ from inkspan.functions.dates import local_day_start
 from inkspan.functions.lexicon import any_of, plain
 from inkspan.functions.text import PARTICLES, finds, norm_key, strip_accents
 from inkspan.functions.urls import url_section
+from inkspan.operators.resolve import ACTORS
 
 # Sections whose political names are never the topic; words and names that are no mention.
 OTHER_SECTIONS = [
     "entretenimiento", "farandula", "espectaculos", "deportes", "el-deporte", "la-vida", "vivir", "moda", "gente",
     "loterias", "horoscopo", "turismo", "gastronomia",
 ]
+# What an article on politics names.
+TOPIC_TERMS = [
+    "presidencia de la republica", "poder ejecutivo", "palacio nacional",
+    "senado", "senador", "senadora", "camara de diputados", "diputado", "diputada",
+    "congreso nacional", "junta central electoral", "jce", "tribunal superior electoral",
+    "tribunal constitucional", "suprema corte de justicia", "procuraduria general",
+    "procurador general", "ministerio de la presidencia", "ayuntamiento", "sindico",
+    "sindica", "regidor", "regidora", "gabinete ministerial", "cancilleria",
+    "poder judicial", "camara de cuentas", "defensor del pueblo", "consejo de estado",
+    "junta electoral", "liga municipal dominicana", "consultoria juridica",
+    "contraloria general de la republica", "consejo nacional de la magistratura",
+    "consejo economico y social",
+    "alcaldia", "vicealcalde", "vicealcaldesa", "concejal", "distrito municipal", "fedomin",
+    "partido revolucionario moderno", "partido de la liberacion dominicana",
+    "fuerza del pueblo", "partido revolucionario dominicano",
+    "partido reformista social cristiano", "prm", "pld", "prd", "prsc", "fp",
+    "gente de dominguez", "opcion democratica", "partido politico",
+    "partido revolucionario independiente", "pri", "partido civico renovador", "pcr",
+    "partido humanista dominicano", "phd", "partido verde dominicano",
+    "partido fuerza nacional progresista", "fnp", "dominicanos por el cambio", "dxc",
+    "alianza pais", "movimiento patria para todos", "mpt",
+    "luis abinader", "abinader", "danilo medina", "leonel fernandez", "abel martinez",
+    "guillermo moreno", "hipolito mejia", "raquel pena", "carolina mejia", "victor orlando bisono",
+    "elecciones", "campana electoral", "candidato presidencial",
+    "candidata presidencial", "candidatura", "reforma constitucional",
+    "presupuesto nacional", "gobierno dominicano", "oposicion politica",
+    "proyecto de ley", "decreto presidencial", "consulta popular",
+    "boletin electoral", "encuesta electoral", "precandidato", "precandidata",
+    "alcalde", "alcaldesa", "vicepresidenta de la republica", "vicepresidente de la republica",
+    "elecciones municipales", "elecciones congresuales", "elecciones generales",
+    "elecciones presidenciales", "primarias electorales", "padron electoral",
+    "colegio electoral", "recinto electoral", "mesa electoral", "escrutinio electoral",
+    "fraude electoral", "delito electoral", "observador electoral",
+    "segunda vuelta electoral", "registro electoral", "reglamento electoral",
+    "delegado electoral", "delegada electoral",
+    "asamblea nacional revisora", "reforma a la constitucion", "enmienda constitucional",
+    "veto presidencial", "comision permanente", "ley electoral", "ley de partidos",
+]
 STOP_NAMES = ["foto", "video", "listín", "listin", "diario", "libre"]
 GENERIC_ORGS = ["republica", "estado", "nacion", "pais", "administracion"]
 KNOWN_BRANDS = ["instagram", "facebook", "twitter", "x", "tiktok", "youtube", "whatsapp", "telegram", "linkedin"]
@@ -93,7 +132,7 @@ def list_aliases(aliases: DataFrame, q: str | None = None, limit: int = 100, off
     return _page(found.orderBy("alias", "id"), limit, offset, 1000)
 
 
-def is_topic(url: Column, title: Column, body: Column, terms: list[str], blocked: list[str] = OTHER_SECTIONS) -> Column:
+def is_topic(url: Column, title: Column, body: Column, terms: list[str] = TOPIC_TERMS, blocked: list[str] = OTHER_SECTIONS) -> Column:
     """Not in a blocked section, and a term in the title or two different ones in the body."""
     pattern = any_of(terms, longest_first=False)
     in_body = F.size(F.array_distinct(F.regexp_extract_all(plain(F.coalesce(body, F.lit(""))), F.lit(pattern), 0))) >= 2
@@ -135,13 +174,22 @@ def needs_backfill(articles: DataFrame, version: str, schema: int = SCHEMA_VERSI
 
 
 def audit_constraints(articles: DataFrame, mentions: DataFrame, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(rule, n): how many keys break each unique rule, and how many mentions have no article."""
+    """(rule, n): how many keys break each unique rule, and how many rows point to no row.
+
+    References are checked as far as the columns are there: a mention's article
+    and dimension row, and the three actors of an article.
+    """
     def repeated(df: DataFrame, rule: str, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
 
-    orphans = mentions.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    def orphans(df: DataFrame, column: str, to: DataFrame, rule: str) -> DataFrame:
+        lost = df.filter(F.col(column).isNotNull()).join(to.select(F.col("id").alias(column)), column, "left_anti")
+        return lost.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
+
+    links = [(mentions, "article_id", articles, "orphan_mention"), (mentions, "canonical_entity_id", canonical, "orphan_link")]
+    links += [(articles, f"{a}_id", canonical, f"orphan_{a}") for a in ACTORS]
     return reduce(DataFrame.unionByName, [
         repeated(articles, "article_url", "url"), repeated(mentions, "mention", "article_id", "name", "type"),
         repeated(canonical, "canonical", "name", "type"), repeated(aliases, "alias", "alias_key", "type"),
-        orphans.select(F.lit("orphan_mention").alias("rule"), "n"),
+        *[orphans(*link) for link in links if link[1] in link[0].columns],
     ])

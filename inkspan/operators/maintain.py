@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspan.functions.text import norm_key
 from inkspan.functions.urls import canonical_url
 
 REUSE_MINUTES, STALE_MINUTES, KEEP_HOURS = 60, 15, 48
 BUCKETS = (1, 2.5, 5, 10, 20, 30, 60, 120, 300)
-STALE_ERROR = "interrupted"
+STALE_ERROR = "El análisis se interrumpió. Vuelve a intentarlo."  # a fixed value
 PROGRESS = "map<string,struct<status:string,detail:string,updated_at:string>>"
 
 
@@ -32,13 +33,25 @@ def inflight_jobs(jobs: DataFrame, now: Column, minutes: int = STALE_MINUTES) ->
     return _latest(jobs.filter(F.col("status").isin("pending", "running") & _within("created_at", now, minutes)), "url", "created_at")
 
 
+def _swept(now: Column, stale: int, keep_hours: int) -> tuple[Column, Column]:
+    """Whether a job is stale, and whether it goes (a job that just failed too); never for keep_hours of 0."""
+    old = F.col("status").isin("pending", "running") & (F.col("created_at") <= now - F.expr(f"INTERVAL {int(stale)} MINUTES"))
+    over = F.col("status").isin("done", "failed") | old
+    gone = over & (F.col("created_at") <= now - F.expr(f"INTERVAL {int(keep_hours)} HOURS")) if keep_hours > 0 else F.lit(False)
+    return F.coalesce(old, F.lit(False)), F.coalesce(gone, F.lit(False))
+
+
 def sweep_jobs(jobs: DataFrame, now: Column, stale: int = STALE_MINUTES, keep_hours: int = KEEP_HOURS) -> DataFrame:
-    """The jobs after a sweep: stale ones failed, old finished ones (those just failed too) gone."""
-    old = F.col("status").isin("pending", "running") & ~_within("created_at", now, stale)
-    swept = jobs.withColumn("_old", old).withColumn("status", F.when(F.col("_old"), "failed").otherwise(F.col("status"))).withColumn("error", F.when(F.col("_old"), STALE_ERROR).otherwise(F.col("error")))
-    swept = swept.withColumn("finished_at", F.when(F.col("_old"), now).otherwise(F.col("finished_at"))).drop("_old")
-    gone = F.col("status").isin("done", "failed") & (F.col("created_at") < now - F.expr(f"INTERVAL {int(keep_hours)} HOURS"))
-    return swept.filter(~F.coalesce(gone, F.lit(False)))
+    """The jobs after a sweep: stale ones failed and without a stage, old finished ones (those just failed too) gone."""
+    old, gone = _swept(now, stale, keep_hours)
+    failed = {"status": F.lit("failed"), "error": F.lit(STALE_ERROR), "finished_at": now, "stage": F.lit(None)}
+    swept = jobs.filter(~gone).withColumn("_old", old)
+    return swept.withColumns({c: F.when(F.col("_old"), v).otherwise(F.col(c)) for c, v in failed.items() if c in jobs.columns}).drop("_old")
+
+
+def sweep_counts(jobs: DataFrame, now: Column, stale: int = STALE_MINUTES, keep_hours: int = KEEP_HOURS) -> DataFrame:
+    """(interrupted, purged): how many jobs a sweep fails and deletes; one may count as both."""
+    return jobs.agg(*[F.count(F.when(c, 1)).alias(n) for c, n in zip(_swept(now, stale, keep_hours), ("interrupted", "purged"), strict=True)])
 
 
 def triage(requests: DataFrame, articles: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
@@ -75,11 +88,21 @@ def parse_result(jobs: DataFrame, schema: str, column: str = "result_json") -> D
     return jobs.withColumn("result", F.from_json(column, schema))
 
 
-def run_totals(events: DataFrame, discovered: Column, saved: Column, failed: Column) -> DataFrame:
-    """(source, is_total, discovered, saved, failed, status) for each source and over all."""
+def run_totals(events: DataFrame, discovered: Column, saved: Column, failed: Column, cancelled: Column | None = None, broken: Column | None = None) -> DataFrame:
+    """(source, is_total, discovered, saved, failed, status) for each source and over all.
+
+    An event that is cancelled, or broken, makes its source so.  The whole run
+    is cancelled if a source is, and failed only if broken without a source.
+    """
     n = lambda c: F.count(F.when(c, 1))
-    g = events.rollup("source").agg((F.grouping("source") == 1).alias("is_total"), n(discovered).alias("discovered"), n(saved).alias("saved"), n(failed).alias("failed"))
-    return g.withColumn("status", F.when((F.col("saved") == 0) & (F.col("failed") > 0), "failed").otherwise("success"))
+    of = lambda c: F.lit(False) if c is None else F.coalesce(c, F.lit(False))
+    run_broke = of(broken) & F.col("source").isNull()
+    g = events.rollup("source").agg(
+        (F.grouping("source") == 1).alias("is_total"), n(discovered).alias("discovered"), n(saved).alias("saved"), n(failed).alias("failed"),
+        n(of(cancelled)).alias("_cancelled"), n(of(broken)).alias("_broken"), n(run_broke).alias("_run"),
+    ).filter("is_total OR source IS NOT NULL")
+    fails = F.when(F.col("is_total"), F.col("_run") > 0).otherwise(F.col("_broken") > 0)
+    return g.withColumn("status", F.when(fails, "failed").when(F.col("_cancelled") > 0, "cancelled").otherwise("success")).drop("_cancelled", "_broken", "_run")
 
 
 def crawl_run_summary(totals: DataFrame) -> DataFrame:
@@ -127,13 +150,20 @@ def apply_patches(df: DataFrame, patches: DataFrame, fields: list[str], unique:
     return kept, rejected
 
 
+def patch_aliases(aliases: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patched aliases, rejected patches): what is not NULL in a patch (id, alias, canonical_name, type, is_active) is set, and the key follows the alias."""
+    p = patches.select("id", F.trim("alias").alias("alias"), norm_key(F.col("alias")).alias("alias_key"), F.trim("canonical_name").alias("canonical_name"), "type", "is_active")
+    fields = [c for c in p.columns if c != "id"]
+    return apply_patches(aliases, p.withColumns({f"set_{c}": F.col(c).isNotNull() for c in fields}), fields, ["alias_key", "type"])
+
+
 def delete_articles(articles: DataFrame, mentions: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the given articles."""
     return articles.join(ids.select("id"), "id", "left_anti"), mentions.join(ids.select(F.col("id").alias("article_id")), "article_id", "left_anti")
 
 
 def delete_canonical(canonical: DataFrame, linked: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The dimension without the given rows, and mentions with links to them set to NULL."""
+    """The dimension without the given rows, and mentions with links to them set to NULL; for actors see unlink_actors."""
     gone = ids.select(F.col("id").alias("_gone"))
     m = linked.join(gone, F.col("canonical_entity_id") == F.col("_gone"), "left")
     return canonical.join(ids.select("id"), "id", "left_anti"), m.withColumn("canonical_entity_id", F.when(F.col("_gone").isNull(), F.col("canonical_entity_id"))).drop("_gone")

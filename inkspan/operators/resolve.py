@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from inkspan.functions.text import PARTICLES, initials, key_words, norm_key, significant_words, squeeze, strip_title
 
+#: The actors that an analysis names.
+ACTORS = ("dominant_actor", "blamed_actor", "credited_actor")
 _FIELDS = ["article_id", "name", "type", "mentions_count", "sentiment_toward", "sentiment_score", "context", "extraction_confidence"]
 
 
@@ -170,6 +172,41 @@ def match_actors(actors: DataFrame, mentions: DataFrame, aliases: DataFrame) ->
     return j.select("article_id", "actor", F.coalesce("hit", "_name").alias("matched"))
 
 
+def _each_actor(results: DataFrame, found: DataFrame, value: str, suffix: str = "") -> DataFrame:
+    """Look every actor of results up in found (article_id, actor, value); at most one small map an article."""
+    to = found.groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct("actor", value))).alias("_to"))
+    out = results.join(to, "article_id", "left").withColumns({c + suffix: F.col("_to")[F.col(c)] for c in ACTORS})
+    return out.drop("_to", *(ACTORS if suffix else ()))
+
+
+def _actor_names(results: DataFrame) -> DataFrame:
+    return results.select("article_id", F.explode(F.array(*ACTORS)).alias("actor")).filter("actor IS NOT NULL").distinct()
+
+
+def canonicalize_result(results: DataFrame, mentions: DataFrame, aliases: DataFrame, surnames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mentions, results) of whole analyses: canonical mentions, and the three actors of each article re-pointed to them.
+
+    results has article_id, one row each, and the columns of ACTORS; others are kept.
+    """
+    entities = canonicalize(mentions, aliases, surnames)
+    return entities, _each_actor(results, match_actors(_actor_names(results), entities, aliases), "matched")
+
+
+def with_actor_ids(results: DataFrame, linked: DataFrame) -> DataFrame:
+    """Replace the three actor names by dimension ids, NULL where an article has no mention of that name."""
+    return _each_actor(results, resolve_actor_ids(_actor_names(results), linked), "canonical_entity_id", "_id")
+
+
+def rectify_actor_ids(actors: DataFrame, linked: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(article_id, actor, canonical_entity_id) for names that people send: the link of the article's first mention whose own or dimension name has the same key."""
+    names = canonical.select(F.col("id").alias("canonical_entity_id"), F.col("name").alias("_known"))
+    m = linked.select("article_id", "id", "name", "canonical_entity_id").join(names, "canonical_entity_id", "left")
+    keys = F.explode(F.array_distinct(F.array(norm_key(F.col("name")), norm_key(F.col("_known")))))
+    first = m.select("article_id", "id", "canonical_entity_id", keys.alias("_key")).filter("_key IS NOT NULL").groupBy("article_id", "_key").agg(F.min_by(F.struct("canonical_entity_id"), "id").alias("to"))
+    a = actors.select("article_id", "actor").withColumn("_key", F.when(F.col("actor") != "", norm_key(F.col("actor"))))
+    return a.join(first, ["article_id", "_key"], "left").select("article_id", "actor", "to.canonical_entity_id")
+
+
 def resolve_actor_ids(actors: DataFrame, linked: DataFrame) -> DataFrame:
     """(article_id, actor, canonical_entity_id) by exact name inside the article; linked has the mentions' ids."""
     m = linked.groupBy("article_id", F.col("name").alias("actor")).agg(F.min("canonical_entity_id").alias("canonical_entity_id"))
@@ -183,27 +220,49 @@ def seed_aliases(existing: DataFrame, seed: DataFrame) -> DataFrame:
     return new.withColumn("_r", F.row_number().over(Window.partitionBy("alias_key").orderBy("ord"))).filter("_r = 1").drop("_r")
 
 
-def upsert_canonical(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
-    """The dimension with the new (name, type) of mentions added, ids going on from the largest."""
-    new = mentions.select("name", "type").distinct().join(canonical.select("name", "type"), ["name", "type"], "left_anti")
-    top = canonical.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+def numbered(new: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
+    """new, one row for each value of keys, with ids going on from the largest of stored."""
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     # Ids without one sorted task: places inside 256 ranges of a hash, shifted by the sizes of the earlier ranges.
-    slot = F.pmod(F.xxhash64("type", "name"), F.lit(256))
+    slot = F.pmod(F.xxhash64(*keys), F.lit(256))
     new = new.withColumn("_slot", slot)
     sizes = new.groupBy("_slot").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = sizes.select("_slot", before.alias("shift")).crossJoin(F.broadcast(top))
-    place = F.row_number().over(Window.partitionBy("_slot").orderBy("type", "name"))
-    numbered = new.withColumn("place", place).join(F.broadcast(shifts), "_slot").select((F.col("top") + F.col("shift") + F.col("place")).cast("long").alias("id"), "name", "type")
-    return canonical.select("id", "name", "type").unionByName(numbered)
+    place = F.row_number().over(Window.partitionBy("_slot").orderBy(*keys))
+    placed = new.withColumn("place", place).join(F.broadcast(shifts), "_slot")
+    return placed.withColumn("id", (F.col("top") + F.col("shift") + F.col("place")).cast("long")).drop("_slot", "shift", "top", "place")
+
+
+def new_canonical(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(id, name, type) of the names of mentions that the dimension lacks, ids going on from the largest."""
+    new = mentions.select("name", "type").distinct().join(canonical.select("name", "type"), ["name", "type"], "left_anti")
+    return numbered(new, canonical, "type", "name").select("id", "name", "type")
+
+
+def upsert_canonical(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
+    """The dimension with the new (name, type) of mentions added."""
+    return canonical.select("id", "name", "type").unionByName(new_canonical(mentions, canonical))
 
 
 def link_mentions(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
     return mentions.join(canonical.select(F.col("id").alias("canonical_entity_id"), "name", "type"), ["name", "type"], "left")
 
 
+def unlink_actors(articles: DataFrame, gone: DataFrame) -> DataFrame:
+    """Articles with the actor ids that are in gone (id) set to NULL, as they do not follow a merge."""
+    ids = [f"{a}_id" for a in ACTORS]
+    lost = articles.select("id", F.explode(F.array_distinct(F.array(*ids))).alias("_gone")).join(gone.select(F.col("id").alias("_gone")), "_gone", "left_semi")
+    lost = lost.groupBy("id").agg(F.collect_set("_gone").alias("_lost"))
+    out = articles.join(lost, "id", "left")
+    return out.withColumns({c: F.when(~F.coalesce(F.array_contains("_lost", F.col(c)), F.lit(False)), F.col(c)) for c in ids}).drop("_lost")
+
+
 def merge_canonical(linked: DataFrame, canonical: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(mentions, dimension, rejected) after merging source_id into target_id; pairs between types or unknown rows are rejected."""
+    """(mentions, dimension, rejected) after merging source_id into target_id; pairs between types or unknown rows are rejected.
+
+    Rows that left the dimension are also no actors any more: see unlink_actors.
+    """
     kinds = canonical.select("id", "type")
     p = pairs.join(kinds.select(F.col("id").alias("source_id"), F.col("type").alias("st")), "source_id", "left").join(kinds.select(F.col("id").alias("target_id"), F.col("type").alias("tt")), "target_id", "left")
     reason = F.when(F.col("source_id") == F.col("target_id"), "self").when(F.col("st").isNull() | F.col("tt").isNull(), "missing").when(F.col("st") != F.col("tt"), "type")

@@ -103,7 +103,36 @@ def merged_stored_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.merge_stored_mentions(views.mentions(spark, sf_dir), views.aliases(spark, sf_dir), surnames(spark, sf_dir))
 
 
-@query()
+def merged_sql(source: str, out: str) -> str:
+    """CTEs that merge the variants of a name inside each article: rows from the longest key down meet the heads found so far."""
+    return f"""{out}_p AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY name, type, mentions_count, sentiment_toward NULLS FIRST, sentiment_score NULLS FIRST, context NULLS FIRST, extraction_confidence) AS pos
+  FROM (SELECT *, {key_sql('name')} AS key FROM {source}) WHERE key <> ''),
+{out}_k AS (SELECT *, row_number() OVER (PARTITION BY article_id, type ORDER BY length(key) DESC, mentions_count DESC, pos) AS k, list_distinct({words_sql('key')}) AS ws FROM {out}_p),
+{out}_r AS (SELECT article_id, type, k, k AS head, [{{'key': key, 'k': k, 'ws': ws}}] AS heads FROM {out}_k WHERE k = 1
+  UNION ALL SELECT article_id, type, k, coalesce(hit, k), CASE WHEN hit IS NULL THEN list_append(heads, {{'key': key, 'k': k, 'ws': ws}}) ELSE heads END FROM (
+    SELECT n.article_id, n.type, n.k, n.key, n.ws, r.heads, coalesce(list_filter(r.heads, lambda x: x.key = n.key)[1].k, list_filter(r.heads, lambda x: contains(' ' || x.key || ' ', ' ' || n.key || ' '))[1].k,
+      CASE WHEN n.type = 'PERSON' AND len(n.ws) > 1 AND len(list_filter(r.heads, lambda x: list_has_all(x.ws, n.ws) AND len(x.ws) > len(n.ws))) = 1
+        THEN list_filter(r.heads, lambda x: list_has_all(x.ws, n.ws) AND len(x.ws) > len(n.ws))[1].k END) AS hit
+    FROM {out}_r r JOIN {out}_k n ON n.article_id = r.article_id AND n.type = r.type AND n.k = r.k + 1)),
+{out} AS (SELECT article_id, arg_min(name, k) AS name, type, sum(mentions_count)::BIGINT AS mentions_count, arg_min(sentiment_toward, k) AS sentiment_toward,
+  coalesce(arg_min({{'s': sentiment_score}}, k) FILTER (WHERE sentiment_toward IS NOT NULL), arg_min({{'s': sentiment_score}}, k)).s AS sentiment_score, arg_min(context, k) AS context, max(extraction_confidence) AS extraction_confidence
+  FROM {out}_k JOIN (SELECT article_id, type, k, head FROM {out}_r) USING (article_id, type, k) GROUP BY article_id, type, head)"""
+
+
+_FIRST = "split_part(name, ' ', 1)"
+_CANONICAL = f"""titled AS (SELECT * REPLACE (CASE WHEN type = 'PERSON' AND contains(name, ' ') AND list_contains({text.TITLES}, lower(strip_accents({_FIRST}))) THEN substring(name, length({_FIRST}) + 2) ELSE name END AS name) FROM mentions),
+act AS (SELECT alias_key, arg_max(canonical_name, id) AS cn, arg_max(type, id) AS ct FROM aliases WHERE is_active GROUP BY 1),
+ali AS (SELECT m.* REPLACE (coalesce(cn, m.name) AS name, coalesce(ct, m.type) AS type) FROM titled m LEFT JOIN act ON act.alias_key = {key_sql('m.name')}),
+{merged_sql('ali', 'once')}, sur AS (SELECT *, CASE WHEN type = 'PERSON' AND len(ws) = 1 THEN ws[1] END AS w FROM (SELECT *, {words_sql(key_sql('name'))} AS ws FROM once)),
+nam AS (SELECT sur.* REPLACE (CASE WHEN full_name IS NOT NULL AND {key_sql('full_name')} <> {key_sql('name')} THEN full_name ELSE name END AS name) FROM sur LEFT JOIN surnames ON surname = w),
+{merged_sql('nam', 'twice')}"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(recursive(with_views(ALL, f"{_PERSONS}, {_CANONICAL} SELECT * FROM twice")))
 def canonicalized_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, aliases, merge, surnames, merge: greedy inside each article."""
     return resolve.canonicalize(views.mentions(spark, sf_dir), views.aliases(spark, sf_dir), surnames(spark, sf_dir))
@@ -116,7 +145,16 @@ def merged_org_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("article_id").agg(F.sum("mentions_count").alias("mentions"))
 
 
-@query()
+_PLACED = f"""placed AS (SELECT article_id, name, pos - 1 AS pos, CASE WHEN contains(name, ' ') OR length(name) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS type FROM (
+  SELECT doc_id AS article_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{views.NAME_RUN}') AS l FROM documents)))"""
+
+
+@query(f"""WITH RECURSIVE {_PLACED}, grp AS (SELECT article_id, {key_sql('name')} AS key, type, count(*) AS count, min(pos) AS ord FROM placed GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY article_id, type ORDER BY length(key) DESC, ord) AS k FROM grp WHERE key <> ''),
+r AS (SELECT article_id, type, k, key AS head, [key] AS heads FROM n WHERE k = 1
+  UNION ALL SELECT article_id, type, k, coalesce(hit, key), CASE WHEN hit IS NULL THEN list_append(heads, key) ELSE heads END FROM (SELECT n.article_id, n.type, n.k, n.key, r.heads, list_filter(r.heads, lambda x: contains(' ' || x || ' ', ' ' || n.key || ' ')
+    OR (regexp_full_match(n.key, '\\p{{L}}{{2,6}}') AND n.key = array_to_string(list_transform({words_sql('x')}, lambda w: w[1]), '')))[1] AS hit FROM r JOIN n ON n.article_id = r.article_id AND n.type = r.type AND n.k = r.k + 1))
+SELECT article_id, key, type, count, ord, head AS head_key FROM n JOIN r USING (article_id, type, k)""")
 def merged_mention_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short names and acronyms joined to the longer names of their article."""
     g = mentions.group_mentions(_placed(spark, sf_dir))
@@ -129,10 +167,6 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.withColumn("type", F.when(person, "PERSON").otherwise("ORG"))
 
 
-_PLACED = f"""placed AS (SELECT article_id, name, pos - 1 AS pos, CASE WHEN contains(name, ' ') OR length(name) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS type FROM (
-  SELECT doc_id AS article_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{views.NAME_RUN}') AS l FROM documents)))"""
-
-
 @query(f"""WITH {_PLACED}, v AS (SELECT article_id, {key_sql('name')} AS key, type, name, count(*) AS n, min(pos) AS fp FROM placed GROUP BY ALL)
 SELECT article_id, key, type, arg_max(name, (len({words_sql(key_sql('name'))}) * 100000 + n) * 100000 - fp) AS name, sum(n)::BIGINT AS count FROM v GROUP BY ALL""")
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,14 +207,25 @@ def ambiguous_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.ambiguous_persons(views.mentions(spark, sf_dir), venue_words=["des", "eran", "con"]).select("id")
 
 
-@query(with_views(["articles", *ALL], f"""{_LINKED}, b AS (SELECT 'article_url' AS rule, count(*) AS n FROM (SELECT url FROM articles GROUP BY 1 HAVING count(*) > 1)
+_ACTORS = "SELECT *, CASE WHEN id % 3 = 0 THEN id % 50 + 1 END AS dominant_actor_id, CASE WHEN id % 4 = 0 THEN id % 70 + 1 END AS blamed_actor_id, CASE WHEN id % 5 = 0 THEN id % 90 + 1 END AS credited_actor_id FROM articles"
+
+
+def _with_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    return views.articles(spark, sf_dir).withColumns({"dominant_actor_id": F.when(i % 3 == 0, i % 50 + 1), "blamed_actor_id": F.when(i % 4 == 0, i % 70 + 1), "credited_actor_id": F.when(i % 5 == 0, i % 90 + 1)})
+
+
+@query(with_views(["articles", *ALL], f"""{_LINKED}, act AS ({_ACTORS}), b AS (SELECT 'article_url' AS rule, count(*) AS n FROM (SELECT url FROM articles GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'mention', count(*) FROM (SELECT 1 FROM raw_mentions GROUP BY article_id, name, type HAVING count(*) > 1)
 UNION ALL SELECT 'canonical', count(*) FROM (SELECT 1 FROM canonical GROUP BY name, type HAVING count(*) > 1)
 UNION ALL SELECT 'alias', count(*) FROM (SELECT 1 FROM aliases GROUP BY alias_key, type HAVING count(*) > 1)
-UNION ALL SELECT 'orphan_mention', count(*) FROM raw_mentions WHERE article_id % 13 = 0) SELECT * FROM b"""))
+UNION ALL SELECT 'orphan_mention', count(*) FROM raw_mentions WHERE article_id % 13 = 0
+UNION ALL SELECT 'orphan_dominant_actor', count(*) FROM act LEFT JOIN canonical c ON c.id = dominant_actor_id WHERE dominant_actor_id IS NOT NULL AND c.id IS NULL
+UNION ALL SELECT 'orphan_blamed_actor', count(*) FROM act LEFT JOIN canonical c ON c.id = blamed_actor_id WHERE blamed_actor_id IS NOT NULL AND c.id IS NULL
+UNION ALL SELECT 'orphan_credited_actor', count(*) FROM act LEFT JOIN canonical c ON c.id = credited_actor_id WHERE credited_actor_id IS NOT NULL AND c.id IS NULL) SELECT * FROM b"""))
 def constraint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken keys among raw mentions, and mentions of articles that are gone."""
-    a = views.articles(spark, sf_dir)
+    a = _with_actors(spark, sf_dir)
     out = filters.audit_constraints(a, views.raw_mentions(spark, sf_dir), views.canonical(spark, sf_dir), views.aliases(spark, sf_dir))
     orphans = filters.audit_constraints(a.filter("id % 13 <> 0"), views.raw_mentions(spark, sf_dir), views.canonical(spark, sf_dir), views.aliases(spark, sf_dir))
     return out.filter("rule <> 'orphan_mention'").unionByName(orphans.filter("rule = 'orphan_mention'"))
@@ -191,14 +236,6 @@ def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.entity_report(views.mentions(spark, sf_dir), views.articles(spark, sf_dir), "Tion")
 
 
-_ACTORS = "SELECT *, CASE WHEN id % 3 = 0 THEN id % 50 + 1 END AS dominant_actor_id, CASE WHEN id % 4 = 0 THEN id % 70 + 1 END AS blamed_actor_id, CASE WHEN id % 5 = 0 THEN id % 90 + 1 END AS credited_actor_id FROM articles"
-
-
-def _with_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    return views.articles(spark, sf_dir).withColumns({"dominant_actor_id": F.when(i % 3 == 0, i % 50 + 1), "blamed_actor_id": F.when(i % 4 == 0, i % 70 + 1), "credited_actor_id": F.when(i % 5 == 0, i % 90 + 1)})
-
-
 @query(with_views(["articles", *ALL], f"""act AS ({_ACTORS}), page AS (SELECT * FROM act ORDER BY published_at DESC NULLS FIRST, id DESC LIMIT 50)
 SELECT p.id, d.name AS dominant_actor, b.name AS blamed_actor, c.name AS credited_actor, (SELECT count(*) FROM mentions m WHERE m.article_id = p.id) AS entity_count
 FROM page p LEFT JOIN canonical d ON d.id = dominant_actor_id LEFT JOIN canonical b ON b.id = blamed_actor_id LEFT JOIN canonical c ON c.id = credited_actor_id"""))
@@ -267,7 +304,24 @@ def actor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_actor_ids(a, linked(spark, sf_dir))
 
 
-_PAIRS = "pairs AS (SELECT id AS source_id, CASE id % 4 WHEN 0 THEN id WHEN 1 THEN id + 1 WHEN 2 THEN -id ELSE (SELECT max(id) FROM canonical) - id + 1 END AS target_id FROM canonical WHERE id % 10 < 4), kinds AS (SELECT p.*, s.type AS st, t.type AS tt FROM pairs p LEFT JOIN canonical s ON s.id = source_id LEFT JOIN canonical t ON t.id = target_id), judged AS (SELECT *, CASE WHEN source_id = target_id THEN 'self' WHEN st IS NULL OR tt IS NULL THEN 'missing' WHEN st <> tt THEN 'type' END AS reason FROM kinds)"
+@query(with_views(ALL, f"""{_LINKED}, actors AS (SELECT article_id, max(name) || '.' AS actor FROM mentions GROUP BY 1),
+r AS (SELECT a.article_id, a.actor, l.canonical_entity_id, row_number() OVER (PARTITION BY a.article_id ORDER BY l.id) AS k FROM actors a LEFT JOIN linked l ON l.article_id = a.article_id AND {key_sql('l.name')} = {key_sql('a.actor')})
+SELECT article_id, actor, canonical_entity_id FROM r WHERE k = 1"""))
+def rectified_actor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actors that people typed, by key."""
+    a = views.mentions(spark, sf_dir).groupBy("article_id").agg(F.concat(F.max("name"), F.lit(".")).alias("actor"))
+    return resolve.rectify_actor_ids(a, linked(spark, sf_dir), views.canonical(spark, sf_dir))
+
+
+@query()
+def canonicalized_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actors of whole analyses, re-pointed to the canonical mentions of their articles."""
+    m = views.mentions(spark, sf_dir)
+    named = m.groupBy("article_id").agg(F.max("name").alias("dominant_actor"), F.min(F.substring_index("name", " ", 1)).alias("blamed_actor"), F.lit(None).cast("string").alias("credited_actor"))
+    return resolve.canonicalize_result(named, m, views.aliases(spark, sf_dir), surnames(spark, sf_dir))[1]
+
+
+_PAIRS = "pairs AS (SELECT id AS source_id, CASE id % 4 WHEN 0 THEN id WHEN 1 THEN id + 1 WHEN 2 THEN -id ELSE (SELECT max(id) FROM canonical) - id + 1 END AS target_id FROM canonical), kinds AS (SELECT p.*, s.type AS st, t.type AS tt FROM pairs p LEFT JOIN canonical s ON s.id = source_id LEFT JOIN canonical t ON t.id = target_id), judged AS (SELECT *, CASE WHEN source_id = target_id THEN 'self' WHEN st IS NULL OR tt IS NULL THEN 'missing' WHEN st <> tt THEN 'type' END AS reason FROM kinds)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +329,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = c.agg(F.max("id").alias("top"))
     i = F.col("id")
     target = F.when(i % 4 == 0, i).when(i % 4 == 1, i + 1).when(i % 4 == 2, -i).otherwise(F.col("top") - i + 1)
-    return c.filter("id % 10 < 4").crossJoin(F.broadcast(top)).select(i.alias("source_id"), target.alias("target_id"))
+    return c.crossJoin(F.broadcast(top)).select(i.alias("source_id"), target.alias("target_id"))
 
 
 @query(with_views(ALL, f"{_LINKED}, {_PAIRS} SELECT l.id, coalesce(j.target_id, l.canonical_entity_id) AS canonical_entity_id FROM linked l LEFT JOIN judged j ON j.source_id = l.canonical_entity_id AND j.reason IS NULL"))
@@ -303,7 +357,7 @@ def _llm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("name", F.when(F.col("id") % 5 == 0, F.concat("name", F.lit(" Zzyx"))).when(F.col("id") % 5 == 1, F.concat(F.lit("Zzyx"), "name")).otherwise(F.col("name")))
 
 
-_TRACES = f"""llm AS (SELECT id, article_id, type, mentions_count, extraction_confidence, CASE id % 5 WHEN 0 THEN name || ' Zzyx' WHEN 1 THEN 'Zzyx' || name ELSE name END AS name FROM mentions),
+_TRACES = f"""llm AS (SELECT * EXCLUDE (name), CASE id % 5 WHEN 0 THEN name || ' Zzyx' WHEN 1 THEN 'Zzyx' || name ELSE name END AS name FROM mentions),
 txt AS (SELECT id AS article_id, ' ' || regexp_replace(replace({fold_sql("title || '. ' || body")}, 'ß', 'z'), '[^a-z0-9_]', '  ', 'g') || ' ' AS t FROM articles),
 tr AS (SELECT llm.*, (length(t) - length(replace(t, ' ' || replace(replace({fold_sql('llm.name')}, 'ß', 'z'), ' ', '  ') || ' ', ''))) / (length({fold_sql('llm.name')}) + len(string_split({fold_sql('llm.name')}, ' ')) + 1) AS whole,
   list_filter(string_split({fold_sql('llm.name')}, ' '), lambda w: NOT list_contains({views.PARTICLES_SQL}, w)) AS ws, t FROM llm JOIN txt USING (article_id)),
@@ -317,13 +371,19 @@ def verified_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.round("extraction_confidence", 4).alias("extraction_confidence"))
 
 
-@query()
+_RECOUNTED = """rc AS (SELECT *, CASE WHEN len(ws) > 0 AND c > 0 THEN c::BIGINT ELSE mentions_count END AS counted FROM (SELECT *, CASE WHEN type = 'PERSON' AND len(ws) >= 2 THEN last ELSE whole END AS c
+  FROM (SELECT *, (length(t) - length(replace(t, ' ' || replace(ws[-1], 'ß', 'z') || ' ', ''))) / (length(ws[-1]) + 2) AS last FROM tr)))"""
+
+
+@query(with_views(["articles", *ALL], f"{_TRACES}, {_RECOUNTED} SELECT id, counted AS mentions_count FROM rc"))
 def recounted_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mention counts taken from the text."""
     return verify.recount_mentions(_llm(spark, sf_dir), views.articles(spark, sf_dir)).select("id", "mentions_count")
 
 
-@query()
+@query(with_views(["articles", *ALL], f"""{_TRACES}, {_RECOUNTED} SELECT article_id, name, type, counted AS mentions_count, coalesce(sentiment_toward, 'NEU') AS sentiment_toward, round(coalesce(sentiment_score, 0.0), 2) AS sentiment_score,
+coalesce(context, '') || ' [ok]' AS context, round(CASE WHEN whole > 0 THEN extraction_confidence ELSE least(extraction_confidence, 0.6) END, 2) AS extraction_confidence
+FROM rc WHERE len(ws) > 0 AND (whole > 0 OR len(list_filter(ws, lambda w: contains(t, ' ' || replace(w, 'ß', 'z') || ' '))) > 0)"""))
 def mapped_llm_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engine output in JSON to mention rows."""
     m = _llm(spark, sf_dir)
@@ -347,11 +407,11 @@ def engine_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.coalesce_engines([("small", a.filter("article_id % 4 = 0")), ("middle", a.filter("article_id % 3 = 0")), ("large", a)]).select("article_id", "analyzer_name")
 
 
-@query(with_views(["articles"], "SELECT id AS article_id, main_topic, topic_keywords, framing FROM articles WHERE id % 3 = 0 AND id % 2 = 0"))
+@query(with_views(["articles"], "SELECT id AS article_id, main_topic, topic_keywords, framing FROM articles"))
 def hybrid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.articles(spark, sf_dir).withColumn("article_id", F.col("id"))
-    rest = a.filter("id % 2 = 0").select("article_id", F.lit("x").alias("main_topic"), F.lit("y").alias("topic_keywords"), "framing")
-    return verify.hybrid_result(a.filter("id % 3 = 0"), rest).select("article_id", "main_topic", "topic_keywords", "framing")
+    rest = a.select("article_id", F.lit("x").alias("main_topic"), F.lit("y").alias("topic_keywords"), "framing")
+    return verify.hybrid_result(a, rest).select("article_id", "main_topic", "topic_keywords", "framing")
 
 
 def _gold_and_pred(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -362,7 +422,22 @@ def _gold_and_pred(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return m, pred.withColumn("sentiment_toward", F.when(F.col("id") % 4 == 0, "NEU").otherwise(F.col("sentiment_toward")))
 
 
-@query()
+_GOLD = f"""gold AS (SELECT *, {key_sql('name')} AS key, row_number() OVER (PARTITION BY article_id ORDER BY id) AS k FROM mentions WHERE article_id IN (SELECT doc_id FROM labels)),
+pred AS (SELECT id, article_id, type, {key_sql("CASE WHEN id % 11 = 0 THEN name || ' Extra' WHEN id % 13 = 0 THEN name || 'zzq' ELSE name END")} AS key, CASE WHEN id % 4 = 0 THEN 'NEU' ELSE sentiment_toward END AS s FROM gold WHERE id % 9 <> 0),
+fits AS (SELECT g.article_id, g.k, coalesce(list(p.id ORDER BY p.id) FILTER (WHERE p.id IS NOT NULL), []) AS can FROM gold g LEFT JOIN pred p ON p.article_id = g.article_id AND p.type = g.type AND p.key <> '' AND g.key <> ''
+  AND (contains(' ' || p.key || ' ', ' ' || g.key || ' ') OR contains(' ' || g.key || ' ', ' ' || p.key || ' ')) GROUP BY ALL),
+greedy AS (SELECT article_id, k, can[1] AS hit, [can[1]] AS used FROM fits WHERE k = 1
+  UNION ALL SELECT f.article_id, f.k, list_filter(f.can, lambda x: NOT list_contains(r.used, x))[1], list_append(r.used, list_filter(f.can, lambda x: NOT list_contains(r.used, x))[1]) FROM greedy r JOIN fits f ON f.article_id = r.article_id AND f.k = r.k + 1),
+pairs AS (SELECT g.article_id, g.type, g.sentiment_toward AS gs, p.s AS ps, p.id IS NOT NULL AS tp, p.id IS NULL AS fn, false AS fp FROM gold g JOIN greedy USING (article_id, k) LEFT JOIN pred p ON p.id = hit
+  UNION ALL SELECT article_id, type, NULL, s, false, false, true FROM pred WHERE id NOT IN (SELECT hit FROM greedy WHERE hit IS NOT NULL)),
+whole AS (SELECT DISTINCT doc_id AS article_id, quality = 1 AS exhaustive FROM labels),
+counted AS (SELECT type, grouping(type) = 1 AS overall, count(*) FILTER (WHERE tp) AS tp, count(*) FILTER (WHERE fp AND coalesce(exhaustive, true)) AS fp, count(*) FILTER (WHERE fn) AS fn,
+  count(*) FILTER (WHERE tp AND gs IS NOT NULL AND ps = gs) AS sentiment_correct, count(*) FILTER (WHERE tp AND gs IS NOT NULL) AS sentiment_total FROM pairs LEFT JOIN whole USING (article_id) GROUP BY ROLLUP (type)),
+ratios AS (SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 4) END AS recall FROM counted)"""
+
+
+@query(with_views(["mentions"], f"""{_GOLD} SELECT *, CASE WHEN precision > 0 AND recall > 0 THEN round(2 * precision * recall / (precision + recall), 4) END AS f1,
+CASE WHEN sentiment_total > 0 THEN round(sentiment_correct / sentiment_total, 4) END AS sentiment_accuracy FROM ratios""").replace("WITH ", "WITH RECURSIVE ", 1))
 def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall and sentiment accuracy by kind and overall."""
     gold, pred = _gold_and_pred(spark, sf_dir)
@@ -414,11 +489,11 @@ def source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rates(table(spark, sf_dir, "documents").groupBy("source").agg(n(k < 3).alias("tp"), n(k == 3).alias("fp"), n(k == 4).alias("fn")))
 
 
-@query(with_views(["raw_mentions"], f"""k AS (SELECT DISTINCT {key_sql('name')} AS key FROM raw_mentions WHERE length(name) < 12)
+@query(with_views(["raw_mentions"], f"""k AS (SELECT DISTINCT {key_sql('name')} AS key FROM raw_mentions)
 SELECT key, {key_sql("key || '. S.A.'")} AS again, contains(' ' || key || ' s a ', ' ' || key || ' ') AS inside FROM k WHERE key <> ''"""))
 def name_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a name matches a longer one that holds it."""
-    k = views.raw_mentions(spark, sf_dir).filter(F.length("name") < 12).select(text.norm_key(F.col("name")).alias("key")).distinct().filter("key <> ''")
+    k = views.raw_mentions(spark, sf_dir).select(text.norm_key(F.col("name")).alias("key")).distinct().filter("key <> ''")
     return k.select("key", text.norm_key(F.concat("key", F.lit(". S.A."))).alias("again"), text.names_match(F.col("key"), F.concat("key", F.lit(" S A"))).alias("inside"))
 
 
@@ -429,3 +504,33 @@ def stripped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     titled = F.concat(F.element_at(F.array(*[F.lit(t) for t in text.TITLES]), (F.col("id") % len(text.TITLES) + 1).cast("int")), F.lit(" "), "name")
     return m.select("id", text.strip_title(titled).alias("stripped"))
 
+
+
+def _fields(n, of) -> list:
+    """Deterministic categories of every field by a number."""
+    return [of(values, n + k).alias(f) for k, (f, values) in enumerate((f, v[0]) for f, v in evaluate.CATEGORIES.items())]
+
+
+def _nth_sql(values: list[str], n: str) -> str:
+    return f"{[*values, 'odd']}[(({n}) % {len(values) + 1} + 1)::INT]"
+
+
+def _rates_sql(field: str, gold: str, pred: str, rule: tuple[list[str], str]) -> str:
+    """Labelled rows and accuracy of one field; `odd` is no category."""
+    known = f"list_contains({rule[0]}, {gold})"
+    return f"count(*) FILTER (WHERE {known}) AS {field}_n, round(count(*) FILTER (WHERE {known} AND {gold} = CASE WHEN list_contains({rule[0]}, {pred}) THEN {pred} ELSE '{rule[1]}' END) / count(*) FILTER (WHERE {known}), 4) AS {field}_accuracy"
+
+
+_RATED = ", ".join(_rates_sql(f, _nth_sql(v[0], f"doc_id + {k}"), _nth_sql(v[0], f"n_chars + {k}"), v) for k, (f, v) in enumerate(evaluate.CATEGORIES.items()))
+
+
+@query(f"SELECT count(*) AS n_articles, {_RATED}, count(*) FILTER (WHERE doc_id % 4 = 0 AND n_chars % 4 IN (2, 3)) AS pos_as_neutral FROM documents")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-row report of a labelled set; the mentions of every article are its gold and its predictions."""
+    nth = lambda values, n: F.get(F.array(*[F.lit(v) for v in [*values, "odd"]]), (n % (len(values) + 1)).cast("int"))
+    d = table(spark, sf_dir, "documents").withColumn("article_id", F.col("doc_id"))
+    side = lambda n: d.select("article_id", nth(evaluate.SENTIMENTS, n).alias("overall_sentiment"), *_fields(n, lambda v, m: nth(v, m)), F.array("lang").alias("content_flags"), F.lit(True).alias("entities_exhaustive"))
+    m = views.mentions(spark, sf_dir).withColumn("ord", F.col("id"))
+    report, _ = evaluate.evaluate(side(F.col("n_chars")), side(F.col("doc_id")), m, m)
+    rated = [c for f in evaluate.CATEGORIES for c in (F.col(f"category_matrices.{f}.n_labeled").alias(f"{f}_n"), F.col(f"category_matrices.{f}.accuracy").alias(f"{f}_accuracy"))]
+    return report.select("n_articles", *rated, F.col("overall_sentiment.confusion_matrix")["POS->NEU"].alias("pos_as_neutral"))

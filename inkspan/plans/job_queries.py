@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.functions import text
 from inkspan.functions.urls import content_type_ok
-from inkspan.operators import maintain, verify
+from inkspan.operators import analyze, maintain, resolve, verify
 from inkspan.plans import views
 from inkspan.plans.press_queries import canonical_url_sql
-from inkspan.plans.views import table, with_views
-from inkspan.sources.tables import append_new
+from inkspan.plans.views import key_sql, table, with_views
+from inkspan.sources.tables import append_new, scratch_folder
 from inkspan.streaming import jobs as streams
 
 QUERIES: dict = {}
@@ -50,14 +51,21 @@ def inflight_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.inflight_jobs(views.jobs(spark, sf_dir), _now(spark, sf_dir), 3000).select("url", "id")
 
 
-_SWEPT = f"""s AS (SELECT id, CASE WHEN old THEN 'failed' ELSE status END AS status, CASE WHEN old THEN 'interrupted' ELSE error END AS error, created_at
-FROM (SELECT *, status IN ('pending', 'running') AND created_at < {_NOW} - INTERVAL 3000 MINUTE AS old FROM jobs))"""
+_SWEPT = f"""s AS (SELECT id, old, CASE WHEN old THEN 'failed' ELSE status END AS status, CASE WHEN old THEN 'El análisis se interrumpió. Vuelve a intentarlo.' ELSE error END AS error,
+  CASE WHEN NOT old THEN stage END AS stage, created_at <= {_NOW} - INTERVAL 240 HOUR AS late
+FROM (SELECT *, status IN ('pending', 'running') AND created_at <= {_NOW} - INTERVAL 3000 MINUTE AS old FROM jobs))"""
 
 
-@query(with_views(["jobs"], f"{_SWEPT} SELECT id, status, error FROM s WHERE NOT (status IN ('done', 'failed') AND created_at < {_NOW} - INTERVAL 240 HOUR)"))
+@query(with_views(["jobs"], f"{_SWEPT} SELECT id, status, error, stage FROM s WHERE NOT (status IN ('done', 'failed') AND late)"))
 def swept_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs after stale ones failed and old ones left."""
-    return maintain.sweep_jobs(views.jobs(spark, sf_dir), _now(spark, sf_dir), 3000, 240).select("id", "status", "error")
+    return maintain.sweep_jobs(views.jobs(spark, sf_dir), _now(spark, sf_dir), 3000, 240).select("id", "status", "error", "stage")
+
+
+@query(with_views(["jobs"], f"{_SWEPT} SELECT count(*) FILTER (WHERE old) AS interrupted, count(*) FILTER (WHERE status IN ('done', 'failed') AND late) AS purged FROM s"))
+def sweep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many jobs the sweep fails and deletes."""
+    return maintain.sweep_counts(views.jobs(spark, sf_dir), _now(spark, sf_dir), 3000, 240)
 
 
 @query(with_views(["jobs"], f"""c AS (SELECT DISTINCT url FROM jobs), saved AS (SELECT DISTINCT 'u' || user_id AS url FROM events WHERE user_id % 5 = 0),
@@ -93,15 +101,15 @@ def parsed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.parse_progress(js).select("source", "stage", "status")
 
 
-_COUNTED = "SELECT source, count(*) FILTER (WHERE id % 3 = 0) AS discovered, count(*) FILTER (WHERE id % 3 = 1) AS saved, count(*) FILTER (WHERE id % 3 = 2) AS failed, grouping(source) = 1 AS is_total FROM stage_events GROUP BY ROLLUP (source)"
+_COUNTED = "SELECT source, count(*) FILTER (WHERE id % 397 = 3) AS cancelled, count(*) FILTER (WHERE id % 997 = 5) AS broken, count(*) FILTER (WHERE id % 3 = 0) AS discovered, count(*) FILTER (WHERE id % 3 = 1) AS saved, count(*) FILTER (WHERE id % 3 = 2) AS failed, grouping(source) = 1 AS is_total FROM stage_events GROUP BY ROLLUP (source)"
 
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id") % 3
-    return maintain.run_totals(views.stage_events(spark, sf_dir), k == 0, k == 1, k == 2)
+    return maintain.run_totals(views.stage_events(spark, sf_dir), k == 0, k == 1, k == 2, F.col("id") % 397 == 3, F.col("id") % 997 == 5)
 
 
-@query(with_views(["stage_events"], f"t AS ({_COUNTED}) SELECT *, CASE WHEN saved = 0 AND failed > 0 THEN 'failed' ELSE 'success' END AS status FROM t"))
+@query(with_views(["stage_events"], f"t AS ({_COUNTED}) SELECT source, is_total, discovered, saved, failed, CASE WHEN broken > 0 AND NOT is_total THEN 'failed' WHEN cancelled > 0 THEN 'cancelled' ELSE 'success' END AS status FROM t"))
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(spark, sf_dir)
 
@@ -216,8 +224,7 @@ def normalised_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/inkspan-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/inkspan-{uuid.uuid4().hex}"
 
 
 @query(with_views(["articles"], "SELECT source, count(*) AS n FROM articles GROUP BY 1"))
@@ -264,10 +271,123 @@ def deduped_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.dedupe_requests_batch(_requests(spark, sf_dir), 120)
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.page_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+
+
+@query(ORACLES["deduped_requests"])
+def streamed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream with keyed state."""
+    base, e = _scratch(spark), _event_stream(spark, sf_dir)
+    r = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    streams.dedupe_requests_stream(r, 120).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @query()
 def windowed_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage counts in windows of a day, as the stream would give them."""
     return streams.stage_counts_stream(views.stage_events(spark, sf_dir), "1 day").select(F.col("window.start").alias("start"), "source", "stage", "n")
 
 
+@query(with_views(["stage_events"], "SELECT date_trunc('day', \"at\") AS start, source, stage, count(*) AS n FROM stage_events GROUP BY 1, 2, 3"))
+def streamed_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream in update mode: the last count of each window is its count."""
+    base, e = _scratch(spark), _event_stream(spark, sf_dir)
+    events = e.select(F.concat(F.lit("s"), (F.col("user_id") % 9).cast("string")).alias("source"), F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("at"))
+    counts = streams.stage_counts_stream(events, "1 day")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    counts.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{base}/out").select(F.col("window.start").alias("start"), "source", "stage", "n", "batch")
+    return rows.groupBy("start", "source", "stage").agg(F.max_by("n", "batch").alias("n"))
+
+
 ORACLES["windowed_stage_counts"] = with_views(["stage_events"], "SELECT date_trunc('day', \"at\") AS start, source, stage, count(*) AS n FROM stage_events GROUP BY 1, 2, 3")
+
+
+_ALIAS_PATCHES = f"""p AS (SELECT id, CASE id % 4 WHEN 0 THEN alias || '-Dos' WHEN 1 THEN 'Clash' END AS alias, CASE WHEN id % 5 = 2 THEN false END AS is_active FROM aliases),
+n AS (SELECT a.id, coalesce(p.alias, a.alias) AS alias, a.alias AS old_alias, a.type, coalesce(p.is_active, a.is_active) AS is_active, a.is_active AS old_active FROM aliases a JOIN p USING (id)),
+k AS (SELECT *, count(*) OVER (PARTITION BY {key_sql("alias")}, type) > 1 AS clash FROM n)"""
+
+
+def _patched_aliases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a, i = views.aliases(spark, sf_dir), F.col("id")
+    alias = F.when(i % 4 == 0, F.concat(F.lit("  "), "alias", F.lit("-Dos "))).when(i % 4 == 1, "Clash")
+    none = F.lit(None).cast("string")
+    return maintain.patch_aliases(a, a.select("id", alias.alias("alias"), none.alias("canonical_name"), none.alias("type"), F.when(i % 5 == 2, False).alias("is_active")))
+
+
+@query(with_views(["aliases"], f"""{_ALIAS_PATCHES}, o AS (SELECT id, CASE WHEN clash THEN old_alias ELSE alias END AS alias, type, CASE WHEN clash THEN old_active ELSE is_active END AS is_active FROM k)
+SELECT *, {key_sql("alias")} AS alias_key FROM o"""))
+def patched_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases renamed and switched off; keys follow, clashing patches are left out."""
+    return _patched_aliases(spark, sf_dir)[0].select("id", "alias", "alias_key", "type", "is_active")
+
+
+@query(with_views(["aliases"], f"{_ALIAS_PATCHES} SELECT id, 'clash' AS reason FROM k WHERE clash"))
+def rejected_alias_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _patched_aliases(spark, sf_dir)[1]
+
+
+@query(with_views(["articles", "canonical"], """SELECT a.id, CASE WHEN d.id % 3 <> 0 THEN d.id END AS dominant_actor_id, CASE WHEN b.id % 3 <> 0 THEN b.id END AS blamed_actor_id, CASE WHEN c.id % 3 <> 0 THEN c.id END AS credited_actor_id
+FROM articles a LEFT JOIN canonical d ON d.id = a.id % 50 + 1 LEFT JOIN canonical b ON b.id = a.id % 70 + 1 LEFT JOIN canonical c ON c.id = a.id % 50 + 1"""))
+def unlinked_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actors of articles after a third of the dimension was deleted."""
+    c, i = views.canonical(spark, sf_dir), F.col("id")
+    known = c.agg(F.max("id").alias("top"))
+    a = views.articles(spark, sf_dir).select("id").crossJoin(F.broadcast(known))  # one row
+    of = lambda n: F.when(i % n + 1 <= F.col("top"), i % n + 1)
+    a = a.select("id", of(50).alias("dominant_actor_id"), of(70).alias("blamed_actor_id"), of(50).alias("credited_actor_id"))
+    return resolve.unlink_actors(a, c.filter("id % 3 = 0"))
+
+
+def _lengths(title: str, body: str) -> dict:
+    """A stand-in for an analyzer, which fails on some texts."""
+    if len(body) % 11 == 0:
+        raise ValueError("no result")
+    return {"overall_sentiment": ("POS", "NEG", "NEU")[len(body) % 3], "topic_keywords": [str(len(title)), "x"], "entities": []}
+
+
+@query(with_views(["articles"], """SELECT id, length(body) % 11 = 0 AS failed, CASE WHEN length(body) % 11 > 0 THEN ['POS', 'NEG', 'NEU'][length(body) % 3 + 1] END AS overall_sentiment,
+CASE WHEN length(body) % 11 > 0 THEN length(coalesce(title, '')) || ', x' END AS topic_keywords, CASE WHEN length(body) % 11 > 0 THEN 'v7' END AS analyzer_version FROM (SELECT id, title, coalesce(body, '') AS body FROM articles)"""))
+def analysed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article through an analyzer; those it fails on are marked, the rest go on."""
+    out = analyze.analyze_articles(views.articles(spark, sf_dir).select("id", "title", "body"), analyze.analysis(_lengths), "lengths", "none", "v7")
+    return out.select("id", F.col("analysis_error").isNotNull().alias("failed"), "result.overall_sentiment", F.array_join("result.topic_keywords", ", ").alias("topic_keywords"), "analyzer_version")
+
+
+def _capital_runs(title: str, body: str) -> dict:
+    """A stand-in for an analyzer: runs of capitalised words as mentions, the first as the dominant actor."""
+    found = Counter(re.findall("[A-Z][a-z]{2,}(?: [A-Z][a-z]{2,}){0,3}", body))
+    rows = [{"name": n, "type": "PERSON" if " " in n else "ORG", "mentions_count": k, "extraction_confidence": 1.0} for n, k in found.items()]
+    return {"overall_sentiment": "NEU", "content_flags": [], "topic_keywords": [], "dominant_actor": rows[0]["name"] if rows else None, "entities": rows}
+
+
+@query()
+def ingested_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages streamed into articles, mentions and the dimension, as (url, name, type, mentions_count, dominant)."""
+    base = _scratch(spark)
+    streamed = streams.page_stream(spark, f"{sf_dir}/pages.parquet*", "page_id long, url string, html string")
+    rows = streamed.select(F.concat(F.lit("m"), (F.col("page_id") % 9).cast("string")).alias("source"), "url", F.encode("html", "UTF-8").alias("raw"), F.lit("text/html; charset=utf-8").alias("content_type"))
+    run = analyze.analysis(_capital_runs)
+    streams.corpus_stream(rows, lambda a: analyze.analyze_articles(a, run, "runs", "none", "1"), lambda: views.aliases(spark, sf_dir), f"{base}/store", f"{base}/state").awaitTermination()
+    a, m, c = (spark.read.parquet(f"{base}/store/{n}") for n in ("articles", "entities", "canonical_entities"))
+    m = m.join(c.select(F.col("id").alias("canonical_entity_id")), "canonical_entity_id").join(a.select(F.col("id").alias("article_id"), "url", "dominant_actor_id"), "article_id")
+    return m.select("url", "name", "type", "mentions_count", F.col("canonical_entity_id").eqNullSafe(F.col("dominant_actor_id")).alias("dominant"))
+
+
+@query(with_views(["raw_mentions", "aliases"], f"""act AS (SELECT alias_key, arg_max(canonical_name, id) AS cn, arg_max(type, id) AS ct FROM aliases WHERE is_active GROUP BY 1),
+r AS (SELECT article_id, coalesce(cn, m.name) AS name, coalesce(ct, m.type) AS type FROM raw_mentions m LEFT JOIN act ON act.alias_key = {key_sql('m.name')})
+SELECT article_id, name, type, count(*) AS n FROM r GROUP BY ALL"""))
+def streamed_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of arriving documents against the alias catalogue, read for each batch."""
+    base = _scratch(spark)
+    d = streams.page_stream(spark, f"{sf_dir}/documents.parquet*", "doc_id long, text string")
+    runs = d.select(F.col("doc_id").alias("article_id"), F.explode(F.regexp_extract_all("text", F.lit(views.NAME_RUN), F.lit(0))).alias("name"))
+    person = F.contains(F.col("name"), F.lit(" ")) | (F.length("name") % 2 == 0)
+    nobody = spark.createDataFrame([], "surname string, full_name string")
+    streams.resolve_stream(runs.withColumn("type", F.when(person, "PERSON").otherwise("ORG")), lambda: views.aliases(spark, sf_dir), lambda: nobody, f"{base}/store", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/store/mentions").groupBy("article_id", "name", "type").agg(F.count(F.lit(1)).alias("n"))

@@ -321,13 +321,13 @@ def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").filter("page_id % 3 = 0").withColumn("source", F.concat(F.lit("m"), (F.col("page_id") % 9).cast("string")))
+    p = table(spark, sf_dir, "pages").withColumn("source", F.concat(F.lit("m"), (F.col("page_id") % 9).cast("string")))
     entry = F.concat(F.lit("<item><title>t</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link></item>"))
     g = p.groupBy("source", F.floor(F.col("page_id") / 40).cast("int").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), "").alias("inner"))
     return g.select("source", "part", F.concat(F.lit("<rss><channel><title>t</title>"), "inner", F.lit("</channel></rss>")).alias("xml"))
 
 
-@query("SELECT 'm' || (page_id % 9) AS source, (page_id // 40)::INT AS part, (row_number() OVER (PARTITION BY page_id % 9, page_id // 40 ORDER BY page_id) - 1)::INT AS ord, trim(url) AS url FROM pages WHERE page_id % 3 = 0")
+@query("SELECT 'm' || (page_id % 9) AS source, (page_id // 40)::INT AS part, (row_number() OVER (PARTITION BY page_id % 9, page_id // 40 ORDER BY page_id) - 1)::INT AS ord, trim(url) AS url FROM pages")
 def feed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses from RSS feeds."""
     return pages.feed_urls(_feeds(spark, sf_dir)).select("source", "part", "ord", "url")
@@ -335,7 +335,7 @@ def feed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_PAGE_PARTS},
 s AS (SELECT source, trim(url) AS url, 0 AS kind, part * 1000 + row_number() OVER (PARTITION BY source, part ORDER BY page_id) - 1 AS ord FROM p WHERE part % 7 <> 6 AND part % 5 <> 4),
-f AS (SELECT source, trim(url) AS url, 1 AS kind, (page_id // 40) * 1000 + row_number() OVER (PARTITION BY source, page_id // 40 ORDER BY page_id) - 1 AS ord FROM p WHERE page_id % 3 = 0),
+f AS (SELECT source, trim(url) AS url, 1 AS kind, (page_id // 40) * 1000 + row_number() OVER (PARTITION BY source, page_id // 40 ORDER BY page_id) - 1 AS ord FROM p),
 u AS (SELECT source, url, min(kind * 1000000000 + ord) AS o FROM (SELECT * FROM s UNION ALL SELECT * FROM f) GROUP BY 1, 2)
 SELECT source, url, row_number() OVER (PARTITION BY source ORDER BY o, url) AS ord FROM u QUALIFY row_number() OVER (PARTITION BY source ORDER BY o, url) <= 40""")
 def discovered_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"),
         F.when(kind == 0, "pending").when(kind == 1, "running").when(kind == 2, "done").otherwise("failed").alias("status"),
         at.alias("created_at"), F.timestamp_micros(F.unix_micros(at) + (F.col("value") * 1000000).cast("long")).alias("finished_at"),
-        F.when(F.col("event_id") % 6 != 0, F.col("props")).alias("result_json"), F.when(kind == 3, F.col("event_type")).alias("error"), F.col("value").alias("seconds"),
+        F.when(kind == 1, F.col("event_type")).alias("stage"), F.when(F.col("event_id") % 6 != 0, F.col("props")).alias("result_json"), F.when(kind == 3, F.col("event_type")).alias("error"), F.col("value").alias("seconds"),
     )
 
 
@@ -147,7 +147,7 @@ SQL = {
           SELECT {key_sql("name")} AS alias_key, type, count(*) AS n, min(name) AS alias FROM raw_mentions WHERE NOT contains(name, ' ') GROUP BY 1, 2)) WHERE id <= 50""",
     "jobs": """SELECT event_id AS id, 'u' || user_id AS url, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'failed' END AS status,
         ts::TIMESTAMP AS created_at, make_timestamp(epoch_us(ts::TIMESTAMP) + trunc(value * 1000000)::BIGINT) AS finished_at,
-        CASE WHEN event_id % 6 <> 0 THEN props END AS result_json, CASE WHEN event_id % 4 = 3 THEN event_type END AS error, value AS seconds FROM events""",
+        CASE WHEN event_id % 4 = 1 THEN event_type END AS stage, CASE WHEN event_id % 6 <> 0 THEN props END AS result_json, CASE WHEN event_id % 4 = 3 THEN event_type END AS error, value AS seconds FROM events""",
     "stage_events": "SELECT 's' || (user_id % 9) AS source, event_type AS stage, ts::TIMESTAMP AS at, event_id AS id, value FROM events",
 }
 _NEEDS = {"mentions": ["raw_mentions"], "canonical": ["raw_mentions"], "aliases": ["raw_mentions"]}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,18 +38,59 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return g.withColumn("entities_exhaustive", F.coalesce("entities_exhaustive", F.lit(True)))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that all executors share for checkpoints; on one machine, as in tests, a fresh one if none is named."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df computed now and kept in the shared folder, so that a lost executor costs a read and not a second, different answer."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def one_of_each(df: DataFrame, key: str) -> DataFrame:
+    """One row for each key: the smallest by the other columns, in their order."""
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(*[c if c == key else f"_r.{c}" for c in df.columns])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def append_new(new: DataFrame, path: str, key: str, partition_by: str | None = None) -> DataFrame:
     """Append the rows of new whose key is not stored, one for each key; returns the rows appended.
 
-    A second call with the same rows appends nothing.  The stored keys are read
-    before the write and nothing stored is touched.
+    A second call with the same rows appends nothing.  The rows are fixed
+    before the write, and nothing stored is touched.
     """
     spark = new.sparkSession
-    once = new.dropDuplicates([key])
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        once = once.join(spark.read.parquet(path).select(key), key, "left_anti")
-    once = once.checkpoint() if spark.sparkContext.getCheckpointDir() else once.persist()
-    writer = once.write.mode("append")
+    found = one_of_each(new, key)
+    if exists(spark, path):
+        found = found.join(spark.read.parquet(path).select(key), key, "left_anti")
+    found = once(found)
+    writer = found.write.mode("append")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return once
+    return found
+
+
+def earlier(spark: SparkSession, store: str, name: str, schema: str, batch_id: int) -> DataFrame:
+    """What other batches than batch_id have stored of a table of a corpus; no rows before the first."""
+    if not exists(spark, f"{store}/{name}"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{store}/{name}").filter(F.col("batch") != batch_id).drop("batch")
+
+
+def write_batch(df: DataFrame, store: str, name: str, batch_id: int) -> None:
+    """Store the rows of one batch; a replay of the batch replaces them."""
+    df.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch_id}")

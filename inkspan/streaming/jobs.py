@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from inkspan.functions.text import join_list
 from inkspan.functions.urls import canonical_url
-from inkspan.sources.pages import extract_articles
-from inkspan.sources.tables import append_new
+from inkspan.operators import resolve
+from inkspan.sources.pages import decode_page, extract_articles
+from inkspan.sources.tables import CANONICAL, MENTIONS, append_new, earlier, once, one_of_each, write_batch
 
 REUSE_MINUTES = 60
 
@@ -22,10 +24,12 @@ def page_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def ingest_batch(pages: DataFrame, on_topic: Column | None = None) -> DataFrame:
-    """Pages (source, url, html) to article rows, one for each canonical address."""
+    """Pages (source, url, html, or the bytes raw and their content_type) to article rows, one for each canonical address."""
+    if "html" not in pages.columns:
+        pages = pages.withColumn("html", decode_page(F.col("raw"), F.col("content_type"))).drop("raw", "content_type")
     a = extract_articles(pages).withColumn("url", canonical_url(F.col("url")))
     a = a.filter(on_topic) if on_topic is not None else a
-    return a.dropDuplicates(["url"])
+    return one_of_each(a, "url")
 
 
 def ingest_stream(pages: DataFrame, store: str, runs: str, checkpoint: str, on_topic: Column | None = None):
@@ -38,11 +42,74 @@ def ingest_stream(pages: DataFrame, store: str, runs: str, checkpoint: str, on_t
         seen = batch.count()
         added = append_new(ingest_batch(batch, on_topic), store, "url", "source")
         n = added.count()
-        batch.sparkSession.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(seen).alias("discovered"), F.lit(n).alias("saved")).write.mode("append").parquet(runs)
+        row = batch.sparkSession.range(1).select(F.lit(seen).alias("discovered"), F.lit(n).alias("saved"))
+        row.write.mode("overwrite").parquet(f"{runs}/batch_id={batch_id}")
 
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+STORED = """id long, source string, url string, title string, authors string, section string, published_at timestamp, body string,
+main_topic string, topic_keywords string, overall_sentiment string, sentiment_score double, framing string, headline_intent string, lead_orientation string,
+source_quality string, has_hard_data boolean, sentiment_basis string, facts_sentiment string, quoted_sentiment string, media_stance string,
+media_stance_evidence string, overall_sentiment_reason string, content_flags string, analyzer_name string, analyzer_model string, analyzer_version string,
+analysis_schema_version int, analyzed_at timestamp, dominant_actor_id long, blamed_actor_id long, credited_actor_id long"""
+
+
+def save_analyses(analysed: DataFrame, aliases: DataFrame, store: str, batch_id: int) -> DataFrame:
+    """Store analysed articles, their mentions and the new dimension rows as one batch; returns the articles stored.
+
+    Addresses that an earlier batch stored are left out, and so are articles
+    whose analysis failed.  Names go through the alias catalogue and the
+    surnames known so far; actors become dimension ids.  A batch that is
+    replayed replaces its own rows in all three tables.
+    """
+    spark = analysed.sparkSession
+    articles, mentions, canonical = (earlier(spark, store, name, schema, batch_id) for name, schema in (("articles", STORED), ("entities", MENTIONS), ("canonical_entities", CANONICAL)))
+    fresh = analysed.filter("analysis_error IS NULL").join(articles.select("url"), "url", "left_anti")
+    fresh = once(resolve.numbered(fresh, articles, "url"))
+    found = fresh.select(F.col("id").alias("article_id"), F.explode("result.entities").alias("e")).select("article_id", "e.*")
+    named = fresh.select(F.col("id").alias("article_id"), *[f"result.{a}" for a in resolve.ACTORS])
+    entities, named = resolve.canonicalize_result(named, found, aliases, resolve.person_map(mentions, canonical, aliases))
+    entities = once(entities)
+    new = once(resolve.new_canonical(entities, canonical))
+    linked = resolve.link_mentions(entities, canonical.select("id", "name", "type").unionByName(new))
+    linked = once(resolve.numbered(linked, mentions, "article_id", "name", "type"))
+    row = fresh.join(resolve.with_actor_ids(named, linked).withColumnRenamed("article_id", "id"), "id").select("*", "result.*")
+    row = row.withColumn("topic_keywords", join_list(F.col("topic_keywords"))).withColumn("content_flags", join_list(F.col("content_flags")))
+    names = [f.name for f in spark.createDataFrame([], STORED).schema]
+    now = F.current_timestamp()
+    write_batch(new.select("id", "name", "type", F.lit(None).cast("string").alias("description"), now.alias("created_at"), now.alias("updated_at")), store, "canonical_entities", batch_id)
+    write_batch(linked.withColumn("mentions_count", F.col("mentions_count").cast("int")).select([f.name for f in spark.createDataFrame([], MENTIONS).schema]), store, "entities", batch_id)
+    write_batch(row.select(names), store, "articles", batch_id)
+    return fresh
+
+
+def corpus_stream(pages: DataFrame, analyze: Callable[[DataFrame], DataFrame], aliases: Callable[[], DataFrame], store: str, checkpoint: str, on_topic: Column | None = None):
+    """The whole ingest of each micro-batch: decode, extract, one page an address, topic, analysis, names, storage.
+
+    analyze is `analyze_articles` with its analyzer; aliases reads the
+    catalogue, anew for each batch.  store/runs has one summary a batch.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        analysed = once(analyze(ingest_batch(batch, on_topic)))
+        saved = save_analyses(analysed, aliases(), store, batch_id).count()
+        n = analysed.agg(F.count(F.lit(1)).alias("articles"), F.count("analysis_error").alias("failed"))
+        write_batch(n.select(F.lit(batch.count()).alias("discovered"), "articles", "failed", F.lit(saved).alias("saved")), store, "runs", batch_id)
+
+    return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def resolve_stream(mentions: DataFrame, aliases: Callable[[], DataFrame], surnames: Callable[[], DataFrame], store: str, checkpoint: str):
+    """Arriving mentions against the alias catalogue and the surname map, both read anew for each micro-batch."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_batch(resolve.resolve_surnames(resolve.resolve_aliases(batch, aliases()), surnames()), store, "mentions", batch_id)
+
+    return mentions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _reuse(minutes: int):
     span = minutes * 60_000_000
 

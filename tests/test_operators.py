@@ -1,11 +1,12 @@
 """Literal cases of the operators over small tables."""
 
+import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.operators import evaluate, filters, maintain, mentions, reports, resolve, sentiment, verify
+from inkspan.operators import analyze, evaluate, filters, maintain, mentions, reports, resolve, sentiment, verify
 
 MENTION = "article_id long, name string, type string, mentions_count long, sentiment_toward string, sentiment_score double, context string, extraction_confidence double"
 ALIAS = "id long, alias string, alias_key string, canonical_name string, type string, is_active boolean"
@@ -193,3 +194,96 @@ def test_quota_equals_sequential_rule(spark):
             n[s] = n.get(s, 0) + 1
             taken.append(k)
     assert sorted(got) == taken
+
+
+def test_actors_follow_their_entities(spark):
+    found = rows(spark, ("Luis Abinader", "P", 1), ("Abinader", "P", 4), ("General Motors", "O", 2))
+    named = spark.createDataFrame([(1, "Abinader", " ", None, "kept"), (2, "Otro", None, None, "kept")], "article_id long, dominant_actor string, blamed_actor string, credited_actor string, framing string")
+    nobody = spark.createDataFrame([], "surname string, full_name string")
+    entities, out = resolve.canonicalize_result(named, found, spark.createDataFrame([], ALIAS), nobody)
+    assert sorted((r["name"], r["mentions_count"]) for r in entities.collect()) == [("General Motors", 2), ("Luis Abinader", 5)]
+    assert sorted((r["article_id"], r["dominant_actor"], r["blamed_actor"], r["credited_actor"], r["framing"]) for r in out.collect()) == [(1, "Luis Abinader", None, None, "kept"), (2, "Otro", None, None, "kept")]
+    linked = spark.createDataFrame([(1, "Luis Abinader", 7), (1, "General Motors", 8)], "article_id long, name string, canonical_entity_id long")
+    assert {r["article_id"]: r["dominant_actor_id"] for r in resolve.with_actor_ids(out, linked).collect()} == {1: 7, 2: None}
+
+
+def test_rectified_actors(spark):
+    linked = spark.createDataFrame([(1, 10, "MINERD", 7), (1, 11, "Ana Paz", 8), (1, 12, "ana paz", 9), (1, 13, "Sin Enlace", None)], "article_id long, id long, name string, canonical_entity_id long")
+    known = spark.createDataFrame([(7, "Ministerio de Educación", "ORG"), (8, "Ana Paz", "PERSON"), (9, "ana paz", "PERSON")], "id long, name string, type string")
+    typed = spark.createDataFrame([(1, "ministerio de educacion"), (1, "Minerd"), (1, "ANA  PAZ"), (1, "Sin enlace"), (1, "Nadie"), (2, "Minerd"), (1, ""), (1, None)], "article_id long, actor string")
+    out = {(r["article_id"], r["actor"]): r["canonical_entity_id"] for r in resolve.rectify_actor_ids(typed, linked, known).collect()}
+    assert out == {(1, "ministerio de educacion"): 7, (1, "Minerd"): 7, (1, "ANA  PAZ"): 8, (1, "Sin enlace"): None, (1, "Nadie"): None, (2, "Minerd"): None, (1, ""): None, (1, None): None}
+
+
+def test_merged_rows_are_no_actors(spark):
+    a = spark.createDataFrame([(1, 5, 6, 5), (2, 6, None, None)], "id long, dominant_actor_id long, blamed_actor_id long, credited_actor_id long")
+    out = sorted(tuple(r) for r in resolve.unlink_actors(a, spark.createDataFrame([(5,)], "id long")).collect())
+    assert out == [(1, None, 6, None), (2, 6, None, None)]
+
+
+def test_sweep_counts_and_stage(spark):
+    now, at = datetime(2026, 1, 3), lambda d, h, m=0: datetime(2026, 1, d, h, m)
+    j = spark.createDataFrame([("a", "running", "fetch", at(2, 23, 45), None), ("b", "running", "fetch", at(2, 23, 46), None), ("c", "pending", None, at(1, 0), None), ("d", "done", None, at(1, 0, 1), None), ("e", "failed", None, at(1, 0), None)], "id string, status string, stage string, created_at timestamp, error string")
+    out = {r["id"]: (r["status"], r["stage"]) for r in maintain.sweep_jobs(j, F.lit(now)).collect()}
+    assert out == {"a": ("failed", None), "b": ("running", "fetch"), "d": ("done", None)}
+    assert tuple(maintain.sweep_counts(j, F.lit(now)).first()) == (2, 2)
+    assert maintain.sweep_jobs(j, F.lit(now), keep_hours=0).count() == 5
+
+
+def test_run_status(spark):
+    e = spark.createDataFrame([("a", "saved"), ("a", "cancelled"), ("b", "broken"), ("c", "failed")], "source string, k string")
+    is_ = lambda k: F.col("k") == k
+    got = lambda df: {r["source"]: r["status"] for r in maintain.run_totals(df, is_("discovered"), is_("saved"), is_("failed"), is_("cancelled"), is_("broken")).collect()}
+    assert got(e) == {"a": "cancelled", "b": "failed", "c": "success", None: "cancelled"}
+    assert got(e.union(spark.createDataFrame([(None, "broken")], e.schema)))[None] == "failed"
+
+
+def test_alias_patches(spark):
+    a = spark.createDataFrame([(1, "PLD", "pld", "Partido", "ORG", True), (2, "PRM", "prm", "Otro", "ORG", True)], ALIAS)
+    p = spark.createDataFrame([(1, " P.R.D. ", None, None, None), (2, None, " Nuevo ", None, False), (3, "x", None, None, None)], "id long, alias string, canonical_name string, type string, is_active boolean")
+    out, rejected = maintain.patch_aliases(a, p)
+    assert sorted(tuple(r) for r in out.select("id", "alias", "alias_key", "canonical_name", "is_active").collect()) == [(1, "P.R.D.", "prd", "Partido", True), (2, "PRM", "prm", "Nuevo", False)]
+    assert [tuple(r) for r in rejected.collect()] == [(3, "missing")]
+    assert [tuple(r) for r in maintain.patch_aliases(a, p.filter("id = 1").withColumn("alias", F.lit("prm")))[1].collect()] == [(1, "clash")]
+
+
+def test_orphans_of_every_reference(spark):
+    a = spark.createDataFrame([(1, "u", 5, 9, None)], "id long, url string, dominant_actor_id long, blamed_actor_id long, credited_actor_id long")
+    m = spark.createDataFrame([(1, "A", "ORG", 5), (2, "A", "ORG", 8), (1, "B", "ORG", None)], "article_id long, name string, type string, canonical_entity_id long")
+    c = spark.createDataFrame([(5, "A", "ORG")], "id long, name string, type string")
+    out = {r["rule"]: r["n"] for r in filters.audit_constraints(a, m, c, spark.createDataFrame([], ALIAS)).collect()}
+    assert {k: v for k, v in out.items() if v} == {"orphan_mention": 1, "orphan_link": 1, "orphan_blamed_actor": 1} and len(out) == 9
+
+
+def test_default_topic(spark):
+    a = spark.createDataFrame([("http://a/x/1", "El Senado vota", ""), ("http://a/deportes/1", "El Senado vota", ""), ("http://a/x/2", "Feria", "el alcalde y el alcalde"), ("http://a/x/3", "Feria", "el alcalde y la JCE")], "url string, title string, body string")
+    assert [r[0] for r in a.select(filters.is_topic(F.col("url"), F.col("title"), F.col("body"))).collect()] == [True, False, False, True]
+
+
+def test_an_article_that_fails_alone(spark):
+    def one(title, body):
+        if "bad" in body:
+            raise RuntimeError("no")
+        return {"overall_sentiment": "POS", "has_hard_data": "x" if "odd" in body else True, "entities": [{"name": title, "type": "ORG", "mentions_count": 1}]}
+
+    a = spark.createDataFrame([(1, "t", "good"), (2, "t", "bad"), (3, "t", None), (4, "t", "odd")], "id long, title string, body string").coalesce(1)
+    for many in (None, lambda texts: [one(*x) for x in texts]):
+        out = {r["id"]: r for r in analyze.analyze_articles(a, analyze.analysis(one, many), "n", "m", "v").collect()}
+        assert [k for k, r in out.items() if r["analysis_error"]] == [2, 4] and out[2]["analysis_error"] == "RuntimeError: no" and out[2]["analyzer_name"] is None
+        assert out[3]["result"]["entities"][0]["name"] == "t" and out[1]["analysis_schema_version"] == 2 and out[1]["analyzed_at"]
+
+
+def test_evaluation_report(spark):
+    fields = "article_id long, overall_sentiment string, framing string, sentiment_basis string, facts_sentiment string, quoted_sentiment string, media_stance string, content_flags array<string>"
+    gold = spark.createDataFrame([(1, "POS", "denuncia", None, None, None, None, ["a"], True), (2, "NEG", None, None, None, None, None, None, False)], fields + ", entities_exhaustive boolean")
+    pred = spark.createDataFrame([(1, "POS", "?", None, None, None, None, ["a", "b"])], fields)
+    side = "article_id long, ord int, name string, type string, sentiment_toward string"
+    ents = spark.createDataFrame([(1, 0, "Ana", "PERSON", "POS"), (2, 1, "Eva", "PERSON", None)], side)
+    report, each = evaluate.evaluate(pred, gold, ents, ents.filter("article_id = 1"))
+    r = json.loads(evaluate.report_json(report).first()["report"])
+    assert (r["n_articles"], r["overall_sentiment"]["accuracy"], r["overall_sentiment"]["confusion_matrix"]["NEG->NEU"]) == (2, 0.5, 1)
+    assert r["category_matrices"]["framing"] == {"accuracy": 0.0, "n_labeled": 1, "confusion_matrix": r["category_matrices"]["framing"]["confusion_matrix"]}
+    assert r["category_matrices"]["framing"]["confusion_matrix"]["denuncia->neutro_informativo"] == 1 and r["category_matrices"]["media_stance"]["n_labeled"] == 0
+    assert (r["entities"]["overall"]["tp"], r["entities"]["overall"]["fp"], r["entities"]["by_type"]["PERSON"]["f1"]) == (1, 0, 1.0)
+    assert (r["content_flags"]["tp"], r["content_flags"]["fp"]) == (1, 1)
+    assert sorted((x["article_id"], x["entity_pairs"]) for x in each.collect()) == [(1, 1), (2, 1)]

@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from inkspan.operators import analyze
 from inkspan.sources import pages, tables
 from inkspan.streaming import jobs
 
@@ -101,3 +102,40 @@ def test_reuse_of_one_busy_url(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert Counter(got) == Counter(want) and len(want) > 50
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_corpus_stream(spark, tmp_path):
+    page = "<h1>{}</h1><p>{}</p>"
+    rows = [("s", "http://a/1?utm_source=x", page.format("Uno", "ACME y Luis Abinader")), ("s", "http://a/1", page.format("Uno", "ACME y Luis Abinader")), ("s", "http://a/2", page.format("Dos", "Abinader habla")), ("s", "http://a/3", page.format("Tres", "bad"))]
+    later = [("s", "http://a/2/", page.format("Dos", "Abinader habla")), ("s", "http://a/4", page.format("Cuatro", "ACME y Abinader"))]
+    schema, src, store = "source string, url string, html string", str(tmp_path / "in"), str(tmp_path / "store")
+
+    def names(title, body):
+        if body == "bad":
+            raise ValueError(body)
+        found = [n for n in ("ACME", "Luis Abinader", "Abinader") if n in body and not (n == "Abinader" and "Luis" in body)]
+        return {"dominant_actor": found[-1], "topic_keywords": ["x", "y"], "content_flags": [], "entities": [{"name": n, "type": "ORG" if n == "ACME" else "PERSON", "mentions_count": 1, "extraction_confidence": 1.0} for n in found]}
+
+    catalogue = []
+
+    def aliases():
+        return spark.createDataFrame(catalogue, "id long, alias string, alias_key string, canonical_name string, type string, is_active boolean")
+
+    run = analyze.analysis(names)
+    for batch in (rows, later):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.corpus_stream(jobs.page_stream(spark, src, schema), lambda a: analyze.analyze_articles(a, run, "n", "m", "1"), aliases, store, str(tmp_path / "state")).awaitTermination()
+        catalogue.append((1, "ACME", "acme", "Acme Corporation", "ORG", True))
+
+    def read():
+        a, m, c = (spark.read.parquet(f"{store}/{n}") for n in ("articles", "entities", "canonical_entities"))
+        named = m.alias("m").join(c.alias("c"), F.col("m.canonical_entity_id") == F.col("c.id")).join(a.alias("a"), F.col("a.id") == F.col("m.article_id"))
+        assert m.count() == named.count() and c.count() == c.select("id").distinct().count()
+        return sorted((r["url"], r["name"], r["name"] == r["known"], r["actor"]) for r in named.select("a.url", "m.name", F.col("c.name").alias("known"), (F.col("a.dominant_actor_id") == F.col("c.id")).alias("actor")).collect())
+
+    want = [("http://a/1", "ACME", True, False), ("http://a/1", "Luis Abinader", True, True), ("http://a/2", "Abinader", True, True), ("http://a/4", "Acme Corporation", True, False), ("http://a/4", "Luis Abinader", True, True)]
+    assert read() == want
+    assert [tuple(r) for r in spark.read.parquet(f"{store}/runs").orderBy("batch").select("discovered", "articles", "failed", "saved").collect()] == [(4, 3, 1, 2), (2, 2, 0, 1)]
+    again = analyze.analyze_articles(jobs.ingest_batch(spark.createDataFrame(later, schema)), run, "n", "m", "1")
+    jobs.save_analyses(again, aliases(), store, 1)
+    assert read() == want
