@@ -5,6 +5,7 @@ from __future__ import annotations
 from inkspan.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from inkspan.llm.langid import op9_language_id
 from inkspan.llm.line_dedup import op10_line_dedup
+from inkspan.llm.manifest import OP13_SQL, op13_merkle_manifest
 from inkspan.llm.mixing import OP3_SQL, op3_mix_sources
 from inkspan.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from inkspan.llm.packing import op5_pack_sequences
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op3_mix_sources": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
