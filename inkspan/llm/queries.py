@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkspan.llm.alignment import op12_token_alignment
 from inkspan.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from inkspan.llm.langid import op9_language_id
 from inkspan.llm.line_dedup import op10_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op12_token_alignment": op12_token_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
