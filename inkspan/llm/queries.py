@@ -8,6 +8,7 @@ from inkspan.llm.langid import op9_language_id
 from inkspan.llm.line_dedup import op10_line_dedup
 from inkspan.llm.manifest import OP13_SQL, op13_merkle_manifest
 from inkspan.llm.mixing import OP3_SQL, op3_mix_sources
+from inkspan.llm.neural_lm import op11_neural_lm
 from inkspan.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from inkspan.llm.packing import op5_pack_sequences
 from inkspan.llm.pii import op8_personal_data
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_neural_lm": op11_neural_lm,
     "op12_token_alignment": op12_token_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
