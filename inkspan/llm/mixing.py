@@ -15,8 +15,10 @@ so reruns agree.
 No window ever holds a source.  The order is cut in slices of the rank, sums of
 the slices find the one in which the words run out, and only its rows are
 ordered; so on from there with the documents that fit in the gap, until the gap
-is under `CLOSING` words.  What may still fit then is at most that many documents
-of each size class, and one array for each source.  A source's plan is one row:
+is under `CLOSING` words.  Of documents that weigh the same the pass then takes the
+first ones in rank, as many as fill the gap at most, and no later one, since the gap
+never grows; so all that may still fit, some 36,000 documents, are one array for each
+source.  A source's plan is one row:
 its rate, the stretches of the order that are taken, and the closing picks.
 Documents meet it in a broadcast join if the plan is proven small, and then no
 text is shuffled; with very many sources they meet by source, and adaptive
@@ -42,7 +44,7 @@ SHARE = 1.5
 MOST_COPIES = 2
 #: Slices of the order: at least LEAST_SLICES, and more where a slice would hold over SLICE_ROWS documents.
 LEAST_SLICES, SLICE_ROWS = 4096, 1 << 16
-#: Words left to a source under which the rest is picked from one array; so it holds at most twice as many documents.
+#: Words left to a source under which the rest is picked from one array; it holds at most the sum of CLOSING / words over all weights, some 36,000 documents.
 CLOSING = 4096
 
 
@@ -168,15 +170,15 @@ def plan_sources(sized: DataFrame, targets: DataFrame) -> DataFrame:
         s = s.withColumn("after", F.when(F.col("went"), border).otherwise(F.col("after"))).withColumn("short", F.when(F.col("went"), F.col("gap") - got).otherwise(F.col("gap")))
         s = cut(s.withColumn("gap", F.when(F.col("went") & F.col("border").isNull(), 0).otherwise(F.col("short"))).drop("total", "border", "inside", "before", "went"))
         first = False
-    # The closing picks.  No more documents of a size class can be taken than hold the gap.
-    left = _meet(pool.withColumn("slice", place), s.filter("gap > 0").select("src", "gap", "after"), small).filter((F.col("size") <= F.col("gap")) & (_key() > F.col("after")))
-    by_class = Window.partitionBy("src", "size_class")
-    counts = left.groupBy("src", "gap", "size_class", "slice").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(by_class.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    least_words = F.expr("shiftleft(1L, cast(size_class - 1 AS int))")
-    counts = counts.filter(F.col("earlier") <= F.col("gap") / least_words).groupBy("src", "size_class").agg(F.max("slice").alias("last"))
-    left = left.join(F.broadcast(counts) if small else counts, ["src", "size_class"]).filter("slice <= last")
-    left = left.withColumn("nth", F.row_number().over(by_class.orderBy("pareto", F.asc_nulls_first("id"), "size"))).filter(F.col("nth") <= F.col("gap") / least_words + 1)
+    # The closing picks.  The gap never grows, so of documents that weigh the same the pass takes the first few and no later one: no more than fill the gap.
+    left = _meet(pool.withColumn("slice", place), s.filter("gap > 0").select("src", "gap", "after"), small).filter((F.col("words") <= F.col("gap")) & (_key() > F.col("after")))
+    alike = Window.partitionBy("src", "words")
+    counts = left.groupBy("src", "gap", "words", "slice").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(alike.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    most = F.floor(F.col("gap") / F.col("words"))
+    counts = counts.filter(F.col("earlier") < most).groupBy("src", "words").agg(F.max("slice").alias("last"))
+    left = left.join(counts, ["src", "words"]).filter("slice <= last")
+    left = left.withColumn("nth", F.row_number().over(alike.orderBy("pareto", F.asc_nulls_first("id"), "size"))).filter(F.col("nth") <= most)
     arrays = left.groupBy("src", "gap").agg(F.array_sort(F.collect_list(F.struct("pareto", "id", "size", "words"))).alias("all"))
     start = F.struct(F.col("gap").alias("gap"), F.expr(f"cast(array() as array<{_KEY}>)").alias("picks"))
 
