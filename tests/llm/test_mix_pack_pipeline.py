@@ -101,6 +101,17 @@ def test_mix_by_brute_force(documents, monkeypatch, closing, slices):
     assert chance > 50 and abs(hit - chance) < 4 * spread**0.5 + 3
 
 
+def test_mix_of_distant_sizes_equals_sql(spark, documents, tmp_path):
+    """Many documents that are passed over lie before those that still fit."""
+    rng = random.Random(5)
+    size = lambda: rng.randint(64, 90) if rng.random() < 0.5 else rng.randint(512, 1023)
+    documents([(k, f"w{k} " + "x " * (size() - 1), "en", f"s{k // 100:03d}", 0) for k in range(10_000)]).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = Counter(con.execute(f"SELECT doc_id, size, taken FROM ({mixing.OP3_SQL})").fetchall())
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.op3_mix_sources(spark, str(tmp_path)).collect()) == want
+
+
 def test_mix_odd_rows(odd, documents):
     assert mixing.mixed_words(odd).count() == 9 and mixing.mix(odd).columns == odd.columns
     assert mixing.mixed_words(documents([])).count() == 0 and mixing.mix(documents([])).count() == 0
