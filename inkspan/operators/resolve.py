@@ -29,13 +29,17 @@ def resolve_aliases(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     return j.withColumn("name", F.coalesce("canonical_name", "name")).withColumn("type", F.coalesce("alias_type", "type")).drop("_key", "alias_key", "canonical_name", "alias_type")
 
 
+def last_words(names: DataFrame) -> DataFrame:
+    """(surname, name) of the names of two or more significant words."""
+    words = names.select("name", significant_words(F.col("name")).alias("words")).filter(F.size("words") >= 2)
+    return words.select(F.element_at("words", -1).alias("surname"), "name")
+
+
 def person_map(mentions: DataFrame, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
     """(surname, full_name): last significant words that belong to exactly one known full name."""
     names = mentions.filter("type = 'PERSON'").select("name").union(canonical.filter("type = 'PERSON'").select("name"))
     names = names.union(aliases.filter("type = 'PERSON' AND is_active").select("canonical_name")).distinct()
-    words = names.withColumn("words", significant_words(F.col("name"))).filter(F.size("words") >= 2)
-    last = words.select(F.element_at("words", -1).alias("surname"), "name")
-    return last.groupBy("surname").agg(F.min("name").alias("full_name"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    return last_words(names).groupBy("surname").agg(F.min("name").alias("full_name"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
 
 
 def resolve_surnames(mentions: DataFrame, surnames: DataFrame) -> DataFrame:

@@ -247,15 +247,14 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark)
     streamed = streams.page_stream(spark, f"{sf_dir}/pages.parquet*", "page_id long, url string, html string")
     rows = streamed.select(F.concat(F.lit("m"), (F.col("page_id") % 9).cast("string")).alias("source"), "url", "html")
-    q = streams.ingest_stream(rows, f"{base}/store", f"{base}/runs", f"{base}/state")
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/store").select("url")
+    streams.ingest_stream(rows, f"{base}/store", f"{base}/state").awaitTermination()
+    return streams.ingest_store(spark, f"{base}/store").read("articles").select("source", "url", "title", "body")
 
 
 @query()
 def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the ingest."""
-    return streams.ingest_batch(_page_rows(spark, sf_dir)).select("url")
+    return streams.ingest_batch(_page_rows(spark, sf_dir)).select("source", "url", "title", "body")
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +373,7 @@ def ingested_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = streamed.select(F.concat(F.lit("m"), (F.col("page_id") % 9).cast("string")).alias("source"), "url", F.encode("html", "UTF-8").alias("raw"), F.lit("text/html; charset=utf-8").alias("content_type"))
     run = analyze.analysis(_capital_runs)
     streams.corpus_stream(rows, lambda a: analyze.analyze_articles(a, run, "runs", "none", "1"), lambda: views.aliases(spark, sf_dir), f"{base}/store", f"{base}/state").awaitTermination()
-    a, m, c = (spark.read.parquet(f"{base}/store/{n}") for n in ("articles", "entities", "canonical_entities"))
+    a, m, c = (streams.corpus_store(spark, f"{base}/store").read(n) for n in ("articles", "entities", "canonical_entities"))
     m = m.join(c.select(F.col("id").alias("canonical_entity_id")), "canonical_entity_id").join(a.select(F.col("id").alias("article_id"), "url", "dominant_actor_id"), "article_id")
     return m.select("url", "name", "type", "mentions_count", F.col("canonical_entity_id").eqNullSafe(F.col("dominant_actor_id")).alias("dominant"))
 

@@ -82,15 +82,3 @@ def append_new(new: DataFrame, path: str, key: str, partition_by: str | None = N
     writer = found.write.mode("append")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return found
-
-
-def earlier(spark: SparkSession, store: str, name: str, schema: str, batch_id: int) -> DataFrame:
-    """What other batches than batch_id have stored of a table of a corpus; no rows before the first."""
-    if not exists(spark, f"{store}/{name}"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, batch long").parquet(f"{store}/{name}").filter(F.col("batch") != batch_id).drop("batch")
-
-
-def write_batch(df: DataFrame, store: str, name: str, batch_id: int) -> None:
-    """Store the rows of one batch; a replay of the batch replaces them."""
-    df.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch_id}")

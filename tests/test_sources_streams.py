@@ -7,8 +7,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.operators import analyze
-from inkspan.sources import pages, tables
+from inkspan.operators import analyze, resolve
+from inkspan.sources import pages, store, tables
 from inkspan.streaming import jobs
 
 URLSET = '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{}</urlset>'
@@ -61,9 +61,11 @@ def test_stream_equals_batch(spark, tmp_path):
     spark.createDataFrame(rows, "source string, url string, html string").repartition(3).write.parquet(src)
     stream = jobs.page_stream(spark, src, "source string, url string, html string")
     for _ in range(2):
-        jobs.ingest_stream(stream, str(tmp_path / "store"), str(tmp_path / "runs"), str(tmp_path / "state")).awaitTermination()
+        jobs.ingest_stream(stream, str(tmp_path / "store"), str(tmp_path / "state")).awaitTermination()
     batch = jobs.ingest_batch(spark.createDataFrame(rows, "source string, url string, html string"))
-    assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == sorted(r["url"] for r in batch.collect())
+    store = jobs.ingest_store(spark, str(tmp_path / "store"))
+    assert sorted(r["url"] for r in store.read("articles").collect()) == sorted(r["url"] for r in batch.collect())
+    assert [(r["discovered"], r["saved"]) for r in store.read("runs").collect()] == [(6, 3)]
 
 
 def test_reuse_window_stream_equals_batch(spark, tmp_path):
@@ -108,7 +110,7 @@ def test_corpus_stream(spark, tmp_path):
     page = "<h1>{}</h1><p>{}</p>"
     rows = [("s", "http://a/1?utm_source=x", page.format("Uno", "ACME y Luis Abinader")), ("s", "http://a/1", page.format("Uno", "ACME y Luis Abinader")), ("s", "http://a/2", page.format("Dos", "Abinader habla")), ("s", "http://a/3", page.format("Tres", "bad"))]
     later = [("s", "http://a/2/", page.format("Dos", "Abinader habla")), ("s", "http://a/4", page.format("Cuatro", "ACME y Abinader"))]
-    schema, src, store = "source string, url string, html string", str(tmp_path / "in"), str(tmp_path / "store")
+    schema, src, where = "source string, url string, html string", str(tmp_path / "in"), str(tmp_path / "store")
 
     def names(title, body):
         if body == "bad":
@@ -124,18 +126,128 @@ def test_corpus_stream(spark, tmp_path):
     run = analyze.analysis(names)
     for batch in (rows, later):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
-        jobs.corpus_stream(jobs.page_stream(spark, src, schema), lambda a: analyze.analyze_articles(a, run, "n", "m", "1"), aliases, store, str(tmp_path / "state")).awaitTermination()
+        jobs.corpus_stream(jobs.page_stream(spark, src, schema), lambda a: analyze.analyze_articles(a, run, "n", "m", "1"), aliases, where, str(tmp_path / "state")).awaitTermination()
         catalogue.append((1, "ACME", "acme", "Acme Corporation", "ORG", True))
 
     def read():
-        a, m, c = (spark.read.parquet(f"{store}/{n}") for n in ("articles", "entities", "canonical_entities"))
+        a, m, c = (jobs.corpus_store(spark, where).read(n) for n in ("articles", "entities", "canonical_entities"))
         named = m.alias("m").join(c.alias("c"), F.col("m.canonical_entity_id") == F.col("c.id")).join(a.alias("a"), F.col("a.id") == F.col("m.article_id"))
         assert m.count() == named.count() and c.count() == c.select("id").distinct().count()
         return sorted((r["url"], r["name"], r["name"] == r["known"], r["actor"]) for r in named.select("a.url", "m.name", F.col("c.name").alias("known"), (F.col("a.dominant_actor_id") == F.col("c.id")).alias("actor")).collect())
 
     want = [("http://a/1", "ACME", True, False), ("http://a/1", "Luis Abinader", True, True), ("http://a/2", "Abinader", True, True), ("http://a/4", "Acme Corporation", True, False), ("http://a/4", "Luis Abinader", True, True)]
     assert read() == want
-    assert [tuple(r) for r in spark.read.parquet(f"{store}/runs").orderBy("batch").select("discovered", "articles", "failed", "saved").collect()] == [(4, 3, 1, 2), (2, 2, 0, 1)]
+    corpus = jobs.corpus_store(spark, where)
+    assert [tuple(r) for r in corpus.read("runs").orderBy("batch").select("discovered", "articles", "failed", "saved").collect()] == [(4, 3, 1, 2), (2, 2, 0, 1)]
+    assert corpus.read("articles").columns == tables.ARTICLES.replace("\n", " ").replace(" string", "").replace(" long", "").replace(" timestamp", "").replace(" double", "").replace(" boolean", "").replace(" int", "").split(", ")
     again = analyze.analyze_articles(jobs.ingest_batch(spark.createDataFrame(later, schema)), run, "n", "m", "1")
-    jobs.save_analyses(again, aliases(), store, 1)
+    stream = jobs.stream_id(spark, str(tmp_path / "state"))
+    assert not jobs.save_analyses(again, aliases(), corpus, stream, 1)  # a replay
+    assert read() == want and corpus.read("runs").count() == 2
+    # Another stream that brings the same pages adds none; nor does a new checkpoint take earlier ones away.
+    jobs.corpus_stream(jobs.page_stream(spark, src, schema), lambda a: analyze.analyze_articles(a, run, "n", "m", "1"), aliases, where, str(tmp_path / "another")).awaitTermination()
     assert read() == want
+
+
+def _one(spark, url, names):
+    """An analysed article."""
+    entities = [{"name": n, "type": "PERSON", "mentions_count": 1, "extraction_confidence": 1.0} for n in names]
+    page = spark.createDataFrame([("s", url, url, "x", None, None, None)], "source string, url string, title string, body string, section string, authors string, published_at timestamp")
+    run = analyze.analysis(lambda title, body: {"topic_keywords": [], "content_flags": [], "entities": entities})
+    return analyze.analyze_articles(page, run, "n", "m", "1")
+
+
+def _nobody(spark):
+    return spark.createDataFrame([], tables.ALIASES)
+
+
+def test_a_crash_between_tables_leaves_nothing(spark, tmp_path, monkeypatch):
+    corpus = jobs.corpus_store(spark, str(tmp_path / "store"))
+    assert jobs.save_analyses(_one(spark, "http://a/1", ["Ana Ruiz"]), _nobody(spark), corpus, "one", 0)
+    before = {t: sorted(map(tuple, corpus.read(t).collect())) for t in corpus.schemas}
+    real, written = store.Store._write, []
+
+    def broken(self, df, name, by=None):
+        if name == "canonical_entities":
+            raise OSError("lost")
+        written.append(real(self, df, name, by))
+        return written[-1]
+
+    monkeypatch.setattr(store.Store, "_write", broken)
+    with pytest.raises(OSError, match="lost"):
+        jobs.save_analyses(_one(spark, "http://a/2", ["Luis Paz"]), _nobody(spark), corpus, "one", 1)
+    monkeypatch.setattr(store.Store, "_write", real)
+    assert written and before == {t: sorted(map(tuple, corpus.read(t).collect())) for t in corpus.schemas}
+    assert jobs.save_analyses(_one(spark, "http://a/2", ["Luis Paz"]), _nobody(spark), corpus, "one", 1)
+    assert sorted(r["url"] for r in corpus.read("articles").collect()) == ["http://a/1", "http://a/2"]
+    assert sorted((r["id"], r["name"]) for r in corpus.read("canonical_entities").collect()) == [(1, "Ana Ruiz"), (2, "Luis Paz")]
+    kept = sorted(r["id"] for r in corpus.read("entities").collect())
+    assert corpus.vacuum(hours=0) == len(written) and kept == sorted(r["id"] for r in corpus.read("entities").collect()) == [1, 2]
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    """The second to commit works again on what the first has left: no identifier twice, no row lost."""
+    path = str(tmp_path / "store")
+    one, two = jobs.corpus_store(spark, path), jobs.corpus_store(spark, path)
+    real, first = two._indexed, []
+
+    def late(now, new):
+        if not first:
+            first.append(jobs.save_analyses(_one(spark, "http://a/1", ["Ana Ruiz"]), _nobody(spark), one, "one", 0))
+        return real(now, new)
+
+    two._indexed = late
+    assert jobs.save_analyses(_one(spark, "http://a/2", ["Ana Ruiz", "Luis Paz"]), _nobody(spark), two, "two", 0) and first == [True]
+    assert sorted((r["id"], r["url"]) for r in two.read("articles").collect()) == [(1, "http://a/1"), (2, "http://a/2")]
+    assert sorted((r["id"], r["name"]) for r in two.read("canonical_entities").collect()) == [(1, "Ana Ruiz"), (2, "Luis Paz")]
+    assert two.snapshot().version == 1 and two.snapshot().streams == {"one": 0, "two": 0}
+
+
+def test_indexes_follow_the_store(spark, tmp_path, monkeypatch):
+    """Over merges of runs: surnames as `person_map` makes them anew, and every address and name found."""
+    monkeypatch.setattr(store, "KEYS_A_PART", 2)
+    monkeypatch.setattr(store, "FAN", 3)
+    corpus = jobs.corpus_store(spark, str(tmp_path / "store"))
+    names = [["Ana Ruiz", "Luis Paz"], ["Eva Ruiz"], ["Paz"], ["Juan Sol", "Ana Ruiz"], ["Sol", "Leo Mar"], ["Mar", "Ruiz"], ["Lia Cruz"], ["Cruz"]]
+    for k, found in enumerate(names):
+        jobs.save_analyses(_one(spark, f"http://a/{k}", found), _nobody(spark), corpus, "s", k)
+    now = corpus.snapshot()
+    assert all(len(held) < 6 for held in now.runs.values()) and max(r["level"] for r in now.runs["urls"]) == 1
+    whole = resolve.person_map(corpus.read("entities"), corpus.read("canonical_entities"), _nobody(spark))
+    asked = spark.createDataFrame([(n,) for n in ("Ruiz", "Paz", "Sol", "Mar", "Cruz", "Nadie")], "name string")
+    assert sorted(map(tuple, jobs.known_surnames(corpus, asked, _nobody(spark), now).collect())) == sorted(map(tuple, whole.collect())) == [("cruz", "Lia Cruz"), ("mar", "Leo Mar"), ("paz", "Luis Paz"), ("sol", "Juan Sol")]
+    keys = spark.createDataFrame([(f"http://a/{k}",) for k in range(-2, 20)], "key string")
+    assert sorted(r["key"] for r in corpus.lookup("urls", keys, now).collect()) == [f"http://a/{k}" for k in range(8)]
+    assert sorted(r["name"] for r in corpus.read("entities", now).filter("article_id = 6").collect()) == ["Leo Mar", "Ruiz"]
+    jobs.rebuild_indexes(corpus)
+    assert sorted(map(tuple, jobs.known_surnames(corpus, asked, _nobody(spark), corpus.snapshot()).collect())) == sorted(map(tuple, whole.collect()))
+    corpus.compact("articles")
+    assert len(corpus.snapshot().tables["articles"]) == 1 and corpus.read("articles").count() == 8
+
+
+def test_lookup_reads_the_same_however_large_the_store(spark, tmp_path, monkeypatch):
+    """Rows that the scan of a look-up of one key reads, in indexes of two sizes."""
+    monkeypatch.setattr(store, "KEYS_A_PART", 100)
+    read = []
+    for n in (1_000, 16_000):
+        corpus = jobs.ingest_store(spark, str(tmp_path / str(n)))
+        rows = spark.range(n).select(F.concat(F.lit("u"), "id").alias("key"), "id")
+        corpus.transact("s", 0, lambda now, rows=rows, n=n: ({}, {"urls": (rows, n)}, {}))
+        now = corpus.snapshot()
+        (run,) = now.runs["urls"]
+        key = spark.createDataFrame([("u7",)], "key string")
+        part = key.select(store._part(F.col("key"), run["bits"])).first()[0]
+        read.append(corpus._read_run("urls", run, [part]).count())
+        assert corpus.lookup("urls", key, now).collect() == [("u7", 7)]
+    assert all(20 < r < 400 for r in read)
+
+
+def test_the_log_restarts_from_a_whole_state(spark, tmp_path):
+    corpus = jobs.ingest_store(spark, str(tmp_path / "store"))
+    for k in range(18):
+        corpus.commit({"version": k, "stream": "s", "batch": k, "adds": [["articles", f"articles/{k}"]], "drops": [f"articles/{k - 1}"] if k % 2 else []})
+    assert (tmp_path / "store" / "_log" / "whole").exists()
+    now = corpus.snapshot()
+    assert now.version == 17 and now.streams == {"s": 17} and now.tables["articles"] == [f"articles/{k}" for k in range(1, 18, 2)]
+    with pytest.raises(store.Conflict):
+        corpus.commit({"version": 17})
