@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.text import norm_key
 from inkspan.functions.urls import canonical_url
+from inkspan.sources.tables import once
 
 REUSE_MINUTES, STALE_MINUTES, KEEP_HOURS = 60, 15, 48
 BUCKETS = (1, 2.5, 5, 10, 20, 30, 60, 120, 300)
@@ -132,22 +133,66 @@ def recent_runs(runs: DataFrame, n: int = 20, order: str = "started_at") -> Data
     return runs.orderBy(F.desc(order), F.desc("id")).limit(n)
 
 
-def apply_patches(df: DataFrame, patches: DataFrame, fields: list[str], unique: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(patched table, rejected patches).
+def _row_key(row: Column, unique: list[str]) -> Column:
+    """The values of the unique columns of a struct as one text; nulls count as a value."""
+    return F.to_json(F.struct(*[row[c].alias(f"k{k}") for k, c in enumerate(unique)]), {"ignoreNullFields": "false"})
 
-    A patch has an id, and for each field a value and a flag `set_<field>`.
-    Patches that would give two rows the same unique key, or that name no row,
-    are rejected; one patch to a row.
+
+def apply_patches(df: DataFrame, patches: DataFrame, fields: list[str], unique: list[str], order: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(patched table, rejected patches): as if the patches came one after the other, in the order of `order`, then id.
+
+    A patch has an id, and for each field a value and a flag `set_<field>`.  One
+    that names no row is rejected as missing; one that would give a row the
+    unique key of another row, as things stand at its turn, as a clash, whole.
+    So a key that an earlier patch has left is free, and one that a later patch
+    will leave is not; of several that want a free key the first gets it; two
+    rows cannot swap keys.  A row may have many patches.
+
+    Patches are decided in rounds, all at once that depend on no undecided one:
+    a patch waits for earlier patches to its row, to the row that holds the key
+    it wants, and, if nobody does, for earlier ones that want that key.  There
+    is a round for each link of the longest such chain.  Only rows that are
+    patched, or hold a key that a patch asks for, take part.
     """
-    p = patches.select(F.col("id"), *[F.col(f).alias(f"new_{f}") for f in fields], *[f"set_{f}" for f in fields])
-    j = df.join(p, "id")
-    changed = j.select(*[F.when(F.col(f"set_{c}"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns])
-    after = df.join(p.select("id"), "id", "left_anti").select("*", F.lit(False).alias("_patched")).unionByName(changed.withColumn("_patched", F.lit(True)))
-    clash = after.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*unique))).filter("_patched AND _n > 1").select("id")
-    missing = patches.join(df.select("id"), "id", "left_anti").select("id", F.lit("missing").alias("reason"))
-    rejected = clash.withColumn("reason", F.lit("clash")).unionByName(missing)
-    kept = df.join(clash, "id", "left_semi").unionByName(after.join(clash, "id", "left_anti").drop("_patched"))
-    return kept, rejected
+    at = F.struct(F.col(order), F.col("id"), F.col("_tie")) if order != "id" else F.struct(F.col("id"), F.col("_tie"))
+    p = patches.withColumn("_tie", F.monotonically_increasing_id() if order == "id" else F.xxhash64(*patches.columns))
+    p = once(p.select("id", at.alias("at"), F.struct(*[F.col(f) for f in fields]).alias("new"), F.struct(*[F.col(f"set_{f}").alias(f) for f in fields]).alias("set")))
+    missing = p.join(df.select("id"), "id", "left_anti").select("id", F.lit("missing").alias("reason"))
+    row = F.struct(*[F.col(c) for c in df.columns])
+    taking = once(df.join(p.select("id").distinct(), "id", "left_semi").select("id", row.alias("row"), F.lit(False).alias("changed")))
+    open_ = once(p.join(df.select("id"), "id", "left_semi"))
+    rejected = open_.select("id", "at").limit(0)
+    changed = lambda of: F.struct(*[F.when(F.col(f"set.{c}"), F.col(f"new.{c}")).otherwise(of[c]).alias(c) if c in fields else of[c].alias(c) for c in df.columns])
+    while not open_.isEmpty():
+        first = open_.groupBy("id").agg(F.min("at").alias("first"))
+        j = open_.join(first, "id").join(taking.select("id", "row"), "id").withColumn("to", changed(F.col("row")))
+        # What a later patch to a row wants is known if it sets all of the key; if not, others that want a free key wait for it.
+        whole = F.lit(True)
+        for c in unique:
+            whole = whole & (F.col(f"set.{c}") if c in fields else F.lit(True))
+        j = once(j.withColumn("known", (F.col("at") == F.col("first")) | whole).withColumn("key", _row_key(F.col("to"), unique)).withColumn("own", F.col("key") == _row_key(F.col("row"), unique)))
+        fence = j.filter("NOT known").agg(F.min("at").alias("fence"))  # one row
+        wanted = j.filter("known").groupBy("key").agg(F.min("at").alias("first_claim"))
+        # Who holds the keys: rows that take part as they now are, and the others as they are stored.
+        held = taking.select("id", _row_key(F.col("row"), unique).alias("key"))
+        rest = df.join(taking.select("id"), "id", "left_anti").select("id", _row_key(row, unique).alias("key")).join(wanted.select("key"), "key", "left_semi")
+        held = held.unionByName(rest).join(first, "id", "left").select("key", F.col("id").alias("holder"), F.col("first").alias("may_go"))
+        met = j.filter("known").join(held, "key", "left")
+        others = F.col("holder") != F.col("id")
+        stays = others & (F.col("may_go").isNull() | (F.col("may_go") > F.col("at")))
+        seen = met.groupBy("id", "at").agg(F.coalesce(F.max(stays), F.lit(False)).alias("taken"), F.coalesce(F.max(others), F.lit(False)).alias("held"))
+        seen = j.filter("known").join(seen, ["id", "at"]).join(wanted, "key").crossJoin(F.broadcast(fence))
+        turn = F.col("at") == F.col("first")
+        alone = (F.col("first_claim") == F.col("at")) & (F.col("fence").isNull() | (F.col("at") < F.col("fence")))
+        verdict = F.when(turn & F.col("own"), "yes").when(F.col("taken") & (turn | whole), "no").when(turn & ~F.col("held") & alone, "yes")
+        done = once(seen.select("id", "at", "to", verdict.alias("verdict")).filter("verdict IS NOT NULL"))
+        rejected = rejected.unionByName(done.filter("verdict = 'no'").select("id", "at"))
+        won = done.filter("verdict = 'yes'").select("id", F.col("to").alias("_to"))
+        taking = once(taking.join(won, "id", "left").select("id", F.coalesce("_to", "row").alias("row"), (F.col("changed") | F.col("_to").isNotNull()).alias("changed")))
+        open_ = once(open_.join(done.select("id", "at"), ["id", "at"], "left_anti"))
+    now = taking.filter("changed").select("id", F.col("row").alias("_row"))
+    kept = df.join(now, "id", "left").select(*[F.when(F.col("_row").isNotNull(), F.col(f"_row.{c}")).otherwise(F.col(c)).alias(c) for c in df.columns])
+    return kept, rejected.select("id", F.lit("clash").alias("reason")).unionByName(missing)
 
 
 def patch_aliases(aliases: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:

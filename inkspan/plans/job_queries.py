@@ -164,23 +164,42 @@ def parsed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("id", F.col("result.k").alias("k"))
 
 
-_PATCHED = """p AS (SELECT id, 'https://www.example/new/' || (id // 15) AS url, framing FROM articles WHERE id % 10 = 3),
-a AS (SELECT a.id, coalesce(p.url, a.url) AS url, p.id IS NOT NULL AS patched FROM articles a LEFT JOIN p ON p.id = a.id), c AS (SELECT *, count(*) OVER (PARTITION BY url) AS n FROM a)"""
+def _in_turn(rest: str) -> str:
+    """SQL over base (id, key) and patches (id, key), one a row: turn has the patches with ok, each judged by what those before it left."""
+    return f"""held AS (SELECT p.id, list(b.id) AS h FROM patches p JOIN base b ON b.key = p.key GROUP BY p.id),
+q AS (SELECT p.id, p.key, coalesce(h, []) AS h, row_number() OVER (ORDER BY p.id) AS i FROM patches p LEFT JOIN held USING (id)),
+turn AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS id, []::STRUCT(id BIGINT, key VARCHAR)[] AS moved, true AS ok
+  UNION ALL SELECT i, id, CASE WHEN clash THEN moved ELSE list_append(moved, {{'id': id, 'key': key}}) END, NOT clash FROM (SELECT q.i, q.id, q.key, moved,
+    len(list_filter(h, lambda x: x <> q.id AND NOT list_contains(list_transform(moved, lambda m: m.id), x))) + len(list_filter(moved, lambda m: m.key = q.key)) > 0 AS clash FROM turn JOIN q ON q.i = turn.i + 1)),
+{rest}"""
+
+
+def _recursive(names: list[str], rest: str) -> str:
+    return with_views(names, rest).replace("WITH", "WITH RECURSIVE", 1)
+
+
+_PATCHED = _in_turn("told AS (SELECT id, ok FROM turn WHERE i > 0)")
+_PATCHED = f"""base AS (SELECT id, url AS key FROM articles), patches AS (SELECT a.id, CASE a.id // 10 % 4 WHEN 0 THEN 'https://www.example/new/' || (a.id // 65) WHEN 1 THEN coalesce(e.url, a.url) WHEN 2 THEN coalesce(l.url, a.url) ELSE a.url END AS key
+  FROM articles a LEFT JOIN articles e ON e.id = a.id - 10 LEFT JOIN articles l ON l.id = a.id + 10 WHERE a.id % 10 = 3), {_PATCHED}"""
 
 
 def _patched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a = views.articles(spark, sf_dir).select("id", "url", "source", "framing")
-    p = a.filter("id % 10 = 3").select("id", F.concat(F.lit("https://www.example/new/"), F.floor(F.col("id") / 15).cast("string")).alias("url"), "framing", F.lit(True).alias("set_url"), F.lit(False).alias("set_framing"))
-    return maintain.apply_patches(a, p, ["url", "framing"], ["url"])
+    """Every tenth article gets an address: a new one that several want, the one that an earlier patch may have left, that of a later row, or its own."""
+    a, i = views.articles(spark, sf_dir).select("id", "url", "source", "framing"), F.col("id")
+    earlier, later = (a.select((i + k).alias("id"), F.col("url").alias(n)) for k, n in ((10, "e"), (-10, "l")))
+    kind = F.floor(i / 10) % 4
+    url = F.when(kind == 0, F.concat(F.lit("https://www.example/new/"), F.floor(i / 65).cast("string"))).when(kind == 1, F.coalesce("e", "url")).when(kind == 2, F.coalesce("l", "url")).otherwise(F.col("url"))
+    p = a.filter("id % 10 = 3").join(earlier, "id", "left").join(later, "id", "left")
+    return maintain.apply_patches(a, p.select("id", url.alias("url"), "framing", F.lit(True).alias("set_url"), F.lit(False).alias("set_framing")), ["url", "framing"], ["url"])
 
 
-@query(with_views(["articles"], f"{_PATCHED} SELECT c.id, CASE WHEN patched AND n > 1 THEN a.url ELSE c.url END AS url FROM c JOIN articles a USING (id)"))
+@query(_recursive(["articles"], f"{_PATCHED} SELECT a.id, CASE WHEN ok THEN p.key ELSE a.url END AS url FROM articles a LEFT JOIN told t ON t.id = a.id LEFT JOIN patches p ON p.id = a.id"))
 def patched_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with patches applied; clashing ones are left out."""
+    """Articles with patches applied one after the other; clashing ones are left out."""
     return _patched(spark, sf_dir)[0].select("id", "url")
 
 
-@query(with_views(["articles"], f"{_PATCHED} SELECT id, 'clash' AS reason FROM c WHERE patched AND n > 1"))
+@query(_recursive(["articles"], f"{_PATCHED} SELECT id, 'clash' AS reason FROM told WHERE NOT ok"))
 def rejected_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _patched(spark, sf_dir)[1]
 
@@ -307,9 +326,8 @@ def streamed_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["windowed_stage_counts"] = with_views(["stage_events"], "SELECT date_trunc('day', \"at\") AS start, source, stage, count(*) AS n FROM stage_events GROUP BY 1, 2, 3")
 
 
-_ALIAS_PATCHES = f"""p AS (SELECT id, CASE id % 4 WHEN 0 THEN alias || '-Dos' WHEN 1 THEN 'Clash' END AS alias, CASE WHEN id % 5 = 2 THEN false END AS is_active FROM aliases),
-n AS (SELECT a.id, coalesce(p.alias, a.alias) AS alias, a.alias AS old_alias, a.type, coalesce(p.is_active, a.is_active) AS is_active, a.is_active AS old_active FROM aliases a JOIN p USING (id)),
-k AS (SELECT *, count(*) OVER (PARTITION BY {key_sql("alias")}, type) > 1 AS clash FROM n)"""
+_ALIAS_PATCHES = f"""n AS (SELECT id, CASE id % 4 WHEN 0 THEN alias || '-Dos' WHEN 1 THEN 'Clash' ELSE alias END AS alias, type, CASE WHEN id % 5 = 2 THEN false ELSE is_active END AS is_active FROM aliases),
+base AS (SELECT id, {key_sql("alias")} || '/' || type AS key FROM aliases), patches AS (SELECT id, {key_sql("alias")} || '/' || type AS key FROM n), {_in_turn("told AS (SELECT id, ok FROM turn WHERE i > 0)")}"""
 
 
 def _patched_aliases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -319,14 +337,14 @@ def _patched_aliases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return maintain.patch_aliases(a, a.select("id", alias.alias("alias"), none.alias("canonical_name"), none.alias("type"), F.when(i % 5 == 2, False).alias("is_active")))
 
 
-@query(with_views(["aliases"], f"""{_ALIAS_PATCHES}, o AS (SELECT id, CASE WHEN clash THEN old_alias ELSE alias END AS alias, type, CASE WHEN clash THEN old_active ELSE is_active END AS is_active FROM k)
+@query(_recursive(["aliases"], f"""{_ALIAS_PATCHES}, o AS (SELECT a.id, CASE WHEN ok THEN n.alias ELSE a.alias END AS alias, a.type, CASE WHEN ok THEN n.is_active ELSE a.is_active END AS is_active FROM aliases a JOIN n USING (id) JOIN told USING (id))
 SELECT *, {key_sql("alias")} AS alias_key FROM o"""))
 def patched_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases renamed and switched off; keys follow, clashing patches are left out."""
     return _patched_aliases(spark, sf_dir)[0].select("id", "alias", "alias_key", "type", "is_active")
 
 
-@query(with_views(["aliases"], f"{_ALIAS_PATCHES} SELECT id, 'clash' AS reason FROM k WHERE clash"))
+@query(_recursive(["aliases"], f"{_ALIAS_PATCHES} SELECT id, 'clash' AS reason FROM told WHERE NOT ok"))
 def rejected_alias_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _patched_aliases(spark, sf_dir)[1]
 

@@ -1,6 +1,7 @@
 """Literal cases of the operators over small tables."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -287,3 +288,59 @@ def test_evaluation_report(spark):
     assert (r["entities"]["overall"]["tp"], r["entities"]["overall"]["fp"], r["entities"]["by_type"]["PERSON"]["f1"]) == (1, 0, 1.0)
     assert (r["content_flags"]["tp"], r["content_flags"]["fp"]) == (1, 1)
     assert sorted((x["article_id"], x["entity_pairs"]) for x in each.collect()) == [(1, 1), (2, 1)]
+
+
+def _in_turn(rows, patches, unique):
+    """Patches one after the other: (rows, rejected identifiers)."""
+    rows, rejected = {r["id"]: dict(r) for r in rows}, []
+    for p in sorted(patches, key=lambda p: (p["seq"], p["id"])):
+        if p["id"] not in rows:
+            rejected.append((p["id"], "missing"))
+            continue
+        to = rows[p["id"]] | {f: v for f, v in p["set"].items()}
+        key = [to[u] for u in unique]
+        if key != [rows[p["id"]][u] for u in unique] and any(key == [r[u] for u in unique] for i, r in rows.items() if i != p["id"]):
+            rejected.append((p["id"], "clash"))
+        else:
+            rows[p["id"]] = to
+    return sorted(tuple(r.values()) for r in rows.values()), sorted(rejected)
+
+
+def _patch_rows(spark, patches, fields):
+    kind = {"k": "string", "t": "string", "v": "long"}
+    schema = "id long, seq long, " + ", ".join(f"{f} {kind[f]}, set_{f} boolean" for f in fields)
+    return spark.createDataFrame([(p["id"], p["seq"], *[x for f in fields for x in (p["set"].get(f), f in p["set"])]) for p in patches], schema)
+
+
+PATCH_CASES = {
+    "a later patch leaves the key": [(1, {"k": "k3"}), (2, {"k": "k1"})],
+    "swap": [(1, {"k": "k2"}), (2, {"k": "k1"})],
+    "chain from its end": [(3, {"k": "z"}), (2, {"k": "k3"}), (1, {"k": "k2"}), (4, {"k": "k1"})],
+    "chain from its start": [(1, {"k": "k2"}), (2, {"k": "k3"}), (3, {"k": "z"})],
+    "many want one": [(1, {"k": "z"}), (2, {"k": "z"}), (3, {"k": "z", "v": 9}), (4, {"v": 7})],
+    "two to a row": [(1, {"k": "z"}), (1, {"k": "k2"}), (2, {"k": "k1"}), (1, {"k": "k1"}), (1, {"k": "k1"})],
+    "away and back": [(1, {"k": "z"}), (2, {"k": "k1"}), (2, {"k": "k2"}), (1, {"k": "k1"})],
+    "missing and null": [(9, {"k": "z"}), (1, {"k": None}), (2, {"k": None}), (3, {"k": "k1", "v": None})],
+    "part of the key": [(1, {"t": "B"}), (1, {"k": "k2"}), (2, {"t": "B"}), (3, {"t": "A", "k": "k1"})],
+}
+
+
+@pytest.mark.parametrize("case", PATCH_CASES)
+def test_patches_in_turn(spark, case):
+    rows = [{"id": i, "k": f"k{i}", "t": "A", "v": i} for i in range(1, 5)]
+    patches = [{"id": i, "seq": n, "set": s} for n, (i, s) in enumerate(PATCH_CASES[case])]
+    kept, rejected = maintain.apply_patches(spark.createDataFrame([tuple(r.values()) for r in rows], "id long, k string, t string, v long"), _patch_rows(spark, patches, ["k", "t", "v"]), ["k", "t", "v"], ["k", "t"], "seq")
+    got = sorted(map(tuple, kept.collect()), key=lambda r: r[0])
+    want, bad = _in_turn(rows, patches, ["k", "t"])
+    assert got == sorted(want, key=lambda r: r[0]) and sorted(map(tuple, rejected.collect())) == bad
+    assert len({r[1:3] for r in got}) == 4
+
+
+def test_random_patches_in_turn(spark):
+    rng = random.Random(6)
+    rows = [{"id": i, "k": f"k{i}", "t": "AB"[i % 2], "v": i} for i in range(40)]
+    choices = [{"k": f"k{rng.randrange(50)}"} | ({"t": rng.choice("AB")} if rng.random() < 0.4 else {}) if rng.random() < 0.8 else {"t": rng.choice("AB")} for _ in range(60)]
+    patches = [{"id": rng.randrange(42), "seq": n, "set": s} for n, s in enumerate(choices)]
+    kept, rejected = maintain.apply_patches(spark.createDataFrame([tuple(r.values()) for r in rows], "id long, k string, t string, v long"), _patch_rows(spark, patches, ["k", "t"]), ["k", "t"], ["k", "t"], "seq")
+    want, bad = _in_turn(rows, patches, ["k", "t"])
+    assert sorted(map(tuple, kept.collect())) == want and sorted(map(tuple, rejected.collect())) == bad and {"clash", "missing"} == {b[1] for b in bad}
