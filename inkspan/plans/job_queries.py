@@ -260,7 +260,11 @@ def _page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.concat(F.lit("m"), (F.col("page_id") % 9).cast("string")).alias("source"), "url", "html")
 
 
-@query()
+_INGESTED = f"""WITH {views.READ_SQL}, c AS (SELECT 'm' || page_id % 9 AS source, {canonical_url_sql('url')} AS url, title, body FROM read WHERE title <> '' AND body <> '')
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY url ORDER BY source, title, body) = 1"""
+
+
+@query(_INGESTED)
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages streamed into the article store: the same addresses as the batch form gives."""
     base = _scratch(spark)
@@ -270,7 +274,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.ingest_store(spark, f"{base}/store").read("articles").select("source", "url", "title", "body")
 
 
-@query()
+@query(_INGESTED)
 def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the ingest."""
     return streams.ingest_batch(_page_rows(spark, sf_dir)).select("source", "url", "title", "body")

@@ -362,7 +362,7 @@ def decoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.sha2(pages.decode_page(data, kind), 256).alias("decoded"))
 
 
-@query()
+@query(f"WITH {views.READ_SQL} SELECT *, NULL::VARCHAR AS section, NULL::VARCHAR AS authors, NULL::TIMESTAMP AS published_at FROM read WHERE title <> '' AND body <> ''")
 def extracted_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles out of raw pages."""
     return pages.extract_articles(table(spark, sf_dir, "pages"))

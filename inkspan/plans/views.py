@@ -153,6 +153,25 @@ SQL = {
 _NEEDS = {"mentions": ["raw_mentions"], "canonical": ["raw_mentions"], "aliases": ["raw_mentions"]}
 
 
+def _plain_sql(c: str) -> str:
+    out = f"regexp_replace({c}, '<[^>]*>', ' ', 'g')"
+    for name, sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{sign}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+def _without_sql(c: str) -> str:
+    for name in ("script", "style", "nav", "aside", "footer", "form", "noscript"):
+        c = f"regexp_replace({c}, '(?is)<{name}\\b.*?</{name}\\s*>', ' ', 'g')"
+    return f"regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g')"
+
+
+#: read (page_id, url, title, body): what the markup reader finds in `pages`, where dropped elements and comments are closed.
+READ_SQL = f"""read AS (SELECT page_id, url, coalesce(nullif({_plain_sql("regexp_extract(main, '(?is)<h1[^>]*>(.*?)</h1', 1)")}, ''), {_plain_sql("regexp_extract(main, '(?is)<title[^>]*>(.*?)</title', 1)")}) AS title,
+    array_to_string(list_filter(list_transform(string_split_regex(main, '(?i)<p(?:\\s[^>]*)?>')[2:], lambda x: {_plain_sql("regexp_extract(x, '(?is)^(.*?)(?:</?(?:p|div|article|body|html|h1|ul|table|section)\\b|$)', 1)")}), lambda t: t <> ''), chr(10)) AS body
+  FROM (SELECT page_id, url, {_without_sql("html")} AS main FROM pages))"""
+
+
 def with_views(names: list[str], rest: str) -> str:
     """SQL text with the named views in front; rest starts with further CTEs or with SELECT."""
     wanted = [v for v in SQL if v in names or any(v in _NEEDS.get(n, ()) for n in names)]

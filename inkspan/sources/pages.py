@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.dates import parse_date
 from inkspan.functions.urls import canonical_url
+from inkspan.sources.markup import page_fields
 
 FALLBACK_CHARSET = "ISO-8859-1"
 
@@ -48,56 +47,45 @@ def discover_urls(sitemaps: DataFrame, feeds: DataFrame, limit: int | None = Non
     return (out.filter(F.col("ord") <= limit) if limit else out).select("source", "url", "ord")
 
 
-def decode_page(data: Column, content_type: Column) -> Column:
-    """Text of page bytes: the declared charset, else UTF-8 if valid, else Latin-1.  Never fails.
-
-    Charsets are not guessed from the bytes; Latin-1 stands for what cannot be told.
-    """
-    declared = F.lower(F.regexp_extract(content_type, r"(?i)charset=[\"']?([A-Za-z0-9_\-]+)", 1))
-    as_utf8 = F.try_validate_utf8(data.cast("string"))
-    latin = F.decode(data, FALLBACK_CHARSET)
-    utf16 = F.when(declared == "utf-16", F.decode(data, "UTF-16")).when(declared == "utf-16le", F.decode(data, "UTF-16LE")).when(declared == "utf-16be", F.decode(data, "UTF-16BE"))
-    return F.when(declared.isin("windows-1252", "cp1252"), F.translate(latin, *_WINDOWS)).when(declared.isin("iso-8859-1", "latin-1", "latin1", "us-ascii"), latin).otherwise(F.coalesce(utf16, as_utf8, latin))
-
+#: Charsets of one byte a letter, by the names that pages declare.
+SINGLE_BYTE = [f"iso-8859-{k}" for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 13, 14, 15, 16)] + [f"windows-{k}" for k in range(1250, 1259)] + ["koi8-r", "koi8-u", "macintosh", "ibm850", "us-ascii"]
+#: Other names of them.
+CHARSET_NAMES = {"latin1": "iso-8859-1", "latin-1": "iso-8859-1", "ascii": "us-ascii", "latin9": "iso-8859-15", "latin-9": "iso-8859-15", "iso8859-1": "iso-8859-1", "iso8859-15": "iso-8859-15"} | {f"cp{k}": f"windows-{k}" for k in range(1250, 1259)}
+_PYTHON = {"macintosh": "mac-roman", "ibm850": "cp850"}
 
-#: What windows-1252 has where Latin-1 has control characters: those, and the characters in their places.
-_WINDOWS = tuple("".join(x) for x in zip(*[(chr(k), bytes([k]).decode("cp1252")) for k in range(0x80, 0xA0) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)], strict=True))
 
-_DROP = re.compile(r"(?is)<(script|style|nav|aside|footer|form|noscript)\b.*?</\1\s*>|<!--.*?-->")
-_TAG = re.compile(r"(?s)<[^>]+>")
-_P = re.compile(r"(?is)<p\b[^>]*>(.*?)</p\s*>")
-_H1 = re.compile(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_META = re.compile(r"(?is)<meta\b[^>]*>")
-_ATTR = re.compile(r"(?is)([\w:.\-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+def _moved(charset: str) -> tuple[str, str]:
+    """The characters of Latin-1 that a charset has other ones for, and those; what it leaves open is U+FFFD."""
+    pairs = [(chr(k), bytes([k]).decode(_PYTHON.get(charset, charset), "replace")) for k in range(256)]
+    if charset.startswith("windows-"):  # a byte without a letter is the control character
+        pairs = [(x, x if y == "\ufffd" and x < "\xa0" else y) for x, y in pairs]
+    return "".join(x for x, y in pairs if x != y), "".join(y for x, y in pairs if x != y)
 
 
-def _plain(html: str) -> str:
-    return " ".join(unescape(_TAG.sub(" ", html)).split())
-
+def decode_page(data: Column, content_type: Column) -> Column:
+    """Text of page bytes by the declared charset, what is broken replaced; without one that is known, UTF-8 if valid, else Latin-1.  Never fails.
 
-def page_fields(html: str | None) -> tuple[str, str, str, str, str]:
-    """title, body, section, published, authors of a page; empty where there is none."""
-    html = html or ""
-    meta = {}
-    for tag in _META.findall(html):
-        a = {k.lower(): x or y for k, x, y in _ATTR.findall(tag)}
-        name = (a.get("property") or a.get("name") or "").lower()
-        if name and a.get("content"):
-            meta.setdefault(name, unescape(a["content"]).strip())
-    main = _DROP.sub(" ", html)
-    heads = _H1.findall(main) or _TITLE.findall(main)
-    title = meta.get("og:title") or (_plain(heads[0]) if heads else "")
-    body = "\n".join(t for t in map(_plain, _P.findall(main)) if t)
-    section = (meta.get("article:section") or "").split(",")[0].strip()
-    return title, body, section, meta.get("article:published_time") or meta.get("date") or "", meta.get("author") or ""
+    Charsets are not guessed from the bytes.  Those with several bytes a letter
+    are known only as UTF-8 and UTF-16.
+    """
+    declared = F.lower(F.regexp_extract(content_type, r"(?i)charset=[\"']?([A-Za-z0-9_\-]+)", 1))
+    text = data.cast("string")
+    latin = F.decode(data, FALLBACK_CHARSET)
+    out = F.when(declared.isin("utf-8", "utf8"), F.make_valid_utf8(text)).when(declared == "utf-16", F.decode(data, "UTF-16")).when(declared == "utf-16le", F.decode(data, "UTF-16LE")).when(declared == "utf-16be", F.decode(data, "UTF-16BE"))
+    for charset in SINGLE_BYTE:
+        names = [charset, *[n for n, of in CHARSET_NAMES.items() if of == charset]]
+        moved = _moved(charset)
+        out = out.when(declared.isin(names), F.translate(latin, *moved) if moved[0] else latin)
+    return out.otherwise(F.coalesce(F.try_validate_utf8(text), latin))
 
 
 def _extract(column: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            fields = pd.DataFrame([page_fields(h) for h in pdf[column]], columns=["title", "body", "section", "published", "authors"], index=pdf.index)
-            yield pd.concat([pdf.drop(columns=column), fields], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            fields = zip(*[page_fields(h.as_py()) for h in b.column(at)], strict=True) if b.num_rows else [[]] * 5
+            kept = [k for k in range(b.num_columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], *[pa.array(f, pa.string()) for f in fields]], names=[*[b.schema.names[k] for k in kept], "title", "body", "section", "published", "authors"])
 
     return run
 
@@ -106,7 +94,7 @@ def extract_articles(pages: DataFrame, column: str = "html") -> DataFrame:
     """Article fields of pages; pages without a title or without a body are dropped."""
     kept = ", ".join(f"`{n}` {t}" for n, t in pages.dtypes if n != column)
     schema = kept + (", " if kept else "") + "title string, body string, section string, published string, authors string"
-    out = pages.mapInPandas(_extract(column), schema).filter("title <> '' AND body <> ''")
+    out = pages.mapInArrow(_extract(column), schema).filter("title <> '' AND body <> ''")
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     return out.withColumn("section", blank(F.col("section"))).withColumn("authors", blank(F.col("authors"))).withColumn("published_at", parse_date(F.col("published"))).drop("published")
 
