@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +73,67 @@ def main_topic(articles: DataFrame, words: DataFrame) -> DataFrame:
     return top.join(best, "id", "left").select("id", F.coalesce("phrase", "word").alias("main_topic"))
 
 
-def dictionary_mentions(sentences: DataFrame, catalogue: DataFrame, most_words: int = 3) -> DataFrame:
-    """(article_id, idx, word_pos, name, type): word runs of a sentence whose key is in the catalogue (alias_key, canonical_name, type)."""
-    words = F.split(norm_key(F.regexp_replace("text", r"[^\p{L}\p{N}\s.\-]", " ")), " ")
-    s = sentences.select("article_id", "idx", words.alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.struct(i.alias("word_pos"), F.when(i + n - 1 <= F.size("w"), F.array_join(F.slice("w", i, n), " ")).alias("alias_key")))))
-    spans = s.select("article_id", "idx", F.explode(runs).alias("r")).select("article_id", "idx", "r.*").filter("alias_key IS NOT NULL AND alias_key <> ''")
-    return spans.join(catalogue.select("alias_key", F.col("canonical_name").alias("name"), "type"), "alias_key").select("article_id", "idx", "word_pos", "name", "type")
+def _catalogue_automaton(rows: list[tuple[str, str, str]]) -> ahocorasick.Automaton:
+    """Finds every key that stands as whole words between single spaces."""
+    names: dict[str, list[tuple[str, str]]] = {}
+    for key, name, kind in rows:
+        names.setdefault(key, []).append((name, kind))
+    found = ahocorasick.Automaton()
+    for key, named in names.items():
+        found.add_word(f" {key} ", (len(key) + 1, named))
+    found.make_automaton()
+    return found
+
+
+_automata: dict[str, ahocorasick.Automaton] = {}  # the last catalogue of each worker process
+
+
+def _scan(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, rows = shared.value
+        if of not in _automata:
+            _automata.clear()
+            _automata[of] = _catalogue_automaton(rows)
+        automaton = _automata[of]
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for k, text in enumerate(b.column("words").to_pylist()):
+                spaced, at, place = f" {text} ", 0, 1
+                # Matches come by their ends; places are counted from the last start that was met.
+                starts = sorted((end - length, n, named) for n, (end, (length, named)) in enumerate(automaton.iter(spaced))) if text and rows else ()
+                for start, _, named in starts:
+                    place += spaced.count(" ", at + 1, start + 1)
+                    at = start
+                    for name, kind in named:
+                        for column, value in zip(out, (k, place, name, kind), strict=True):
+                            column.append(value)
+            row = pa.array(out[0], pa.int64())
+            kept = [b.column(c).take(row) for c in ("article_id", "idx")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["article_id", "idx", "word_pos", "name", "type"])
+
+    return run
+
+
+def dictionary_mentions(sentences: DataFrame, catalogue: DataFrame, most_words: int = 3, most_rows: int = 200_000, most_letters: int = 10_000_000) -> DataFrame:
+    """(article_id, idx, word_pos, name, type): word runs of a sentence whose key is in the catalogue (alias_key, canonical_name, type).
+
+    A catalogue of up to most_rows rows and most_letters letters becomes an
+    automaton in each task, which passes over a sentence once, whatever the
+    catalogue holds.  A larger one is joined: first by the first word of a run,
+    then by the run.
+    """
+    spark = sentences.sparkSession
+    folded = norm_key(F.regexp_replace("text", r"[^\p{L}\p{N}\s.\-]", " "))
+    c = catalogue.select("alias_key", F.col("canonical_name").alias("name"), "type").filter((F.col("alias_key") != "") & (F.size(F.split("alias_key", " ")) <= most_words))
+    size = c.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("alias_key") + F.coalesce(F.length("name"), F.lit(0))), F.lit(0)).alias("letters")).first()
+    if size["rows"] <= most_rows and size["letters"] <= most_letters:
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in c.collect()]))
+        kinds = dict(sentences.dtypes)
+        return sentences.select("article_id", "idx", folded.alias("words")).mapInArrow(_scan(shared), f"article_id {kinds['article_id']}, idx {kinds['idx']}, word_pos int, name string, type string")
+    s = sentences.select("article_id", "idx", F.split(folded, " ").alias("w"))
+    heads = F.transform("w", lambda word, i: F.struct((i + 1).alias("word_pos"), word.alias("head"), F.slice("w", i + 1, F.lit(most_words)).alias("rest")))
+    t = s.select("article_id", "idx", F.explode(heads).alias("r")).select("article_id", "idx", "r.*")
+    t = t.join(c.select(F.substring_index("alias_key", " ", 1).alias("head")).distinct(), "head", "left_semi")
+    runs = F.transform(F.sequence(F.lit(1), F.size("rest")), lambda n: F.array_join(F.slice("rest", F.lit(1), n), " "))
+    spans = t.select("article_id", "idx", "word_pos", F.explode(runs).alias("alias_key"))
+    return spans.join(c, "alias_key").select("article_id", "idx", "word_pos", "name", "type")

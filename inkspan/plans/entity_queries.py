@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.functions import text
+from inkspan.functions.text import norm_key
 from inkspan.operators import evaluate, filters, mentions, reports, resolve, sentiment, verify
 from inkspan.plans import views
+from inkspan.plans.press_queries import _SENTENCES
 from inkspan.plans.views import fold_sql, key_sql, table, with_views, words_sql
 
 QUERIES: dict = {}
@@ -344,11 +346,23 @@ def rejected_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.merge_canonical(linked(spark, sf_dir), views.canonical(spark, sf_dir), _pairs(spark, sf_dir))[2]
 
 
-@query()
+_CATALOGUE = f"catalogue AS (SELECT alias_key, canonical_name AS name, type FROM aliases UNION ALL SELECT {key_sql('name')}, name, type FROM canonical)"
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alias catalogue and the names of the dimension."""
+    c = views.canonical(spark, sf_dir)
+    return views.aliases(spark, sf_dir).select("alias_key", "canonical_name", "type").union(c.select(norm_key(F.col("name")), "name", "type"))
+
+
+@query(with_views(["articles", "aliases", "canonical"], f"""{_SENTENCES}, {_CATALOGUE},
+w AS (SELECT article_id, idx, string_split({key_sql("regexp_replace(text, '[^\\p{L}\\p{N}\\s.\\-]', ' ', 'g')")}, ' ') AS w FROM sentences),
+runs AS (SELECT article_id, idx, p AS word_pos, array_to_string(w[p:p + n - 1], ' ') AS alias_key FROM (SELECT article_id, idx, w, unnest(range(1, len(w) + 1)) AS p FROM w), range(1, 4) r(n) WHERE p + n - 1 <= len(w))
+SELECT article_id, idx, word_pos::INT AS word_pos, name, type FROM runs JOIN catalogue USING (alias_key) WHERE alias_key <> ''"""))
 def dictionary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue names found in the sentences of every article."""
     s = sentiment.sentences(views.articles(spark, sf_dir))
-    return mentions.dictionary_mentions(s, views.aliases(spark, sf_dir))
+    return mentions.dictionary_mentions(s, _catalogue(spark, sf_dir))
 
 
 def _llm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,3 +344,18 @@ def test_random_patches_in_turn(spark):
     kept, rejected = maintain.apply_patches(spark.createDataFrame([tuple(r.values()) for r in rows], "id long, k string, t string, v long"), _patch_rows(spark, patches, ["k", "t"]), ["k", "t"], ["k", "t"], "seq")
     want, bad = _in_turn(rows, patches, ["k", "t"])
     assert sorted(map(tuple, kept.collect())) == want and sorted(map(tuple, rejected.collect())) == bad and {"clash", "missing"} == {b[1] for b in bad}
+
+
+def test_dictionary_mentions_both_ways(spark):
+    """The automaton and the join give the same: overlapping runs, one key for two names, a key over the bound, an empty one, repeated rows."""
+    texts = ["El Banco Central de Lima, y el banco central.", "", "Lima Lima LIMA-Lima", "Ana", "banco  central  de lima norte", "x.y é ñ Ana María de Ruiz", None]
+    s = spark.createDataFrame([(k // 2, k % 2, t) for k, t in enumerate(texts)], "article_id long, idx int, text string")
+    entries = [("banco central", "BC", "ORG"), ("banco", "Banco", "ORG"), ("central de lima", "CL", "ORG"), ("lima", "Lima", "ORG"), ("lima", "Lima Vega", "PERSON"), ("banco central de lima", "no", "ORG"), ("", "no", "ORG"), ("ana", "Ana", "PERSON"), ("ana", "Ana", "PERSON"), ("lima lima", "LL", "ORG"), ("y el", "Y", "ORG")]
+    c = spark.createDataFrame(entries, "alias_key string, canonical_name string, type string")
+    one, two = (sorted(map(tuple, mentions.dictionary_mentions(s, c, **more).collect())) for more in ({}, {"most_rows": 0}))
+    brute = []
+    for k, t in enumerate(texts):
+        words = {0: "el banco central de lima y el banco central", 2: "lima lima lima lima", 3: "ana", 4: "banco central de lima norte", 5: "xy e n ana maria de ruiz"}.get(k, "").split()
+        brute += [(k // 2, k % 2, i + 1, name, kind) for i in range(len(words)) for n in (1, 2, 3) for key, name, kind in entries if i + n <= len(words) and " ".join(words[i : i + n]) == key]
+    assert one == two == sorted(brute) and len(one) > 15
+    assert mentions.dictionary_mentions(s, c.limit(0)).count() == 0
