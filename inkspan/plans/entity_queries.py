@@ -395,17 +395,54 @@ def recounted_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.recount_mentions(_llm(spark, sf_dir), views.articles(spark, sf_dir)).select("id", "mentions_count")
 
 
-@query(with_views(["articles", *ALL], f"""{_TRACES}, {_RECOUNTED} SELECT article_id, name, type, counted AS mentions_count, coalesce(sentiment_toward, 'NEU') AS sentiment_toward, round(coalesce(sentiment_score, 0.0), 2) AS sentiment_score,
+_MAPPED = """mapped AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY mentions_count DESC, name, type) AS rank FROM (
+SELECT article_id, name, type, counted AS mentions_count, coalesce(sentiment_toward, 'NEU') AS sentiment_toward, round(coalesce(sentiment_score, 0.0), 2) AS sentiment_score,
 coalesce(context, '') || ' [ok]' AS context, round(CASE WHEN whole > 0 THEN extraction_confidence ELSE least(extraction_confidence, 0.6) END, 2) AS extraction_confidence
-FROM rc WHERE len(ws) > 0 AND (whole > 0 OR len(list_filter(ws, lambda w: contains(t, ' ' || replace(w, 'ß', 'z') || ' '))) > 0)"""))
-def mapped_llm_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Engine output in JSON to mention rows."""
-    m = _llm(spark, sf_dir)
+FROM rc WHERE len(ws) > 0 AND (whole > 0 OR len(list_filter(ws, lambda w: contains(t, ' ' || replace(w, 'ß', 'z') || ' '))) > 0)))"""
+
+
+def _engine_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, entities) as an engine would return them, in the order of the names."""
     entity = F.struct("name", "type", F.col("mentions_count").cast("int").alias("mentions_count"), F.lower("sentiment_toward").alias("sentiment_toward"), F.col("sentiment_score").alias("sentiment_confidence"), "context", F.col("extraction_confidence").alias("confidence"), F.lit("ok").alias("confidence_reason"))
-    js = m.groupBy("article_id").agg(F.to_json(F.struct(F.collect_list(entity).alias("entities"))).alias("result_json"))
+    return _llm(spark, sf_dir).groupBy("article_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
+
+
+@query(with_views(["articles", *ALL], f"{_TRACES}, {_RECOUNTED}, {_MAPPED} SELECT * FROM mapped"))
+def mapped_llm_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engine output in JSON to mention rows, ranked by mentions."""
+    js = _engine_entities(spark, sf_dir).select("article_id", F.to_json(F.struct("entities")).alias("result_json"))
     return verify.map_llm_results(js, views.articles(spark, sf_dir))
 
 
+def _engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole results in JSON; those of every thirteenth article are cut off."""
+    a, i = views.articles(spark, sf_dir), F.col("id")
+    blank = lambda c: F.concat(F.lit(" "), F.coalesce(c, F.lit("")), F.lit(" "))
+    fields = a.select(
+        i.alias("article_id"), blank("main_topic").alias("main_topic"), F.array(F.lit(" "), F.col("source"), F.lit(" x ")).alias("topic_keywords"), F.lower("overall_sentiment").alias("overall_sentiment"),
+        "framing", "has_hard_data", blank("section").alias("dominant_actor"), F.lit("neutral").alias("quoted_sentiment"), F.array(F.lit("b"), F.col("source"), F.lit("b"), F.lit("a")).alias("content_flags"),
+    )
+    j = fields.join(_engine_entities(spark, sf_dir), "article_id", "left")
+    whole = F.to_json(F.struct(*[c for c in j.columns if c != "article_id"]))
+    return j.select("article_id", F.when(F.col("article_id") % 13 == 5, F.substring(whole, 1, 30)).otherwise(whole).alias("result_json"))
+
+
+@query(with_views(["articles", *ALL], f"""{_TRACES}, {_RECOUNTED}, {_MAPPED}, e AS (SELECT article_id, string_agg(name || ':' || mentions_count, ';' ORDER BY rank) AS listed FROM mapped GROUP BY 1)
+SELECT id AS article_id, main_topic, nullif(section, '') AS dominant_actor, coalesce(overall_sentiment, 'NEU') AS overall_sentiment, 'NEU' AS quoted_sentiment, framing, has_hard_data, source || ',x' AS keywords, 'b,' || source || ',a' AS flags, coalesce(listed, '') AS listed
+FROM articles LEFT JOIN e ON e.article_id = id WHERE id % 13 <> 5"""))
+def whole_llm_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engine results with all their fields, and entities in the order of their mentions."""
+    w = verify.whole_results(_engine_results(spark, sf_dir), views.articles(spark, sf_dir))
+    listed = F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["name"], x["mentions_count"].cast("string"))), ";")
+    return w.select("article_id", "main_topic", "dominant_actor", "overall_sentiment", "quoted_sentiment", "framing", "has_hard_data", F.array_join("topic_keywords", ",").alias("keywords"), F.array_join("content_flags", ",").alias("flags"), listed.alias("listed"))
+
+
+@query(with_views(["articles"], "SELECT id AS article_id, true AS cut_off FROM articles WHERE id % 13 = 5"))
+def broken_llm_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that cannot be read, kept apart."""
+    return verify.broken_results(_engine_results(spark, sf_dir)).select("article_id", (F.length("result_json") == 30).alias("cut_off"))
+
+
 @query(with_views(ALL, "SELECT id FROM mentions WHERE NOT (id % 7 = 3 AND (id // 7) % 2 = 1)"))
 def judged_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions that the last verdict keeps; those without one stay."""

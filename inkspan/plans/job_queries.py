@@ -13,9 +13,10 @@ from inkspan.functions import text
 from inkspan.functions.urls import content_type_ok
 from inkspan.operators import analyze, maintain, resolve, verify
 from inkspan.plans import views
+from inkspan.plans.entity_queries import _PERSONS, surnames
 from inkspan.plans.press_queries import canonical_url_sql
-from inkspan.plans.views import key_sql, table, with_views
-from inkspan.sources.tables import append_new, scratch_folder
+from inkspan.plans.views import key_sql, table, with_views, words_sql
+from inkspan.sources.tables import append_new, once, scratch_folder
 from inkspan.streaming import jobs as streams
 
 QUERIES: dict = {}
@@ -400,15 +401,29 @@ def ingested_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("url", "name", "type", "mentions_count", F.col("canonical_entity_id").eqNullSafe(F.col("dominant_actor_id")).alias("dominant"))
 
 
-@query(with_views(["raw_mentions", "aliases"], f"""act AS (SELECT alias_key, arg_max(canonical_name, id) AS cn, arg_max(type, id) AS ct FROM aliases WHERE is_active GROUP BY 1),
-r AS (SELECT article_id, coalesce(cn, m.name) AS name, coalesce(ct, m.type) AS type FROM raw_mentions m LEFT JOIN act ON act.alias_key = {key_sql('m.name')})
-SELECT article_id, name, type, count(*) AS n FROM r GROUP BY ALL"""))
+@query(with_views(["raw_mentions", "aliases", "mentions", "canonical"], f"""{_PERSONS},
+act AS (SELECT alias_key, arg_max(canonical_name, id) AS cn, arg_max(type, id) AS ct FROM aliases WHERE is_active GROUP BY 1),
+r AS (SELECT article_id, coalesce(cn, m.name) AS name, coalesce(ct, m.type) AS type FROM raw_mentions m LEFT JOIN act ON act.alias_key = {key_sql('m.name')}),
+w AS (SELECT *, CASE WHEN type = 'PERSON' AND len(ws) = 1 THEN ws[1] END AS w FROM (SELECT *, {words_sql(key_sql('name'))} AS ws FROM r))
+SELECT article_id, CASE WHEN full_name IS NOT NULL AND {key_sql('full_name')} <> {key_sql('name')} THEN full_name ELSE name END AS name, type, count(*) AS n FROM w LEFT JOIN surnames ON surname = w GROUP BY ALL"""))
 def streamed_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions of arriving documents against the alias catalogue, read for each batch."""
+    """Mentions of arriving documents against the alias catalogue and the surname map, read for each batch."""
     base = _scratch(spark)
     d = streams.page_stream(spark, f"{sf_dir}/documents.parquet*", "doc_id long, text string")
     runs = d.select(F.col("doc_id").alias("article_id"), F.explode(F.regexp_extract_all("text", F.lit(views.NAME_RUN), F.lit(0))).alias("name"))
     person = F.contains(F.col("name"), F.lit(" ")) | (F.length("name") % 2 == 0)
-    nobody = spark.createDataFrame([], "surname string, full_name string")
-    streams.resolve_stream(runs.withColumn("type", F.when(person, "PERSON").otherwise("ORG")), lambda: views.aliases(spark, sf_dir), lambda: nobody, f"{base}/store", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/store/mentions").groupBy("article_id", "name", "type").agg(F.count(F.lit(1)).alias("n"))
+    runs = runs.withColumn("type", F.when(person, "PERSON").otherwise("ORG"))
+    known = once(surnames(spark, sf_dir))
+    streams.resolve_stream(runs, lambda: views.aliases(spark, sf_dir), lambda: known, f"{base}/store", f"{base}/state").awaitTermination()
+    return streams.mention_store(spark, f"{base}/store", runs.schema).read("mentions").groupBy("article_id", "name", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_INGESTED.replace("body <> '')", "body <> '' AND contains(lower(title), 'the'))"))
+def filtered_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages streamed into the article store, of one topic only; stored twice by two streams, and once in the store."""
+    base = _scratch(spark)
+    streamed = streams.page_stream(spark, f"{sf_dir}/pages.parquet*", "page_id long, url string, html string")
+    rows = streamed.select(F.concat(F.lit("m"), (F.col("page_id") % 9).cast("string")).alias("source"), "url", "html")
+    for state in ("one", "two"):
+        streams.ingest_stream(rows, f"{base}/store", f"{base}/{state}", F.contains(F.lower("title"), F.lit("the"))).awaitTermination()
+    return streams.ingest_store(spark, f"{base}/store").read("articles").select("source", "url", "title", "body")
