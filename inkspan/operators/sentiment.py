@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.lexicon import boost, dampen, has_negation, lexicon_label
+from inkspan.functions.text import norm_key
+from inkspan.sources.store import Store
+from inkspan.sources.tables import once
 
 MOST_SENTENCES = 400
 MOST_CHARS = 500
@@ -56,14 +59,45 @@ def model_scores(scorer: Scorer, partitions: int | None = None) -> Callable[[Dat
     return score
 
 
+SCORES = ("p_neg double, p_neu double, p_pos double", ["min(p_neg) AS p_neg", "min(p_neu) AS p_neu", "min(p_pos) AS p_pos"])
+
+
+def score_store(spark: SparkSession, path: str) -> Store:
+    """Where the scores of sentences are kept from run to run, by the md5 of the sentence."""
+    return Store(spark, path, {}, {"scores": SCORES})
+
+
+def kept_scores(score: Callable[[DataFrame], DataFrame], store: Store, run: str) -> Callable[[DataFrame], DataFrame]:
+    """A scoring step that gives only sentences to score which the store lacks, and adds theirs; run names the writer."""
+
+    def step(distinct: DataFrame) -> DataFrame:
+        keyed = once(distinct.select(F.md5(F.col("text").cast("binary")).alias("key"), "text"))
+        known = once(store.lookup("scores", keyed, store.snapshot()))
+        new = once(score(keyed.join(known.select("key"), "key", "left_anti").select("text")).select(F.md5(F.col("text").cast("binary")).alias("key"), "text", "p_neg", "p_neu", "p_pos"))
+        n = new.count()
+        if n:
+            store.transact(run, store.snapshot().streams.get(run, -1) + 1, lambda now: ({}, {"scores": (new.drop("text"), n)}, {}))
+        return new.drop("key").unionByName(keyed.join(known, "key").drop("key"))
+
+    return step
+
+
 def score_sentences(s: DataFrame, score: Callable[[DataFrame], DataFrame] = prior_scores, lexicon: dict | None = None, cues: list[str] | None = None) -> DataFrame:
-    """Add p_neg, p_neu, p_pos: each distinct sentence is scored once, then moved by lexicon and denial."""
-    scored = score(s.select("text").distinct())
+    """Add p_neg, p_neu, p_pos, moved by lexicon and denial.
+
+    A model scores each distinct sentence once; its scores come back by the
+    sentence's md5.  The constant prior needs neither.
+    """
+    if score is prior_scores:
+        scored = s.withColumns({p: F.lit(v) for p, v in zip(("p_neg", "p_neu", "p_pos"), PRIOR, strict=True)})
+    else:
+        keyed = s.withColumn("_key", F.md5(F.col("text").cast("binary")))
+        found = score(keyed.dropDuplicates(["_key"]).select("text"))
+        scored = keyed.join(found.select(F.md5(F.col("text").cast("binary")).alias("_key"), "p_neg", "p_neu", "p_pos"), "_key").drop("_key")
     label = lexicon_label(F.col("text"), **(lexicon or {}))
-    scored = scored.withColumn("b", boost(F.col("p_neg"), F.col("p_neu"), F.col("p_pos"), label)).select("text", "b.*")
+    scored = scored.withColumn("b", boost(F.col("p_neg"), F.col("p_neu"), F.col("p_pos"), label)).select(*s.columns, "b.*")
     negated = has_negation(F.col("text"), cues) if cues else has_negation(F.col("text"))
-    scored = scored.withColumn("d", dampen(F.col("p_neg"), F.col("p_neu"), F.col("p_pos"), negated)).select("text", "d.*")
-    return s.join(scored, "text")
+    return scored.withColumn("d", dampen(F.col("p_neg"), F.col("p_neu"), F.col("p_pos"), negated)).select(*s.columns, "d.*")
 
 
 def top_label(neg: Column, neu: Column, pos: Column) -> Column:
@@ -71,10 +105,10 @@ def top_label(neg: Column, neu: Column, pos: Column) -> Column:
     return F.when((neg >= neu) & (neg >= pos), "NEG").when(neu >= pos, "NEU").otherwise("POS")
 
 
-def _summed(df: DataFrame, *keys: str) -> DataFrame:
-    g = df.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in ("p_neg", "p_neu", "p_pos")], F.count("p_neg").alias("n"))
+def _summed(df: DataFrame, *keys: str, **more: Column) -> DataFrame:
+    g = df.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in ("p_neg", "p_neu", "p_pos")], F.count("p_neg").alias("n"), *[c.alias(k) for k, c in more.items()])
     label = top_label(F.col("p_neg"), F.col("p_neu"), F.col("p_pos"))
-    return g.select(*keys, F.when(F.col("n") > 0, label).alias("label"), F.when(F.col("n") > 0, F.round(F.greatest("p_neg", "p_neu", "p_pos") / F.col("n"), 4)).alias("score"))
+    return g.select(*keys, *more, F.when(F.col("n") > 0, label).alias("label"), F.when(F.col("n") > 0, F.round(F.greatest("p_neg", "p_neu", "p_pos") / F.col("n"), 4)).alias("score"))
 
 
 def article_sentiment(articles: DataFrame, scored: DataFrame) -> DataFrame:
@@ -98,16 +132,23 @@ def attribute_relations(hits: DataFrame, mentions: DataFrame) -> DataFrame:
     return g.select("article_id", "idx", "key", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"))
 
 
-def mention_sentiment(places: DataFrame, scored: DataFrame, attributed: DataFrame) -> DataFrame:
+def scored_places(scored: DataFrame, names: Column) -> DataFrame:
+    """Scored sentences once for each different key of the names (an array) that stand in them; no shuffle, since a sentence is one row."""
+    keys = F.array_distinct(F.transform(names, norm_key))
+    return scored.select(*scored.columns, F.explode(keys).alias("key"))
+
+
+def mention_sentiment(places: DataFrame, scored: DataFrame | None, attributed: DataFrame) -> DataFrame:
     """(article_id, key, label, score, context) over the sentences that name each key.
 
     places: article_id, idx, key.  Relation labels raise the sentence's share
     before the sums; without a scored sentence label and score are NULL.
+    Without scored, places are those of `scored_places`.
     """
-    p = places.select("article_id", "idx", "key").distinct()
-    j = p.join(scored, ["article_id", "idx"], "left").join(attributed, ["article_id", "idx", "key"], "left")
+    j = places if scored is None else places.select("article_id", "idx", "key").distinct().join(scored, ["article_id", "idx"], "left")
+    j = j.join(attributed, ["article_id", "idx", "key"], "left")
     j = j.withColumn("b", boost(F.col("p_neg"), F.col("p_neu"), F.col("p_pos"), F.col("label"))).select("article_id", "idx", "key", "text", "b.*")
-    return _summed(j, "article_id", "key").join(j.groupBy("article_id", "key").agg(F.min_by("text", "idx").alias("context")), ["article_id", "key"])
+    return _summed(j, "article_id", "key", context=F.min_by("text", "idx")).select("article_id", "key", "label", "score", "context")
 
 
 def entity_sentiment(mentions: DataFrame, *keys: str, n: int | None = None, newest: str = "id") -> DataFrame:

@@ -11,6 +11,7 @@ from inkspan.operators import evaluate, filters, mentions, reports, resolve, sen
 from inkspan.plans import views
 from inkspan.plans.press_queries import _SENTENCES
 from inkspan.plans.views import fold_sql, key_sql, table, with_views, words_sql
+from inkspan.sources.tables import once
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,8 +37,14 @@ def linked(spark: SparkSession, sf_dir: str, canonical: DataFrame | None = None)
     return resolve.link_mentions(views.mentions(spark, sf_dir), c)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mentions, dimension and aliases from one pass over the documents."""
+    counted = once(views.counted_mentions(spark, sf_dir))
+    return tuple(view(spark, sf_dir, counted) for view in (views.mentions, views.canonical, views.aliases))
+
+
 def surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.person_map(views.mentions(spark, sf_dir), views.canonical(spark, sf_dir), views.aliases(spark, sf_dir))
+    return resolve.person_map(*stored(spark, sf_dir))
 
 
 _LINKED = "linked AS (SELECT m.*, c.id AS canonical_entity_id FROM mentions m LEFT JOIN canonical c ON m.name = c.name AND m.type = c.type)"
@@ -48,7 +55,8 @@ _COUNTS = "counts AS (SELECT c.id, c.name, c.type, count(DISTINCT article_id) AS
 @query(with_views(ALL, f"{_LINKED}, {_COUNTS} SELECT * FROM counts"))
 def canonical_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles and mentions of every dimension entity."""
-    return reports.canonical_counts(linked(spark, sf_dir), views.canonical(spark, sf_dir))
+    m, c, _ = stored(spark, sf_dir)
+    return reports.canonical_counts(resolve.link_mentions(m, c), c)
 
 
 @query(with_views(ALL, f"{_LINKED}, {_COUNTS} SELECT * FROM counts WHERE type = 'PERSON' AND regexp_matches(lower(strip_accents(name)), 'ere') ORDER BY article_count DESC, name, id LIMIT 50 OFFSET 5"))
@@ -88,8 +96,8 @@ res AS (SELECT sn.* EXCLUDE (name, ws, w), CASE WHEN full_name IS NOT NULL AND {
 @query(with_views(ALL, f"{_PERSONS}, {_RESOLVED} SELECT id, name, type FROM res"))
 def resolved_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions after aliases and surnames."""
-    m = resolve.resolve_aliases(views.mentions(spark, sf_dir), views.aliases(spark, sf_dir))
-    return resolve.resolve_surnames(m, surnames(spark, sf_dir)).select("id", "name", "type")
+    m, c, a = stored(spark, sf_dir)
+    return resolve.resolve_surnames(resolve.resolve_aliases(m, a), resolve.person_map(m, c, a)).select("id", "name", "type")
 
 
 @query(with_views(ALL, f"""{_PERSONS}, {_RESOLVED}, k AS (SELECT *, {key_sql('name')} AS key FROM res),
@@ -102,7 +110,8 @@ SELECT min(keeper) AS id, article_id, min(target) AS name, type, min(CASE WHEN r
   arg_min(context, rk) FILTER (WHERE context IS NOT NULL) AS context, count(*) - 1 AS merged FROM r GROUP BY article_id, key, type"""))
 def merged_stored_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The retroactive merge of stored mentions."""
-    return resolve.merge_stored_mentions(views.mentions(spark, sf_dir), views.aliases(spark, sf_dir), surnames(spark, sf_dir))
+    m, c, a = stored(spark, sf_dir)
+    return resolve.merge_stored_mentions(m, a, resolve.person_map(m, c, a))
 
 
 def merged_sql(source: str, out: str) -> str:
@@ -137,7 +146,8 @@ def recursive(sql: str) -> str:
 @query(recursive(with_views(ALL, f"{_PERSONS}, {_CANONICAL} SELECT * FROM twice")))
 def canonicalized_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, aliases, merge, surnames, merge: greedy inside each article."""
-    return resolve.canonicalize(views.mentions(spark, sf_dir), views.aliases(spark, sf_dir), surnames(spark, sf_dir))
+    m, c, a = stored(spark, sf_dir)
+    return resolve.canonicalize(m, a, resolve.person_map(m, c, a))
 
 
 @query(with_views(ALL, "SELECT article_id, sum(mentions_count)::BIGINT AS mentions FROM mentions WHERE type = 'ORG' GROUP BY 1"))

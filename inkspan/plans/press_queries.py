@@ -204,8 +204,8 @@ g AS (SELECT article_id, key, sum(n / (n + u + p)) AS n, sum(u / (n + u + p)) AS
 SELECT article_id, key, CASE WHEN k = 0 THEN NULL WHEN n >= u AND n >= p THEN 'NEG' WHEN u >= p THEN 'NEU' ELSE 'POS' END AS label, round(greatest(n, u, p) / k, 4) AS score, context FROM g"""))
 def mention_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentiment of each mention over the sentences that name it."""
-    places = sentence_mentions(spark, sf_dir)
-    return sentiment.mention_sentiment(places, _scored(spark, sf_dir), sentiment.attribute_relations(_hits(spark, sf_dir), places))
+    places = sentiment.scored_places(_scored(spark, sf_dir), F.regexp_extract_all("text", F.lit(views.NAME_RUN), F.lit(0)))
+    return sentiment.mention_sentiment(places, None, sentiment.attribute_relations(_hits(spark, sf_dir), sentence_mentions(spark, sf_dir)))
 
 
 @query(with_views(["articles", "mentions"], """SELECT id, title, url FROM articles WHERE source IN ('src0', 'src3', 'src5') AND has_hard_data = true

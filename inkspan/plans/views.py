@@ -62,9 +62,14 @@ def raw_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.withColumn("type", F.when(person, "PERSON").otherwise("ORG"))
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counted_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, name, type, mentions_count), of which mentions, dimension and aliases are made; a query that needs several of them makes it once."""
+    return raw_mentions(spark, sf_dir).groupBy("article_id", "name", "type").agg(F.count(F.lit(1)).alias("mentions_count"))
+
+
+def mentions(spark: SparkSession, sf_dir: str, counted: DataFrame | None = None) -> DataFrame:
     """Stored mentions: one row per article, name and type."""
-    m = raw_mentions(spark, sf_dir).groupBy("article_id", "name", "type").agg(F.count(F.lit(1)).alias("mentions_count"))
+    m = counted_mentions(spark, sf_dir) if counted is None else counted
     place = F.row_number().over(Window.partitionBy("article_id").orderBy("name", "type"))
     n = F.length("name") + F.col("article_id")
     return m.select(
@@ -76,9 +81,9 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+def canonical(spark: SparkSession, sf_dir: str, counted: DataFrame | None = None) -> DataFrame:
     """A stored dimension: the mention names of even length."""
-    names = raw_mentions(spark, sf_dir).select("name", "type").distinct().filter(F.length("name") % 2 == 0)
+    names = (raw_mentions(spark, sf_dir) if counted is None else counted).select("name", "type").distinct().filter(F.length("name") % 2 == 0)
     # Ids in the order of (type, name) without one sorted task: places among the names of one beginning, shifted by the earlier beginnings' sizes.
     names = names.withColumn("_head", F.substring("name", 1, 3))
     before = F.sum("n").over(Window.orderBy("_type", "_of").rowsBetween(Window.unboundedPreceding, -1))
@@ -88,10 +93,11 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select((F.col("shift") + F.col("place")).cast("long").alias("id"), "name", "type")
 
 
-def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def aliases(spark: SparkSession, sf_dir: str, counted: DataFrame | None = None) -> DataFrame:
     """The 50 most frequent single-word mentions as aliases of a longer name; every fifth is not active."""
-    single = raw_mentions(spark, sf_dir).filter(~F.contains(F.col("name"), F.lit(" "))).withColumn("alias_key", norm_key(F.col("name")))
-    top = single.groupBy("alias_key", "type").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("alias")).orderBy(F.desc("n"), "alias_key", "type").limit(50)
+    single = (counted_mentions(spark, sf_dir) if counted is None else counted).filter(~F.contains(F.col("name"), F.lit(" ")))
+    single = single.groupBy("name", "type").agg(F.sum("mentions_count").alias("n")).withColumn("alias_key", norm_key(F.col("name")))
+    top = single.groupBy("alias_key", "type").agg(F.sum("n").alias("n"), F.min("name").alias("alias")).orderBy(F.desc("n"), "alias_key", "type").limit(50)
     ranked = top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "alias_key", "type")).cast("long"))
     return ranked.select("id", "alias", "alias_key", F.concat(F.lit("Casa "), "alias").alias("canonical_name"), "type", (F.col("id") % 5 != 0).alias("is_active"))
 

@@ -359,3 +359,45 @@ def test_dictionary_mentions_both_ways(spark):
         brute += [(k // 2, k % 2, i + 1, name, kind) for i in range(len(words)) for n in (1, 2, 3) for key, name, kind in entries if i + n <= len(words) and " ".join(words[i : i + n]) == key]
     assert one == two == sorted(brute) and len(one) > 15
     assert mentions.dictionary_mentions(s, c.limit(0)).count() == 0
+
+
+def test_scores_are_kept(spark, tmp_path):
+    """A second run scores only what the store lacks, and the moves by lexicon and denial are the same."""
+    asked = []
+
+    def score(distinct):
+        asked.append(sorted(r["text"] for r in distinct.collect()))
+        n = F.length("text") / 100
+        return distinct.select("text", n.alias("p_neg"), (n / 2).alias("p_neu"), (1 - 1.5 * n).alias("p_pos"))
+
+    make = lambda *texts: spark.createDataFrame([(k // 2, k % 2, t) for k, t in enumerate(texts)], "article_id long, idx int, text string")
+    one, two = make("hoy no", "crisis", "hoy no", "gol"), make("gol", "crisis", "nuevo", "")
+    for s in (one, two):
+        kept = sentiment.score_sentences(s, sentiment.kept_scores(score, sentiment.score_store(spark, str(tmp_path / "scores")), "r"))
+        got = sorted(map(tuple, kept.collect()))
+        n = len(asked)
+        assert got == sorted(map(tuple, sentiment.score_sentences(s, score).collect())) and len(got) == 4
+        del asked[n:]
+    assert asked == [["crisis", "gol", "hoy no"], ["", "nuevo"]]
+
+
+@pytest.mark.parametrize("text", ["ana ruiz y ana ruiz, ana; ruiz ana", "a a a a", "la ana-maria de ana.maria x", "", "e\u0301 e ²x x² x", "it's it s", "a.b a.b.c .b a .b"])
+def test_index_of_a_text_counts_as_patterns_do(text):
+    import regex
+
+    index = verify.TextIndex(text)
+    for phrase in ("ana", "ana ruiz", "ruiz", "a a", "a", "ana-maria", "de ana.maria", "", "e", "e\u0301", "x", "²x", "it's", ".b", "a.b", "s", "b."):
+        want = len(regex.findall(rf"(?<!\w){regex.escape(phrase)}(?!\w)", text)) if phrase else 0
+        assert index.count(phrase) == want, phrase
+
+
+def test_whole_results(spark):
+    articles = spark.createDataFrame([(1, "Ana Ruiz", "Ana Ruiz y ACME. ACME gana; ACME."), (2, "t", "b"), (3, "t", "b")], "id long, title string, body string")
+    whole = {"main_topic": "  ", "topic_keywords": [" x ", " "], "overall_sentiment": "positivo", "dominant_actor": " Ana Ruiz ", "has_hard_data": True, "content_flags": ["b", "a", "b"], "media_stance": "critica",
+             "entities": [{"name": "Ana Ruiz", "type": "PERSON", "mentions_count": 9, "confidence": 1.0}, {"name": "Nadie Más", "type": "PERSON", "mentions_count": 5}, {"name": "ACME", "type": "ORG", "mentions_count": 1}]}
+    results = spark.createDataFrame([(1, json.dumps(whole)), (2, "{\"main_topic\": \"x"), (3, "{}")], "article_id long, result_json string")
+    out = {r["article_id"]: r for r in verify.whole_results(results, articles).collect()}
+    assert sorted(out) == [1, 3] and [r["article_id"] for r in verify.broken_results(results).collect()] == [2]
+    r = out[1]
+    assert (r["main_topic"], r["topic_keywords"], r["overall_sentiment"], r["dominant_actor"], r["has_hard_data"], r["content_flags"], r["media_stance"], r["facts_sentiment"]) == (None, ["x"], "POS", "Ana Ruiz", True, ["b", "a"], "critica", "NEU")
+    assert [(e["name"], e["mentions_count"]) for e in r["entities"]] == [("ACME", 3), ("Ana Ruiz", 2)] and out[3]["entities"] == []
