@@ -257,11 +257,16 @@ def _wanted_texts(wanted: Broadcast, shingle: int = SHINGLE):
     return run
 
 
+def _sets(texts: pa.Array, shingle: int):
+    """The set of each text; no more are held than those of one pass."""
+    for _, n, buf, off in passes(texts):
+        yield from shingle_sets(buf, off, n, shingle)
+
+
 def _verify(batches, shingle: int = SHINGLE, percent: int = PERCENT):
     for b in batches:
-        x, y = ([s for _, n, buf, off in passes(b.column(c)) for s in shingle_sets(buf, off, n, shingle)] for c in ("x", "y"))
         ok = []
-        for p, q in zip(x, y, strict=True):
+        for p, q in zip(_sets(b.column("x"), shingle), _sets(b.column("y"), shingle), strict=True):
             if len(p) > len(q):
                 p, q = q, p
             both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
