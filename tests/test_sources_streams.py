@@ -281,3 +281,21 @@ def test_the_log_restarts_from_a_whole_state(spark, tmp_path):
     assert now.version == 17 and now.streams == {"s": 17} and now.tables["articles"] == [f"articles/{k}" for k in range(1, 18, 2)]
     with pytest.raises(store.Conflict):
         corpus.commit({"version": 17})
+
+
+def test_reading_a_database(spark, tmp_path):
+    """Parts by spans of the id, with filters and columns pushed to the database; rows without an id, one row, and an empty table too."""
+    url = {"url": f"jdbc:derby:{tmp_path}/press;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(k * 7 - 50, f"n{k % 4}", "PERSON" if k % 3 else "ORG") for k in range(200)] + [(None, "none", "ORG")]
+    names = spark.createDataFrame(rows, "id long, name string, type string")
+    names.write.format("jdbc").options(**url, dbtable="canonical_entities", createTableColumnTypes="name VARCHAR(20), type VARCHAR(10)").save()
+    back = tables.read_table(spark, "canonical_entities", jdbc=url)
+    assert Counter(map(tuple, back.collect())) == Counter(rows) and back.rdd.getNumPartitions() == 8 and back.columns == ["id", "name", "type"]
+    assert sum(n > 10 for n in back.rdd.glom().map(len).collect()) == 8
+    some = back.filter("type = 'ORG' AND id > 700").select("name")
+    plan = some._jdf.queryExecution().executedPlan().toString().lower()
+    assert "pushedfilters: [*isnotnull(type), *isnotnull(id), *equalto(type,org), *greaterthan(id,700)]" in plan.replace('"', "") and "readschema: struct<name:string>" in plan
+    assert some.count() == sum(r[0] is not None and r[0] > 700 and r[2] == "ORG" for r in rows)
+    for table, few in (("one", rows[:1]), ("empty", [])):
+        spark.createDataFrame(few, "id long, name string, type string").write.format("jdbc").options(**url, dbtable=table).save()
+        assert [tuple(r) for r in tables.read_table(spark, table, jdbc=url).collect()] == few
