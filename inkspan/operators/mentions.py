@@ -11,33 +11,30 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import extraction_confidence, fold, has_nickname, norm_key, significant_words
+from inkspan.functions.text import display_rule, extraction_confidence, fold, norm_key
 
 #: What counts as a token of a text.
 TOKEN = r"[\p{L}]+"
 
 
 def group_mentions(raw: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(article_id, key, type, count, variants): raw mentions by key, with the count of each spelling.
+    """(article_id, key, type, count, variants, places): raw mentions by key, with the count of each spelling.
 
-    raw has article_id, name, type and pos; a spelling's first_pos is its first place.
+    raw has article_id, name, type and pos; a spelling's first_pos is its first place; places has all of the group's.
     """
     m = raw.withColumn("key", norm_key(F.col("name")))
     if aliases is not None:
         a = aliases.filter("is_active").groupBy("alias_key", F.col("type").alias("_t")).agg(F.max_by("canonical_name", "id").alias("canonical_name"))
         m = m.join(a, (F.col("key") == F.col("alias_key")) & (F.col("type") == F.col("_t")), "left")
         m = m.withColumn("name", F.coalesce("canonical_name", "name")).withColumn("key", norm_key(F.col("name"))).drop("alias_key", "_t", "canonical_name")
-    each = m.groupBy("article_id", "key", "type", "name").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
-    return each.groupBy("article_id", "key", "type").agg(F.sum("n").alias("count"), F.array_sort(F.collect_list(F.struct("first_pos", "name", "n"))).alias("variants"))
+    each = m.groupBy("article_id", "key", "type", "name").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.collect_list("pos").alias("places"))
+    spellings = F.array_sort(F.collect_list(F.struct("first_pos", "name", "n")))
+    return each.groupBy("article_id", "key", "type").agg(F.sum("n").alias("count"), spellings.alias("variants"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
 
 
 def display_name(variants: DataFrame, *group: str) -> DataFrame:
-    """The best spelling of each group of (name, n, first_pos): most significant words, most used, first seen.
-
-    A name with a nickname spliced in counts as having no words.
-    """
-    words = F.when(has_nickname(F.col("name")), 0).otherwise(F.size(significant_words(F.col("name"))))
-    return variants.groupBy(*group).agg(F.max_by("name", F.struct(words.alias("w"), F.col("n").alias("n"), (-F.col("first_pos")).alias("p"))).alias("name"), F.sum("n").alias("count"))
+    """The best spelling of each group of (name, n, first_pos), and the sum of n."""
+    return variants.groupBy(*group).agg(display_rule().alias("name"), F.sum("n").alias("count"))
 
 
 def with_confidence(named: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.functions.text import PARTICLES, initials, key_words, norm_key, significant_words, squeeze, strip_title
+from inkspan.functions.text import PARTICLES, display_rule, initials, key_words, norm_key, significant_words, squeeze, strip_title
 
 #: The actors that an analysis names.
 ACTORS = ("dominant_actor", "blamed_actor", "credited_actor")
@@ -51,6 +51,47 @@ def resolve_surnames(mentions: DataFrame, surnames: DataFrame) -> DataFrame:
     return j.withColumn("name", F.when(changes, F.col("full_name")).otherwise(F.col("name"))).drop("_word", "surname", "full_name")
 
 
+class _OpenHeads:
+    """The heads of one kind in their order, found by key, by word and by initials."""
+
+    def __init__(self):
+        self.heads: list[tuple[int, str, frozenset]] = []
+        self.by_key: dict[str, int] = {}
+        self.by_initials: dict[str, int] = {}
+        self.by_word: dict[str, list[int]] = {}
+
+    def add(self, row: int, key: str, mine: frozenset) -> None:
+        n = len(self.heads)
+        self.heads.append((row, key, mine))
+        self.by_key.setdefault(key, n)
+        self.by_initials.setdefault("".join(w[0] for w in key.split() if w not in PARTICLES), n)
+        for word in set(key.split()):
+            self.by_word.setdefault(word, []).append(n)
+
+    def _with(self, words: Iterable[str]) -> list[int]:
+        """Heads that hold the rarest of the words; the others are to be looked for in them."""
+        return min((self.by_word.get(w, []) for w in words), key=len, default=[])
+
+    def target(self, key: str, mine: frozenset, acronym: bool, partial: bool) -> int | None:
+        if key in self.by_key:
+            return self.heads[self.by_key[key]][0]
+        whole = f" {key} "
+        inside = next((n for n in self._with(key.split()) if whole in f" {self.heads[n][1]} "), None)
+        short = self.by_initials.get(key) if acronym else None
+        first = [n for n in (inside, short) if n is not None]
+        if first:
+            return self.heads[min(first)][0]
+        if not partial or len(mine) < 2:
+            return None
+        wider = []
+        for n in self._with(mine):
+            if mine < self.heads[n][2]:
+                wider.append(n)
+                if len(wider) > 1:
+                    return None
+        return self.heads[wider[0]][0] if wider else None
+
+
 def assign_groups(rows: Iterable[tuple[str, str, float]], by_initials: bool = False) -> list[int | None]:
     """For (key, type, weight) rows, the row that each joins, itself for the head of a group.
 
@@ -59,25 +100,23 @@ def assign_groups(rows: Iterable[tuple[str, str, float]], by_initials: bool = Fa
     persons of two or more significant words, the only group whose words are
     more than its own.  With by_initials an acronym also joins a name that it
     abbreviates, and partial names do not.  Rows with an empty key join nothing.
+    Heads are found by their words, so a row meets only those that hold its
+    rarest one.
     """
     rows = list(rows)
-    order = sorted(range(len(rows)), key=lambda i: (-len(rows[i][0]), -rows[i][2]))
-    heads: dict[str, list[tuple[int, str, frozenset]]] = {}
+    heads: dict[str, _OpenHeads] = {}
     out: list[int | None] = [None] * len(rows)
-    for i in order:
+    for i in sorted(range(len(rows)), key=lambda i: (-len(rows[i][0]), -rows[i][2])):
         key, kind, _ = rows[i]
         if not key:
             continue
-        peers = heads.setdefault(kind, [])
+        open_ = heads.setdefault(kind, _OpenHeads())
         mine = frozenset(key.split()) - set(PARTICLES)
         acronym = by_initials and re.fullmatch(r"[^\W\d_]{2,6}", key) is not None
-        exact = [h for h, k, _ in peers if k == key]
-        inside = [h for h, k, _ in peers if f" {key} " in f" {k} " or (acronym and key == "".join(w[0] for w in k.split() if w not in PARTICLES))]
-        wider = [h for h, _, w in peers if mine < w] if kind == "PERSON" and len(mine) >= 2 and not by_initials else []
-        target = exact[0] if exact else inside[0] if inside else wider[0] if len(wider) == 1 else None
+        target = open_.target(key, mine, acronym, kind == "PERSON" and not by_initials)
         out[i] = i if target is None else target
         if target is None:
-            peers.append((i, key, mine))
+            open_.add(i, key, mine)
     return out
 
 
@@ -128,6 +167,23 @@ def merge_mention_groups(groups: DataFrame) -> DataFrame:
     return z.select("article_id", "z.m.key", "z.m.type", "z.m.count", "z.m.ord", F.get("m", F.col("z.head"))["key"].alias("head_key"))
 
 
+def merge_groups(groups: DataFrame) -> DataFrame:
+    """Groups of `group_mentions` with short names and acronyms merged into the names they stand for.
+
+    (article_id, key, type, name, count, variants, places): the spellings of a
+    merged group with their sums and first places, the best of them as its
+    name, and all places.
+    """
+    g = groups.withColumn("ord", F.col("variants")[0]["first_pos"])
+    heads = merge_mention_groups(g.select("article_id", "key", "type", "count", "ord")).select("article_id", "key", "type", "head_key")
+    m = g.join(heads, ["article_id", "key", "type"]).withColumn("key", F.col("head_key"))
+    v = m.select("article_id", "key", "type", F.explode("variants").alias("v")).select("article_id", "key", "type", "v.*")
+    v = v.groupBy("article_id", "key", "type", "name").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
+    named = v.groupBy("article_id", "key", "type").agg(display_rule().alias("name"), F.sum("n").alias("count"), F.array_sort(F.collect_list(F.struct("first_pos", "name", "n"))).alias("variants"))
+    places = m.groupBy("article_id", "key", "type").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    return named.join(places, ["article_id", "key", "type"])
+
+
 def merge_stored_mentions(mentions: DataFrame, aliases: DataFrame, surnames: DataFrame) -> DataFrame:
     """Merge stored mentions by resolved key: one row per (article, key, type) with sums and fills.
 

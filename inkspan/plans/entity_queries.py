@@ -161,12 +161,23 @@ _PLACED = f"""placed AS (SELECT article_id, name, pos - 1 AS pos, CASE WHEN cont
   SELECT doc_id AS article_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{views.NAME_RUN}') AS l FROM documents)))"""
 
 
-@query(f"""WITH RECURSIVE {_PLACED}, grp AS (SELECT article_id, {key_sql('name')} AS key, type, count(*) AS count, min(pos) AS ord FROM placed GROUP BY ALL),
+_JOINED = f"""{_PLACED}, grp AS (SELECT article_id, {key_sql('name')} AS key, type, count(*) AS count, min(pos) AS ord FROM placed GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY article_id, type ORDER BY length(key) DESC, ord) AS k FROM grp WHERE key <> ''),
 r AS (SELECT article_id, type, k, key AS head, [key] AS heads FROM n WHERE k = 1
   UNION ALL SELECT article_id, type, k, coalesce(hit, key), CASE WHEN hit IS NULL THEN list_append(heads, key) ELSE heads END FROM (SELECT n.article_id, n.type, n.k, n.key, r.heads, list_filter(r.heads, lambda x: contains(' ' || x || ' ', ' ' || n.key || ' ')
-    OR (regexp_full_match(n.key, '\\p{{L}}{{2,6}}') AND n.key = array_to_string(list_transform({words_sql('x')}, lambda w: w[1]), '')))[1] AS hit FROM r JOIN n ON n.article_id = r.article_id AND n.type = r.type AND n.k = r.k + 1))
-SELECT article_id, key, type, count, ord, head AS head_key FROM n JOIN r USING (article_id, type, k)""")
+    OR (regexp_full_match(n.key, '\\p{{L}}{{2,6}}') AND n.key = array_to_string(list_transform({words_sql('x')}, lambda w: w[1]), '')))[1] AS hit FROM r JOIN n ON n.article_id = r.article_id AND n.type = r.type AND n.k = r.k + 1)),
+joined AS (SELECT article_id, key, type, count, ord, head AS head_key FROM n JOIN r USING (article_id, type, k))"""
+
+
+@query(f"""WITH RECURSIVE {_JOINED}, v AS (SELECT p.article_id, head_key AS key, p.type, name, count(*) AS n, min(pos) AS fp, list(pos) AS spots FROM placed p JOIN joined j ON j.article_id = p.article_id AND j.type = p.type AND j.key = {key_sql('name')} GROUP BY ALL)
+SELECT article_id, key, type, arg_max(name, (len({words_sql(key_sql('name'))}) * 100000 + n) * 100000 - fp) AS name, sum(n)::BIGINT AS count, array_to_string(list_sort(flatten(list(spots))), ',') AS places FROM v GROUP BY ALL""")
+def merged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of mentions after the merge: their names, counts and places."""
+    g = resolve.merge_groups(mentions.group_mentions(_placed(spark, sf_dir)))
+    return g.select("article_id", "key", "type", "name", "count", F.array_join(F.transform("places", lambda p: p.cast("string")), ",").alias("places"))
+
+
+@query(f"WITH RECURSIVE {_JOINED} SELECT * FROM joined")
 def merged_mention_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short names and acronyms joined to the longer names of their article."""
     g = mentions.group_mentions(_placed(spark, sf_dir))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -401,3 +402,48 @@ def test_whole_results(spark):
     r = out[1]
     assert (r["main_topic"], r["topic_keywords"], r["overall_sentiment"], r["dominant_actor"], r["has_hard_data"], r["content_flags"], r["media_stance"], r["facts_sentiment"]) == (None, ["x"], "POS", "Ana Ruiz", True, ["b", "a"], "critica", "NEU")
     assert [(e["name"], e["mentions_count"]) for e in r["entities"]] == [("ACME", 3), ("Ana Ruiz", 2)] and out[3]["entities"] == []
+
+
+def _groups_of_all(rows, by_initials):
+    """The same as assign_groups, every row against every head."""
+    particles = set(resolve.PARTICLES)
+    order = sorted(range(len(rows)), key=lambda i: (-len(rows[i][0]), -rows[i][2]))
+    heads, out = [], [None] * len(rows)
+    for i in order:
+        key, kind, _ = rows[i]
+        if not key:
+            continue
+        mine, peers = set(key.split()) - particles, [h for h in heads if rows[h][1] == kind]
+        short = by_initials and key.isalpha() and 2 <= len(key) <= 6
+        same = [h for h in peers if rows[h][0] == key]
+        inside = [h for h in peers if f" {key} " in f" {rows[h][0]} " or (short and key == "".join(w[0] for w in rows[h][0].split() if w not in particles))]
+        wider = [h for h in peers if mine < set(rows[h][0].split()) - particles] if kind == "PERSON" and len(mine) > 1 and not by_initials else []
+        to = same[0] if same else inside[0] if inside else wider[0] if len(wider) == 1 else i
+        out[i] = to
+        if to == i:
+            heads.append(i)
+    return out
+
+
+@pytest.mark.parametrize("by_initials", [False, True])
+def test_groups_by_word_equal_groups_of_all(by_initials):
+    rng = random.Random(7)
+    for _ in range(60):
+        rows = [(" ".join(rng.choice(["ana", "ruiz", "de", "la", "sol", "p", "ar", "paz", "luis", "as"]) for _ in range(rng.randrange(5))), rng.choice(["PERSON", "ORG"]), rng.randrange(4)) for _ in range(60)]
+        assert resolve.assign_groups(rows, by_initials) == _groups_of_all(rows, by_initials)
+
+
+def test_very_many_mentions_in_one_article():
+    rng = random.Random(8)
+    rows = [(f"n{rng.randrange(30_000)} de x{rng.randrange(3_000)}" if k % 3 else f"x{rng.randrange(3_000)}", "PERSON", k % 5) for k in range(100_000)]
+    began = time.process_time()
+    heads = resolve.assign_groups(rows)
+    assert time.process_time() - began < 20 and sum(h != k for k, h in enumerate(heads)) > 30_000
+
+
+def test_groups_are_merged_whole(spark):
+    raw = spark.createDataFrame([(1, n, "ORG", p) for p, n in enumerate(["FDD", "Fundación Dominicana de Desarrollo", "fdd", "FDD", "Fundacion Dominicana de Desarrollo", "Otra"])], "article_id long, name string, type string, pos int")
+    got = sorted((r["key"], r["name"], r["count"], r["places"], [(v["name"], v["n"]) for v in r["variants"]]) for r in resolve.merge_groups(mentions.group_mentions(raw)).collect())
+    assert got == [
+        ("fundacion dominicana de desarrollo", "Fundación Dominicana de Desarrollo", 5, [0, 1, 2, 3, 4], [("FDD", 2), ("Fundación Dominicana de Desarrollo", 1), ("fdd", 1), ("Fundacion Dominicana de Desarrollo", 1)]), ("otra", "Otra", 1, [5], [("Otra", 1)])
+    ]
