@@ -336,12 +336,21 @@ def rectified_actor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.rectify_actor_ids(a, linked(spark, sf_dir), views.canonical(spark, sf_dir))
 
 
-@query()
+def matched_sql(actors: str, source: str, out: str) -> str:
+    """CTE of (article_id, actor, matched): actors by the aliases act, then the first mention of source whose key is or holds theirs."""
+    return f"""{out} AS (SELECT article_id, actor, coalesce(hit, name) AS matched FROM (SELECT *, row_number() OVER (PARTITION BY article_id, actor ORDER BY mentions_count DESC NULLS LAST, hit) AS place FROM (
+  SELECT a.article_id, a.actor, a.name, m.name AS hit, m.mentions_count FROM (SELECT article_id, actor, coalesce(cn, actor) AS name FROM {actors} LEFT JOIN act ON act.alias_key = {key_sql('actor')}) a
+  LEFT JOIN {source} m ON m.article_id = a.article_id AND contains(' ' || {key_sql('m.name')} || ' ', ' ' || {key_sql('a.name')} || ' '))) WHERE place = 1)"""
+
+
+@query(recursive(with_views(ALL, f"""{_PERSONS}, {_CANONICAL}, named AS (SELECT article_id, max(name) AS dom, min(string_split(name, ' ')[1]) AS bla FROM mentions GROUP BY 1),
+each_actor AS (SELECT article_id, dom AS actor FROM named UNION SELECT article_id, bla FROM named), {matched_sql('each_actor', 'twice', 'hits')}
+SELECT n.article_id, d.matched AS dominant_actor, b.matched AS blamed_actor, NULL::VARCHAR AS credited_actor FROM named n JOIN hits d ON d.article_id = n.article_id AND d.actor = dom JOIN hits b ON b.article_id = n.article_id AND b.actor = bla""")))
 def canonicalized_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The actors of whole analyses, re-pointed to the canonical mentions of their articles."""
-    m = views.mentions(spark, sf_dir)
+    m, c, a = stored(spark, sf_dir)
     named = m.groupBy("article_id").agg(F.max("name").alias("dominant_actor"), F.min(F.substring_index("name", " ", 1)).alias("blamed_actor"), F.lit(None).cast("string").alias("credited_actor"))
-    return resolve.canonicalize_result(named, m, views.aliases(spark, sf_dir), surnames(spark, sf_dir))[1]
+    return resolve.canonicalize_result(named, m, a, resolve.person_map(m, c, a))[1]
 
 
 _PAIRS = "pairs AS (SELECT id AS source_id, CASE id % 4 WHEN 0 THEN id WHEN 1 THEN id + 1 WHEN 2 THEN -id ELSE (SELECT max(id) FROM canonical) - id + 1 END AS target_id FROM canonical), kinds AS (SELECT p.*, s.type AS st, t.type AS tt FROM pairs p LEFT JOIN canonical s ON s.id = source_id LEFT JOIN canonical t ON t.id = target_id), judged AS (SELECT *, CASE WHEN source_id = target_id THEN 'self' WHEN st IS NULL OR tt IS NULL THEN 'missing' WHEN st <> tt THEN 'type' END AS reason FROM kinds)"

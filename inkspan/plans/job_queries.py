@@ -13,7 +13,7 @@ from inkspan.functions import text
 from inkspan.functions.urls import content_type_ok
 from inkspan.operators import analyze, maintain, resolve, verify
 from inkspan.plans import views
-from inkspan.plans.entity_queries import _PERSONS, surnames
+from inkspan.plans.entity_queries import _CANONICAL, _PERSONS, matched_sql, surnames
 from inkspan.plans.press_queries import canonical_url_sql
 from inkspan.plans.views import key_sql, table, with_views, words_sql
 from inkspan.sources.tables import append_new, once, scratch_folder
@@ -388,7 +388,17 @@ def _capital_runs(title: str, body: str) -> dict:
     return {"overall_sentiment": "NEU", "content_flags": [], "topic_keywords": [], "dominant_actor": rows[0]["name"] if rows else None, "entities": rows}
 
 
-@query()
+_CAPITALS = "[A-Z][a-z]{2,}(?: [A-Z][a-z]{2,}){0,3}"
+#: One batch, so the only full names known beforehand are those of the aliases.
+_CORPUS = f"""{views.READ_SQL}, page AS (SELECT * FROM (SELECT 'm' || page_id % 9 AS source, {canonical_url_sql('url')} AS article_id, title, body FROM read WHERE title <> '' AND body <> '') QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY source, title, body) = 1),
+runs AS (SELECT article_id, unnest(l) AS name, generate_subscripts(l, 1) AS at_ FROM (SELECT article_id, regexp_extract_all(body, '{_CAPITALS}') AS l FROM page)),
+mentions AS (SELECT article_id, name, CASE WHEN contains(name, ' ') THEN 'PERSON' ELSE 'ORG' END AS type, count(*) AS mentions_count, min(at_) AS at_, NULL::VARCHAR AS sentiment_toward, NULL::DOUBLE AS sentiment_score, NULL::VARCHAR AS context, 1.0::DOUBLE AS extraction_confidence FROM runs GROUP BY ALL),
+surnames AS (SELECT surname, min(name) AS full_name FROM (SELECT name, ws[-1] AS surname FROM (SELECT name, {words_sql(key_sql('name'))} AS ws FROM (SELECT DISTINCT canonical_name AS name FROM aliases WHERE type = 'PERSON' AND is_active)) WHERE len(ws) >= 2) GROUP BY 1 HAVING count(*) = 1),
+{_CANONICAL}, first_one AS (SELECT article_id, arg_min(name, at_) AS actor FROM mentions GROUP BY 1), {matched_sql('first_one', 'twice', 'hits')}
+SELECT t.article_id AS url, t.name, t.type, t.mentions_count::INT AS mentions_count, coalesce(h.matched = t.name, false) AS dominant FROM twice t LEFT JOIN hits h USING (article_id)"""
+
+
+@query(_recursive(["aliases"], _CORPUS))
 def ingested_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages streamed into articles, mentions and the dimension, as (url, name, type, mentions_count, dominant)."""
     base = _scratch(spark)
