@@ -239,3 +239,16 @@ def test_pipeline_odd_rows(odd, spark, tmp_path):
             if name != "pack_sequences":
                 assert out.columns == odd.columns
             docs = spark.createDataFrame(out.collect(), out.schema)
+
+
+def test_near_copies_lose_their_lines_before_the_near_duplicate_stage(spark, documents):
+    """Why few near copies are left to it: the line stage has taken all but their changed lines, and what is left is no near copy."""
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(14))
+    first = [line() for _ in range(30)]
+    second = [line() if k in (3, 17) else x for k, x in enumerate(first)]
+    docs = documents([(1, "\n".join(first), "en", "s", 1), (2, "\n".join(second), "en", "s", 1), (3, "\n".join(line() for _ in range(5)), "en", "s", 1)])
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 2
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert sorted(len(t.splitlines()) for i, t in left.items() if i < 3) == [2, 30]
+    assert corpus_pipeline.drop_near_duplicates(spark, documents([(i, t, "en", "s", 1) for i, t in left.items()]), "").count() == 3
