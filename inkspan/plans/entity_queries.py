@@ -615,3 +615,13 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report, _ = evaluate.evaluate(side(F.col("n_chars")), side(F.col("doc_id")), m, m)
     rated = [c for f in evaluate.CATEGORIES for c in (F.col(f"category_matrices.{f}.n_labeled").alias(f"{f}_n"), F.col(f"category_matrices.{f}.accuracy").alias(f"{f}_accuracy"))]
     return report.select("n_articles", *rated, F.col("overall_sentiment.confusion_matrix")["POS->NEU"].alias("pos_as_neutral"))
+
+
+@query(with_views(["mentions"], "SELECT id, contains(name, ' ') AND id % 6 < 5 AS nickname FROM mentions WHERE id % 6 < 5 OR NOT contains(name, '-')"))
+def nicknames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of several words with a segment in each kind of marks after the first, as a nickname is written; names of one word end in it, and that is none."""
+    first, rest, kind = F.substring_index("name", " ", 1), F.expr("substr(name, instr(name, ' '))"), F.col("id") % 6
+    mark = F.when(kind == 0, ' "Nano"').when(kind == 1, " (el Nano)").when(kind == 2, " «Nano»").when(kind == 3, " “Nano”").when(kind == 4, " -Nano-").otherwise("")
+    several = F.contains(F.col("name"), F.lit(" "))
+    m = views.mentions(spark, sf_dir).select("id", F.when(several, F.concat(first, mark, rest)).otherwise(F.concat("name", mark)).alias("name"))
+    return m.select("id", text.has_nickname(F.col("name")).alias("nickname"))

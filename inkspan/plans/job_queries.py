@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import text
 from inkspan.functions.urls import content_type_ok
-from inkspan.operators import analyze, maintain, resolve, verify
+from inkspan.operators import analyze, evaluate, maintain, resolve, verify
 from inkspan.plans import views
 from inkspan.plans.entity_queries import _CANONICAL, _PERSONS, matched_sql, surnames
 from inkspan.plans.press_queries import canonical_url_sql
 from inkspan.plans.views import key_sql, table, with_views, words_sql
-from inkspan.sources.tables import append_new, once, scratch_folder
+from inkspan.sources.tables import append_new, once, read_golden, scratch_folder
 from inkspan.streaming import jobs as streams
 
 QUERIES: dict = {}
@@ -247,14 +247,32 @@ def _scratch(spark: SparkSession) -> str:
     return f"{scratch_folder(spark)}/inkspan-{uuid.uuid4().hex}"
 
 
-@query(with_views(["articles"], "SELECT source, count(*) AS n FROM articles GROUP BY 1"))
+@query(with_views(["articles"], "SELECT id, source, url, title FROM articles"))
 def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles stored in two overlapping runs, partitioned by source; the second run adds only new ones."""
     a, path = views.articles(spark, sf_dir), _scratch(spark)
     append_new(a.filter("id % 2 = 0"), path, "id", "source")
     append_new(a, path, "id", "source")
     append_new(a, path, "id", "source")
-    return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).select("id", "source", "url", "title")
+
+
+@query(with_views(["articles"], """SELECT id::VARCHAR AS id, url, overall_sentiment, id % 3 <> 0 AS entities_exhaustive, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS entities, CASE WHEN id % 2 = 0 THEN source END AS first_name, framing FROM articles"""))
+def golden_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled set written as JSON lines, with fields left out, and read back."""
+    a, path, i = views.articles(spark, sf_dir), _scratch(spark), F.col("id")
+    entity = F.when(i % 2 == 0, F.array(F.struct(F.col("source").alias("name"), F.lit("ORG").alias("type"))))
+    labelled = a.select(i.cast("string").alias("id"), "source", "url", "overall_sentiment", F.when(i % 3 == 0, False).alias("entities_exhaustive"), entity.alias("entities"), "framing")
+    labelled.write.option("ignoreNullFields", "true").json(path)
+    g = read_golden(spark, path)
+    return g.select("id", "url", "overall_sentiment", "entities_exhaustive", F.coalesce(F.size("entities"), F.lit(0)).alias("entities"), F.get("entities", F.lit(0))["name"].alias("first_name"), "framing")
+
+
+@query(with_views(["articles"], """SELECT '{"source":"' || source || '","n":' || count(*) || CASE WHEN count(framing) > 0 THEN ',"framed":' || count(framing) ELSE '' END || '}' AS report FROM articles GROUP BY source"""))
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of each source as JSON texts."""
+    framed = F.nullif(F.count("framing"), F.lit(0))
+    return evaluate.report_json(views.articles(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), framed.alias("framed")))
 
 
 def _page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

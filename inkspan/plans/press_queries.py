@@ -191,6 +191,13 @@ def relation_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir)
 
 
+@query(with_views(["articles"], f"{_SENTENCES} SELECT article_id, idx, {label_sql('text', REL_NEG, REL_POS)} AS label FROM sentences"))
+def relation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of each sentence by relational phrases; both kinds, or none, give none."""
+    s = sentiment.sentences(views.articles(spark, sf_dir))
+    return s.select("article_id", "idx", lexicon.relation_label(F.col("text"), REL_NEG, REL_POS).alias("label"))
+
+
 @query(with_views(["articles"], f"{_SENTENCES}, {_PLACES}, {_HITS}, {_NEAR} SELECT * FROM attributed"))
 def relation_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each relational phrase goes to the nearest mention before it."""
