@@ -166,15 +166,18 @@ def rebuild_indexes(store: Store) -> None:
 def corpus_stream(pages: DataFrame, analyze: Callable[[DataFrame], DataFrame], aliases: Callable[[], DataFrame], path: str, checkpoint: str, on_topic: Column | None = None):
     """The whole ingest of each micro-batch: decode, extract, one page an address, topic, analysis, names, storage.
 
-    analyze is `analyze_articles` with its analyzer; aliases reads the
-    catalogue, anew for each batch.  The store's runs have one summary a batch.
+    analyze is `analyze_articles` with its analyzer, and gets only pages whose
+    address is not stored; aliases reads the catalogue, anew for each batch.
+    The store's runs have one summary a batch.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch, seen = _counted(batch)
-        analysed = once(analyze(ingest_batch(batch, on_topic)))
-        save_analyses(analysed, aliases(), corpus_store(spark, path), stream_id(spark, checkpoint), batch_id, seen.get["n"])
+        found, store = once(ingest_batch(batch, on_topic)), corpus_store(spark, path)
+        known = store.lookup("urls", found.select(F.col("url").alias("key")), store.snapshot()).select(F.col("key").alias("url"))
+        analysed = analyze(found.join(known, "url", "left_anti"))
+        save_analyses(analysed, aliases(), store, stream_id(spark, checkpoint), batch_id, seen.get["n"])
 
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

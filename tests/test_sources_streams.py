@@ -168,7 +168,7 @@ def test_corpus_stream(spark, tmp_path):
     want = [("http://a/1", "ACME", True, False), ("http://a/1", "Luis Abinader", True, True), ("http://a/2", "Abinader", True, True), ("http://a/4", "Acme Corporation", True, False), ("http://a/4", "Luis Abinader", True, True)]
     assert read() == want
     corpus = jobs.corpus_store(spark, where)
-    assert [tuple(r) for r in corpus.read("runs").orderBy("batch").select("discovered", "articles", "failed", "saved").collect()] == [(4, 3, 1, 2), (2, 2, 0, 1)]
+    assert [tuple(r) for r in corpus.read("runs").orderBy("batch").select("discovered", "articles", "failed", "saved").collect()] == [(4, 3, 1, 2), (2, 1, 0, 1)]  # what is stored is not analysed again
     assert corpus.read("articles").columns == tables.ARTICLES.replace("\n", " ").replace(" string", "").replace(" long", "").replace(" timestamp", "").replace(" double", "").replace(" boolean", "").replace(" int", "").split(", ")
     again = analyze.analyze_articles(jobs.ingest_batch(spark.createDataFrame(later, schema)), run, "n", "m", "1")
     stream = jobs.stream_id(spark, str(tmp_path / "state"))
