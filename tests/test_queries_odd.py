@@ -31,3 +31,11 @@ def test_references_without_a_semicolon(spark, tmp_path, name):
     html = "<html><head><title>x</title></head><body><h1>the ver&amp;&amp</h1><p>a &amp;copy; b &copy c &amp</p></body></html>"
     (row,) = agree(spark, tmp_path, name, "pages", [(7, "https://site1.example/a", html)], PAGES)
     assert (row["title"], row["body"]) == ("the ver&&", "a &copy; b © c &")
+
+
+@pytest.mark.parametrize("name", ["mapped_llm_results", "recounted_mentions", "verified_entities", "whole_llm_results"])
+def test_a_sharp_s_is_no_z(spark, tmp_path, name):
+    rows = [(k, f"Enzu und enzu, enßu, Verßü und verzu {k} Stß; Stz_ Schßü schzu Anton", "de", "src1", 70) for k in range(1, 12)]
+    out = agree(spark, tmp_path, name, "documents", rows, DOCUMENTS)
+    if name == "recounted_mentions":
+        assert {r["mentions_count"] for r in out if r["id"] % 5 > 1} == {1, 2, 4}  # title and body are both looked at
