@@ -16,8 +16,8 @@ drawn from the unigram distribution and shared by a mini-batch, so a step is a f
 matrix products and needs no normaliser.  All training documents take part, in
 `ROUNDS`: each task starts from the round's model, takes its steps over its own
 documents of that round, and the tasks' models are averaged by their steps, in two
-levels.  A document gives one target in `STRIDE`, drawn anew in every sweep; a small
-corpus is swept several times.  What tasks send grows with the corpus; the model and
+levels.  Every word and end of a document is a target once in a sweep, in an order drawn
+anew; a small corpus is swept several times.  What tasks send grows with the corpus; the model and
 the averages have one size.
 
 Scoring normalises exactly.  There are no more normalisers than pairs of classes; they
@@ -53,7 +53,7 @@ OWN_WORDS, ENDINGS, DIM = 512, 511, 32
 CLASSES = 1 + OWN_WORDS + ENDINGS
 END, START = 0, CLASSES  # START stands for what is before a text, and is only looked back at
 NOISE, BATCH, RATE = 64, 1024, 0.1
-STRIDE, LEAST_TARGETS, MOST_SWEEPS = 8, 2_000_000, 64
+LEAST_TARGETS, MOST_SWEEPS = 2_000_000, 64
 #: Eighths of the documents in each round.
 ROUNDS = (1, 3, 4)
 ADDED = 0.1
@@ -241,7 +241,7 @@ def _train(shared, sweeps: int):
                 seq, first = with_ends(np.where(found >= 0, 1 + found, endings(buf, starts, ends)), starts, offsets, END)
                 one, two = contexts(seq, first)
                 for _ in range(sweeps):
-                    order = rng.permutation(len(seq))[: -(-len(seq) // STRIDE)]
+                    order = rng.permutation(len(seq))
                     for lo in range(0, len(order), BATCH):
                         at = order[lo : lo + BATCH]
                         noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), CLASSES - 1)
@@ -372,7 +372,7 @@ def fit(training: DataFrame, most_broadcast: int = MOST_BROADCAST) -> Scorer:
     words_ = counts.count() + (ends > 0)
     unigram = (class_tokens + 1) / (class_tokens + 1).sum()
     flat, tokens = Model.fresh(unigram).flat, total + ends
-    sweeps = min(MOST_SWEEPS, max(1, -(-LEAST_TARGETS * STRIDE // max(tokens, 1))))
+    sweeps = min(MOST_SWEEPS, max(1, -(-LEAST_TARGETS // max(tokens, 1))))
     eighth, lo = F.pmod(F.xxhash64("text", F.lit("round")), F.lit(8)), 0
     for many in ROUNDS:
         shared = spark.sparkContext.broadcast((flat, own, unigram))

@@ -263,3 +263,13 @@ def test_model_learns_order(documents, monkeypatch):
         rows.append((k, " ".join(text), "en", "s", 1))
     held = [r for r in neural_lm.score_documents(documents(rows)).collect() if r["held_out"]]
     assert len(held) > 10 and sum(r["score"] for r in held) > 0.5 * sum(r["base_score"] for r in held)
+
+
+def test_every_position_is_a_target(documents):
+    """Each word and each end of a text is trained on once in a sweep."""
+    rows = [(k, " ".join(f"w{k * j % 50}" for j in range(k % 37)), "en", "s", 1) for k in range(300)]
+    unigram = np.full(neural_lm.CLASSES, 1 / neural_lm.CLASSES)
+    shared = documents(rows).sparkSession.sparkContext.broadcast((neural_lm.Model.fresh(unigram).flat, [b"w1", b"w2"], unigram))
+    parts = documents(rows).repartition(3).select("text").mapInArrow(neural_lm._train(shared, 2), neural_lm._PART)
+    (trained,) = parts.filter("slice = 0").agg(F.sum("trained")).first()
+    assert trained == 2 * sum(k % 37 + 1 for k in range(300))
