@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 from datetime import datetime
 
@@ -447,3 +448,30 @@ def test_groups_are_merged_whole(spark):
     assert got == [
         ("fundacion dominicana de desarrollo", "Fundación Dominicana de Desarrollo", 5, [0, 1, 2, 3, 4], [("FDD", 2), ("Fundación Dominicana de Desarrollo", 1), ("fdd", 1), ("Fundacion Dominicana de Desarrollo", 1)]), ("otra", "Otra", 1, [5], [("Otra", 1)])
     ]
+
+
+def test_words_and_phrases_are_counted_in_their_article(spark):
+    """Keywords and topics as counted by hand, without a shuffle of words."""
+    texts = {1: "Alfa beta alfa, beta Alfa gama. Gama alfa beta", 2: "uno", 3: "", 4: None, 5: "Ñandú ñandu Ñandú ñandu", 6: "delta casa rosa casa rosa delta", 7: "casa casa casa"}
+    a = spark.createDataFrame(list(texts.items()), "id long, body string")
+    k = mentions.keywords(a, ["gama"], k=2)
+    assert sorted(map(tuple, k.collect())) == [(1, "alfa", 4, 1), (1, "beta", 3, 2), (5, "nandu", 4, 1), (6, "casa", 2, 2), (6, "delta", 2, 1), (7, "casa", 3, 1)]
+    assert "Exchange" not in k._jdf.queryExecution().executedPlan().toString()
+    assert dict(map(tuple, mentions.main_topic(a, k).collect())) == {1: "alfa beta", 5: "nandu nandu", 6: "delta", 7: "casa casa"}
+    assert mentions.held_phrase("b a b a b a".split(), "a") == "b a" and mentions.held_phrase("a a a".split(), "a") == "a a" and mentions.held_phrase("x a y".split(), "a") is None
+    assert "Generate" not in mentions.main_topic(a, k)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unlinked_mentions_are_dealt_over_tasks(spark):
+    """Mentions without a dimension row do not all meet in one task of the rectifying join."""
+    linked = spark.range(4000).select(F.col("id"), (F.col("id") % 50).alias("article_id"), F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") < 40, F.col("id")).alias("canonical_entity_id"))
+    canonical = spark.range(0, 60).select("id", F.concat(F.lit("known "), "id").alias("name"), F.lit("ORG").alias("type"))
+    actors = spark.createDataFrame([(0, "n50"), (1, "known 1"), (2, "n2"), (3, "known 53")], "article_id long, actor string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = resolve.rectify_actor_ids(actors, linked, canonical)
+        assert sorted(map(tuple, out.collect())) == [(0, "n50", None), (1, "known 1", 1), (2, "n2", 2), (3, "known 53", None)]
+        assert re.search(r"hashpartitioning\([^)]*_dealt", out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
