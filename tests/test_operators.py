@@ -484,3 +484,11 @@ def test_a_large_catalogue_meets_likely_runs_only(spark):
     out = mentions.dictionary_mentions(s, c, most_rows=0)
     assert out.count() == 301 and out.filter("name = 'T'").select("article_id", "word_pos").first() == (7, 3)
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labels_do_not_hang_on_the_order_of_sums(spark):
+    """Shares that are equal but for the order in which they are added are a tie."""
+    rows = [(1, 0.3, 0.0, 0.1), (1, 0.2, 0.0, 0.2), (1, 0.1, 0.0, 0.3), (2, 0.375, 0.0, 0.0), (2, 0.3, 0.0, 0.0), (2, 0.3, 0.0, 0.0), (2, 0.3, 0.0, 0.0)]
+    s = spark.createDataFrame([(*r, "t") for r in rows], "article_id long, p_neg double, p_neu double, p_pos double, text string").coalesce(1)
+    a = spark.createDataFrame([(1,), (2,)], "id long")
+    assert sorted(map(tuple, sentiment.article_sentiment(a, s).collect())) == [(1, "NEG", 0.2), (2, "NEG", 0.3188)]
