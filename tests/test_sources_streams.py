@@ -299,3 +299,15 @@ def test_reading_a_database(spark, tmp_path):
     for table, few in (("one", rows[:1]), ("empty", [])):
         spark.createDataFrame(few, "id long, name string, type string").write.format("jdbc").options(**url, dbtable=table).save()
         assert [tuple(r) for r in tables.read_table(spark, table, jdbc=url).collect()] == few
+
+
+def test_pages_are_read_in_small_slices():
+    """A worker holds the fields of at most 100 pages at a time, and loses none."""
+    import pyarrow as pa
+
+    from inkspan.sources import pages
+
+    whole = pa.RecordBatch.from_arrays([pa.array(range(250)), pa.array([f"<title>t{k}</title><p>b{k}</p>" for k in range(250)])], names=["page_id", "html"])
+    out = list(pages._extract("html")(iter([whole, whole.slice(0, 0)])))
+    assert [b.num_rows for b in out] == [100, 100, 50, 0]
+    assert [r for b in out for r in b.column("body").to_pylist()] == [f"b{k}" for k in range(250)]
