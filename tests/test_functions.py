@@ -116,3 +116,13 @@ def test_boost_and_dampen(spark):
     down = one(spark, lambda a, b, c: lexicon.dampen(a, b, c, F.lit(True)), 0.7, 0.2, 0.1)
     assert down["p_neg"] < 0.7 and sum(down) == pytest.approx(1)
     assert one(spark, lexicon.has_negation, "No hay apagones, no podemos hablar de apagones sino de sobrecarga") is True
+
+
+def test_names_without_accents_skip_the_table(spark):
+    from pyspark.sql import functions as F
+
+    from inkspan.functions import text
+
+    d = spark.createDataFrame([("Ana-Luz",), ("Éñe",), ("é",), ("",), (None,)], "t string").select(text.strip_accents(F.col("t")).alias("bare"))
+    assert [r[0] for r in d.collect()] == ["Ana-Luz", "Ene", "e", "", None]
+    assert "octet_length" in d._jdf.queryExecution().analyzed().toString()
